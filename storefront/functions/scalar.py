@@ -241,3 +241,12 @@ def ratio2(num: Column, den: Column) -> Column:
 
 def zero2() -> Column:
     return F.lit(Decimal("0.00")).cast("decimal(38,2)")
+
+
+def mean2(total_amount: Column, n: Column) -> Column:
+    """Mean of cents-valued items from a pre-aggregated sum and count, rounded
+    half away from zero to two places (the same result as ``avg2`` on the rows)."""
+    cents = (total_amount * 100).cast("long")
+    n = n.cast("long")
+    q = F.signum(cents).cast("long") * idiv(F.abs(cents) * 2 + n, n * 2)
+    return F.when(n > 0, (q.cast("decimal(36,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,2)"))

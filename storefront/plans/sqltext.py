@@ -133,3 +133,10 @@ def ratio2(num: str, den: str) -> str:
     n, d = f"CAST({num} AS BIGINT)", f"CAST({den} AS BIGINT)"
     return (f"(CASE WHEN {d} <> 0 THEN CAST(({n} * 200 + {d}) // ({d} * 2) AS DECIMAL(36,0)) * 0.01 END)"
             f"::DECIMAL(38,2)")
+
+
+def mean2(total: str, n: str) -> str:
+    """SQL twin of ``scalar.mean2`` (pre-aggregated sum of cents values and count)."""
+    c, k = f"CAST(({total}) * 100 AS BIGINT)", f"CAST({n} AS BIGINT)"
+    return (f"(CASE WHEN {k} > 0 THEN CAST(sign({c}) * ((abs({c}) * 2 + {k}) // ({k} * 2)) AS DECIMAL(36,0)) * 0.01 END)"
+            f"::DECIMAL(38,2)")

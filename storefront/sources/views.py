@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storefront.functions.scalar import ts_lit
-from storefront.sources.schemas import conform
+from storefront.sources.schemas import conform, empty
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 SHOP_TABLES = ("users", "sellers", "categories", "products", "addresses", "orders", "order_items", "payments",
                "mpesa_transactions", "reviews", "carts", "cart_items", "special_offers", "product_offers")
 
+# Canonical tables the driver data has no source for: empty, with their schema.
+EMPTY_TABLES = ("product_images", "delivery_pricing")
+
 EPOCH = "1995-01-01 00:00:00"
 
 # Category rows (id, name, featured); parts map to them by p_type.
@@ -49,6 +52,9 @@ class ShopTables(Mapping):
         if name in self._extra:
             return self._extra[name]
         if name not in self._cache:
+            if name in EMPTY_TABLES:
+                self._cache[name] = empty(self.spark, name)
+                return self._cache[name]
             if name not in SHOP_TABLES:
                 raise KeyError(name)
             self._cache[name] = conform(getattr(self, f"_{name}")(), name)

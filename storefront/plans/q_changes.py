@@ -1 +1,308 @@
-"""Queries registered later."""
+"""Table-change queries. Each change set is derived from the driver tables;
+the query returns the changed table (or the decisions) and its SQL twin
+computes the same outcome independently."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from storefront.operators import changes as C
+from storefront.operators.enrich import flagged_reviews
+from storefront.plans.registry import EVENTS_AS_OF, ORDERS_AS_OF, query
+
+EA = f"TIMESTAMP '{EVENTS_AS_OF}'"
+
+
+def _order_status_changes(t):
+    tx = t["mpesa_transactions"].where(F.col("status").isin("completed", "failed"))
+    return tx.select("order_id", F.col("transaction_id").alias("seq"),
+                     F.when(F.col("status") == "completed", "processing").otherwise("failed").alias("status"),
+                     F.array(F.lit("status")).alias("changed"))
+
+
+@query("patch_orders_from_transactions", """
+WITH ch AS (SELECT order_id, CASE WHEN status = 'completed' THEN 'processing' ELSE 'failed' END AS new_status,
+                   row_number() OVER (PARTITION BY order_id ORDER BY transaction_id DESC) AS rk
+            FROM shop_transactions WHERE status IN ('completed', 'failed'))
+SELECT o.order_id, coalesce(ch.new_status, o.status) AS status
+FROM shop_orders o LEFT JOIN ch ON o.order_id = ch.order_id AND ch.rk = 1""")
+def _t2(t):
+    """Order status patched from settled transactions (latest transaction wins)."""
+    return C.patch(t["orders"], _order_status_changes(t), "order_id", "present", as_of=EVENTS_AS_OF).table.select(
+        "order_id", "status")
+
+
+@query("patch_rejected_keys", """
+SELECT DISTINCT order_id FROM shop_transactions
+WHERE status IN ('completed', 'failed') AND order_id NOT IN (SELECT order_id FROM shop_orders)""")
+def _t2_rej(t):
+    """Change rows whose order does not exist."""
+    return C.patch(t["orders"], _order_status_changes(t), "order_id", "present").rejected.select(
+        "order_id").dropDuplicates()
+
+
+@query("bulk_cancel_unknown_payments", """
+SELECT o.order_id, CASE WHEN p.order_id IS NOT NULL THEN 'cancelled' ELSE o.status END AS status
+FROM shop_orders o LEFT JOIN (SELECT DISTINCT order_id FROM shop_payments WHERE is_confirmed IS NULL) p
+  ON o.order_id = p.order_id""")
+def _t3(t):
+    """Orders whose payment state is unknown are cancelled."""
+    ids = t["payments"].where(F.col("is_confirmed").isNull()).select("order_id")
+    return C.bulk_update(t["orders"], ids, {"status": "cancelled"}, "order_id", as_of=ORDERS_AS_OF).table.select(
+        "order_id", "status")
+
+
+@query("seller_status_roles", """
+SELECT u.user_id, CASE WHEN s.seller_id IS NULL THEN u.role WHEN s.seller_id % 2 = 0 THEN 'seller' ELSE 'guest' END AS role
+FROM shop_users u LEFT JOIN shop_sellers s ON s.user_id = u.user_id""")
+def _t4(t):
+    """T4: even sellers approved, odd ones suspended."""
+    actions = t["sellers"].select("seller_id", F.col("seller_id").alias("seq"),
+                                  F.when(F.col("seller_id") % 2 == 0, "approve").otherwise("suspend").alias("action"))
+    return C.set_seller_status(t, actions).table.select("user_id", "role")
+
+
+@query("delete_flagged_reviews", """
+SELECT r.review_id, r.product_id FROM shop_reviews r
+WHERE NOT EXISTS (SELECT 1 FROM shop_users u JOIN shop_products p ON true
+                  WHERE u.user_id = r.user_id AND p.product_id = r.product_id
+                    AND (r.rating <= 2 OR r.comment ILIKE '%scam%' OR r.comment ILIKE '%fake%' OR r.comment ILIKE '%fraud%'))""")
+def _t5(t):
+    """T5: flagged reviews (P4) removed."""
+    return C.bulk_delete(t["reviews"], flagged_reviews(t).select("review_id"), "review_id").table.select(
+        "review_id", "product_id")
+
+
+@query("cascade_delete_customers", """
+WITH blocked AS (SELECT DISTINCT user_id FROM shop_orders),
+d AS (SELECT user_id FROM shop_users WHERE role = 'customer' AND user_id NOT IN (SELECT user_id FROM blocked)),
+dc AS (SELECT cart_id FROM shop_carts WHERE user_id IN (SELECT user_id FROM d))
+SELECT * FROM (
+  SELECT 'users' AS table_name, count(*) AS deleted_rows FROM d
+  UNION ALL SELECT 'carts', count(*) FROM dc
+  UNION ALL SELECT 'cart_items', count(*) FROM shop_cart_items WHERE cart_id IN (SELECT cart_id FROM dc)
+  UNION ALL SELECT 'addresses', count(*) FROM shop_addresses WHERE user_id IN (SELECT user_id FROM d)
+  UNION ALL SELECT 'reviews', count(*) FROM shop_reviews WHERE user_id IN (SELECT user_id FROM d)
+  UNION ALL SELECT 'blocked_roots', count(DISTINCT u.user_id) FROM shop_users u JOIN blocked b ON u.user_id = b.user_id
+            WHERE u.role = 'customer') x
+WHERE deleted_rows > 0""")
+def _t6(t):
+    """Delete every customer; customers with orders are blocked by the
+    RESTRICT keys and skipped, the rest cascade to carts, cart items,
+    addresses and reviews. Rows deleted per table."""
+    ids = t["users"].where(F.col("role") == "customer").select("user_id")
+    res = C.cascade_delete(t, "users", ids, on_blocked="skip")
+    parts = [d.agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit(n).alias("table_name"), "deleted_rows")
+             for n, d in res.deleted.items()]
+    parts.append(res.blocked.agg(F.count_distinct("root_id").alias("deleted_rows")).select(
+        F.lit("blocked_roots").alias("table_name"), "deleted_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("deleted_rows") > 0)
+
+
+@query("merge_categories", """
+WITH tgt AS (SELECT min(category_id) AS t FROM shop_categories WHERE featured),
+pairs AS (SELECT category_id AS source_id FROM shop_categories WHERE NOT featured)
+SELECT CASE WHEN p.category_id IN (SELECT source_id FROM pairs) THEN (SELECT t FROM tgt) ELSE p.category_id END
+         AS category_id, count(*) AS product_count
+FROM shop_products p GROUP BY 1""")
+def _t7(t):
+    """Every non-featured category merged into the first featured one;
+    products per category afterwards (no product lost)."""
+    cats = t["categories"]
+    target = cats.where("featured").select(F.min("category_id")).scalar()
+    pairs = cats.where(~F.col("featured")).select(F.col("category_id").alias("source_id"),
+                                                  target.alias("target_id"))
+    out, _ = C.merge_categories(t, pairs)
+    return out["products"].groupBy("category_id").agg(F.count(F.lit(1)).alias("product_count"))
+
+
+ADDS_SQL = "SELECT event_id AS seq, user_id AS cart_id, (event_id % 7) + 1 AS product_id, " \
+           "CAST(1 + event_id % 13 AS INT) AS quantity FROM events WHERE event_type = 'purchase'"
+
+
+@query("cart_add_decisions", f"""
+WITH RECURSIVE adds AS ({ADDS_SQL}),
+keyed AS (
+  SELECT a.seq, a.cart_id, a.product_id, a.quantity, p.stock, coalesce(ci.quantity, 0) AS have,
+         row_number() OVER (PARTITION BY a.cart_id, a.product_id ORDER BY a.seq) AS rn
+  FROM adds a JOIN shop_products p ON a.product_id = p.product_id
+  LEFT JOIN shop_cart_items ci ON ci.cart_id = a.cart_id AND ci.product_id = a.product_id),
+fold(cart_id, product_id, rn, cur, seq, accepted) AS (
+  SELECT cart_id, product_id, rn, CASE WHEN have + quantity <= stock THEN have + quantity ELSE have END, seq,
+         have + quantity <= stock FROM keyed WHERE rn = 1
+  UNION ALL
+  SELECT k.cart_id, k.product_id, k.rn, CASE WHEN f.cur + k.quantity <= k.stock THEN f.cur + k.quantity ELSE f.cur END,
+         k.seq, f.cur + k.quantity <= k.stock
+  FROM fold f JOIN keyed k ON k.cart_id = f.cart_id AND k.product_id = f.product_id AND k.rn = f.rn + 1)
+SELECT a.seq, a.cart_id, a.product_id, a.quantity, coalesce(f.accepted, false) AS accepted,
+       CASE WHEN p.product_id IS NULL THEN 'Product not found' WHEN NOT f.accepted THEN 'Insufficient stock' END AS reason
+FROM adds a LEFT JOIN fold f ON a.seq = f.seq LEFT JOIN shop_products p ON a.product_id = p.product_id""")
+def _t8(t):
+    """Purchase events replayed as cart adds; per add accepted or refused."""
+    e = t.raw("events").where(F.col("event_type") == "purchase")
+    adds = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("cart_id"),
+                    ((F.col("event_id") % 7) + 1).alias("product_id"),
+                    (1 + F.col("event_id") % 13).cast("int").alias("quantity"))
+    return C.apply_cart_adds(t, adds, EVENTS_AS_OF).decisions.select(
+        "seq", "cart_id", "product_id", "quantity", "accepted", "reason")
+
+
+@query("cart_lines_after_adds", f"""
+WITH RECURSIVE adds AS ({ADDS_SQL}),
+keyed AS (
+  SELECT a.seq, a.cart_id, a.product_id, a.quantity, p.stock, coalesce(ci.quantity, 0) AS have,
+         row_number() OVER (PARTITION BY a.cart_id, a.product_id ORDER BY a.seq) AS rn
+  FROM adds a JOIN shop_products p ON a.product_id = p.product_id
+  LEFT JOIN shop_cart_items ci ON ci.cart_id = a.cart_id AND ci.product_id = a.product_id),
+fold(cart_id, product_id, rn, cur, seq, accepted) AS (
+  SELECT cart_id, product_id, rn, CASE WHEN have + quantity <= stock THEN have + quantity ELSE have END, seq,
+         have + quantity <= stock FROM keyed WHERE rn = 1
+  UNION ALL
+  SELECT k.cart_id, k.product_id, k.rn, CASE WHEN f.cur + k.quantity <= k.stock THEN f.cur + k.quantity ELSE f.cur END,
+         k.seq, f.cur + k.quantity <= k.stock
+  FROM fold f JOIN keyed k ON k.cart_id = f.cart_id AND k.product_id = f.product_id AND k.rn = f.rn + 1),
+fin AS (SELECT cart_id, product_id, max(cur) AS quantity, bool_or(accepted) AS any_ok FROM fold GROUP BY ALL)
+SELECT coalesce(ci.cart_id, fin.cart_id) AS cart_id, coalesce(ci.product_id, fin.product_id) AS product_id,
+       CAST(CASE WHEN fin.any_ok THEN fin.quantity ELSE ci.quantity END AS INT) AS quantity,
+       CASE WHEN fin.any_ok THEN coalesce(p.sale_price, p.price) ELSE ci.unit_price END AS unit_price
+FROM shop_cart_items ci FULL JOIN (SELECT * FROM fin WHERE any_ok) fin
+  ON ci.cart_id = fin.cart_id AND ci.product_id = fin.product_id
+LEFT JOIN shop_products p ON p.product_id = coalesce(ci.product_id, fin.product_id)""")
+def _t8_lines(t):
+    """Cart lines after the adds (quantities folded, price refreshed on accepted adds)."""
+    e = t.raw("events").where(F.col("event_type") == "purchase")
+    adds = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("cart_id"),
+                    ((F.col("event_id") % 7) + 1).alias("product_id"),
+                    (1 + F.col("event_id") % 13).cast("int").alias("quantity"))
+    return C.apply_cart_adds(t, adds, EVENTS_AS_OF).cart_items.select("cart_id", "product_id", "quantity",
+                                                                     "unit_price")
+
+
+@query("claim_guest_carts", """
+SELECT c.cart_id, CASE WHEN c.user_id IS NULL AND u.user_id IS NOT NULL THEN u.user_id ELSE c.user_id END AS user_id,
+       CASE WHEN c.user_id IS NULL AND u.user_id IS NOT NULL THEN NULL ELSE c.session_id END AS session_id
+FROM shop_carts c LEFT JOIN shop_users u ON c.session_id = 'guest_' || CAST(u.user_id AS VARCHAR)""")
+def _t10(t):
+    """Every guest session 'guest_<n>' claimed by user n (when user n exists)."""
+    claims = t["users"].select(F.concat(F.lit("guest_"), F.col("user_id").cast("string")).alias("session_id"),
+                               "user_id", F.col("user_id").alias("seq"))
+    return C.claim_carts(t["carts"], claims).table.select("cart_id", "user_id", "session_id")
+
+
+@query("confirm_unconfirmed_payments", """
+SELECT o.order_id,
+       CASE WHEN p.payment_id IS NULL THEN o.status WHEN o.status = 'delivered' THEN 'processing' ELSE 'failed' END AS status,
+       CASE WHEN p.payment_id IS NULL THEN o.notes
+            ELSE coalesce(o.notes, '') || ' | ' || CASE WHEN o.status = 'delivered' THEN 'Admin note: delivered' ELSE '' END
+       END AS notes
+FROM shop_orders o LEFT JOIN (SELECT * FROM shop_payments WHERE is_confirmed = false) p ON o.order_id = p.order_id""")
+def _t11(t):
+    """Unconfirmed payments confirmed when the order was delivered
+    (note 'delivered'), rejected otherwise (no note)."""
+    p = t["payments"].where(F.col("is_confirmed") == F.lit(False)).join(
+        t["orders"].select("order_id", "status"), "order_id")
+    dec = p.select("payment_id", F.col("payment_id").alias("seq"), (F.col("status") == "delivered").alias("is_confirmed"),
+                   F.when(F.col("status") == "delivered", "delivered").alias("notes"))
+    out, _ = C.confirm_payments(t, dec, ORDERS_AS_OF)
+    return out["orders"].select("order_id", "status", "notes")
+
+
+@query("new_reviews_ratings", """
+WITH cr AS (SELECT event_id AS seq, user_id, event_id % (SELECT count(*) FROM part) AS product_id,
+                   CAST(1 + (event_id * 7) % 5 AS INT) AS rating FROM events WHERE event_type = 'purchase'),
+ok AS (SELECT * FROM cr WHERE NOT EXISTS (SELECT 1 FROM shop_reviews r WHERE r.user_id = cr.user_id AND r.product_id = cr.product_id)
+       QUALIFY row_number() OVER (PARTITION BY user_id, product_id ORDER BY seq) = 1),
+allr AS (SELECT product_id, rating FROM shop_reviews UNION ALL SELECT product_id, rating FROM ok),
+touched AS (SELECT DISTINCT product_id FROM cr)
+SELECT p.product_id,
+       CAST(CASE WHEN tt.product_id IS NULL THEN NULL ELSE coalesce(
+         (SELECT CAST((sum(rating) * 200 + count(*)) // (count(*) * 2) AS DECIMAL(36,0)) * 0.01 FROM allr a
+          WHERE a.product_id = p.product_id), 0) END AS DECIMAL(3,2)) AS rating,
+       CASE WHEN tt.product_id IS NULL THEN NULL
+            ELSE CAST((SELECT count(*) FROM allr a WHERE a.product_id = p.product_id) AS INT) END AS review_count
+FROM shop_products p LEFT JOIN touched tt ON p.product_id = tt.product_id""")
+def _t12(t):
+    """Purchase events become review creates; products touched get the new
+    rating and count (others keep theirs)."""
+    e = t.raw("events").where(F.col("event_type") == "purchase")
+    n_parts = t.raw("part").select(F.count(F.lit(1))).scalar()
+    ch = e.select(F.lit("create").alias("op"), F.col("event_id").alias("seq"), F.lit(None).cast("long").alias("review_id"),
+                  "user_id", (F.col("event_id") % n_parts).alias("product_id"),
+                  (1 + (F.col("event_id") * 7) % 5).cast("int").alias("rating"), F.lit(None).cast("string").alias("comment"))
+    return C.apply_reviews(t, ch, EVENTS_AS_OF).products.select("product_id", "rating", "review_count")
+
+
+@query("sweep_stale_transactions", f"""
+SELECT transaction_id,
+       CASE WHEN status = 'pending' AND created_at < {EA} - INTERVAL 30 MINUTE THEN 'failed' ELSE status END AS status,
+       CASE WHEN status = 'pending' AND created_at < {EA} - INTERVAL 30 MINUTE THEN 'TIMEOUT' ELSE result_code END AS result_code,
+       CASE WHEN status = 'pending' AND created_at < {EA} - INTERVAL 30 MINUTE
+            THEN 'Transaction timeout - no response from M-Pesa' ELSE result_desc END AS result_desc,
+       CASE WHEN status = 'pending' AND created_at < {EA} - INTERVAL 30 MINUTE THEN {EA} ELSE updated_at END AS updated_at
+FROM shop_transactions""")
+def _t14(t):
+    """T14, 30 minutes."""
+    return C.sweep_stale(t["mpesa_transactions"], EVENTS_AS_OF).table.select(
+        "transaction_id", "status", "result_code", "result_desc", "updated_at")
+
+
+@query("transaction_status_updates", f"""
+SELECT transaction_id, CASE WHEN status = 'pending' THEN 'cancelled' ELSE status END AS status,
+       result_code, CASE WHEN status = 'pending' THEN 'Expired' ELSE result_desc END AS result_desc,
+       CASE WHEN status = 'pending' THEN {EA} ELSE updated_at END AS updated_at
+FROM shop_transactions""")
+def _t15(t):
+    """Every pending transaction cancelled with text 'Expired' (code kept)."""
+    tx = t["mpesa_transactions"]
+    up = tx.where(F.col("status") == "pending").select(
+        "checkout_request_id", F.col("transaction_id").alias("seq"), F.lit("cancelled").alias("status"),
+        F.lit(None).cast("string").alias("mpesa_receipt_number"), F.lit(None).cast("string").alias("result_code"),
+        F.lit("Expired").alias("result_desc"))
+    table, _ = C.update_transaction_status(tx, up, EVENTS_AS_OF)
+    return table.select("transaction_id", "status", "result_code", "result_desc", "updated_at")
+
+
+@query("payment_request_outcomes", """
+WITH req AS (SELECT o.order_id AS request_id, o.order_id, u.phone AS phone_number,
+                    CASE WHEN o.order_id % 3 = 0 THEN o.total_amount + 1 ELSE o.total_amount END AS amount
+             FROM shop_orders o JOIN shop_users u ON o.user_id = u.user_id)
+SELECT request_id, CASE WHEN phone_number IS NULL OR phone_number = '' OR amount IS NULL OR amount = 0 THEN
+                          'Phone number, amount, and order ID are required'
+                        WHEN NOT regexp_full_match(phone_number, '(\\+?254|0)[17][0-9]{8}') THEN 'Invalid phone number format'
+                        WHEN amount < 1 THEN 'Amount must be at least KSh 1'
+                        WHEN abs(r.amount - o.total_amount) > 0.01 THEN 'Payment amount does not match order total'
+                   END AS reason
+FROM req r JOIN shop_orders o USING (order_id)""")
+def _t16(t):
+    """One payment request per order from the customer's phone; every third
+    order sends its total + 1 (rejected). Outcome per request (NULL = registered)."""
+    req = (t["orders"].join(t["users"].select("user_id", F.col("phone").alias("phone_number")), "user_id")
+           .select(F.col("order_id").alias("request_id"), "order_id", "phone_number",
+                   F.when(F.col("order_id") % 3 == 0, F.col("total_amount") + 1).otherwise(F.col("total_amount"))
+                   .alias("amount"),
+                   F.concat(F.lit("ws_CO_req_"), F.col("order_id").cast("string")).alias("checkout_request_id"),
+                   F.concat(F.lit("mr_"), F.col("order_id").cast("string")).alias("merchant_request_id")))
+    ch = C.register_payments(t, req, EVENTS_AS_OF)
+    return ch.affected.select(F.col("order_id").alias("request_id"), F.lit(None).cast("string").alias("reason")) \
+        .unionByName(ch.rejected.select("request_id", "reason"))
+
+
+@query("cascade_delete_abandoned_carts", """
+SELECT * FROM (
+  SELECT 'carts' AS table_name, count(*) AS deleted_rows FROM shop_carts WHERE status = 'abandoned'
+  UNION ALL SELECT 'cart_items', count(*) FROM shop_cart_items
+            WHERE cart_id IN (SELECT cart_id FROM shop_carts WHERE status = 'abandoned')) x
+WHERE deleted_rows > 0""")
+def _t6_carts(t):
+    """Abandoned carts deleted with their lines (cascade); rows deleted per table."""
+    ids = t["carts"].where(F.col("status") == "abandoned").select("cart_id")
+    res = C.cascade_delete(t, "carts", ids)
+    parts = [d.agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit(n).alias("table_name"), "deleted_rows")
+             for n, d in res.deleted.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("deleted_rows") > 0)

@@ -1 +1,130 @@
-"""Queries registered later."""
+"""Data quality queries over the whole shop."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from storefront.operators import quality as Q
+from storefront.plans.registry import query
+
+CHECKED = ("users", "products", "orders", "order_items", "payments", "reviews", "carts", "cart_items",
+           "mpesa_transactions")
+
+
+@query("rejected_rows", """
+SELECT 'users' AS table_name, CAST(user_id AS VARCHAR) AS row_key,
+       concat_ws(',', CASE WHEN role NOT IN ('customer','seller','admin','guest') THEN 'role_allowed' END,
+                 CASE WHEN NOT (phone LIKE '+254%') THEN 'phone_prefix' END) AS broken_rules
+FROM shop_users WHERE role NOT IN ('customer','seller','admin','guest') OR NOT (phone LIKE '+254%')
+  OR length(name) > 100 OR length(email) > 100 OR length(phone) > 13
+UNION ALL
+SELECT 'products', CAST(product_id AS VARCHAR),
+       concat_ws(',', CASE WHEN title IS NULL THEN 'title_not_null' END,
+                 CASE WHEN length(title) > 100 THEN 'title_max_length_100' END,
+                 CASE WHEN NOT (price > 0) THEN 'price_positive' END,
+                 CASE WHEN NOT (sale_price > 0) THEN 'sale_price_positive' END,
+                 CASE WHEN NOT (stock >= 0) THEN 'stock_non_negative' END)
+FROM shop_products WHERE title IS NULL OR length(title) > 100 OR NOT (price > 0) OR NOT coalesce(sale_price > 0, true)
+  OR NOT (stock >= 0)
+UNION ALL
+SELECT 'orders', CAST(order_id AS VARCHAR),
+       concat_ws(',', CASE WHEN NOT (total_amount > 0) THEN 'total_amount_positive' END)
+FROM shop_orders WHERE NOT (total_amount > 0)
+UNION ALL
+SELECT 'order_items', CAST(order_item_id AS VARCHAR),
+       concat_ws(',', CASE WHEN NOT (quantity > 0) THEN 'quantity_positive' END,
+                 CASE WHEN NOT (unit_price > 0) THEN 'unit_price_positive' END)
+FROM shop_order_items WHERE NOT (quantity > 0) OR NOT (unit_price > 0)
+UNION ALL
+SELECT 'payments', CAST(payment_id AS VARCHAR),
+       concat_ws(',', CASE WHEN NOT (amount > 0) THEN 'amount_positive' END)
+FROM shop_payments WHERE NOT (amount > 0)
+UNION ALL
+SELECT 'reviews', CAST(review_id AS VARCHAR),
+       concat_ws(',', CASE WHEN NOT (rating >= 1 AND rating <= 5) THEN 'rating_range' END)
+FROM shop_reviews WHERE NOT (rating >= 1 AND rating <= 5)
+UNION ALL
+SELECT 'carts', CAST(cart_id AS VARCHAR),
+       concat_ws(',', CASE WHEN NOT ((user_id IS NOT NULL AND session_id IS NULL) OR (user_id IS NULL AND session_id IS NOT NULL))
+                      THEN 'cart_owner' END)
+FROM shop_carts WHERE NOT ((user_id IS NOT NULL AND session_id IS NULL) OR (user_id IS NULL AND session_id IS NOT NULL))
+UNION ALL
+SELECT 'cart_items', CAST(cart_item_id AS VARCHAR),
+       concat_ws(',', CASE WHEN NOT (quantity > 0) THEN 'quantity_positive' END,
+                 CASE WHEN NOT (unit_price > 0) THEN 'unit_price_positive' END)
+FROM shop_cart_items WHERE NOT (quantity > 0) OR NOT (unit_price > 0)
+UNION ALL
+SELECT 'mpesa_transactions', CAST(transaction_id AS VARCHAR),
+       concat_ws(',', 'merchant_request_id_not_null',
+                 CASE WHEN amount IS NULL THEN 'amount_not_null' END,
+                 CASE WHEN length(phone_number) > 15 THEN 'phone_number_max_length_15' END,
+                 CASE WHEN status NOT IN ('pending','completed','failed','cancelled') THEN 'status_allowed' END,
+                 CASE WHEN NOT (amount > 0) THEN 'amount_positive' END)
+FROM shop_transactions""")
+def _q1(t):
+    """Q1 over nine tables of the driver data (every transaction lacks a
+    merchant request id, which the DDL requires)."""
+    return Q.rejected_rows(t, CHECKED)
+
+
+def _fk_sql() -> str:
+    views = {"users": "shop_users", "sellers": "shop_sellers", "carts": "shop_carts", "addresses": "shop_addresses",
+             "categories": "shop_categories", "products": "shop_products", "cart_items": "shop_cart_items",
+             "orders": "shop_orders", "order_items": "shop_order_items", "payments": "shop_payments",
+             "reviews": "shop_reviews", "special_offers": "shop_offers", "product_offers": "shop_product_offers",
+             "mpesa_transactions": "shop_transactions"}
+    pk = {"users": "user_id", "sellers": "seller_id", "carts": "cart_id", "addresses": "address_id",
+          "products": "product_id", "cart_items": "cart_item_id", "orders": "order_id",
+          "order_items": "order_item_id", "payments": "payment_id", "reviews": "review_id",
+          "mpesa_transactions": "transaction_id"}
+    parts = []
+    for child, col, parent, pcol, _ in Q.FOREIGN_KEYS:
+        if child not in views or parent not in views:
+            continue
+        key = ("CAST(c.product_id AS VARCHAR) || '|' || CAST(c.offer_id AS VARCHAR)" if child == "product_offers"
+               else f"CAST(c.{pk[child]} AS VARCHAR)")
+        if child == "orders" and col == "cart_id":
+            continue  # the driver orders view has no cart column
+        parts.append(
+            f"SELECT '{child}.{col} -> {parent}.{pcol}' AS foreign_key, '{child}' AS child_table, {key} AS child_key, "
+            f"CAST(c.{col} AS BIGINT) AS missing_key FROM {views[child]} c WHERE c.{col} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {views[parent]} p WHERE p.{pcol} = c.{col})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("orphans", _fk_sql())
+def _q2(t):
+    """Q2 over every foreign key the driver tables fill."""
+    keys = tuple(k for k in Q.FOREIGN_KEYS if k[0] != "product_images" and not (k[0] == "orders" and k[1] == "cart_id"))
+    return Q.orphans(t, keys)
+
+
+@query("duplicates", """
+SELECT 'reviews' AS table_name, 'user_id,product_id' AS key_columns,
+       CAST(user_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) AS key_value, count(*) AS row_count
+FROM shop_reviews GROUP BY user_id, product_id HAVING count(*) > 1
+UNION ALL
+SELECT 'cart_items', 'cart_id,product_id', CAST(cart_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR), count(*)
+FROM shop_cart_items GROUP BY cart_id, product_id HAVING count(*) > 1
+UNION ALL
+SELECT 'order_items', 'order_item_id', CAST(order_item_id AS VARCHAR), count(*)
+FROM shop_order_items GROUP BY order_item_id HAVING count(*) > 1
+UNION ALL
+SELECT 'users', 'email', email, count(*) FROM shop_users GROUP BY email HAVING count(*) > 1""")
+def _q3(t):
+    """Q3 for reviews, cart items, order lines (primary and unique keys) and user e-mail."""
+    return Q.duplicates(t, ("reviews", "cart_items", "order_items")).unionByName(
+        Q.duplicates(t, ("users",)).where(F.col("key_columns") == "email"))
+
+
+@query("account_conflicts", """
+SELECT DISTINCT r.request_id, u.user_id AS conflict_user_id, 'email' AS field
+FROM (SELECT user_id AS request_id, email FROM shop_users) r JOIN shop_users u ON r.email = u.email
+UNION
+SELECT DISTINCT r.request_id, u.user_id, 'phone'
+FROM (SELECT user_id AS request_id, phone FROM shop_users) r JOIN shop_users u ON r.phone = u.phone""")
+def _q4(t):
+    """Q4: every existing account submitted again as a new registration."""
+    reqs = t["users"].select(F.col("user_id").alias("request_id"), F.lit(None).cast("long").alias("user_id"),
+                             "email", "phone")
+    return Q.account_conflicts(t["users"], reqs)

@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 
 from storefront.session import scratch_path
 
-EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def event_time(c: Column | str) -> Column:
     """timestamp_ntz -> timestamp (the same wall clock read as UTC)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", EPOCH_NTZ, c))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), c))
 
 
 def wall_clock(c: Column | str) -> Column:
     """timestamp -> timestamp_ntz (UTC wall clock); inverse of :func:`event_time`."""
     c = F.col(c) if isinstance(c, str) else c
     secs = (F.unix_micros(c).cast("decimal(38,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
-    return EPOCH_NTZ + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+    return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:

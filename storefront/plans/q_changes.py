@@ -306,3 +306,16 @@ def _t6_carts(t):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.where(F.col("deleted_rows") > 0)
+
+
+@query("cart_quantity_updates", """
+SELECT ci.cart_item_id, CAST(CASE WHEN ci.quantity * 3 <= p.stock THEN ci.quantity * 3 ELSE ci.quantity END AS INT) AS quantity,
+       ci.quantity * 3 <= p.stock AS accepted
+FROM shop_cart_items ci JOIN shop_products p ON ci.product_id = p.product_id""")
+def _t9(t):
+    """Every cart line asks for three times its quantity; refused above stock."""
+    items = t["cart_items"]
+    sets = items.select("cart_item_id", F.col("cart_item_id").alias("seq"), (F.col("quantity") * 3).alias("quantity"))
+    res = C.set_cart_quantities(t, sets, EVENTS_AS_OF)
+    return res.cart_items.join(res.decisions.select("cart_item_id", "accepted"), "cart_item_id").select(
+        "cart_item_id", "quantity", "accepted")

@@ -31,6 +31,14 @@ CATEGORY_ROWS = [(1, "STANDARD", True), (2, "PROMO", False), (3, "ECONOMY", True
                  (5, "SMALL", True), (6, "LARGE", False), (7, "EMPTY", False)]
 
 
+_RAW: dict[tuple, DataFrame] = {}
+_VIEWS: dict[tuple, "ShopTables"] = {}
+
+
+def _session_key(spark: SparkSession) -> tuple:
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def _s(c) -> F.Column:
     return F.col(c).cast("string")
 
@@ -45,7 +53,13 @@ class ShopTables(Mapping):
 
     # driver tables
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table; the DataFrame (file listing and footer schema) is
+        made once per session and folder and reused by every query."""
+        key = (_session_key(self.spark), self.sf_dir, name)
+        df = _RAW.get(key)
+        if df is None:
+            df = _RAW[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return df
 
     # Mapping protocol
     def __getitem__(self, name: str) -> DataFrame:
@@ -219,5 +233,10 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
 
 
 def shop_views(spark: SparkSession, sf_dir: str) -> ShopTables:
-    """S2 entry point: the canonical shop tables over one driver directory."""
-    return ShopTables(spark, sf_dir)
+    """S2 entry point: the canonical shop tables over one driver directory
+    (one lazily built set per session and folder)."""
+    key = (_session_key(spark), sf_dir.rstrip("/"))
+    t = _VIEWS.get(key)
+    if t is None:
+        t = _VIEWS[key] = ShopTables(spark, sf_dir)
+    return t

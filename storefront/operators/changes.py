@@ -257,9 +257,14 @@ def cascade_delete(t: Tables, table: str, ids: DataFrame, on_blocked: str = "fai
                 root_ids.select(F.col("_root").alias(root_key)), root_key, "left_semi").withColumn(
                 "_root", F.col(root_key))}
         restrict_hits = []
+        checkpoint_root(t[table].sparkSession)
         for parent in _topological(keys):
             if parent not in dels:
                 continue
+            # All parents of this table come earlier in the order, so its
+            # deletion set is final: write it once so children read it back
+            # instead of re-deriving it (keeps the plans linear in depth).
+            dels[parent] = dels[parent].dropDuplicates().checkpoint(eager=True)
             for child, col, par, pcol, action in keys:
                 if par != parent or child not in t:
                     continue
@@ -271,8 +276,6 @@ def cascade_delete(t: Tables, table: str, ids: DataFrame, on_blocked: str = "fai
                     dels[child] = add if child not in dels else dels[child].unionByName(add)
                 else:
                     restrict_hits.append((child, col, parent, rows))
-        for name in list(dels):
-            dels[name] = dels[name].dropDuplicates()
         blocked = None
         for child, col, parent, rows in restrict_hits:
             pk = list(PRIMARY_KEYS[child])
@@ -404,7 +407,7 @@ def cart_add_decisions(adds: DataFrame, capacity: DataFrame, chunk_rows: int = 1
         too_big = open_.where(F.col("quantity") > F.col("cap"))
         fit = _running_total(open_.where(F.col("quantity") <= F.col("cap")), keys, "seq", "quantity", chunk_rows)
         first_over = fit.where(F.col("_run") > F.col("cap")).groupBy(*keys).agg(F.min("seq").alias("_over"))
-        f = fit.join(first_over, keys, "left")
+        f = fit.join(first_over, keys, "left").checkpoint(eager=True)
         accepted = F.col("_over").isNull() | (F.col("seq") < F.col("_over"))
         round_ = (too_big.select("seq", F.lit(False).alias("accepted"))
                   .unionByName(f.where(accepted).select("seq", F.lit(True).alias("accepted")))

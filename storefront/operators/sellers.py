@@ -31,6 +31,8 @@ def _seller_ids(t: Tables) -> DataFrame:
 def _seller_orders(t: Tables) -> DataFrame:
     """One row per (seller, order) holding that seller's products: revenue and
     line count of the seller's lines; only orders that exist (inner join)."""
+    if "_seller_orders" in t:
+        return t["_seller_orders"]
     lines = (t["order_items"].select("order_id", "product_id", "quantity", "unit_price")
              .join(t["products"].select("product_id", "seller_id"), "product_id"))
     per = lines.groupBy("seller_id", "order_id").agg(
@@ -140,6 +142,12 @@ def seller_dashboards(t: Tables, as_of, top_k: int = 5, recent_k: int = 10, low_
         return df.groupBy("seller_id").agg(
             F.array_sort(F.collect_list(F.struct(*order_cols, *fields))).alias(name))
 
+    # The (seller, order) rows feed four of the parts: write them once to the
+    # shared checkpoint folder and let every part read the written copy.
+    from storefront.session import checkpoint_root
+    checkpoint_root(t["orders"].sparkSession)
+    so = _seller_orders(t).checkpoint(eager=True)
+    t = t.with_tables(_seller_orders=so) if hasattr(t, "with_tables") else {**dict(t), "_seller_orders": so}
     top = lists(seller_top_products(t, top_k), "top_products", ["rank"],
                 ["product_id", "title", "price", "sale_price", "units_sold", "revenue"])
     recent = lists(seller_recent_orders(t, recent_k), "recent_orders", ["rank"],

@@ -99,11 +99,13 @@ def insert_rows(base: DataFrame, rows: DataFrame, name: str, defaults: Mapping[s
         taken = good.join(base.select(*cols).dropDuplicates(), cols, "left_semi")
         rejects.append(taken.withColumn("reason", F.lit("duplicate " + ",".join(cols))))
         good = good.join(base.select(*cols).dropDuplicates(), cols, "left_anti")
-        w = Window.partitionBy(*cols).orderBy(seq)
-        ranked = good.withColumn("_rk", F.row_number().over(w))
-        rejects.append(ranked.where(F.col("_rk") > 1).drop("_rk").withColumn(
+        # The earliest row per key wins: a partial aggregate (min), so a key
+        # repeated by a third of the batch is reduced on the map side.
+        first = good.groupBy(*cols).agg(F.min(seq).alias("_first"))
+        ranked = good.join(first, cols).withColumn("_win", F.col(seq) == F.col("_first")).drop("_first")
+        rejects.append(ranked.where(~F.col("_win")).drop("_win").withColumn(
             "reason", F.lit("duplicate " + ",".join(cols) + " in batch")))
-        good = ranked.where(F.col("_rk") == 1).drop("_rk")
+        good = ranked.where(F.col("_win")).drop("_win")
     start = F.coalesce(base.select(F.max(key)).scalar(), F.lit(0))
     new = assign_keys(good.orderBy(seq), key, start).select(*base.columns)
     rejected = rejects[0]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,9 +75,12 @@ def route_unknown(parsed: DataFrame, txns: DataFrame) -> Parsed:
 
 
 def latest_per_checkout(parsed: DataFrame, seq: str = "seq") -> DataFrame:
-    """Duplicates by checkout id are applied once: the latest arrival wins."""
-    w = Window.partitionBy("checkout_request_id").orderBy(F.col(seq).desc())
-    return parsed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """Duplicates by checkout id are applied once: the latest arrival wins.
+    ``max_by`` is a partial aggregate, so a much-repeated id is reduced on the
+    map side."""
+    others = [c for c in parsed.columns if c != "checkout_request_id"]
+    return (parsed.groupBy("checkout_request_id").agg(F.max_by(F.struct(*others), F.col(seq)).alias("_l"))
+            .select("checkout_request_id", *[F.col(f"_l.{c}").alias(c) for c in others]))
 
 
 def apply_callbacks(t: Tables, parsed: DataFrame, as_of, seq: str = "seq") -> dict[str, DataFrame]:
@@ -105,10 +108,9 @@ def apply_callbacks(t: Tables, parsed: DataFrame, as_of, seq: str = "seq") -> di
     payments = patch(t["payments"], pay_changes, "payment_id", "present").table
 
     # Per order the latest callback decides; a failure appends its note.
-    per_order = cb.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("order_id").orderBy(F.col(seq).desc()))).where("_rn = 1")
-    o = t["orders"].join(per_order.select("order_id", F.col("success").alias("_ok"),
-                                          F.col("result_desc").alias("_desc")), "order_id", "left")
+    per_order = cb.groupBy("order_id").agg(
+        F.max_by(F.struct(F.col("success").alias("_ok"), F.col("result_desc").alias("_desc")), F.col(seq)).alias("_l"))
+    o = t["orders"].join(per_order.select("order_id", "_l._ok", "_l._desc"), "order_id", "left")
     hit = F.col("_ok").isNotNull()
     o = (o.withColumn("status", F.when(hit, F.when(F.col("_ok"), "processing").otherwise("failed"))
                       .otherwise(F.col("status")))

@@ -223,7 +223,7 @@ so AS (
 SELECT s.seller_id, s.business_name, u.name AS owner_name, u.email,
        coalesce(ps.total_products, 0) AS total_products, coalesce(so.total_orders, 0) AS total_orders,
        CAST(coalesce(ps.rev, 0) AS DECIMAL(38,2)) AS revenue,
-       coalesce({ratio2('ps.sr', 'ps.nr')}, {Z2}) AS average_rating, coalesce(ps.nr, 0) AS review_count
+       coalesce({ratio2('ps.sr', 'ps.nr')}, {Z2}) AS average_rating, CAST(coalesce(ps.nr, 0) AS BIGINT) AS review_count
 FROM shop_sellers s JOIN shop_users u ON s.user_id = u.user_id
 LEFT JOIN ps ON s.seller_id = ps.seller_id LEFT JOIN so ON s.seller_id = so.seller_id
 WHERE ps.n_products IS NULL OR ps.total_products > 0
@@ -260,9 +260,9 @@ WITH s AS (SELECT product_id, count(*) AS lines, sum(quantity) AS units, sum(qua
             FROM shop_products p LEFT JOIN s ON p.product_id = s.product_id LEFT JOIN r ON p.product_id = r.product_id
             GROUP BY p.category_id)
 SELECT c.category_id, c.name AS category_name, coalesce(pc.product_count, 0) AS product_count,
-       coalesce(pc.times_ordered, 0) AS times_ordered, CAST(coalesce(pc.units_sold, 0) AS BIGINT) AS units_sold,
+       CAST(coalesce(pc.times_ordered, 0) AS BIGINT) AS times_ordered, CAST(coalesce(pc.units_sold, 0) AS BIGINT) AS units_sold,
        CAST(coalesce(pc.revenue, 0) AS DECIMAL(38,2)) AS revenue,
-       coalesce({ratio2('pc.sr', 'pc.nr')}, {Z2}) AS average_rating, coalesce(pc.nr, 0) AS review_count
+       coalesce({ratio2('pc.sr', 'pc.nr')}, {Z2}) AS average_rating, CAST(coalesce(pc.nr, 0) AS BIGINT) AS review_count
 FROM shop_categories c LEFT JOIN pc ON c.category_id = pc.category_id
 ORDER BY revenue DESC NULLS FIRST, c.category_id""")
 def _category_performance(t):

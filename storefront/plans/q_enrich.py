@@ -82,7 +82,8 @@ LEFT JOIN s ON p.product_id = s.product_id LEFT JOIN r ON p.product_id = r.produ
 def _j4(t):
     """J4 headers for every product."""
     return E.product_documents(t).header.select("product_id", "title", "category_name", "seller_name",
-                                                "times_ordered", "units_sold", "revenue", "reviews_found")
+                                                "times_ordered", "units_sold", "revenue",
+                                                F.col("reviews_found").cast("long").alias("reviews_found"))
 
 
 @query("seller_documents", """
@@ -146,14 +147,14 @@ def _j8(t):
 @query("cart_lines", """
 SELECT ci.cart_item_id, ci.cart_id, ci.product_id, ci.quantity, ci.unit_price, ci.added_at, p.title AS product_title,
        p.price AS current_price, p.sale_price AS current_sale_price, p.stock AS available_stock,
-       c.name AS category_name, ci.quantity * ci.unit_price AS subtotal
+       c.name AS category_name, CAST(ci.quantity * ci.unit_price AS DECIMAL(38,2)) AS subtotal
 FROM shop_cart_items ci JOIN shop_products p ON ci.product_id = p.product_id
 JOIN shop_categories c ON p.category_id = c.category_id""")
 def _j9(t):
     """J9."""
     return E.cart_lines(t).select("cart_item_id", "cart_id", "product_id", "quantity", "unit_price", "added_at",
                                   "product_title", "current_price", "current_sale_price", "available_stock",
-                                  "category_name", F.col("subtotal").cast("decimal(21,2)").alias("subtotal"))
+                                  "category_name", F.col("subtotal").cast("decimal(38,2)").alias("subtotal"))
 
 
 @query("user_profiles", """

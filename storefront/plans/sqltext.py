@@ -26,12 +26,13 @@ FROM supplier""",
 SELECT s_suppkey AS seller_id, 10000000 + s_suppkey AS user_id, s_name AS business_name,
        CAST(0 AS DECIMAL(12,2)) AS total_sales, TIMESTAMP '1995-01-01 00:00:00' AS created_at FROM supplier""",
     "shop_categories": """
-SELECT * FROM (VALUES (1,'STANDARD',true),(2,'PROMO',false),(3,'ECONOMY',true),(4,'MEDIUM',false),(5,'SMALL',true),
+SELECT CAST(category_id AS BIGINT) AS category_id, name, featured
+FROM (VALUES (1,'STANDARD',true),(2,'PROMO',false),(3,'ECONOMY',true),(4,'MEDIUM',false),(5,'SMALL',true),
   (6,'LARGE',false),(7,'EMPTY',false)) AS t(category_id, name, featured)""",
     "shop_products": """
 SELECT p_partkey AS product_id, p_partkey % (SELECT count(*) FROM supplier) AS seller_id,
-       CASE p_type WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 2 WHEN 'ECONOMY' THEN 3 WHEN 'MEDIUM' THEN 4
-                   WHEN 'SMALL' THEN 5 ELSE 6 END AS category_id,
+       CAST(CASE p_type WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 2 WHEN 'ECONOMY' THEN 3 WHEN 'MEDIUM' THEN 4
+                   WHEN 'SMALL' THEN 5 ELSE 6 END AS BIGINT) AS category_id,
        p_name AS title, CAST(p_retailprice AS DECIMAL(10,2)) AS price,
        CASE WHEN p_partkey % 3 = 0 THEN CAST(CAST(p_retailprice AS DECIMAL(10,2)) - 100 AS DECIMAL(10,2)) END AS sale_price,
        CAST((p_partkey * 7) % 50 AS INT) AS stock, s.created_at, s.updated_at
@@ -88,7 +89,7 @@ SELECT min(event_id) AS cart_item_id, user_id AS cart_id, event_id % (SELECT cou
        min(ts) AS added_at
 FROM events WHERE event_type = 'click' GROUP BY user_id, event_id % (SELECT count(*) FROM part)""",
     "shop_offers": """
-SELECT n_nationkey AS offer_id, n_name AS title, CAST(5 + n_nationkey AS DECIMAL(5,2)) AS discount_percent,
+SELECT CAST(n_nationkey AS BIGINT) AS offer_id, n_name AS title, CAST(5 + n_nationkey AS DECIMAL(5,2)) AS discount_percent,
        (n_nationkey % 2 = 0) AS is_active,
        CASE n_nationkey % 3 WHEN 0 THEN TIMESTAMP '2023-12-31 00:00:00' WHEN 1 THEN TIMESTAMP '2024-06-30 00:00:00' END
          AS valid_until FROM nation""",
@@ -99,8 +100,26 @@ SELECT p_partkey AS product_id, p_partkey % 25 AS offer_id FROM part WHERE p_par
 _NAME = re.compile(r"\bshop_[a-z_]+\b")
 
 
+def _bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(..)`` in a BIGINT cast (DuckDB's count_if is
+    HUGEINT; Spark's is BIGINT)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
+
+
 def with_views(body: str) -> str:
     """Prefix ``body`` with a CTE for every shop view it names."""
+    body = _bigint_counts(body)
     used = [n for n in VIEW_SQL if re.search(rf"\b{n}\b", body)]
     if not used:
         return body.strip()

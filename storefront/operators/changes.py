@@ -403,24 +403,28 @@ def cart_add_decisions(adds: DataFrame, capacity: DataFrame, chunk_rows: int = 1
     keys = ["cart_id", "product_id"]
     spark = adds.sparkSession
     checkpoint_root(spark)
-    open_ = adds.select("seq", *keys, "quantity").join(capacity, keys).checkpoint(eager=True)
+    open_ = adds.select("seq", *keys, "quantity").join(capacity, keys)
     decided: list[DataFrame] = []
-    while not open_.isEmpty():
-        too_big = open_.where(F.col("quantity") > F.col("cap"))
+    while True:
         fit = _running_total(open_.where(F.col("quantity") <= F.col("cap")), keys, "seq", "quantity", chunk_rows)
         first_over = fit.where(F.col("_run") > F.col("cap")).groupBy(*keys).agg(F.min("seq").alias("_over"))
-        f = fit.join(first_over, keys, "left").checkpoint(eager=True)
-        accepted = F.col("_over").isNull() | (F.col("seq") < F.col("_over"))
-        round_ = (too_big.select("seq", F.lit(False).alias("accepted"))
-                  .unionByName(f.where(accepted).select("seq", F.lit(True).alias("accepted")))
-                  .unionByName(f.where(F.col("seq") == F.col("_over")).select("seq", F.lit(False).alias("accepted"))))
-        decided.append(round_.checkpoint(eager=True))
-        used = f.where(accepted).groupBy(*keys).agg(F.sum("quantity").alias("_used"))
-        rest = (f.where(F.col("_over").isNotNull() & (F.col("seq") > F.col("_over")))
-                .join(used, keys, "left")
+        state = (F.when(F.col("_over").isNull() | (F.col("seq") < F.col("_over")), "accepted")
+                 .when(F.col("seq") == F.col("_over"), "rejected").otherwise("open"))
+        # One written frame per round: this round's decisions and the rows
+        # left open; everything else in the round reads it back.
+        f = (fit.join(first_over, keys, "left").select("seq", *keys, "quantity", "cap", state.alias("_state"))
+             .unionByName(open_.where(F.col("quantity") > F.col("cap"))
+                          .select("seq", *keys, "quantity", "cap", F.lit("rejected").alias("_state")))
+             .checkpoint(eager=True))
+        decided.append(f.where(F.col("_state") != "open").select(
+            "seq", (F.col("_state") == "accepted").alias("accepted")))
+        used = f.where(F.col("_state") == "accepted").groupBy(*keys).agg(F.sum("quantity").alias("_used"))
+        rest = (f.where(F.col("_state") == "open").join(used, keys, "left")
                 .select("seq", *keys, "quantity", (F.col("cap") - F.coalesce("_used", F.lit(0))).alias("cap")))
-        open_ = rest.checkpoint(eager=True)
-    return _union_all(decided) if decided else spark.createDataFrame([], "seq long, accepted boolean")
+        if rest.isEmpty():
+            break
+        open_ = rest
+    return _union_all(decided)
 
 
 def _union_all(frames: list[DataFrame]) -> DataFrame:

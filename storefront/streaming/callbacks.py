@@ -153,8 +153,7 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
     root = state_root.rstrip("/")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        published = spark.read.schema("version long, manifest string").json(f"{root}/{MANIFESTS}/*") \
-            if _exists(spark, f"{root}/{MANIFESTS}") else None
+        published = _published(spark, root)
         if published is not None and not published.where(F.col("version") == batch_id).isEmpty():
             return  # replay of a published batch
         current = dict(tables)
@@ -177,9 +176,12 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
     return root
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _published(spark: SparkSession, root: str) -> DataFrame | None:
+    """Manifests published under ``root`` (None before the first one)."""
+    from pyspark.errors import AnalysisException
+
+    from storefront.sources.sinks import MANIFESTS
     try:
-        spark.read.format("text").load(path).limit(0).collect()
-        return True
-    except Exception:
-        return False
+        return spark.read.schema("version long, manifest string").json(f"{root}/{MANIFESTS}/*")
+    except AnalysisException:
+        return None

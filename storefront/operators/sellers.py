@@ -50,16 +50,22 @@ def seller_product_stats(t: Tables) -> DataFrame:
                        for c in ("total_products", "in_stock_products", "out_of_stock_products")])
 
 
-def seller_order_stats(t: Tables) -> DataFrame:
-    """Distinct orders, revenue over all statuses, distinct orders in five statuses."""
+def seller_order_stats(t: Tables, as_of=None, days: int = 30) -> DataFrame:
+    """Distinct orders, revenue over all statuses, distinct orders in five
+    statuses. With ``as_of`` the same single aggregate also gives G12's
+    revenue of the last ``days`` days."""
+    ts = F.col("created_at")
+    extra = [F.sum(F.when(ts >= ago(as_of, days=days), F.col("revenue"))).alias("_recent")] if as_of else []
     so = _seller_orders(t).groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("total_orders"), F.sum("revenue").alias("total_revenue"),
-        *[F.count_if(F.col("status") == st).alias(f"{st}_orders") for st in ORDER_STATUSES5])
+        *[F.count_if(F.col("status") == st).alias(f"{st}_orders") for st in ORDER_STATUSES5], *extra)
     cols = ["total_orders"] + [f"{st}_orders" for st in ORDER_STATUSES5]
+    recent = ([F.coalesce(F.col("_recent"), F.lit(0)).cast("decimal(38,2)").alias(f"revenue_last_{days}_days")]
+              if as_of else [])
     return _seller_ids(t).join(so, "seller_id", "left").select(
         "seller_id", F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
         F.coalesce(F.col("total_revenue"), F.lit(0)).cast("decimal(38,2)").alias("total_revenue"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in cols[1:]])
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in cols[1:]], *recent)
 
 
 def seller_recent_revenue(t: Tables, as_of, days: int = 30) -> DataFrame:
@@ -157,8 +163,8 @@ def seller_dashboards(t: Tables, as_of, top_k: int = 5, recent_k: int = 10, low_
                .withColumn("ym", -(F.col("year") * 12 + F.col("month_number")))
                .groupBy("seller_id").agg(F.array_sort(F.collect_list(
                    F.struct("ym", "month", "revenue"))).alias("monthly_revenue")))
-    out = (seller_product_stats(t).join(seller_order_stats(t), "seller_id")
-           .join(seller_recent_revenue(t, as_of, days), "seller_id").join(seller_review_stats(t), "seller_id"))
+    out = (seller_product_stats(t).join(seller_order_stats(t, as_of, days), "seller_id")
+           .join(seller_review_stats(t), "seller_id"))
     for df, name in ((top, "top_products"), (recent, "recent_orders"), (low, "low_stock"), (monthly, "monthly_revenue")):
         out = out.join(df, "seller_id", "left")
     return out

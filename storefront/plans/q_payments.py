@@ -228,3 +228,23 @@ def _x1(t):
     P.register_table_functions(spark, tx, EVENTS_AS_OF)
     tx.where("status = 'failed'").select("transaction_id").createOrReplaceTempView("failed_transaction_ids")
     return spark.sql("SELECT d.* FROM failed_transaction_ids f, LATERAL get_transaction_details(f.transaction_id) d")
+
+
+NORM = """CASE WHEN regexp_replace(phone_number, '[^0-9]', '', 'g') LIKE '0%'
+                 THEN '254' || substr(regexp_replace(phone_number, '[^0-9]', '', 'g'), 2)
+            WHEN regexp_replace(phone_number, '[^0-9]', '', 'g') LIKE '254%' THEN regexp_replace(phone_number, '[^0-9]', '', 'g')
+            WHEN length(regexp_replace(phone_number, '[^0-9]', '', 'g')) = 9
+                 THEN '254' || regexp_replace(phone_number, '[^0-9]', '', 'g')
+            ELSE regexp_replace(phone_number, '[^0-9]', '', 'g') END"""
+
+
+@query("top_phones_normalised", f"""
+SELECT {NORM} AS phone_number, count(*) AS transaction_count, count_if(status = 'completed') AS successful,
+       CAST(sum(amount) FILTER (WHERE status = 'completed') AS DECIMAL(38,2)) AS total_spent,
+       max(created_at) AS last_transaction
+FROM shop_transactions WHERE created_at > {EDAY} - INTERVAL 30 DAY
+GROUP BY 1 HAVING count(*) > 1
+ORDER BY transaction_count DESC NULLS FIRST, phone_number LIMIT 20""")
+def _m7n(t):
+    """M7 grouped by the F1-normalised phone number, top 20."""
+    return P.top_phones(t["mpesa_transactions"], EVENTS_AS_OF, 20, normalise=True)

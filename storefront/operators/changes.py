@@ -3,8 +3,6 @@
 Parquet tables have no MERGE, so every change is a join that returns the new
 table together with the affected and the rejected rows (what RETURNING gives
 the reference). Change sets are DataFrames of any size; nothing is collected.
-Where the catalogue supports row-level writes, the same new-table logic can
-feed ``DataFrame.mergeInto``.
 
 Conventions
 * ``seq``: arrival order of changes; the last change wins where several touch
@@ -395,8 +393,9 @@ def cart_add_decisions(adds: DataFrame, capacity: DataFrame, chunk_rows: int = 1
     the rest, every add whose running total still fits is accepted and the
     first one that overflows is rejected; the remaining adds go to the next
     round with the smaller capacity. Each round lowers every open key's
-    capacity by at least one, and rows are decided in every round. Rounds
-    are checkpointed into spark.checkpoint.dir.
+    capacity by at least one, and rows are decided in every round. Each
+    round's decisions are written once (checkpoint in spark.checkpoint.dir)
+    and the rest of the round reads them back.
     ``adds``: seq, cart_id, product_id, quantity. ``capacity``: cart_id,
     product_id, cap. Returns seq, accepted.
     """

@@ -102,12 +102,14 @@ SELECT transaction_id,
 FROM shop_transactions""")
 def _r2(t):
     """R2: the callback stream applied to transactions, payments and orders in
-    foreachBatch and published per batch; the resulting transactions."""
-    from storefront.sources.sinks import read_snapshot
+    foreachBatch, each batch's changed rows published as a change set; the
+    resulting transactions (base merged with the change sets)."""
+    from storefront.sources.sinks import read_current
     src = _callback_docs(t)
     root = scratch_path(t.spark, "callbacks-state")
     CB.ingest_callbacks(t.spark, src, t, root, EVENTS_AS_OF, scratch_path(t.spark, "callbacks-ckpt"))
-    tx = read_snapshot(t.spark, root)["mpesa_transactions"]
+    base = {k: t[k] for k in CB.CALLBACK_KEYS}
+    tx = read_current(t.spark, base, root, CB.CALLBACK_KEYS)["mpesa_transactions"]
     return tx.select("transaction_id", "status", "result_code", "mpesa_receipt_number")
 
 
@@ -119,23 +121,26 @@ SELECT p.product_id, CAST(CASE WHEN count(r.review_id) = 0 THEN NULL
 FROM shop_products p LEFT JOIN shop_reviews r ON p.product_id = r.product_id GROUP BY p.product_id""")
 def _r6(t):
     """Review stream (view events) -> running per-product rating (update
-    mode) -> upserted into products per micro-batch."""
-    from storefront.sources.sinks import read_snapshot, write_snapshot
-    from storefront.sources.views import ShopTables
+    mode) -> the changed product rows published per micro-batch and merged on
+    read."""
+    from storefront.sources.sinks import read_current, write_snapshot
     ev = table_stream(t.spark, t.sf_dir, "events").where(F.col("event_type") == "view")
     n_parts = t.raw("part").select(F.count(F.lit(1))).scalar()
     reviews = ev.select((F.col("event_id") % n_parts).alias("product_id"), (1 + F.col("event_id") % 5).cast("int")
                         .alias("rating"))
     root = scratch_path(t.spark, "ratings-state")
-    state = {"version": None}
+    keys = {"products": "product_id"}
 
     def on_batch(batch, batch_id):
-        products = t["products"] if state["version"] is None else read_snapshot(t.spark, root)["products"]
-        write_snapshot({"products": W.apply_ratings(products, batch, EVENTS_AS_OF)}, root, batch_id)
-        state["version"] = batch_id
+        # update mode: the batch holds only the products whose totals changed
+        current = read_current(t.spark, {"products": t["products"]}, root, keys)["products"]
+        changed = W.apply_ratings(current.join(batch.select("product_id"), "product_id", "left_semi"), batch,
+                                  EVENTS_AS_OF)
+        write_snapshot({"products": changed}, root, batch_id)
 
     run_foreach_batch(W.rating_stream(reviews), "ratings", on_batch, "update")
-    return read_snapshot(t.spark, root)["products"].select("product_id", "rating", "review_count")
+    return read_current(t.spark, {"products": t["products"]}, root, keys)["products"].select(
+        "product_id", "rating", "review_count")
 
 
 @query("timeout_stream", """

@@ -58,6 +58,64 @@ def read_snapshot(spark: SparkSession, root: str, base: Mapping[str, str] | None
     return {name: spark.read.parquet(path) for name, path in latest.items()}
 
 
+def published_changes(spark: SparkSession, root: str) -> dict[str, list[tuple[int, str]]]:
+    """Change sets published under ``root``: table -> [(version, path), ...]
+    (one small manifest row per version; empty before the first one)."""
+    from pyspark.errors import AnalysisException
+    root = root.rstrip("/")
+    try:
+        docs = spark.read.schema("version long, manifest string").json(f"{root}/{MANIFESTS}/*")
+    except AnalysisException:
+        return {}
+    out: dict[str, list[tuple[int, str]]] = {}
+    for row in docs.select("manifest").toLocalIterator():
+        doc = json.loads(row["manifest"])
+        for name, path in doc["tables"].items():
+            out.setdefault(name, []).append((int(doc["version"]), path))
+    return out
+
+
+def merge_on_read(base: DataFrame, changes: list[tuple[int, DataFrame]], key: str | list[str]) -> DataFrame:
+    """Current rows = base rows whose key never changed, plus the latest
+    version of every changed key (``max_by`` over the version: a partial
+    aggregate, so a key changed in many versions is reduced map-side)."""
+    if not changes:
+        return base
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = [c for c in base.columns if c not in keys]
+    log = None
+    for version, df in changes:
+        part = df.select(*base.columns).withColumn("_version", F.lit(version))
+        log = part if log is None else log.unionByName(part)
+    latest = (log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("_version")).alias("_row"))
+              .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols]))
+    return base.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*base.columns))
+
+
+def read_current(spark: SparkSession, base: Mapping[str, DataFrame], root: str,
+                 keys: Mapping[str, str | list[str]]) -> dict[str, DataFrame]:
+    """Tables of ``base`` with every change set published under ``root`` applied."""
+    pub = published_changes(spark, root)
+    out = dict(base)
+    for name, versions in pub.items():
+        frames = [(v, spark.read.parquet(p)) for v, p in sorted(versions)]
+        out[name] = merge_on_read(base[name], frames, keys[name])
+    return out
+
+
+def compact(spark: SparkSession, base: Mapping[str, DataFrame], root: str, keys: Mapping[str, str | list[str]],
+            out_root: str) -> dict[str, str]:
+    """Write the current tables (base + all change sets) as a new base under
+    ``out_root``; later change sets then start from it."""
+    cur = read_current(spark, base, root, keys)
+    paths = {}
+    for name in published_changes(spark, root):
+        path = f"{out_root.rstrip('/')}/{name}"
+        cur[name].write.mode("errorifexists").parquet(path)
+        paths[name] = path
+    return paths
+
+
 def write_archive(df: DataFrame, path: str, ts_col: str = "created_at") -> None:
     """Append rows to the archive, partitioned by month of ``ts_col``
     (archive_month = yyyy-MM), so later reads prune by month."""

@@ -83,11 +83,14 @@ def latest_per_checkout(parsed: DataFrame, seq: str = "seq") -> DataFrame:
             .select("checkout_request_id", *[F.col(f"_l.{c}").alias(c) for c in others]))
 
 
-def apply_callbacks(t: Tables, parsed: DataFrame, as_of, seq: str = "seq") -> dict[str, DataFrame]:
+def apply_callbacks(t: Tables, parsed: DataFrame, as_of, seq: str = "seq",
+                    changed_only: bool = False) -> dict[str, DataFrame]:
     """R2 on one batch: success -> transaction completed (receipt, date, code,
     text), the order's mpesa payment confirmed (code = receipt, confirmed_at =
     as_of), order processing; failure -> transaction failed (code, text),
-    order failed with ' | Payment failed: <text>' appended to its notes."""
+    order failed with ' | Payment failed: <text>' appended to its notes.
+    With ``changed_only`` only the changed rows of each table are returned
+    (full rows), for publication as a change set."""
     cb = latest_per_checkout(parsed, seq).join(
         t["mpesa_transactions"].select("checkout_request_id", "order_id"), "checkout_request_id")
     tx_changes = cb.select(
@@ -97,7 +100,8 @@ def apply_callbacks(t: Tables, parsed: DataFrame, as_of, seq: str = "seq") -> di
         F.when(F.col("success"), F.array(*[F.lit(x) for x in ("status", "mpesa_receipt_number", "transaction_date",
                                                               "result_code", "result_desc")]))
         .otherwise(F.array(*[F.lit(x) for x in ("status", "result_code", "result_desc")])).alias("changed"))
-    txns = patch(t["mpesa_transactions"], tx_changes, "checkout_request_id", "present", as_of=as_of).table
+    tx_patch = patch(t["mpesa_transactions"], tx_changes, "checkout_request_id", "present", as_of=as_of)
+    txns = tx_patch.affected if changed_only else tx_patch.table
 
     ok = cb.where("success")
     pay_keys = t["payments"].where(F.col("method") == "mpesa").select("payment_id", "order_id")
@@ -105,7 +109,8 @@ def apply_callbacks(t: Tables, parsed: DataFrame, as_of, seq: str = "seq") -> di
         "payment_id", F.col(seq).alias("seq"), F.lit(True).alias("is_confirmed"),
         F.col("mpesa_receipt_number").alias("mpesa_code"), ts_lit(as_of).alias("confirmed_at"),
         F.array(F.lit("is_confirmed"), F.lit("mpesa_code"), F.lit("confirmed_at")).alias("changed"))
-    payments = patch(t["payments"], pay_changes, "payment_id", "present").table
+    pay_patch = patch(t["payments"], pay_changes, "payment_id", "present")
+    payments = pay_patch.affected if changed_only else pay_patch.table
 
     # Per order the latest callback decides; a failure appends its note.
     per_order = cb.groupBy("order_id").agg(
@@ -119,8 +124,11 @@ def apply_callbacks(t: Tables, parsed: DataFrame, as_of, seq: str = "seq") -> di
                      .otherwise(F.col("notes"))))
     if "updated_at" in o.columns:
         o = o.withColumn("updated_at", F.when(hit, ts_lit(as_of)).otherwise(F.col("updated_at")))
+    if changed_only:
+        o = o.where(hit)
     orders = o.drop("_ok", "_desc").select(*t["orders"].columns)
-    return {"mpesa_transactions": txns, "payments": payments, "orders": orders}
+    return {"mpesa_transactions": txns.select(*t["mpesa_transactions"].columns),
+            "payments": payments.select(*t["payments"].columns), "orders": orders}
 
 
 def callback_json(txns: DataFrame, success: F.Column, code: F.Column, desc: F.Column) -> DataFrame:
@@ -141,32 +149,40 @@ def callback_json(txns: DataFrame, success: F.Column, code: F.Column, desc: F.Co
     return txns.select(F.col("transaction_id").alias("seq"), F.to_json(F.struct(body)).alias("value"))
 
 
+# Keys of the tables a callback batch changes.
+CALLBACK_KEYS = {"mpesa_transactions": "checkout_request_id", "payments": "payment_id", "orders": "order_id"}
+
+
 def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state_root: str, as_of,
-                     checkpoint: str) -> str:
+                     checkpoint: str, max_files_per_trigger: int | None = None) -> str:
     """R1 + R2 as a stream: JSON lines in ``source_dir`` -> parse -> per
-    micro-batch apply to the newest published tables -> publish a version per
-    batch id under ``state_root`` (already-published batch ids are skipped).
-    Dead letters are appended to ``state_root/dead_letters``. Returns state_root."""
-    from storefront.sources.sinks import MANIFESTS, read_snapshot, write_snapshot
-
-    raw = spark.readStream.schema("seq long, value string").json(source_dir)
+    micro-batch apply to the current tables -> publish the changed rows as
+    one change set per batch id under ``state_root`` (ids already published
+    are skipped). The current tables are the base ones with every published
+    change set merged on read (:func:`storefront.sources.sinks.read_current`),
+    so a batch writes only what it changed. Dead letters are appended to
+    ``state_root/dead_letters``. Returns state_root."""
+    from storefront.sources.sinks import read_current, write_snapshot
+
+    reader = spark.readStream.schema("seq long, value string")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.json(source_dir)
     root = state_root.rstrip("/")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         published = _published(spark, root)
         if published is not None and not published.where(F.col("version") == batch_id).isEmpty():
             return  # replay of a published batch
-        current = dict(tables)
-        if published is not None:
-            current.update(read_snapshot(spark, root))
+        current = read_current(spark, {k: tables[k] for k in CALLBACK_KEYS}, root, CALLBACK_KEYS)
+        current = {**dict(tables.items()), **current}
         parsed = parse_callbacks(batch, seq="seq")
         known = route_unknown(parsed.good, current["mpesa_transactions"])
         dead = parsed.dead.select("seq", "raw", F.lit("malformed").alias("reason")).unionByName(
             known.dead.select("seq", F.lit(None).cast("string").alias("raw"),
                               F.lit("unknown checkout id").alias("reason")))
         dead.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/dead_letters")
-        new = apply_callbacks(current, known.good, as_of)
-        write_snapshot(new, root, batch_id)
+        write_snapshot(apply_callbacks(current, known.good, as_of, changed_only=True), root, batch_id)
 
     q = (raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

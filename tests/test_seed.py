@@ -453,3 +453,26 @@ def test_apply_reviews(seed, spark):
     assert p[1] == (D("3.00"), 2) and p[3] == (D("0.00"), 0) and p[4] == (D("2.00"), 1)
     assert p[2] == (D("4.20"), 15)  # untouched product keeps its stored values
     assert sorted(r["reason"] for r in res.rejected.collect()) == ["duplicate user_id,product_id", "not the author"]
+
+
+def test_callback_stream_two_batches_merge_on_read(seed, spark, tmp_path):
+    import time as _time
+
+    from storefront.sources.sinks import compact, published_changes, read_current
+    src = tmp_path / "in"
+    for i, desc in enumerate(("first try failed", "second try failed"), start=1):
+        spark.createDataFrame([(i, _callback("1", desc=desc, items=False))], "seq long, value string") \
+            .coalesce(1).write.json(str(src / f"f{i}"))
+        _time.sleep(1.1)  # distinct modification times keep the file order
+    root = str(tmp_path / "state")
+    CB.ingest_callbacks(spark, str(src / "*"), seed, root, AS_OF, str(tmp_path / "ckpt"), max_files_per_trigger=1)
+    pub = published_changes(spark, root)
+    assert sorted(v for v, _ in pub["orders"]) == [0, 1]  # one change set per batch
+    cur = read_current(spark, {k: seed[k] for k in CB.CALLBACK_KEYS}, root, CB.CALLBACK_KEYS)
+    o = cur["orders"].where("order_id = 3").first()
+    assert o["notes"] == " | Payment failed: first try failed | Payment failed: second try failed"
+    assert cur["orders"].count() == 3 and cur["mpesa_transactions"].count() == 2
+    tx = cur["mpesa_transactions"].where("transaction_id = 1").first()
+    assert (tx["status"], tx["result_desc"]) == ("failed", "second try failed")
+    paths = compact(spark, {k: seed[k] for k in CB.CALLBACK_KEYS}, root, CB.CALLBACK_KEYS, str(tmp_path / "base2"))
+    assert spark.read.parquet(paths["orders"]).where("order_id = 3").first()["notes"] == o["notes"]

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storefront.functions.scalar import (
-    ago, asc_pg, avg2, desc_pg, line_amount, month_start, months_back, ok_order, topk, total, ts_lit)
+    ago, asc_pg, avg2, desc_pg, line_amount, month_start, months_back, ok_order, total, ts_lit)
 
 Tables = Mapping[str, DataFrame]
 

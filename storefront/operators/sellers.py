@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storefront.functions.scalar import (
-    ago, asc_pg, avg2, desc_pg, line_amount, mean2, months_back, ok_order, total, ts_lit, zero2)
+    ago, asc_pg, avg2, desc_pg, line_amount, mean2, months_back, ok_order, ts_lit, zero2)
 
 Tables = Mapping[str, DataFrame]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from storefront.operators import sellers as S
 from storefront.plans.registry import ORDERS_AS_OF, query
-from storefront.plans.sqltext import avg2, mean2
+from storefront.plans.sqltext import avg2
 
 OA = f"TIMESTAMP '{ORDERS_AS_OF}'"
 Z2 = "CAST(0 AS DECIMAL(38,2))"

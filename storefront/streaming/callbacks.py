@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storefront.functions.scalar import append_note, item_value, parse_compact_timestamp, ts_lit
+from storefront.functions.scalar import append_note, item_value, ts_lit
 from storefront.operators.changes import patch
 
 Tables = Mapping[str, DataFrame]

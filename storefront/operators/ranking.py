@@ -19,11 +19,21 @@ from storefront.functions.scalar import (
 Tables = Mapping[str, DataFrame]
 
 
-def top_products(t: Tables, n: int | None = 10) -> DataFrame:
-    """Products by units sold (never-sold products last), any order status."""
+def _lines_without(t: Tables, exclude_status: tuple[str, ...]) -> DataFrame:
+    """Order lines, minus those whose order has one of ``exclude_status``."""
+    lines = t["order_items"]
+    if not exclude_status:
+        return lines
+    drop = t["orders"].where(F.col("status").isin(*exclude_status)).select("order_id")
+    return lines.join(drop, "order_id", "left_anti")
+
+
+def top_products(t: Tables, n: int | None = 10, exclude_status: tuple[str, ...] = ()) -> DataFrame:
+    """Products by units sold (never-sold products last); any order status
+    unless ``exclude_status`` names statuses to leave out (D13)."""
     # order_item_id is the NOT NULL key, so count(order_item_id) = count(*);
     # counting rows lets Catalyst prune the key's computation.
-    sales = t["order_items"].groupBy("product_id").agg(
+    sales = _lines_without(t, exclude_status).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("times_ordered"), F.sum("quantity").cast("long").alias("units_sold"),
         F.sum(line_amount()).alias("rev"))
     cats = t["categories"].select("category_id", F.col("name").alias("category_name"))
@@ -108,19 +118,20 @@ def top_sellers(t: Tables, n: int | None = 10, compat: bool = False) -> DataFram
     return topk(out, [desc_pg("revenue")], n, key=["seller_id"])
 
 
-def category_performance(t: Tables, compat: bool = False) -> DataFrame:
+def category_performance(t: Tables, compat: bool = False, exclude_status: tuple[str, ...] = ()) -> DataFrame:
     """Per category: products, lines, units, revenue, rating, reviews;
     empty categories kept with zeros; highest revenue first.
 
     Default aggregates lines and reviews per product before joining; ``compat``
-    reproduces the reference's joined numbers.
+    reproduces the reference's joined numbers. ``exclude_status`` leaves out
+    lines of orders in those statuses (none by default, as the reference; D13).
     """
     cats = t["categories"].select("category_id", F.col("name").alias("category_name"))
     products = t["products"].select("product_id", "category_id")
     if compat:
         rows = (cats.join(products, "category_id", "left")
-                .join(t["order_items"].select("order_item_id", "product_id", "quantity", "unit_price"),
-                      "product_id", "left")
+                .join(_lines_without(t, exclude_status).select("order_item_id", "product_id", "quantity",
+                                                               "unit_price"), "product_id", "left")
                 .join(t["reviews"].select("review_id", "product_id", "rating"), "product_id", "left"))
         agg = rows.groupBy("category_id", "category_name").agg(
             F.count_distinct("product_id").alias("product_count"),
@@ -130,7 +141,7 @@ def category_performance(t: Tables, compat: bool = False) -> DataFrame:
             F.coalesce(avg2("rating"), zero2()).alias("average_rating"),
             F.count_distinct("review_id").alias("review_count"))
         return agg.orderBy(desc_pg("revenue"), "category_id")
-    sales = t["order_items"].groupBy("product_id").agg(
+    sales = _lines_without(t, exclude_status).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.sum(line_amount()).alias("rev"))
     revs = t["reviews"].groupBy("product_id").agg(F.count(F.lit(1)).alias("nr"), F.sum("rating").alias("sr"))
     per_cat = (products.join(sales, "product_id", "left").join(revs, "product_id", "left")

@@ -50,13 +50,17 @@ def seller_product_stats(t: Tables) -> DataFrame:
                        for c in ("total_products", "in_stock_products", "out_of_stock_products")])
 
 
-def seller_order_stats(t: Tables, as_of=None, days: int = 30) -> DataFrame:
-    """Distinct orders, revenue over all statuses, distinct orders in five
-    statuses. With ``as_of`` the same single aggregate also gives G12's
-    revenue of the last ``days`` days."""
+def seller_order_stats(t: Tables, as_of=None, days: int = 30, exclude_status: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct orders, revenue over all statuses (the seller dashboard
+    counts cancelled and failed orders too; ``exclude_status`` leaves statuses
+    out, D13), distinct orders in five statuses. With ``as_of`` the same
+    single aggregate also gives G12's revenue of the last ``days`` days."""
     ts = F.col("created_at")
     extra = [F.sum(F.when(ts >= ago(as_of, days=days), F.col("revenue"))).alias("_recent")] if as_of else []
-    so = _seller_orders(t).groupBy("seller_id").agg(
+    so = _seller_orders(t)
+    if exclude_status:
+        so = so.where(~F.col("status").isin(*exclude_status))
+    so = so.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("total_orders"), F.sum("revenue").alias("total_revenue"),
         *[F.count_if(F.col("status") == st).alias(f"{st}_orders") for st in ORDER_STATUSES5], *extra)
     cols = ["total_orders"] + [f"{st}_orders" for st in ORDER_STATUSES5]

@@ -476,3 +476,19 @@ def test_callback_stream_two_batches_merge_on_read(seed, spark, tmp_path):
     assert (tx["status"], tx["result_desc"]) == ("failed", "second try failed")
     paths = compact(spark, {k: seed[k] for k in CB.CALLBACK_KEYS}, root, CB.CALLBACK_KEYS, str(tmp_path / "base2"))
     assert spark.read.parquet(paths["orders"]).where("order_id = 3").first()["notes"] == o["notes"]
+
+
+def test_exclude_status_option(spark):
+    t = _fanout(spark)  # order 4 is cancelled; add a line on it
+    extra = with_rows(SEED, orders=[dict(order_id=4, user_id=3, address_id=3, total_amount=D("10.00"),
+                                          status="cancelled", created_at=ts(21))],
+                      order_items=[dict(order_item_id=9, order_id=4, product_id=2, quantity=5, unit_price=D("1.00"))])
+    t = tables_from(spark, extra)
+    all_ = {r["product_id"]: r["units_sold"] for r in R.top_products(t, None).collect()}
+    ok = {r["product_id"]: r["units_sold"] for r in R.top_products(t, None, exclude_status=("cancelled", "failed")).collect()}
+    assert all_[2] == 5 and ok[2] is None
+    c = {r["category_id"]: r["units_sold"] for r in R.category_performance(t, exclude_status=("cancelled",)).collect()}
+    assert c[1] == 2
+    s_all = {r["seller_id"]: r["total_orders"] for r in SL.seller_order_stats(t).collect()}
+    s_ok = {r["seller_id"]: r["total_orders"] for r in SL.seller_order_stats(t, exclude_status=("cancelled",)).collect()}
+    assert s_all[1] == s_ok[1] + 1

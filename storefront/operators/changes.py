@@ -87,7 +87,10 @@ def insert_rows(base: DataFrame, rows: DataFrame, name: str, defaults: Mapping[s
         if f.name not in r.columns:
             r = r.withColumn(f.name, F.lit(None).cast(f.dataType))
     if seq is None or seq not in r.columns:
-        r = r.withColumn("seq", F.monotonically_increasing_id())
+        # Arrival order is the row's position; written once so a recomputed
+        # task cannot renumber the rows between the branches that use it.
+        checkpoint_root(r.sparkSession)
+        r = r.withColumn("seq", F.monotonically_increasing_id()).checkpoint(eager=True)
         seq = "seq"
     checked = check_rows(r, [x for x in table_rules(name, r.columns) if x[0] != f"{key}_not_null"])
     good = checked.valid

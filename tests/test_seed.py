@@ -492,3 +492,10 @@ def test_exclude_status_option(spark):
     s_all = {r["seller_id"]: r["total_orders"] for r in SL.seller_order_stats(t).collect()}
     s_ok = {r["seller_id"]: r["total_orders"] for r in SL.seller_order_stats(t, exclude_status=("cancelled",)).collect()}
     assert s_all[1] == s_ok[1] + 1
+
+
+def test_insert_rows_without_seq(seed, spark):
+    rows_ = spark.createDataFrame([("Drones",), ("Drones",), ("Phones",)], "name string")
+    ch = C.insert_rows(seed["categories"], rows_, "categories", seq=None)
+    assert [r["name"] for r in ch.affected.collect()] == ["Drones"]
+    assert ch.rejected.count() == 2

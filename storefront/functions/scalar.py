@@ -221,6 +221,7 @@ def topk(df: DataFrame, order: list[Column], n: int | None, key: list[str] | tup
     return ordered.limit(n)
 
 
+# Order statuses that do not count toward revenue.
 OK_STATUS_EXCLUDED = ("cancelled", "failed")
 
 

@@ -46,6 +46,7 @@ def product_stats(products: DataFrame, low_stock: int = 10) -> DataFrame:
         F.coalesce(F.sum(s), F.lit(0)).cast("long").alias("total_stock_units"))
 
 
+# The order statuses counted by the order KPIs.
 ORDER_STATUSES = ("pending", "processing", "shipped", "delivered", "cancelled", "failed")
 
 
@@ -87,6 +88,7 @@ def category_stats(categories: DataFrame) -> DataFrame:
                           F.count_if(F.col("featured") == F.lit(True)).alias("featured_categories"))
 
 
+# Star ratings and their column-name words.
 STAR_NAMES = ((5, "five"), (4, "four"), (3, "three"), (2, "two"), (1, "one"))
 
 

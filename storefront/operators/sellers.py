@@ -21,6 +21,7 @@ from storefront.functions.scalar import (
 
 Tables = Mapping[str, DataFrame]
 
+# The five statuses of the seller order statistics.
 ORDER_STATUSES5 = ("pending", "processing", "shipped", "delivered", "cancelled")
 
 
@@ -80,6 +81,7 @@ def seller_recent_revenue(t: Tables, as_of, days: int = 30) -> DataFrame:
         "seller_id", F.coalesce(F.col("rev"), F.lit(0)).cast("decimal(38,2)").alias(f"revenue_last_{days}_days"))
 
 
+# Star ratings and their column-name words.
 STARS = ((5, "five"), (4, "four"), (3, "three"), (2, "two"), (1, "one"))
 
 

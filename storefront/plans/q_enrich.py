@@ -268,3 +268,27 @@ FROM shop_transactions""")
 def _p6(t):
     """P6 over every checkout id of the transactions."""
     return E.payment_status(t["mpesa_transactions"], t["mpesa_transactions"]).found
+
+
+@query("offer_listing", """
+SELECT offer_id, title, discount_percent, is_active, valid_until FROM shop_offers""")
+def _p1_offers(t):
+    """P1 for special offers (newest first; ties by id)."""
+    return E.listing(t["special_offers"], ["offer_id", "title", "discount_percent", "is_active", "valid_until",
+                                           "created_at"], "created_at", ["offer_id"]).drop("created_at")
+
+
+@query("order_item_listing", """
+SELECT order_item_id, order_id, product_id, quantity, unit_price, discount FROM shop_order_items""")
+def _p1_items(t):
+    """P1 for order lines, highest line id first."""
+    return E.listing(t["order_items"], ["order_item_id", "order_id", "product_id", "quantity", "unit_price",
+                                        "discount"], "order_item_id")
+
+
+@query("address_listing", """
+SELECT address_id, user_id, city, street, is_default FROM shop_addresses""")
+def _p1_addresses(t):
+    """P1 for addresses (newest first; ties by id)."""
+    return E.listing(t["addresses"], ["address_id", "user_id", "city", "street", "is_default", "created_at"],
+                     "created_at", ["address_id"]).drop("created_at")

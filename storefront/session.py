@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app: str = "storefront", driver_memory: str = "8g") -> SparkSession:
+                  app: str = "storefront", driver_memory: str | None = None) -> SparkSession:
     """A session configured the way every operator expects it.
 
     * AQE on, with skew-join splitting and partition coalescing.
@@ -22,6 +22,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     * No web UI.
     """
     master = master or os.environ.get("STOREFRONT_MASTER", "local[8]")
+    driver_memory = driver_memory or os.environ.get("STOREFRONT_DRIVER_MEMORY", "4g")
     spark = (
         SparkSession.builder.master(master)
         .appName(app)

@@ -393,9 +393,10 @@ def cart_add_decisions(adds: DataFrame, capacity: DataFrame, chunk_rows: int = 1
 
     Exact and distributed, in rounds: adds larger than the remaining capacity
     can never fit later (capacity only shrinks) and are rejected at once; of
-    the rest, every add whose running total still fits is accepted and the
-    first one that overflows is rejected; the remaining adds go to the next
-    round with the smaller capacity. Each round lowers every open key's
+    the rest, every add whose running total still fits is accepted, the
+    first one that overflows is rejected, and later adds larger than the
+    capacity left are rejected too; the remaining adds go to the next round
+    with the smaller capacity. Each round lowers every open key's
     capacity by at least one, and rows are decided in every round. Each
     round's decisions are written once (checkpoint in spark.checkpoint.dir)
     and the rest of the round reads them back.
@@ -409,9 +410,13 @@ def cart_add_decisions(adds: DataFrame, capacity: DataFrame, chunk_rows: int = 1
     decided: list[DataFrame] = []
     while True:
         fit = _running_total(open_.where(F.col("quantity") <= F.col("cap")), keys, "seq", "quantity", chunk_rows)
-        first_over = fit.where(F.col("_run") > F.col("cap")).groupBy(*keys).agg(F.min("seq").alias("_over"))
+        # The first add that overflows, and what the accepted adds before it used.
+        first_over = fit.where(F.col("_run") > F.col("cap")).groupBy(*keys).agg(
+            F.min("seq").alias("_over"), F.min_by(F.col("_run") - F.col("quantity"), F.col("seq")).alias("_used"))
+        # Later adds larger than what is left can never fit: refused now too.
         state = (F.when(F.col("_over").isNull() | (F.col("seq") < F.col("_over")), "accepted")
-                 .when(F.col("seq") == F.col("_over"), "rejected").otherwise("open"))
+                 .when(F.col("seq") == F.col("_over"), "rejected")
+                 .when(F.col("quantity") > F.col("cap") - F.col("_used"), "rejected").otherwise("open"))
         # One written frame per round: this round's decisions and the rows
         # left open; everything else in the round reads it back.
         f = (fit.join(first_over, keys, "left").select("seq", *keys, "quantity", "cap", state.alias("_state"))

@@ -82,3 +82,20 @@ def test_merge_categories_keeps_every_product(spark, pairs):
     assert len(p) == 12
     remaining = {r["category_id"] for r in out["categories"].collect()}
     assert all(r["category_id"] in remaining for r in p)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 8), st.integers(1, 3)), min_size=1, max_size=8))
+def test_primary_images_keep_rows_and_one_primary(spark, reqs):
+    imgs = [dict(image_id=i, product_id=1 + (i - 1) % 3, image_url=f"/i{i}.jpg", is_primary=(i <= 3))
+            for i in range(1, 9)]
+    t = tables_from(spark, {"product_images": imgs})
+    df = spark.createDataFrame([(s, img, prod) for s, (img, prod) in enumerate(reqs, start=1)],
+                               "seq long, image_id long, product_id long")
+    out = C.set_primary_images(t["product_images"], df).table.collect()
+    assert len(out) == 8
+    valid = {(img, prod) for img, prod in reqs if 1 + (img - 1) % 3 == prod}
+    for prod in {p for _, p in valid}:
+        last = [img for img, p in reqs if (img, p) in valid and p == prod][-1]
+        prim = [r["image_id"] for r in out if r["product_id"] == prod and r["is_primary"]]
+        assert prim == [last]

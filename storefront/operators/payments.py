@@ -3,9 +3,11 @@
 Every report takes the clock ``as_of`` (D1). Windows keep the reference's
 bounds: ``NOW() - interval`` is :func:`ago`, ``CURRENT_DATE - interval`` is
 :func:`date_ago`, and comparisons stay strict where the reference is strict
-(D2). Filters on ``created_at`` and ``status`` reach the parquet scan as
-pushed filters. Global top-n uses TakeOrderedAndProject; grouped reports are
-partial aggregates.
+(D2). Filters on ``created_at`` reach the parquet scan as pushed filters
+(on a stored transactions table the ``status`` test is pushed too; in the
+driver views status is derived per row, so it runs right after the scan).
+Global top-n uses TakeOrderedAndProject; grouped reports are partial
+aggregates.
 """
 
 from __future__ import annotations

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from storefront.llm import exact_dedup
+from storefront.llm import byte_bpe, exact_dedup
 
 QUERIES = {
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storefront.llm.common import bounded_batches, pieces
 
@@ -294,7 +295,7 @@ def encode(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", pat
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add ``decoded`` (binary) to a table with an ``ids`` column."""
     bounded_batches(encoded.sparkSession)
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     at = encoded.columns.index("ids")
 
     def run(batches):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from storefront.llm import byte_bpe, chat_format, exact_dedup
+from storefront.llm import byte_bpe, chat_format, decontaminate, exact_dedup
 
 QUERIES = {
+    "op10_decontamination": decontaminate.op10_decontamination,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
 SQL = {
+    "op10_decontamination": decontaminate.OP10_SQL,
     "op2_chat_formatting": chat_format.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from storefront.llm import byte_bpe, chat_format, decontaminate, exact_dedup
+from storefront.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,

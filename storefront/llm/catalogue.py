@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from storefront.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup
+from storefront.llm import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup
 
 QUERIES = {
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_line_dedup": line_dedup.OP8_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
     "op2_chat_formatting": chat_format.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,

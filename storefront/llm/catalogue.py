@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from storefront.llm import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, quality
+from storefront.llm import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, quality, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op7_quality": quality.op7_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op1_near_dedup": near_dedup.op1_near_dedup,

@@ -126,7 +126,7 @@ def score_texts(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> np.ndarray:
     """Train on ``docs`` (doc_id, text) with ``labels`` (doc_id, label)."""
-    rows, share = class_sample(docs, labels, per_class)
+    rows, share = class_sample(docs, labels, {0: per_class, 1: per_class})
     texts = [(r["text"] or "").encode() for r in rows]
     return train(texts, [r["label"] for r in rows], [min(4.0, share[r["label"]] / min(share.values())) for r in rows])
 

@@ -14,8 +14,8 @@ def by_key(rows: DataFrame, size: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(size)
 
 
-def class_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int = 11) -> tuple[list, dict]:
-    """At most ``per_class`` training rows of each class 0 and 1.
+def class_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int], seed: int = 11) -> tuple[list, dict]:
+    """At most ``per_class[c]`` training rows of each class c, 0 and 1.
 
     ``docs``: doc_id, text of rows that may be learned from. ``labels``: doc_id,
     label. Of several labels of a doc_id the largest counts; null labels and
@@ -27,12 +27,12 @@ def class_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int =
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for label in sorted(totals):
-        part = by_key(known.filter(F.col("label") == label), per_class, seed)
+        part = by_key(known.filter(F.col("label") == label), per_class[label], seed)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return [], {}
-    # At most 2 * per_class rows: their size is bounded, so they are broadcast.
+    # At most sum(per_class) rows: their size is bounded, so they are broadcast.
     rows = (docs.join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= MAX_TRAIN_CHARS)
             .select("doc_id", "text", "label").dropDuplicates(["doc_id"]).collect())
     rows.sort(key=lambda r: r["doc_id"])
-    return rows, {label: max(1.0, n / per_class) for label, n in totals.items()}
+    return rows, {label: max(1.0, n / per_class[label]) for label, n in totals.items()}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from storefront.llm import byte_bpe, chat_format, class_lm, decontaminate, exact_dedup, line_dedup, near_dedup, quality, toxicity
+from storefront.llm import byte_bpe, chat_format, class_lm, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, toxicity
 
 QUERIES = {
+    "op6_language_id": language_id.op6_language_id,
     "op4_class_lm": class_lm.op4_class_lm,
     "op3_toxicity": toxicity.op3_toxicity,
     "op7_quality": quality.op7_quality,

@@ -34,41 +34,43 @@ def _blocks(text: bytes, size: int) -> list[bytes]:
     return [text[i:i + size] for i in range(0, len(text), size)] or [b""]
 
 
-def _signed(x: int) -> int:
+def _key(data: bytes, bits: int = 64) -> int:
+    """Routing key of a block; equal keys of different blocks are told apart later."""
+    x = xxhash.xxh3_64_intdigest(data) >> (64 - bits)
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _contents(size: int):
+def _contents(size: int, bits: int):
     def run(batches):
         for batch in pieces(batches, "text"):
             found = {b for t in raw_texts(batch, "text") for b in _blocks(t.lower(), size)}
-            keys = [_signed(xxhash.xxh3_64_intdigest(b)) for b in found]
+            keys = [_key(b, bits) for b in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(found), pa.binary())],
                                              names=["h", "block"])
     return run
 
 
-def _documents(size: int):
+def _documents(size: int, bits: int):
     def run(batches):
         for batch in pieces(batches, "text"):
             th, sha, hs = [], [], []
             for t in raw_texts(batch, "text"):
                 t = t.lower()
-                th.append(_signed(xxhash.xxh3_64_intdigest(t)))
+                th.append(_key(t))
                 sha.append(hashlib.sha256(t).hexdigest())
-                hs.append([_signed(xxhash.xxh3_64_intdigest(b)) for b in _blocks(t, size)])
+                hs.append([_key(b, bits) for b in _blocks(t, size)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(th, pa.int64()), pa.array(sha, pa.string()),
                  pa.array(hs, pa.list_(pa.int64()))], names=["doc_id", "th", "text_sha256", "hs"])
     return run
 
 
-def _block_rows(size: int):
+def _block_rows(size: int, bits: int):
     """(doc_id, th, pos, h, block) of the blocks themselves."""
     def run(batches):
         for batch in pieces(batches, "text"):
             ids = batch.column(0).to_pylist()
-            rows = [(i, _signed(xxhash.xxh3_64_intdigest(t)), p, _signed(xxhash.xxh3_64_intdigest(b)), b)
+            rows = [(i, _key(t), p, _key(b, bits), b)
                     for i, t in zip(ids, map(bytes.lower, raw_texts(batch, "text")))
                     for p, b in enumerate(_blocks(t, size))]
             cols = list(zip(*rows))
@@ -79,16 +81,17 @@ def _block_rows(size: int):
     return run
 
 
-def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, th, text_sha256, rounds, name.
-    (rounds, name) is equal exactly for equal lower-cased texts."""
+    (rounds, name) is equal exactly for equal lower-cased texts, whatever the
+    number of bits of the routing keys."""
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     # Distinct block contents per routing key: contents cross the network once.
-    distinct = src.mapInArrow(_contents(block_bytes), "h long, block binary").groupBy("h", "block").agg(F.lit(1).alias("x"))
+    distinct = src.mapInArrow(_contents(block_bytes, key_bits), "h long, block binary").groupBy("h", "block").agg(F.lit(1).alias("x"))
     keys = written(distinct.groupBy("h").agg(F.count("x").alias("contents")), "block-keys")
-    per_doc = written(src.mapInArrow(_documents(block_bytes),
+    per_doc = written(src.mapInArrow(_documents(block_bytes, key_bits),
                                      "doc_id long, th long, text_sha256 string, hs array<long>"), "block-docs")
     blocks = (per_doc.select("doc_id", "th", F.size("hs").alias("nb"), F.posexplode("hs").alias("pos", "h"))
               .dropDuplicates(["doc_id", "th", "pos"]))
@@ -99,7 +102,7 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         level = blocks.join(names, "h").select("doc_id", "th", "nb", F.col("pos").cast("long").alias("pos"), "name")
     else:
         # Different contents under one key: number the contents of such a key too.
-        own = src.mapInArrow(_block_rows(block_bytes), "doc_id long, th long, pos long, h long, block binary")
+        own = src.mapInArrow(_block_rows(block_bytes, key_bits), "doc_id long, th long, pos long, h long, block binary")
         own = own.join(met, "h", "left_semi").dropDuplicates(["doc_id", "th", "pos"])
         tied = (own.select("h", "block").distinct()
                 .withColumn("tie", F.row_number().over(Window.partitionBy("h").orderBy("block")).cast("long")))
@@ -138,11 +141,13 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
                                                                     "rounds", "name")
 
 
-def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id (the largest doc_id with
     that text), group_size, kept, text_sha256, rounds, name."""
-    ids = written(text_identities(docs, block_bytes), "identities")
-    groups = ids.groupBy("rounds", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    ids = written(text_identities(docs, block_bytes, key_bits), "identities")
+    # Written, so that both sides of the join are shuffles and a large group can be split.
+    groups = written(ids.groupBy("rounds", "name").agg(F.max("doc_id").alias("keep_id"),
+                                                       F.count(F.lit(1)).alias("group_size")), "groups")
     return (ids.join(groups, ["rounds", "name"])
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     "text_sha256", "rounds", "name"))

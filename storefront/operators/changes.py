@@ -10,19 +10,26 @@ Conventions
   on the map side).
 * ``as_of``: the clock for every timestamp the change writes (D1).
 * ``updated_at`` is written only when the table has the column (D12).
+* Writes keep the shop's constraints (CHECK, NOT NULL, lengths, enums, foreign
+  keys, unique keys): a row that would break one is rejected with the reason,
+  and the table keeps its old row. Foreign keys are checked where the tables
+  are given (``parents``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storefront.functions.scalar import (
     ago, amount_matches, append_note, selling_price, ts_lit, valid_phone)
-from storefront.operators.quality import FOREIGN_KEYS, UNIQUE, check_rows, table_rules
+from storefront.operators.quality import CHECKS, FOREIGN_KEYS, UNIQUE, table_rules
 from storefront.session import checkpoint_root
 from storefront.sources.schemas import PRIMARY_KEYS, SCHEMAS
 
@@ -65,18 +72,37 @@ def assign_keys(rows: DataFrame, key: str, start: Column) -> DataFrame:
     counts = m.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_off"])
-    # One row per partition: a size-bounded broadcast.
-    out = m.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
+    out = m.join(offsets.select("_pid", "_off"), "_pid")  # one row per partition
     return out.withColumn(key, (start + F.col("_off") + F.col("_idx") + 1).cast("long")).drop(
         "_mid", "_pid", "_idx", "_off")
 
 
+def _first_reason(rules: list[tuple[str, Column]]) -> Column:
+    """The broken rules' names, comma-joined; NULL when none is broken."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(r, F.lit(True)), F.lit(n)) for n, r in rules])) \
+        if rules else F.array().cast("array<string>")
+    return F.when(F.size(broken) > 0, F.array_join(broken, ","))
+
+
+def _missing_parents(rows: DataFrame, name: str, parents: Tables, columns: Sequence[str]) -> DataFrame:
+    """Add to ``reason`` (where still NULL) 'missing <parent>' for foreign keys
+    without a parent row. Parent keys are primary keys, so no row multiplies."""
+    for child, col, parent, pcol, _ in FOREIGN_KEYS:
+        if child != name or col not in columns or parent not in parents:
+            continue
+        keys = parents[parent].select(F.col(pcol).alias("_pk"), F.lit(True).alias("_there"))
+        rows = rows.join(keys, F.col(col) == F.col("_pk"), "left").withColumn("reason", F.coalesce(
+            "reason", F.when(F.col(col).isNotNull() & F.col("_there").isNull(), F.lit(f"missing {parent}")))).drop("_pk", "_there")
+    return rows
+
+
 def insert_rows(base: DataFrame, rows: DataFrame, name: str, defaults: Mapping[str, object] | None = None,
-                as_of=None, seq: str | None = "seq") -> Change:
+                as_of=None, seq: str | None = "seq", parents: Tables | None = None) -> Change:
     """Insert with defaults and checks; new keys after the current maximum.
 
-    Rejected (with reasons): broken rules (Q1), a unique key already taken
-    (in the table, or earlier in the same batch by ``seq``).
+    Rejected (with reasons): broken rules (Q1), a foreign key without its row
+    in ``parents``, a unique key already taken (in the table, or earlier in the
+    same batch by ``seq``).
     """
     (key,) = PRIMARY_KEYS[name]
     r = rows
@@ -92,27 +118,24 @@ def insert_rows(base: DataFrame, rows: DataFrame, name: str, defaults: Mapping[s
         checkpoint_root(r.sparkSession)
         r = r.withColumn("seq", F.monotonically_increasing_id()).checkpoint(eager=True)
         seq = "seq"
-    checked = check_rows(r, [x for x in table_rules(name, r.columns) if x[0] != f"{key}_not_null"])
-    good = checked.valid
-    rejects = [checked.rejects.select(*r.columns, F.array_join("broken_rules", ",").alias("reason"))]
-    for cols in UNIQUE.get(name, ()):
-        cols = list(cols)
-        taken = good.join(base.select(*cols).dropDuplicates(), cols, "left_semi")
-        rejects.append(taken.withColumn("reason", F.lit("duplicate " + ",".join(cols))))
-        good = good.join(base.select(*cols).dropDuplicates(), cols, "left_anti")
-        # The earliest row per key wins: a partial aggregate (min), so a key
-        # repeated by a third of the batch is reduced on the map side.
-        first = good.groupBy(*cols).agg(F.min(seq).alias("_first"))
-        ranked = good.join(first, cols).withColumn("_win", F.col(seq) == F.col("_first")).drop("_first")
-        rejects.append(ranked.where(~F.col("_win")).drop("_win").withColumn(
-            "reason", F.lit("duplicate " + ",".join(cols) + " in batch")))
-        good = ranked.where(F.col("_win")).drop("_win")
+    columns = r.columns
+    r = r.withColumn("reason", _first_reason([x for x in table_rules(name, columns) if x[0] != f"{key}_not_null"]))
+    r = _missing_parents(r, name, parents or {}, columns)
+    for cols in map(list, UNIQUE.get(name, ())):
+        # Per key of the rows still good: its earliest row (a partial aggregate,
+        # so a key repeated by a third of the batch shrinks on the map side),
+        # and whether the table has it (semi join, no de-duplicated table).
+        first = r.where(F.col("reason").isNull()).groupBy(*cols).agg(F.min(seq).alias("_first"))
+        taken = first.join(base.select(*cols), cols, "left_semi").select(*cols, F.lit(True).alias("_taken"))
+        marks = first.join(taken, cols, "left")
+        r = r.join(marks, cols, "left").withColumn("reason", F.coalesce(
+            "reason", F.when(F.col("_taken"), "duplicate " + ",".join(cols)),
+            F.when(F.col(seq) != F.col("_first"), "duplicate " + ",".join(cols) + " in batch"))).drop("_first", "_taken")
+    r = r.select(*columns, "reason")
     start = F.coalesce(base.select(F.max(key)).scalar(), F.lit(0))
+    good = r.where(F.col("reason").isNull()).drop("reason")
     new = assign_keys(good.orderBy(seq), key, start).select(*base.columns)
-    rejected = rejects[0]
-    for x in rejects[1:]:
-        rejected = rejected.unionByName(x)
-    return Change(base.unionByName(new), new, rejected)
+    return Change(base.unionByName(new), new, r.where(F.col("reason").isNotNull()))
 
 
 # ---------------------------------------------------------------- T2 patches
@@ -127,8 +150,17 @@ def _truthy(c: Column, dtype: str) -> Column:
     return c.isNotNull()
 
 
+def _rule_columns(name: str) -> dict[str, set[str]]:
+    """Columns each rule of a table reads."""
+    columns = [f.name for f in SCHEMAS[name].fields]
+    texts = dict(CHECKS.get(name, ()))
+    return {rule: ({c for c in columns if re.search(rf"\b{c}\b", texts[rule])} if rule in texts
+                   else {c for c in columns if rule.startswith(f"{c}_")})
+            for rule, _ in table_rules(name, columns)}
+
+
 def patch(base: DataFrame, changes: DataFrame, key: str | Sequence[str], mode: str = "present",
-          seq: str = "seq", as_of=None) -> Change:
+          seq: str = "seq", as_of=None, name: str | None = None, parents: Tables | None = None) -> Change:
     """Partial update of ``base`` from a change set.
 
     ``changes`` has the key, ``seq`` and any subset of base columns. In
@@ -137,43 +169,96 @@ def patch(base: DataFrame, changes: DataFrame, key: str | Sequence[str], mode: s
     value is truthy, like the reference's ``if (value)`` checks (D11): 0, false
     and '' are skipped. Per key and column the latest setting change wins.
     Unknown keys are rejected; ``updated_at`` becomes as_of on changed rows.
+
+    With ``name`` the table's constraints hold: a change that sets a value its
+    own rules forbid, or a foreign key without a row in ``parents``, is
+    rejected by itself; a row whose merged values break a rule over several
+    columns keeps its old values and all its changes are rejected. ``rejected``
+    then has a ``reason``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     dtypes = dict(changes.dtypes)
     cols = [c for c in changes.columns if c in base.columns and c not in keys]
     if mode not in ("present", "truthy"):
         raise ValueError("mode must be 'present' or 'truthy'")
+
+    def is_set(c: str) -> Column:
+        return F.array_contains(F.col("changed"), c) if mode == "present" else _truthy(F.col(c), dtypes[c])
+
+    marked = changes.withColumn("reason", F.lit(None).cast("string"))
+    if name is not None:
+        # Rules a change decides alone: all their columns are set by it.
+        reads = _rule_columns(name)
+        alone = []
+        for rule, ok in table_rules(name, base.columns):
+            need = reads[rule]
+            if need and need <= set(cols):
+                given = F.lit(True)
+                for c in sorted(need):
+                    given = given & is_set(c)
+                alone.append((rule, ~given | ok))
+        marked = changes.withColumn("reason", _first_reason(alone))
+        for child, col, parent, pcol, _ in FOREIGN_KEYS:
+            if child == name and col in cols and parent in (parents or {}):
+                have = parents[parent].select(F.col(pcol).alias("_pk"), F.lit(True).alias("_there"))
+                marked = marked.join(have, F.col(col) == F.col("_pk"), "left").withColumn("reason", F.coalesce(
+                    "reason", F.when(is_set(col) & F.col(col).isNotNull() & F.col("_there").isNull(),
+                                     F.lit(f"missing {parent}")))).drop("_pk", "_there")
+    good = marked.where(F.col("reason").isNull())
     aggs = []
     for c in cols:
-        is_set = (F.array_contains(F.col("changed"), c) if mode == "present" else _truthy(F.col(c), dtypes[c]))
-        s = F.when(is_set, F.col(seq))
+        s = F.when(is_set(c), F.col(seq))
         aggs += [F.max_by(F.col(c), s).alias(f"_v_{c}"), F.max(s).alias(f"_s_{c}")]
-    per_key = changes.groupBy(*keys).agg(*aggs, F.lit(True).alias("_hit"))
+    per_key = good.groupBy(*keys).agg(*aggs, F.lit(True).alias("_hit"))
     joined = base.join(per_key, keys, "left")
-    out = joined.select(*[
-        (F.when(F.col(f"_s_{c}").isNotNull(), F.col(f"_v_{c}")).otherwise(F.col(c)).cast(dict(base.dtypes)[c])
-         .alias(c) if c in cols else F.col(c)) for c in base.columns] + ["_hit"])
+    types = dict(base.dtypes)
+    new = [F.when(F.col(f"_s_{c}").isNotNull(), F.col(f"_v_{c}")).otherwise(F.col(c)).cast(types[c]) if c in cols
+           else F.col(c) for c in base.columns]
+    out = joined.select(*[v.alias(c) for v, c in zip(new, base.columns)], "_hit",
+                        F.struct(*[F.col(c) for c in base.columns]).alias("_old"))
     out = _touch(out, as_of, F.col("_hit").isNotNull())
-    table = out.drop("_hit")
-    affected = out.where(F.col("_hit").isNotNull()).drop("_hit")
-    rejected = changes.join(base.select(*keys), keys, "left_anti")
-    return Change(table, affected, rejected)
+    broken = None
+    if name is not None:
+        out = out.withColumn("_broken", F.when(F.col("_hit"), _first_reason(table_rules(name, base.columns))))
+        broken = out.where(F.col("_broken").isNotNull()).select(*keys, F.col("_broken"))
+        back = F.col("_broken").isNotNull()
+        out = out.select(*[F.when(back, F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in base.columns],
+                         F.when(~back, F.col("_hit")).alias("_hit"))
+    table = out.select(*base.columns)
+    affected = out.where(F.col("_hit").isNotNull()).select(*base.columns)
+    if name is None:
+        return Change(table, affected, changes.join(base.select(*keys), keys, "left_anti"))
+    known = base.select(*keys, F.lit(True).alias("_known"))
+    refused = (marked.join(known, keys, "left").join(broken, keys, "left")
+               .withColumn("reason", F.when(F.col("_known").isNull(), "not found").otherwise(F.coalesce("reason", "_broken")))
+               .where(F.col("reason").isNotNull()).select(*changes.columns, "reason"))
+    return Change(table, affected, refused)
 
 
 # ---------------------------------------------------------------- T3 - T5
 
-def bulk_update(base: DataFrame, ids: DataFrame, values: Mapping[str, object], key: str, as_of=None) -> Change:
+def bulk_update(base: DataFrame, ids: DataFrame, values: Mapping[str, object], key: str, as_of=None,
+                name: str | None = None) -> Change:
     """Set fixed values on every row whose key is in ``ids`` (role, order
-    status, stock, price, ...). Unknown ids are rejected."""
-    j = base.join(_flag(ids, [key]), key, "left")
+    status, stock, price, ...). Unknown ids are rejected. With ``name`` the
+    table's rules hold: a row that would break one keeps its old values and its
+    id is rejected with the reason."""
+    j = base.join(_flag(ids, [key]), key, "left").withColumn("_old", F.struct(*base.columns))
     hit = F.col("_hit").isNotNull()
     types = dict(base.dtypes)
     for c, v in values.items():
         val = v if isinstance(v, Column) else F.lit(v)
         j = j.withColumn(c, F.when(hit, val.cast(types[c])).otherwise(F.col(c)))
     j = _touch(j, as_of, hit)
-    return Change(j.drop("_hit"), j.where(hit).drop("_hit"), ids.select(key).dropDuplicates().join(
-        base.select(key), key, "left_anti"))
+    missing = ids.select(key).dropDuplicates().join(base.select(key), key, "left_anti")
+    if name is None:
+        return Change(j.select(*base.columns), j.where(hit).select(*base.columns), missing)
+    j = j.withColumn("reason", F.when(hit, _first_reason(table_rules(name, base.columns))))
+    back = F.col("reason").isNotNull()
+    refused = j.where(back).select(key, "reason").unionByName(missing.withColumn("reason", F.lit("not found")))
+    j = j.select(*[F.when(back, F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in base.columns],
+                 (hit & ~back).alias("_done"))
+    return Change(j.select(*base.columns), j.where("_done").select(*base.columns), refused)
 
 
 def set_seller_status(t: Tables, actions: DataFrame, as_of=None) -> Change:
@@ -289,17 +374,22 @@ def cascade_delete(t: Tables, table: str, ids: DataFrame, on_blocked: str = "fai
         return dels, blocked
 
     dels, blocked = walk(roots)
-    empty_blocked = t[table].sparkSession.createDataFrame([], "constraint string, child_key string, _root long")
-    if blocked is not None:
-        blocked = blocked.dropDuplicates()
-        if on_blocked == "fail":
-            if not blocked.isEmpty():
-                raise RestrictViolation("delete blocked by RESTRICT foreign keys")
-        else:
-            roots = roots.join(blocked.select("_root"), "_root", "left_anti")
-            dels, _ = walk(roots)
+    if blocked is None:
+        blocked = t[table].sparkSession.createDataFrame([], "constraint string, child_key string, _root long")
+    elif on_blocked == "fail":
+        if not blocked.isEmpty():
+            raise RestrictViolation("delete blocked by RESTRICT foreign keys")
     else:
-        blocked = empty_blocked
+        # Sparing a root spares its children, which may block others: repeat
+        # until no root is blocked. Every round spares at least one root.
+        blocked = blocked.dropDuplicates().checkpoint(eager=True)
+        now = blocked
+        while not now.isEmpty():
+            roots = roots.join(now.select("_root"), "_root", "left_anti").checkpoint(eager=True)
+            dels, again = walk(roots)
+            now = again.dropDuplicates().checkpoint(eager=True)
+            blocked = blocked.unionByName(now)
+    blocked = blocked.dropDuplicates()
     new_tables = {}
     deleted = {}
     for name, d in dels.items():
@@ -312,51 +402,46 @@ def cascade_delete(t: Tables, table: str, ids: DataFrame, on_blocked: str = "fai
 
 # ---------------------------------------------------------------- T7 merge
 
-def merge_categories(t: Tables, pairs: DataFrame, max_hops: int | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def merge_categories(t: Tables, pairs: DataFrame, as_of=None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Merge source categories into targets: products move to the final
-    target (chains a->b->c are followed), sources are removed, no product is
-    lost. Rejected: source = target, unknown source or target, a source with
-    two targets, cycles. Returns ({categories, products}, rejected)."""
+    target (chains a->b->c are followed) and get updated_at = as_of, sources
+    are removed, no product is lost. Rejected: source = target, unknown source
+    or target, a source with two targets, cycles. Returns ({categories,
+    products}, rejected).
+
+    Chains are followed by pointer doubling: after k rounds every pair points
+    2 ** k steps ahead, so log2(pairs) rounds decide every pair; what still
+    points at a source then runs into a cycle."""
     cats = t["categories"].select("category_id")
     p = pairs.select(F.col("source_id").cast("long"), F.col("target_id").cast("long"))
-    reasons = [
-        p.where(F.col("source_id") == F.col("target_id")).withColumn("reason", F.lit("source equals target")),
-        p.join(cats.withColumnRenamed("category_id", "source_id"), "source_id", "left_anti").withColumn(
-            "reason", F.lit("source not found")),
-        p.join(cats.withColumnRenamed("category_id", "target_id"), "target_id", "left_anti").withColumn(
-            "reason", F.lit("target not found")),
-    ]
-    multi = p.groupBy("source_id").agg(F.count_distinct("target_id").alias("n")).where(F.col("n") > 1)
-    reasons.append(p.join(multi.select("source_id"), "source_id", "left_semi").withColumn(
-        "reason", F.lit("several targets")))
-    rejected = reasons[0]
-    for r in reasons[1:]:
-        rejected = rejected.unionByName(r)
-    ok = p.join(rejected.select("source_id").dropDuplicates(), "source_id", "left_anti").dropDuplicates()
-
-    def hop(f: DataFrame) -> DataFrame:
-        return f.alias("a").join(ok.alias("b"), F.col("a.final_id") == F.col("b.source_id"), "left").select(
-            F.col("a.source_id").alias("source_id"), F.coalesce("b.target_id", "a.final_id").alias("final_id"),
-            F.col("b.target_id").isNotNull().alias("_moved"))
-
-    # Follow chains: a target that is itself a source is replaced by its
-    # target. No chain is longer than the number of pairs unless it loops, so
-    # that many hops decide every pair exactly.
-    final = ok.select("source_id", F.col("target_id").alias("final_id"))
-    hops = ok.count() + 1 if max_hops is None else max_hops
-    for i in range(hops):
-        step = hop(final)
-        if step.where("_moved").isEmpty():
+    targets = p.groupBy("source_id").agg(F.count_distinct("target_id").alias("_n"))
+    known = cats.select("category_id", F.lit(True).alias("_k"))
+    p = (p.join(targets, "source_id", "left")
+         .join(known.select(F.col("category_id").alias("source_id"), F.col("_k").alias("_s")), "source_id", "left")
+         .join(known.select(F.col("category_id").alias("target_id"), F.col("_k").alias("_t")), "target_id", "left"))
+    reason = (F.when(F.col("source_id") == F.col("target_id"), "source equals target")
+              .when(F.col("_s").isNull(), "source not found").when(F.col("_t").isNull(), "target not found")
+              .when(F.col("_n") > 1, "several targets"))
+    checkpoint_root(p.sparkSession)
+    p = p.select("source_id", "target_id", reason.alias("reason")).checkpoint(eager=True)
+    rejected = p.where(F.col("reason").isNotNull())
+    ok = p.join(rejected.select("source_id"), "source_id", "left_anti").select("source_id", "target_id").dropDuplicates()
+    sources = ok.select("source_id")
+
+    ahead = ok.select("source_id", F.col("target_id").alias("final_id")).checkpoint(eager=True)
+    for _ in range(max(1, ahead.count()).bit_length()):
+        jump = ahead.select(F.col("source_id").alias("_via"), F.col("final_id").alias("_next"))
+        ahead = (ahead.join(jump, F.col("final_id") == F.col("_via"), "left")
+                 .select("source_id", F.coalesce("_next", "final_id").alias("final_id")).checkpoint(eager=True))
+        open_ = ahead.join(sources.select(F.col("source_id").alias("final_id")), "final_id", "left_semi")
+        if open_.isEmpty():
             break
-        final = step.drop("_moved")
-        if i % 8 == 7:
-            checkpoint_root(final.sparkSession)
-            final = final.checkpoint(eager=True)
-    looping = hop(final).where("_moved").select("source_id")
+    looping = open_.select("source_id")
     rejected = rejected.unionByName(ok.join(looping, "source_id", "left_semi").withColumn("reason", F.lit("cycle")))
-    final = final.join(looping, "source_id", "left_anti")
-    products = (t["products"].join(final.withColumnRenamed("source_id", "category_id"), "category_id", "left")
-                .withColumn("category_id", F.coalesce("final_id", "category_id")).drop("final_id")
+    final = ahead.join(looping, "source_id", "left_anti")
+    products = t["products"].join(final.withColumnRenamed("source_id", "category_id"), "category_id", "left")
+    products = _touch(products, as_of, F.col("final_id").isNotNull())
+    products = (products.withColumn("category_id", F.coalesce("final_id", "category_id")).drop("final_id")
                 .select(*t["products"].columns))
     categories = t["categories"].join(final.select(F.col("source_id").alias("category_id")), "category_id",
                                       "left_anti")
@@ -371,100 +456,76 @@ class CartAdds(NamedTuple):
     decisions: DataFrame
 
 
-def _running_total(df: DataFrame, keys: list[str], seq: str, value: str, chunk_rows: int) -> DataFrame:
-    """Running sum of ``value`` per key in ``seq`` order, split so no window
-    holds more than about ``chunk_rows`` rows: per (key, seq-chunk) totals are
-    summed over the preceding chunks (one row per chunk), then a window inside
-    each (key, chunk) adds the rows before."""
-    c = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk_rows)))
-    sums = c.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_csum"))
-    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.withColumn("_coff", F.coalesce(F.sum("_csum").over(wk), F.lit(0))).drop("_csum")
-    wc = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return (c.join(offs, [*keys, "_chunk"]).withColumn("_run", F.col("_coff") + F.sum(value).over(wc))
-            .drop("_chunk", "_coff"))
-
-
-def cart_add_decisions(adds: DataFrame, capacity: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
+def _fold_adds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Accept adds in order while they fit. Rows come sorted by key and seq;
+    the state is the current key and what is left of its capacity."""
+    key, left = None, 0
+    for batch in batches:
+        cart, product, seq, quantity, cap = (batch.column(i).to_pylist() for i in range(5))
+        accepted = []
+        for k, q, c in zip(zip(cart, product), quantity, cap):
+            if k != key:
+                key, left = k, c
+            fits = q <= left
+            if fits:
+                left -= q
+            accepted.append(fits)
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(accepted, pa.bool_())], names=["seq", "accepted"])
+
+
+def cart_add_decisions(adds: DataFrame, capacity: DataFrame) -> DataFrame:
     """Greedy in-order acceptance per (cart, product): an add of q is accepted
     when q fits into the remaining capacity (stock - quantity already in the
     cart), and then uses it up; otherwise it is rejected and the capacity is
     unchanged.
 
-    Exact and distributed, in rounds: adds larger than the remaining capacity
-    can never fit later (capacity only shrinks) and are rejected at once; of
-    the rest, every add whose running total still fits is accepted, the
-    first one that overflows is rejected, and later adds larger than the
-    capacity left are rejected too; the remaining adds go to the next round
-    with the smaller capacity. Each round lowers every open key's
-    capacity by at least one, and rows are decided in every round. Each
-    round's decisions are written once (checkpoint in spark.checkpoint.dir)
-    and the rest of the round reads them back.
+    A key whose adds fit together is settled by its total. The rows of the
+    other keys are sorted by key and seq inside their partition and folded in
+    one pass whose state is one number, whatever the number of rows of a key;
+    the number of jobs does not depend on the data.
     ``adds``: seq, cart_id, product_id, quantity. ``capacity``: cart_id,
     product_id, cap. Returns seq, accepted.
     """
     keys = ["cart_id", "product_id"]
-    spark = adds.sparkSession
-    checkpoint_root(spark)
-    open_ = adds.select("seq", *keys, "quantity").join(capacity, keys)
-    decided: list[DataFrame] = []
-    while True:
-        fit = _running_total(open_.where(F.col("quantity") <= F.col("cap")), keys, "seq", "quantity", chunk_rows)
-        # The first add that overflows, and what the accepted adds before it used.
-        first_over = fit.where(F.col("_run") > F.col("cap")).groupBy(*keys).agg(
-            F.min("seq").alias("_over"), F.min_by(F.col("_run") - F.col("quantity"), F.col("seq")).alias("_used"))
-        # Later adds larger than what is left can never fit: refused now too.
-        state = (F.when(F.col("_over").isNull() | (F.col("seq") < F.col("_over")), "accepted")
-                 .when(F.col("seq") == F.col("_over"), "rejected")
-                 .when(F.col("quantity") > F.col("cap") - F.col("_used"), "rejected").otherwise("open"))
-        # One written frame per round: this round's decisions and the rows
-        # left open; everything else in the round reads it back.
-        f = (fit.join(first_over, keys, "left").select("seq", *keys, "quantity", "cap", state.alias("_state"))
-             .unionByName(open_.where(F.col("quantity") > F.col("cap"))
-                          .select("seq", *keys, "quantity", "cap", F.lit("rejected").alias("_state")))
-             .checkpoint(eager=True))
-        decided.append(f.where(F.col("_state") != "open").select(
-            "seq", (F.col("_state") == "accepted").alias("accepted")))
-        used = f.where(F.col("_state") == "accepted").groupBy(*keys).agg(F.sum("quantity").alias("_used"))
-        rest = (f.where(F.col("_state") == "open").join(used, keys, "left")
-                .select("seq", *keys, "quantity", (F.col("cap") - F.coalesce("_used", F.lit(0))).alias("cap")))
-        if rest.isEmpty():
-            break
-        open_ = rest
-    return _union_all(decided)
-
-
-def _union_all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    a = adds.select("seq", *keys, "quantity")
+    sums = a.groupBy(*keys).agg(F.sum("quantity").alias("_all")).join(capacity, keys)
+    rows = a.join(sums, keys)
+    settled = rows.where(F.col("_all") <= F.col("cap")).select("seq", F.lit(True).alias("accepted"))
+    folded = (rows.where(F.col("_all") > F.col("cap"))
+              .select(*[F.col(c).cast("long").alias(c) for c in (*keys, "seq", "quantity", "cap")])
+              .repartition(*keys).sortWithinPartitions(*keys, "seq")
+              .mapInArrow(_fold_adds, "seq long, accepted boolean"))
+    return settled.unionByName(folded)
 
 
-def apply_cart_adds(t: Tables, adds: DataFrame, as_of, chunk_rows: int = 1_000_000) -> CartAdds:
+def apply_cart_adds(t: Tables, adds: DataFrame, as_of) -> CartAdds:
     """Add products to carts in arrival order (``seq``).
 
     Per (cart, product) the quantity accumulates from the existing cart line;
     an add is refused with 'Insufficient stock' when stock < current + new.
     Accepted adds set the line's unit price to the current selling price (F5);
     new lines get keys after the current maximum; touched carts get
-    updated_at = as_of. Unknown products are refused ('Product not found').
+    updated_at = as_of. Unknown products ('Product not found') and unknown
+    carts ('Cart not found') are refused.
     """
     keys = ["cart_id", "product_id"]
     items = t["cart_items"]
     prod = t["products"].select("product_id", "stock", selling_price().alias("_price"))
     a = adds.select("seq", *keys, "quantity")
-    known = a.join(prod.select("product_id"), "product_id", "left_semi").where(F.col("quantity") > 0)
+    known = (a.join(prod.select("product_id"), "product_id", "left_semi").join(t["carts"].select("cart_id"), "cart_id", "left_semi")
+             .where(F.col("quantity") > 0))
     existing = items.select(*keys, F.col("quantity").alias("_have"))
     cap = (known.select(*keys).dropDuplicates().join(prod.select("product_id", "stock"), "product_id")
            .join(existing, keys, "left").select(*keys, (F.col("stock") - F.coalesce("_have", F.lit(0))).alias("cap")))
-    dec = cart_add_decisions(known, cap, chunk_rows)
+    dec = cart_add_decisions(known, cap)
     decisions = (a.join(dec, "seq", "left")
                  .join(prod.select("product_id", F.lit(True).alias("_known")), "product_id", "left")
+                 .join(t["carts"].select("cart_id", F.lit(True).alias("_cart")), "cart_id", "left")
                  .withColumn("reason", F.when(F.col("_known").isNull(), "Product not found")
-                             .when(F.col("quantity") <= 0, "Quantity must be positive")
+                             .when(F.col("_cart").isNull(), "Cart not found")
+                             .when(F.coalesce(F.col("quantity") <= 0, F.lit(True)), "Quantity must be positive")
                              .when(~F.col("accepted"), "Insufficient stock"))
-                 .withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop("_known"))
+                 .withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop("_known", "_cart"))
     gained = (decisions.where("accepted").groupBy(*keys).agg(F.sum("quantity").alias("_add"),
                                                              F.min("seq").alias("_first"))
               .join(prod.select("product_id", "_price"), "product_id"))
@@ -486,24 +547,41 @@ def apply_cart_adds(t: Tables, adds: DataFrame, as_of, chunk_rows: int = 1_000_0
 
 
 def set_cart_quantities(t: Tables, sets: DataFrame, as_of) -> CartAdds:
-    """Set line quantities (last by seq wins); refused when the quantity is
-    not positive ('Quantity must be positive') or above stock ('Insufficient
-    stock'), or the line is unknown. Touches the carts of changed lines."""
-    last = sets.groupBy("cart_item_id").agg(F.max_by("quantity", "seq").alias("_q"), F.max("seq").alias("seq"))
+    """Set line quantities. Every request is decided by itself: refused when
+    the quantity is not positive ('Quantity must be positive') or above stock
+    ('Insufficient stock'), or the line is unknown; of a line's accepted
+    requests the last by seq stands. Touches the carts of changed lines."""
     items = t["cart_items"]
-    j = (last.join(items.select("cart_item_id", "cart_id", "product_id"), "cart_item_id", "left")
-         .join(t["products"].select("product_id", "stock"), "product_id", "left"))
-    reason = (F.when(F.col("cart_id").isNull(), "Cart item not found").when(F.col("_q") <= 0, "Quantity must be positive")
-              .when(F.col("stock").isNull() | (F.col("_q") > F.col("stock")), "Insufficient stock"))
-    decisions = j.select("seq", "cart_item_id", F.col("_q").alias("quantity"), reason.alias("reason"),
-                         reason.isNull().alias("accepted"))
-    ok = decisions.where("accepted").select("cart_item_id", F.col("quantity").alias("_q"))
+    lines = (items.select("cart_item_id", "cart_id", "product_id")
+             .join(t["products"].select("product_id", "stock"), "product_id", "left"))
+    q = F.col("quantity")
+    reason = (F.when(F.col("cart_id").isNull(), "Cart item not found")
+              .when(q.isNull() | (q <= 0), "Quantity must be positive")
+              .when(F.col("stock").isNull() | (q > F.col("stock")), "Insufficient stock"))
+    decisions = (sets.select("seq", "cart_item_id", "quantity").join(lines, "cart_item_id", "left")
+                 .select("seq", "cart_item_id", "quantity", reason.alias("reason"), reason.isNull().alias("accepted")))
+    ok = decisions.where("accepted").groupBy("cart_item_id").agg(F.max_by("quantity", "seq").alias("_q"))
     new_items = (items.join(ok, "cart_item_id", "left")
                  .withColumn("quantity", F.coalesce("_q", "quantity").cast("int")).drop("_q"))
     touched = ok.join(items.select("cart_item_id", "cart_id"), "cart_item_id").select("cart_id")
-    carts = _touch(t["carts"].join(_flag(touched, ["cart_id"]), "cart_id", "left"), as_of,
-                   F.col("_hit").isNotNull()).drop("_hit")
-    return CartAdds(new_items.select(*items.columns), carts, decisions)
+    return CartAdds(new_items.select(*items.columns), _touch_carts(t, touched, as_of), decisions)
+
+
+def _touch_carts(t: Tables, cart_ids: DataFrame, as_of) -> DataFrame:
+    return _touch(t["carts"].join(_flag(cart_ids, ["cart_id"]), "cart_id", "left"), as_of,
+                  F.col("_hit").isNotNull()).drop("_hit")
+
+
+def remove_cart_items(t: Tables, item_ids: DataFrame, as_of) -> CartAdds:
+    """Remove single cart lines (cart_item_id) and touch their carts.
+    ``decisions`` has every id asked for and whether its line was there."""
+    items = t["cart_items"]
+    k = item_ids.select("cart_item_id").dropDuplicates()
+    gone = items.join(k, "cart_item_id", "left_semi")
+    there = k.join(items.select("cart_item_id", F.lit(True).alias("_there")), "cart_item_id", "left")
+    decisions = there.select("cart_item_id", F.when(F.col("_there").isNull(), "Cart item not found").alias("reason"),
+                             F.col("_there").isNotNull().alias("accepted"))
+    return CartAdds(items.join(k, "cart_item_id", "left_anti"), _touch_carts(t, gone.select("cart_id"), as_of), decisions)
 
 
 def clear_carts(t: Tables, cart_ids: DataFrame, as_of) -> CartAdds:
@@ -532,31 +610,54 @@ def claim_carts(carts: DataFrame, claims: DataFrame, as_of=None) -> Change:
 
 # ---------------------------------------------------------------- T11 payments
 
+def _decided(decisions: DataFrame, payments: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Valid decisions, and the others with the reason."""
+    known = payments.select(F.col(key)).dropDuplicates().withColumn("_known", F.lit(True))
+    d = decisions.join(known, key, "left").withColumn(
+        "reason", F.when(F.col("is_confirmed").isNull(), "is_confirmed is required")
+        .when(F.col("_known").isNull(), "payment not found")).drop("_known")
+    return d.where(F.col("reason").isNull()).drop("reason"), d.where(F.col("reason").isNotNull())
+
+
+def _confirmed(payments: DataFrame, valid: DataFrame, key: str, as_of) -> DataFrame:
+    last = valid.groupBy(key).agg(F.max_by("is_confirmed", "seq").alias("_d"))
+    pay = payments.join(last, key, "left")
+    hit = F.col("_d").isNotNull()
+    return (pay.withColumn("is_confirmed", F.when(hit, F.col("_d")).otherwise(F.col("is_confirmed")))
+            .withColumn("confirmed_at", F.when(hit, F.when(F.col("_d"), ts_lit(as_of))).otherwise(F.col("confirmed_at")))
+            .select(*payments.columns))
+
+
 def confirm_payments(t: Tables, decisions: DataFrame, as_of) -> tuple[dict[str, DataFrame], DataFrame]:
     """Admin confirmation (payment_id, is_confirmed, notes, seq): payment
     flag and confirmed_at (as_of or NULL); the order becomes processing or
-    failed and its notes get ' | Admin note: ...' (or ' | ' alone). Unknown
-    payments are rejected. Both tables change together (publish with S3)."""
-    last = decisions.groupBy("payment_id").agg(
-        F.max_by(F.struct("is_confirmed", "notes"), "seq").alias("_d"))
-    pay = t["payments"].join(last, "payment_id", "left")
-    hit = F.col("_d").isNotNull()
-    pay = (pay.withColumn("is_confirmed", F.when(hit, F.col("_d.is_confirmed")).otherwise(F.col("is_confirmed")))
-           .withColumn("confirmed_at", F.when(hit, F.when(F.col("_d.is_confirmed"), ts_lit(as_of)))
-                       .otherwise(F.col("confirmed_at"))))
-    per_order = pay.where(hit).select("order_id", F.col("_d.is_confirmed").alias("_ok"),
-                                      F.col("_d.notes").alias("_notes"))
-    note = F.when(F.coalesce(F.col("_notes"), F.lit("")) != "", F.concat(F.lit("Admin note: "), F.col("_notes"))) \
+    failed and its notes get ' | Admin note: ...' (or ' | ' alone) for every
+    decision, in seq order; the last decision stands. Unknown payments and
+    decisions without is_confirmed are rejected. Both tables change together
+    (publish with S3)."""
+    valid, rejected = _decided(decisions, t["payments"], "payment_id")
+    note = F.when(F.coalesce(F.col("notes"), F.lit("")) != "", F.concat(F.lit("Admin note: "), F.col("notes"))) \
         .otherwise(F.lit(""))
+    per_order = (valid.join(t["payments"].select("payment_id", "order_id"), "payment_id")
+                 .groupBy("order_id").agg(
+                     F.max_by("is_confirmed", "seq").alias("_ok"),
+                     F.sort_array(F.collect_list(F.struct("seq", append_note(F.lit(""), note).alias("n")))).alias("_notes")))
     o = t["orders"].join(per_order, "order_id", "left")
     oh = F.col("_ok").isNotNull()
     o = (o.withColumn("status", F.when(oh, F.when(F.col("_ok"), "processing").otherwise("failed"))
                       .otherwise(F.col("status")))
-         .withColumn("notes", F.when(oh, append_note("notes", note)).otherwise(F.col("notes"))))
+         .withColumn("notes", F.when(oh, F.concat(F.coalesce("notes", F.lit("")), F.array_join(F.col("_notes.n"), "")))
+                     .otherwise(F.col("notes"))))
     o = _touch(o, as_of, oh)
-    rejected = decisions.join(t["payments"].select("payment_id"), "payment_id", "left_anti")
-    return ({"payments": pay.drop("_d").select(*t["payments"].columns),
-             "orders": o.drop("_ok", "_notes").select(*t["orders"].columns)}, rejected)
+    return ({"payments": _confirmed(t["payments"], valid, "payment_id", as_of),
+             "orders": o.select(*t["orders"].columns)}, rejected)
+
+
+def confirm_payments_by_order(t: Tables, decisions: DataFrame, as_of) -> Change:
+    """T11 by order (order_id, is_confirmed, seq): only the payment changes."""
+    valid, rejected = _decided(decisions, t["payments"], "order_id")
+    table = _confirmed(t["payments"], valid, "order_id", as_of)
+    return Change(table, table.join(valid.select("order_id"), "order_id", "left_semi"), rejected)
 
 
 # ---------------------------------------------------------------- T12 reviews
@@ -569,39 +670,60 @@ class ReviewChange(NamedTuple):
 
 def apply_reviews(t: Tables, changes: DataFrame, as_of) -> ReviewChange:
     """Review creates, updates and deletes (op, seq, review_id, user_id,
-    product_id, rating, comment), then new rating and count for the touched
-    products only.
-
-    * create: one review per (user, product): refused when one exists or an
-      earlier create in the batch took the pair; new ids after the maximum;
-      created_at = as_of.
-    * update: only by the author; rating/comment when given (last by seq
-      wins); created_at = as_of (as the reference does).
-    * delete: only by the author.
+    product_id, rating, comment) in seq order, then new rating and count for
+    the touched products only.
+
+    * create: one review per (user, product): refused while one exists or once
+      an earlier create of the batch took the pair; a pair is free again after
+      its review was deleted. Unknown users and products and forbidden ratings
+      are refused. New ids after the maximum; created_at = as_of.
+    * update: only by the author, before a delete of that review; rating and
+      comment when given (last by seq wins); forbidden ratings are refused;
+      created_at = as_of (as the reference does).
+    * delete: only by the author; the first one counts.
     Products: rating = average rounded to 2 places, 0 with no reviews left;
     review_count; updated_at = as_of.
     """
     from storefront.operators.metrics import product_ratings
     reviews = t["reviews"]
-    cr = changes.where(F.col("op") == "create")
-    ins = insert_rows(reviews, cr.select("seq", "user_id", "product_id", "rating", "comment"), "reviews",
-                      defaults={"created_at": "as_of"}, as_of=as_of)
-    rv = ins.table
     owner = reviews.select("review_id", F.col("user_id").alias("_author"), F.col("product_id").alias("_pid"))
     ud = changes.where(F.col("op").isin("update", "delete")).join(owner, "review_id", "left")
-    not_author = ud.where(F.col("_author").isNull() | (F.col("_author") != F.col("user_id")))
-    ud_ok = ud.join(not_author.select("seq"), "seq", "left_anti")
+    gone = (ud.where((F.col("op") == "delete") & (F.col("_author") == F.col("user_id")))
+            .groupBy("review_id").agg(F.min("seq").alias("_gone")))
+    ud = ud.join(gone, "review_id", "left")
+    late = F.coalesce(F.col("seq") > F.col("_gone"), F.lit(False))
+    ud = ud.withColumn("reason", F.when(F.col("_author").isNull() | late, "review not found")
+                       .when(F.coalesce(F.col("_author") != F.col("user_id"), F.lit(True)), "not the author"))
+    ud_ok = ud.where(F.col("reason").isNull())
     up = ud_ok.where(F.col("op") == "update").select(
         "seq", "review_id", "rating", "comment",
         F.array_compact(F.array(F.when(F.col("rating").isNotNull(), F.lit("rating")),
                                 F.when(F.col("comment").isNotNull(), F.lit("comment")),
                                 F.lit("created_at"))).alias("changed"),
         ts_lit(as_of).alias("created_at"))
-    rv = patch(rv, up, "review_id", "present").table
-    dels = ud_ok.where(F.col("op") == "delete").select("review_id")
-    rv = rv.join(dels, "review_id", "left_anti")
-    touched = (cr.select("product_id").unionByName(ud_ok.select(F.col("_pid").alias("product_id")))
-               .dropDuplicates())
+    patched = patch(reviews, up, "review_id", "present", name="reviews")
+    left = patched.table.join(gone, "review_id", "left_anti")
+
+    # A pair is free after the delete of its last review, never while one stays.
+    pair = ["user_id", "product_id"]
+    freed = (reviews.select("review_id", *pair).join(gone, "review_id", "left").groupBy(*pair)
+             .agg(F.max("_gone").alias("_free"), F.count_if(F.col("_gone").isNull()).alias("_stay")))
+    cr = changes.where(F.col("op") == "create").select("seq", *pair, "rating", "comment").join(freed, pair, "left")
+    taken = F.coalesce((F.col("_stay") > 0) | (F.col("seq") < F.col("_free")), F.lit(False))
+    # A taken pair is refused after the row's own faults, as on an insert.
+    own_fault = _missing_parents(cr.withColumn("reason", _first_reason(
+        [x for x in table_rules("reviews", cr.columns) if x[0] != "review_id_not_null"])), "reviews", t, cr.columns)
+    cr = own_fault.withColumn("reason", F.coalesce("reason", F.when(taken, "duplicate " + ",".join(pair))))
+    ins = insert_rows(left, cr.where(F.col("reason").isNull()).select("seq", *pair, "rating", "comment"), "reviews",
+                      defaults={"created_at": "as_of"}, as_of=as_of)
+    # New ids follow the old maximum even if that review was deleted.
+    new = ins.affected
+    top, kept = reviews.select(F.max("review_id")).scalar(), left.select(F.max("review_id")).scalar()
+    new = new.withColumn("review_id", F.col("review_id") + F.coalesce(top, F.lit(0)) - F.coalesce(kept, F.lit(0)))
+    rv = left.unionByName(new.select(*left.columns))
+
+    touched = (changes.where(F.col("op") == "create").select("product_id")
+               .unionByName(ud_ok.select(F.col("_pid").alias("product_id"))).dropDuplicates())
     ratings = product_ratings(rv.join(touched, "product_id", "left_semi"), touched)
     p = t["products"].join(ratings.withColumnRenamed("rating", "_r").withColumnRenamed("review_count", "_n")
                            .withColumn("_hit", F.lit(True)), "product_id", "left")
@@ -609,9 +731,10 @@ def apply_reviews(t: Tables, changes: DataFrame, as_of) -> ReviewChange:
     p = (p.withColumn("rating", F.when(hit, F.col("_r")).otherwise(F.col("rating")))
          .withColumn("review_count", F.when(hit, F.col("_n")).otherwise(F.col("review_count"))))
     p = _touch(p, as_of, hit).select(*t["products"].columns)
-    rejected = (ins.rejected.select("seq", F.col("reason")).unionByName(
-        not_author.select("seq", F.when(F.col("_author").isNull(), "review not found")
-                          .otherwise("not the author").alias("reason"))))
+    rejected = (ins.rejected.select("seq", "reason")
+                .unionByName(cr.where(F.col("reason").isNotNull()).select("seq", "reason"))
+                .unionByName(ud.where(F.col("reason").isNotNull()).select("seq", "reason"))
+                .unionByName(patched.rejected.select("seq", "reason")))
     return ReviewChange(rv.select(*reviews.columns), p, rejected)
 
 
@@ -674,8 +797,10 @@ def register_payments(t: Tables, requests: DataFrame, as_of) -> Change:
     checkout_request_id, merchant_request_id) are validated in the
     reference's order: missing field, bad phone (F2), amount < 1, order not
     found, amount differs from the order total by more than 0.01. Valid ones
-    become pending transactions (raw phone text stored, created_at = as_of,
-    ids after the current maximum); the others are rejected with the reason."""
+    become pending transactions through the checked insert (raw phone text
+    stored, created_at = as_of, ids after the current maximum; a checkout id
+    that is taken, or taken earlier in the batch, is refused); the others are
+    rejected with the reason."""
     txns = t["mpesa_transactions"]
     r = requests.join(t["orders"].select("order_id", F.col("total_amount").alias("_total")), "order_id", "left")
     missing = (F.col("phone_number").isNull() | (F.col("phone_number") == "") | F.col("amount").isNull()
@@ -690,10 +815,7 @@ def register_payments(t: Tables, requests: DataFrame, as_of) -> Change:
         "order_id", "checkout_request_id", "merchant_request_id", "phone_number",
         F.col("amount").cast("decimal(12,2)").alias("amount"), F.lit("pending").alias("status"),
         ts_lit(as_of).alias("created_at"), ts_lit(as_of).alias("updated_at"), "request_id")
-    start = F.coalesce(txns.select(F.max("transaction_id")).scalar(), F.lit(0))
-    new = assign_keys(good.orderBy("request_id"), "transaction_id", start)
-    for f in SCHEMAS["mpesa_transactions"].fields:
-        if f.name not in new.columns:
-            new = new.withColumn(f.name, F.lit(None).cast(f.dataType))
-    new = new.select(*txns.columns)
-    return Change(txns.unionByName(new), new, r.where(F.col("reason").isNotNull()).drop("_total"))
+    ins = insert_rows(txns, good, "mpesa_transactions", as_of=as_of, seq="request_id")
+    refused = r.join(ins.rejected.select("request_id", F.col("reason").alias("_why")), "request_id", "left")
+    refused = refused.withColumn("reason", F.coalesce("reason", "_why")).where(F.col("reason").isNotNull())
+    return Change(ins.table, ins.affected, refused.drop("_total", "_why"))

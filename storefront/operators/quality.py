@@ -166,29 +166,21 @@ def rejected_rows(t: Tables, tables: Iterable[str]) -> DataFrame:
 def orphans(t: Tables, keys=FOREIGN_KEYS) -> DataFrame:
     """Q2: child rows whose (non-NULL) foreign key has no parent, for every key.
 
-    Each child table is read once: it is left-joined to the distinct key set
-    of each of its parents (a flag column per key, no row multiplication) and
-    the missing keys are emitted as rows. Parent sides are projected to the
-    key only; AQE broadcasts them when they are small.
+    Per parent, the references of all its children are united and anti-joined
+    with the parent's keys once; the parent is not de-duplicated first.
     """
-    by_child: dict[str, list[tuple[str, str, str]]] = {}
+    by_parent: dict[tuple[str, str], DataFrame] = {}
     for child, col, parent, pcol, _ in keys:
-        by_child.setdefault(child, []).append((col, parent, pcol))
+        refs = t[child].where(F.col(col).isNotNull()).select(
+            F.lit(f"{child}.{col} -> {parent}.{pcol}").alias("foreign_key"), F.lit(child).alias("child_table"),
+            _key_text(child).alias("child_key"), F.col(col).cast("long").alias("missing_key"))
+        at = (parent, pcol)
+        by_parent[at] = by_parent[at].unionByName(refs) if at in by_parent else refs
     out = None
-    for child, fks in by_child.items():
-        pk = list(PRIMARY_KEYS[child])
-        c = t[child].select(*dict.fromkeys(pk + [col for col, _, _ in fks]))
-        miss = []
-        for i, (col, parent, pcol) in enumerate(fks):
-            flag = f"_found{i}"
-            parent_keys = t[parent].select(F.col(pcol).alias(f"_k{i}")).dropDuplicates().withColumn(flag, F.lit(True))
-            c = c.join(parent_keys, F.col(col) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
-            miss.append(F.when(F.col(col).isNotNull() & F.col(flag).isNull(), F.struct(
-                F.lit(f"{child}.{col} -> {parent}.{pcol}").alias("foreign_key"),
-                F.col(col).cast("long").alias("missing_key"))))
-        rows = (c.select(_key_text(child).alias("child_key"), F.explode(F.array_compact(F.array(*miss))).alias("m"))
-                .select("m.foreign_key", F.lit(child).alias("child_table"), "child_key", "m.missing_key"))
-        out = rows if out is None else out.unionByName(rows)
+    for (parent, pcol), refs in by_parent.items():
+        miss = refs.join(t[parent].select(F.col(pcol).cast("long").alias("missing_key")), "missing_key", "left_anti").select(
+            "foreign_key", "child_table", "child_key", "missing_key")
+        out = miss if out is None else out.unionByName(miss)
     return out
 
 

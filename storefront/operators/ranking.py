@@ -69,42 +69,33 @@ def top_sellers(t: Tables, n: int | None = 10, compat: bool = False) -> DataFram
 
     Default: order lines and reviews are aggregated per product separately and
     then summed per seller (true totals, plain average rating). ``compat=True``
-    reproduces the reference's single join of lines and reviews, where revenue
-    and the average are multiplied/weighted by the other branch.
+    gives the numbers of the reference's single join of lines and reviews,
+    where each branch counts once per row of the other, from the same totals
+    per product: its line sum times its reviews (at least one), its ratings
+    times its lines (at least one).
     """
     owners = t["sellers"].join(t["users"].select("user_id", F.col("name").alias("owner_name"), "email"), "user_id")
     owners = owners.select("seller_id", "business_name", "owner_name", "email")
     products = t["products"].select("product_id", "seller_id")
-    if compat:
-        rows = (owners.join(products, "seller_id", "left")
-                .join(t["order_items"].select("order_item_id", "order_id", "product_id", "quantity", "unit_price"),
-                      "product_id", "left")
-                .join(t["orders"].select("order_id", "status"), "order_id", "left")
-                .join(t["reviews"].select("review_id", "product_id", "rating"), "product_id", "left")
-                .where(F.col("status").isNull() | ok_order()))
-        agg = rows.groupBy("seller_id", "business_name", "owner_name", "email").agg(
-            F.count_distinct("product_id").alias("total_products"),
-            F.count_distinct("order_id").alias("total_orders"),
-            total(line_amount()).alias("revenue"),
-            F.coalesce(avg2("rating"), zero2()).alias("average_rating"),
-            F.count_distinct("review_id").alias("review_count"))
-        return topk(agg, [desc_pg("revenue")], n, key=["seller_id"])
-
     lines = _line_pass(t)
     per_product = lines.groupBy("product_id").agg(
-        F.sum(F.when(F.col("pass"), F.col("amount"))).alias("rev"),
+        F.sum(F.when(F.col("pass"), F.col("amount"))).alias("rev"), F.count_if("pass").alias("nl"),
         F.max(F.col("pass").cast("int")).alias("any_pass"))
     per_review = t["reviews"].groupBy("product_id").agg(
         F.count(F.lit(1)).alias("nr"), F.sum("rating").alias("sr"))
     prod = (products.join(per_product, "product_id", "left").join(per_review, "product_id", "left")
             .withColumn("survives", F.col("any_pass").isNull() | (F.col("any_pass") == 1)))
+    if compat:
+        prod = _fanned_out(prod, "rev")
     per_seller = prod.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("n_products"),
         F.count_if("survives").alias("total_products"),
         F.sum(F.when(F.col("survives"), F.col("rev"))).alias("rev"),
         F.sum(F.when(F.col("survives"), F.col("nr"))).alias("nr"),
-        F.sum(F.when(F.col("survives"), F.col("sr"))).alias("sr"))
-    orders_per_seller = (lines.where(F.col("pass") & F.col("status").isNotNull())
+        F.sum(F.when(F.col("survives"), F.col("sr"))).alias("sr"),
+        F.sum(F.when(F.col("survives"), F.col("wr" if compat else "nr"))).alias("wr"))
+    # The joined statement also counts orders that lines name but that do not exist.
+    orders_per_seller = (lines.where(F.col("pass") if compat else F.col("pass") & F.col("status").isNotNull())
                          .join(products, "product_id")
                          .groupBy("seller_id").agg(F.count_distinct("order_id").alias("total_orders")))
     out = (owners.join(per_seller, "seller_id", "left").join(orders_per_seller, "seller_id", "left")
@@ -113,49 +104,49 @@ def top_sellers(t: Tables, n: int | None = 10, compat: bool = False) -> DataFram
                    F.coalesce("total_products", F.lit(0)).alias("total_products"),
                    F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
                    F.coalesce(F.col("rev"), F.lit(0)).cast("decimal(38,2)").alias("revenue"),
-                   F.coalesce(ratio2(F.col("sr"), F.col("nr")), zero2()).alias("average_rating"),
+                   F.coalesce(ratio2(F.col("sr"), F.col("wr")), zero2()).alias("average_rating"),
                    F.coalesce("nr", F.lit(0)).alias("review_count")))
     return topk(out, [desc_pg("revenue")], n, key=["seller_id"])
 
 
+def _fanned_out(prod: DataFrame, *sums: str) -> DataFrame:
+    """Per-product totals as a join of lines (nl) and reviews (nr, sr) would
+    count them: line sums once per review, ratings once per line (wr: how often
+    a rating counts)."""
+    times_reviews = F.greatest(F.coalesce("nr", F.lit(0)), F.lit(1))
+    times_lines = F.greatest(F.coalesce("nl", F.lit(0)), F.lit(1))
+    for c in sums:
+        prod = prod.withColumn(c, F.col(c) * times_reviews)
+    return prod.withColumn("sr", F.col("sr") * times_lines).withColumn("wr", F.col("nr") * times_lines)
+
+
 def category_performance(t: Tables, compat: bool = False, exclude_status: tuple[str, ...] = ()) -> DataFrame:
     """Per category: products, lines, units, revenue, rating, reviews;
     empty categories kept with zeros; highest revenue first.
 
-    Default aggregates lines and reviews per product before joining; ``compat``
-    reproduces the reference's joined numbers. ``exclude_status`` leaves out
+    Lines and reviews are aggregated per product before joining; ``compat``
+    gives the reference's joined numbers from the same totals. ``exclude_status`` leaves out
     lines of orders in those statuses (none by default, as the reference; D13).
     """
     cats = t["categories"].select("category_id", F.col("name").alias("category_name"))
     products = t["products"].select("product_id", "category_id")
-    if compat:
-        rows = (cats.join(products, "category_id", "left")
-                .join(_lines_without(t, exclude_status).select("order_item_id", "product_id", "quantity",
-                                                               "unit_price"), "product_id", "left")
-                .join(t["reviews"].select("review_id", "product_id", "rating"), "product_id", "left"))
-        agg = rows.groupBy("category_id", "category_name").agg(
-            F.count_distinct("product_id").alias("product_count"),
-            F.count_distinct("order_item_id").alias("times_ordered"),
-            F.coalesce(F.sum("quantity"), F.lit(0)).cast("long").alias("units_sold"),
-            total(line_amount()).alias("revenue"),
-            F.coalesce(avg2("rating"), zero2()).alias("average_rating"),
-            F.count_distinct("review_id").alias("review_count"))
-        return agg.orderBy(desc_pg("revenue"), "category_id")
     sales = _lines_without(t, exclude_status).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.sum(line_amount()).alias("rev"))
     revs = t["reviews"].groupBy("product_id").agg(F.count(F.lit(1)).alias("nr"), F.sum("rating").alias("sr"))
-    per_cat = (products.join(sales, "product_id", "left").join(revs, "product_id", "left")
-               .groupBy("category_id").agg(
-                   F.count(F.lit(1)).alias("product_count"), F.sum("lines").alias("times_ordered"),
-                   F.sum("units").alias("units_sold"), F.sum("rev").alias("revenue"),
-                   F.sum("nr").alias("nr"), F.sum("sr").alias("sr")))
+    prod = products.join(sales, "product_id", "left").join(revs, "product_id", "left")
+    if compat:
+        prod = _fanned_out(prod.withColumn("nl", F.col("lines")), "units", "rev")
+    per_cat = prod.groupBy("category_id").agg(
+        F.count(F.lit(1)).alias("product_count"), F.sum("lines").alias("times_ordered"),
+        F.sum("units").alias("units_sold"), F.sum("rev").alias("revenue"),
+        F.sum("nr").alias("nr"), F.sum("sr").alias("sr"), F.sum("wr" if compat else "nr").alias("wr"))
     out = cats.join(per_cat, "category_id", "left").select(
         "category_id", "category_name",
         F.coalesce("product_count", F.lit(0)).alias("product_count"),
         F.coalesce("times_ordered", F.lit(0)).alias("times_ordered"),
         F.coalesce("units_sold", F.lit(0)).cast("long").alias("units_sold"),
         F.coalesce(F.col("revenue"), F.lit(0)).cast("decimal(38,2)").alias("revenue"),
-        F.coalesce(ratio2(F.col("sr"), F.col("nr")), zero2()).alias("average_rating"),
+        F.coalesce(ratio2(F.col("sr"), F.col("wr")), zero2()).alias("average_rating"),
         F.coalesce("nr", F.lit(0)).alias("review_count"))
     return out.orderBy(desc_pg("revenue"), "category_id")
 

@@ -36,7 +36,7 @@ def _seller_orders(t: Tables) -> DataFrame:
         return t["_seller_orders"]
     lines = (t["order_items"].select("order_id", "product_id", "quantity", "unit_price")
              .join(t["products"].select("product_id", "seller_id"), "product_id"))
-    per = lines.groupBy("seller_id", "order_id").agg(
+    per = lines.groupBy("order_id", "seller_id").agg(
         F.sum(line_amount()).alias("revenue"), F.count(F.lit(1)).alias("lines"))
     return per.join(t["orders"].select("order_id", "user_id", "status", "total_amount", "created_at"), "order_id")
 
@@ -117,11 +117,11 @@ def seller_top_products(t: Tables, k: int = 5) -> DataFrame:
 
 def seller_recent_orders(t: Tables, k: int = 10) -> DataFrame:
     """The k newest distinct orders per seller with customer name and e-mail."""
-    so = _seller_orders(t).join(
-        t["users"].select("user_id", F.col("name").alias("customer_name"), F.col("email").alias("customer_email")),
-        "user_id")
+    users = t["users"].select("user_id", F.col("name").alias("customer_name"), F.col("email").alias("customer_email"))
+    # Only orders of known users count; names are joined to the k rows that are left.
+    so = _seller_orders(t).join(users.select("user_id"), "user_id", "left_semi")
     w = Window.partitionBy("seller_id").orderBy(desc_pg("created_at"), F.col("order_id").asc())
-    return (so.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (so.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(users, "user_id")
             .select("seller_id", "order_id", "total_amount", "status", "created_at", "customer_name",
                     "customer_email", "rank"))
 
@@ -154,11 +154,13 @@ def seller_dashboards(t: Tables, as_of, top_k: int = 5, recent_k: int = 10, low_
         return df.groupBy("seller_id").agg(
             F.array_sort(F.collect_list(F.struct(*order_cols, *fields))).alias(name))
 
-    # The (seller, order) rows feed four of the parts: write them once to the
-    # shared checkpoint folder and let every part read the written copy.
-    from storefront.session import checkpoint_root
-    checkpoint_root(t["orders"].sparkSession)
-    so = _seller_orders(t).checkpoint(eager=True)
+    # The (seller, order) rows feed four of the parts: write them once as
+    # Parquet below the shared checkpoint folder; every part reads its columns.
+    from storefront.session import scratch_path
+    spark, path = t["orders"].sparkSession, scratch_path(t["orders"].sparkSession, "seller-orders")
+    so = _seller_orders(t)
+    so.write.parquet(path)
+    so = spark.read.schema(so.schema).parquet(path)
     t = t.with_tables(_seller_orders=so) if hasattr(t, "with_tables") else {**dict(t), "_seller_orders": so}
     top = lists(seller_top_products(t, top_k), "top_products", ["rank"],
                 ["product_id", "title", "price", "sale_price", "units_sold", "revenue"])

@@ -202,12 +202,15 @@ FROM shop_orders o LEFT JOIN (SELECT * FROM shop_payments WHERE is_confirmed = f
 def _t11(t):
     """Unconfirmed payments confirmed when the order was delivered
     (note 'delivered'), rejected otherwise (no note)."""
+    out, _ = C.confirm_payments(t, _payment_decisions(t), ORDERS_AS_OF)
+    return out["orders"].select("order_id", "status", "notes")
+
+
+def _payment_decisions(t):
     p = t["payments"].where(F.col("is_confirmed") == F.lit(False)).join(
         t["orders"].select("order_id", "status"), "order_id")
-    dec = p.select("payment_id", F.col("payment_id").alias("seq"), (F.col("status") == "delivered").alias("is_confirmed"),
-                   F.when(F.col("status") == "delivered", "delivered").alias("notes"))
-    out, _ = C.confirm_payments(t, dec, ORDERS_AS_OF)
-    return out["orders"].select("order_id", "status", "notes")
+    return p.select("payment_id", F.col("payment_id").alias("seq"), (F.col("status") == "delivered").alias("is_confirmed"),
+                    F.when(F.col("status") == "delivered", "delivered").alias("notes"))
 
 
 @query("new_reviews_ratings", """
@@ -279,17 +282,20 @@ FROM req r JOIN shop_orders o USING (order_id)""")
 def _t16(t):
     """One payment request per order from the customer's phone; every third
     order sends its total + 1 (rejected). Outcome per request (NULL = registered)."""
-    req = (t["orders"].join(t["users"].select("user_id", F.col("phone").alias("phone_number")), "user_id")
-           .select(F.col("order_id").alias("request_id"), "order_id", "phone_number",
-                   F.when(F.col("order_id") % 3 == 0, F.col("total_amount") + 1).otherwise(F.col("total_amount"))
-                   .alias("amount"),
-                   F.concat(F.lit("ws_CO_req_"), F.col("order_id").cast("string")).alias("checkout_request_id"),
-                   F.concat(F.lit("mr_"), F.col("order_id").cast("string")).alias("merchant_request_id")))
-    ch = C.register_payments(t, req, EVENTS_AS_OF)
+    ch = C.register_payments(t, _payment_requests(t), EVENTS_AS_OF)
     return ch.affected.select(F.col("order_id").alias("request_id"), F.lit(None).cast("string").alias("reason")) \
         .unionByName(ch.rejected.select("request_id", "reason"))
 
 
+def _payment_requests(t):
+    return (t["orders"].join(t["users"].select("user_id", F.col("phone").alias("phone_number")), "user_id")
+            .select(F.col("order_id").alias("request_id"), "order_id", "phone_number",
+                    F.when(F.col("order_id") % 3 == 0, F.col("total_amount") + 1).otherwise(F.col("total_amount"))
+                    .alias("amount"),
+                    F.concat(F.lit("ws_CO_req_"), F.col("order_id").cast("string")).alias("checkout_request_id"),
+                    F.concat(F.lit("mr_"), F.col("order_id").cast("string")).alias("merchant_request_id")))
+
+
 @query("cascade_delete_abandoned_carts", """
 SELECT * FROM (
   SELECT 'carts' AS table_name, count(*) AS deleted_rows FROM shop_carts WHERE status = 'abandoned'
@@ -319,3 +325,215 @@ def _t9(t):
     res = C.set_cart_quantities(t, sets, EVENTS_AS_OF)
     return res.cart_items.join(res.decisions.select("cart_item_id", "accepted"), "cart_item_id").select(
         "cart_item_id", "quantity", "accepted")
+
+
+@query("patch_invalid_values", """
+SELECT product_id, CAST(CASE WHEN (product_id * 7) % 50 >= 10 THEN (product_id * 7) % 50 - 10 ELSE stock END AS INT) AS stock,
+       CASE WHEN (product_id * 7) % 50 < 10 THEN 'stock_non_negative' END AS reason
+FROM shop_products""")
+def _t2_invalid(t):
+    """Every product's stock lowered by ten; a change below zero is refused
+    and the product keeps its stock."""
+    ch = t["products"].select("product_id", F.col("product_id").alias("seq"), (F.col("stock") - 10).alias("stock"),
+                              F.array(F.lit("stock")).alias("changed"))
+    res = C.patch(t["products"], ch, "product_id", name="products")
+    return res.table.select("product_id", "stock").join(res.rejected.select("product_id", "reason"), "product_id", "left")
+
+
+@query("bulk_update_invalid_values", """
+SELECT product_id, CASE WHEN product_id % 3 = 0 THEN price ELSE CAST(0.5 AS DECIMAL(10,2)) END AS price,
+       CASE WHEN product_id % 3 = 0 THEN 'price_positive' END AS reason FROM shop_products""")
+def _t3_invalid(t):
+    """A price of 0.50 for all products, 0 for those with a sale price; the
+    latter are refused."""
+    price = F.when(F.col("sale_price").isNull(), F.lit(0.5)).otherwise(F.lit(0))
+    res = C.bulk_update(t["products"], t["products"].select("product_id"), {"price": price}, "product_id", name="products")
+    return res.table.select("product_id", "price").join(res.rejected.select("product_id", "reason"), "product_id", "left")
+
+
+def _new_orders(t):
+    """Every order placed again; every seventh by an unknown user, every
+    eleventh without an amount."""
+    o = F.col("order_id")
+    return t["orders"].select(
+        o.alias("seq"), F.when(o % 7 == 0, F.col("user_id") + 100_000_000).otherwise(F.col("user_id")).alias("user_id"),
+        "address_id", F.when(o % 11 == 0, F.lit(0)).otherwise(F.col("total_amount")).cast("decimal(12,2)").alias("total_amount"))
+
+
+@query("orders_inserted", """
+SELECT (SELECT max(order_id) FROM shop_orders) + row_number() OVER (ORDER BY o.order_id) AS order_id, o.user_id, o.total_amount,
+       'pending' AS status
+FROM shop_orders o JOIN shop_users u ON u.user_id = o.user_id JOIN shop_addresses a ON a.address_id = o.address_id
+WHERE o.order_id % 7 <> 0 AND o.order_id % 11 <> 0 AND o.total_amount > 0""")
+def _t1(t):
+    """The new orders that pass, with defaults and new keys."""
+    res = C.insert_rows(t["orders"], _new_orders(t), "orders", {"status": "pending", "created_at": "as_of"}, ORDERS_AS_OF, parents=t)
+    return res.affected.select("order_id", "user_id", "total_amount", "status")
+
+
+@query("orders_insert_rejected", """
+SELECT o.order_id AS seq, CASE WHEN o.order_id % 11 = 0 OR NOT o.total_amount > 0 THEN 'total_amount_positive'
+         WHEN o.order_id % 7 = 0 OR u.user_id IS NULL THEN 'missing users' ELSE 'missing addresses' END AS reason
+FROM shop_orders o LEFT JOIN shop_users u ON u.user_id = o.user_id LEFT JOIN shop_addresses a ON a.address_id = o.address_id
+WHERE o.order_id % 11 = 0 OR o.order_id % 7 = 0 OR NOT o.total_amount > 0 OR u.user_id IS NULL OR a.address_id IS NULL""")
+def _t1_rejected(t):
+    """The new orders that are refused, with the reason."""
+    res = C.insert_rows(t["orders"], _new_orders(t), "orders", {"status": "pending", "created_at": "as_of"}, ORDERS_AS_OF, parents=t)
+    return res.rejected.select("seq", "reason")
+
+
+def _review_changes(t):
+    """Every fifth review deleted and written again right after, the next ones
+    updated to ratings from 0 to 7, the next ones updated by someone else."""
+    r, e = t["reviews"], F.col("review_id")
+    none = F.lit(None).cast("string")
+    parts = [
+        r.where(e % 5 == 0).select(F.lit("delete").alias("op"), (e * 10 + 1).alias("seq"), "review_id", "user_id", "product_id",
+                                   F.lit(None).cast("int").alias("rating"), none.alias("comment")),
+        r.where(e % 5 == 0).select(F.lit("create").alias("op"), (e * 10 + 2).alias("seq"), F.lit(None).cast("long").alias("review_id"),
+                                   "user_id", "product_id", (1 + e % 4).cast("int").alias("rating"), none.alias("comment")),
+        r.where(e % 5 == 1).select(F.lit("update").alias("op"), (e * 10 + 3).alias("seq"), "review_id", "user_id", "product_id",
+                                   (e % 8).cast("int").alias("rating"), none.alias("comment")),
+        r.where(e % 5 == 2).select(F.lit("update").alias("op"), (e * 10 + 3).alias("seq"), "review_id", (F.col("user_id") + 1).alias("user_id"),
+                                   "product_id", F.lit(1).alias("rating"), none.alias("comment"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+_PAIRS = """
+pairs AS (SELECT user_id, product_id, count_if(review_id % 5 <> 0) AS stay, max(review_id) AS last FROM shop_reviews
+          GROUP BY user_id, product_id),
+again AS (SELECT r.review_id, r.user_id, r.product_id, p.stay = 0 AND p.last = r.review_id AS free,
+                 u.user_id IS NOT NULL AS known
+          FROM shop_reviews r JOIN pairs p ON p.user_id = r.user_id AND p.product_id = r.product_id
+          LEFT JOIN shop_users u ON u.user_id = r.user_id WHERE r.review_id % 5 = 0)"""
+
+
+@query("review_changes", f"""
+WITH {_PAIRS}
+SELECT review_id, user_id, product_id, CAST(CASE WHEN review_id % 5 = 1 AND review_id % 8 BETWEEN 1 AND 5 THEN review_id % 8
+                                                 ELSE rating END AS INT) AS rating
+FROM shop_reviews WHERE review_id % 5 <> 0
+UNION ALL
+SELECT (SELECT max(review_id) FROM shop_reviews) + row_number() OVER (ORDER BY review_id), user_id, product_id,
+       CAST(1 + review_id % 4 AS INT) FROM again WHERE free AND known""")
+def _t12_changes(t):
+    """Deletes, re-creates and updates in seq order; the reviews afterwards."""
+    return C.apply_reviews(t, _review_changes(t), EVENTS_AS_OF).reviews.select("review_id", "user_id", "product_id", "rating")
+
+
+@query("review_changes_rejected", f"""
+WITH {_PAIRS}
+SELECT review_id * 10 + 3 AS seq, 'rating_range' AS reason FROM shop_reviews
+WHERE review_id % 5 = 1 AND NOT review_id % 8 BETWEEN 1 AND 5
+UNION ALL SELECT review_id * 10 + 3, 'not the author' FROM shop_reviews WHERE review_id % 5 = 2
+UNION ALL SELECT review_id * 10 + 2, CASE WHEN NOT known THEN 'missing users' ELSE 'duplicate user_id,product_id' END
+FROM again WHERE NOT (free AND known)""")
+def _t12_rejected(t):
+    """The refused review changes and why."""
+    return C.apply_reviews(t, _review_changes(t), EVENTS_AS_OF).rejected.select("seq", "reason")
+
+
+@query("cart_sets_in_order", """
+WITH s AS (
+  SELECT ci.cart_item_id * 3 + k AS seq, ci.cart_item_id, k, p.stock,
+         CASE k WHEN 0 THEN ci.quantity * 2 WHEN 1 THEN ci.quantity + 100000 ELSE 0 END AS quantity
+  FROM shop_cart_items ci JOIN shop_products p ON p.product_id = ci.product_id, range(0, 3) r(k))
+SELECT seq, cart_item_id, CAST(quantity AS INT) AS quantity,
+       CASE WHEN quantity <= 0 THEN 'Quantity must be positive' WHEN quantity > stock THEN 'Insufficient stock' END AS reason
+FROM s""")
+def _t9_order(t):
+    """Three requests per line (twice the quantity, far too much, zero),
+    each decided by itself."""
+    return C.set_cart_quantities(t, _three_sets(t), EVENTS_AS_OF).decisions.select("seq", "cart_item_id", "quantity", "reason")
+
+
+def _three_sets(t):
+    i, q = F.col("cart_item_id"), F.col("quantity")
+    k = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    return t["cart_items"].select(i, q, k.alias("k")).select(
+        (i * 3 + F.col("k")).alias("seq"), "cart_item_id",
+        F.when(F.col("k") == 0, q * 2).when(F.col("k") == 1, q + 100_000).otherwise(0).cast("int").alias("quantity"))
+
+
+@query("cart_lines_after_sets", """
+SELECT ci.cart_item_id, CAST(CASE WHEN ci.quantity * 2 <= p.stock THEN ci.quantity * 2 ELSE ci.quantity END AS INT) AS quantity
+FROM shop_cart_items ci JOIN shop_products p ON p.product_id = ci.product_id""")
+def _t9_lines(t):
+    """The lines after those requests: the last valid one stands."""
+    return C.set_cart_quantities(t, _three_sets(t), EVENTS_AS_OF).cart_items.select("cart_item_id", "quantity")
+
+
+@query("cart_line_removals", f"""
+SELECT c.cart_id, CASE WHEN c.cart_id IN (SELECT cart_id FROM shop_cart_items WHERE cart_item_id % 4 = 0) THEN {EA}
+                       ELSE c.updated_at END AS updated_at,
+       (SELECT count(*) FROM shop_cart_items ci WHERE ci.cart_id = c.cart_id AND ci.cart_item_id % 4 <> 0) AS line_count
+FROM shop_carts c""")
+def _t9_remove(t):
+    """Every fourth line removed; its cart is touched."""
+    ids = t["cart_items"].where(F.col("cart_item_id") % 4 == 0).select("cart_item_id")
+    res = C.remove_cart_items(t, ids, EVENTS_AS_OF)
+    lines = res.cart_items.groupBy("cart_id").agg(F.count(F.lit(1)).alias("line_count"))
+    return res.carts.select("cart_id", "updated_at").join(lines, "cart_id", "left").fillna(0, ["line_count"])
+
+
+@query("confirmed_payments", f"""
+SELECT p.payment_id, CASE WHEN p.is_confirmed = false THEN o.status = 'delivered' ELSE p.is_confirmed END AS is_confirmed,
+       CASE WHEN p.is_confirmed = false AND o.status = 'delivered' THEN TIMESTAMP '{ORDERS_AS_OF}' END AS confirmed_at
+FROM shop_payments p JOIN shop_orders o ON o.order_id = p.order_id""")
+def _t11_payments(t):
+    """The payments after the decisions of ``confirm_unconfirmed_payments``."""
+    return C.confirm_payments(t, _payment_decisions(t), ORDERS_AS_OF)[0]["payments"].select(
+        "payment_id", "is_confirmed", "confirmed_at")
+
+
+@query("payments_confirmed_by_order", f"""
+SELECT payment_id, CASE WHEN order_id % 3 = 0 THEN order_id % 2 = 0 ELSE is_confirmed END AS is_confirmed,
+       CASE WHEN order_id % 3 = 0 AND order_id % 2 = 0 THEN TIMESTAMP '{ORDERS_AS_OF}' END AS confirmed_at FROM shop_payments""")
+def _t11_by_order(t):
+    """T11 by order: every third order's payment set, the payment table only."""
+    dec = t["orders"].where(F.col("order_id") % 3 == 0).select("order_id", F.col("order_id").alias("seq"),
+                                                             (F.col("order_id") % 2 == 0).alias("is_confirmed"))
+    return C.confirm_payments_by_order(t, dec, ORDERS_AS_OF).table.select("payment_id", "is_confirmed", "confirmed_at")
+
+
+def _repeated_requests(t):
+    """The requests of ``payment_request_outcomes``, every tenth sent twice with one checkout id."""
+    req = _payment_requests(t)
+    return req.unionByName(req.where(F.col("order_id") % 10 == 0).withColumn("request_id", F.col("request_id") + 10**12))
+
+
+@query("payment_requests_registered", f"""
+WITH good AS (
+  SELECT o.order_id, o.total_amount AS amount FROM shop_orders o JOIN shop_users u ON o.user_id = u.user_id
+  WHERE o.order_id % 3 <> 0 AND o.total_amount >= 1 AND regexp_full_match(u.phone, '(\\+?254|0)[17][0-9]{{8}}'))
+SELECT (SELECT max(transaction_id) FROM shop_transactions) + row_number() OVER (ORDER BY order_id) AS transaction_id, order_id,
+       'ws_CO_req_' || CAST(order_id AS VARCHAR) AS checkout_request_id, amount, 'pending' AS status FROM good""")
+def _t16_rows(t):
+    """The transactions that the requests add; a repeated checkout id adds one."""
+    return C.register_payments(t, _repeated_requests(t), EVENTS_AS_OF).affected.select(
+        "transaction_id", "order_id", "checkout_request_id", "amount", "status")
+
+
+@query("payment_requests_repeated", """
+SELECT o.order_id + 1000000000000 AS request_id,
+       CASE WHEN o.order_id % 3 = 0 THEN 'Payment amount does not match order total'
+            ELSE 'duplicate checkout_request_id in batch' END AS reason
+FROM shop_orders o JOIN shop_users u ON o.user_id = u.user_id WHERE o.order_id % 10 = 0""")
+def _t16_repeated(t):
+    """What becomes of the repeated requests."""
+    return C.register_payments(t, _repeated_requests(t), EVENTS_AS_OF).rejected.where(
+        F.col("request_id") >= 10**12).select("request_id", "reason")
+
+
+@query("merge_category_chain", """
+SELECT CASE WHEN category_id <= 6 THEN 7 ELSE category_id END AS category_id, count(*) AS product_count
+FROM shop_products GROUP BY 1""")
+def _t7_chain(t):
+    """1 -> 2 -> .. -> 7, a chain that ends in the last category."""
+    pairs = t["categories"].where(F.col("category_id") < 7).select(F.col("category_id").alias("source_id"),
+                                                                   (F.col("category_id") + 1).alias("target_id"))
+    out, _ = C.merge_categories(t, pairs, EVENTS_AS_OF)
+    return out["products"].groupBy("category_id").agg(F.count(F.lit(1)).alias("product_count"))

@@ -14,38 +14,45 @@ from storefront.session import scratch_path
 from storefront.sources.views import transactions_from_events
 from storefront.streaming import callbacks as CB
 from storefront.streaming import windows as W
-from storefront.streaming.common import run_available_now, run_foreach_batch, table_stream
-
-WM = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-
+from storefront.streaming.common import run_available_now, table_stream
 
 def _tx_stream(t):
-    return transactions_from_events(table_stream(t.spark, t.sf_dir, "events"))
+    """The transactions as a stream that ends with a closing row one day after
+    the data: the watermark then passes every window that holds a transaction."""
+    tx = transactions_from_events(table_stream(t.spark, t.sf_dir, "events"))
+    last = t["mpesa_transactions"].select(F.max("created_at")).scalar()
+    folder = scratch_path(t.spark, "closing-row")
+    none = t["mpesa_transactions"].limit(0)
+    row = t.spark.range(1).select(*[(last + F.expr("INTERVAL 1 DAY") if f.name == "created_at" else F.lit(None))
+                                    .cast(f.dataType).alias(f.name) for f in none.schema])
+    row.write.parquet(folder)
+    return tx.unionByName(t.spark.readStream.schema(none.schema).parquet(folder))
 
 
-@query("hourly_stream", f"""
+@query("hourly_stream", """
 SELECT date_trunc('hour', created_at) AS hour, count(*) AS total_transactions,
        count_if(status = 'completed') AS successful, count_if(status = 'failed') AS failed,
        count_if(status = 'pending') AS pending, CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount
-FROM shop_transactions GROUP BY 1
-HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR <= {WM}""")
+FROM shop_transactions GROUP BY 1""")
 def _r4(t):
-    """Hourly windows closed by a 10-minute watermark (append mode)."""
+    """Hourly windows closed by a 10-minute watermark (append mode); the
+    closing row's own window never closes and is not emitted."""
     return run_available_now(W.hourly_stream(_tx_stream(t), "10 minutes"), "hourly")
 
 
-@query("alert_stream", f"""
+@query("alert_stream", """
 WITH w AS (
-  SELECT time_bucket(INTERVAL 5 MINUTE, created_at) - k * INTERVAL 5 MINUTE AS window_start, status
-  FROM shop_transactions, range(0, 12) r(k))
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS n,
-       count_if(status = 'failed') AS failed, count_if(status = 'pending') AS pending,
-       CASE WHEN count_if(status = 'failed') * 10 > count(*) THEN 'ALERT: High M-Pesa failure rate (>10%) in last hour'
-            ELSE 'OK' END AS failure_rate_alert,
-       CASE WHEN count_if(status = 'pending') > 50
-            THEN 'ALERT: ' || CAST(count_if(status = 'pending') AS VARCHAR) || ' pending transactions older than 5 minutes'
+  SELECT time_bucket(INTERVAL 5 MINUTE, created_at) - k * INTERVAL 5 MINUTE AS window_start, status, created_at
+  FROM shop_transactions, range(0, 12) r(k)),
+c AS (
+  SELECT window_start, count(*) AS n, count_if(status = 'failed') AS failed, count_if(status = 'pending') AS pending,
+         count_if(status = 'pending' AND created_at < window_start + INTERVAL 55 MINUTE) AS old
+  FROM w GROUP BY window_start)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n, failed, pending,
+       CASE WHEN failed * 10 > n THEN 'ALERT: High M-Pesa failure rate (>10%) in last hour' ELSE 'OK' END AS failure_rate_alert,
+       CASE WHEN old > 50 THEN 'ALERT: ' || CAST(old AS VARCHAR) || ' pending transactions older than 5 minutes'
             ELSE 'OK' END AS pending_alert
-FROM w GROUP BY window_start HAVING window_start + INTERVAL 1 HOUR <= {WM}""")
+FROM c""")
 def _r5(t):
     """1-hour windows sliding by 5 minutes, closed by a 10-minute watermark."""
     return run_available_now(W.alert_stream(_tx_stream(t)), "alerts")
@@ -104,13 +111,50 @@ def _r2(t):
     """R2: the callback stream applied to transactions, payments and orders in
     foreachBatch, each batch's changed rows published as a change set; the
     resulting transactions (base merged with the change sets)."""
-    from storefront.sources.sinks import read_current
-    src = _callback_docs(t)
+    return _after_callbacks(t)["mpesa_transactions"].select(
+        "transaction_id", "status", "result_code", "mpesa_receipt_number")
+
+
+def _ingested(t) -> str:
     root = scratch_path(t.spark, "callbacks-state")
-    CB.ingest_callbacks(t.spark, src, t, root, EVENTS_AS_OF, scratch_path(t.spark, "callbacks-ckpt"))
-    base = {k: t[k] for k in CB.CALLBACK_KEYS}
-    tx = read_current(t.spark, base, root, CB.CALLBACK_KEYS)["mpesa_transactions"]
-    return tx.select("transaction_id", "status", "result_code", "mpesa_receipt_number")
+    return CB.ingest_callbacks(t.spark, _callback_docs(t), t, root, EVENTS_AS_OF, scratch_path(t.spark, "callbacks-ckpt"))
+
+
+def _after_callbacks(t):
+    from storefront.sources.sinks import read_current
+    return read_current(t.spark, {k: t[k] for k in CB.CALLBACK_KEYS}, _ingested(t), CB.CALLBACK_KEYS)
+
+
+@query("callback_payments", f"""
+WITH ok AS (SELECT order_id, max_by('Q' || CAST(transaction_id AS VARCHAR), transaction_id) AS receipt FROM shop_transactions
+            WHERE status = 'pending' AND transaction_id % 2 = 0 GROUP BY order_id)
+SELECT p.payment_id, CASE WHEN ok.order_id IS NULL THEN p.is_confirmed ELSE true END AS is_confirmed,
+       ok.receipt AS mpesa_code, CASE WHEN ok.order_id IS NOT NULL THEN TIMESTAMP '{EVENTS_AS_OF}' END AS confirmed_at
+FROM shop_payments p LEFT JOIN ok ON ok.order_id = p.order_id AND p.method = 'mpesa'""")
+def _r2_payments(t):
+    """R2: the payments after the callback stream."""
+    return _after_callbacks(t)["payments"].select("payment_id", "is_confirmed", "mpesa_code", "confirmed_at")
+
+
+@query("callback_orders", """
+WITH cb AS (SELECT order_id, max(transaction_id) AS last, max_by(transaction_id % 2 = 0, transaction_id) AS ok
+            FROM shop_transactions WHERE status = 'pending' GROUP BY order_id)
+SELECT o.order_id, CASE WHEN cb.ok THEN 'processing' WHEN NOT cb.ok THEN 'failed' ELSE o.status END AS status,
+       CASE WHEN NOT cb.ok THEN coalesce(o.notes, '') || ' | Payment failed: Request cancelled by user' ELSE o.notes END AS notes
+FROM shop_orders o LEFT JOIN cb ON cb.order_id = o.order_id""")
+def _r2_orders(t):
+    """R2: the orders after the callback stream."""
+    return _after_callbacks(t)["orders"].select("order_id", "status", "notes")
+
+
+@query("callbacks_dead_letters", """
+SELECT 1000000000 + transaction_id AS seq, 'unknown checkout id' AS reason FROM shop_transactions
+WHERE status = 'pending' AND transaction_id % 5 = 0
+UNION ALL
+SELECT 2000000000 + transaction_id, 'malformed' FROM shop_transactions WHERE status = 'pending' AND transaction_id % 7 = 0""")
+def _r1_dead(t):
+    """Dead letters of the callback stream: unknown checkout ids and lines cut short."""
+    return t.spark.read.parquet(f"{_ingested(t)}/dead_letters").select("seq", "reason")
 
 
 @query("rating_stream", """
@@ -123,23 +167,14 @@ def _r6(t):
     """Review stream (view events) -> running per-product rating (update
     mode) -> the changed product rows published per micro-batch and merged on
     read."""
-    from storefront.sources.sinks import read_current, write_snapshot
+    from storefront.sources.sinks import read_current
     ev = table_stream(t.spark, t.sf_dir, "events").where(F.col("event_type") == "view")
     n_parts = t.raw("part").select(F.count(F.lit(1))).scalar()
     reviews = ev.select((F.col("event_id") % n_parts).alias("product_id"), (1 + F.col("event_id") % 5).cast("int")
                         .alias("rating"))
-    root = scratch_path(t.spark, "ratings-state")
-    keys = {"products": "product_id"}
-
-    def on_batch(batch, batch_id):
-        # update mode: the batch holds only the products whose totals changed
-        current = read_current(t.spark, {"products": t["products"]}, root, keys)["products"]
-        changed = W.apply_ratings(current.join(batch.select("product_id"), "product_id", "left_semi"), batch,
-                                  EVENTS_AS_OF)
-        write_snapshot({"products": changed}, root, batch_id)
-
-    run_foreach_batch(W.rating_stream(reviews), "ratings", on_batch, "update")
-    return read_current(t.spark, {"products": t["products"]}, root, keys)["products"].select(
+    root = W.ingest_ratings(reviews, t["products"], scratch_path(t.spark, "ratings-state"),
+                            scratch_path(t.spark, "ratings-ckpt"), EVENTS_AS_OF)
+    return read_current(t.spark, {"products": t["products"]}, root, {"products": "product_id"})["products"].select(
         "product_id", "rating", "review_count")
 
 

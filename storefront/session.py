@@ -7,24 +7,28 @@ for tests, the bench and command-line use.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app: str = "storefront", driver_memory: str | None = None) -> SparkSession:
+                  app: str = "storefront", driver_memory: str | None = None,
+                  checkpoint_dir: str | None = None) -> SparkSession:
     """A session configured the way every operator expects it.
 
     * AQE on, with skew-join splitting and partition coalescing.
     * UTC session zone (D15); batch timestamps stay timestamp_ntz anyway.
     * No web UI.
+    * ``checkpoint_dir``: the shared folder for ``spark.checkpoint.dir``.
     """
     master = master or os.environ.get("STOREFRONT_MASTER", "local[8]")
     driver_memory = driver_memory or os.environ.get("STOREFRONT_DRIVER_MEMORY", "4g")
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -42,22 +46,16 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must be set (a shared file system); the library never
-    falls back to a machine-local folder there. In local mode (tests) an
-    unset value is replaced by a fresh temporary folder.
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset,
+    a folder in the session's warehouse, which the cluster shares as well. The
+    library never writes intermediate data to a machine-local folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
-        if d:
-            sc.setCheckpointDir(d)
-    if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        d = tempfile.mkdtemp(prefix="storefront-ckpt-")
+        if not d:
+            d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         sc.setCheckpointDir(d)
     return d.rstrip("/")
 

@@ -1,9 +1,12 @@
 """Sinks: snapshot publication of a unit of work (S3) and the archive.
 
 A unit of work changes several tables at once (e.g. payments and orders).
-Each changed table is written to a new version folder; a manifest naming
-all of them is written last, so readers that follow the newest manifest see
-either every change of the unit or none. Paths must be on a shared file
+Each changed table is written to a new version folder; a manifest is written
+last, so readers that follow the newest manifest see either every change of
+the unit or none. A manifest holds the whole state: the newest path of every
+table, the base each table's change sets start from, and the change sets since
+that base; so readers open one manifest, and compaction ends the log. Units are
+published by one writer, in version order. Paths must be on a shared file
 system (the same place spark.checkpoint.dir points to on a cluster).
 """
 
@@ -12,10 +15,47 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFESTS = "_manifests"
+_MANIFEST_SCHEMA = "version long, step int, manifest string"
+
+
+def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
+    """All manifests under ``root``; None before the first one. Any other
+    failure than a missing path is the caller's."""
+    try:
+        return spark.read.schema(_MANIFEST_SCHEMA).json(f"{root.rstrip('/')}/{MANIFESTS}/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def newest_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The state as of the newest manifest: one row comes to the driver."""
+    found = _manifests(spark, root)
+    if found is None:
+        return None
+    row = found.orderBy(F.desc("version"), F.desc("step")).limit(1).first()
+    return json.loads(row["manifest"]) if row else None
+
+
+def is_published(spark: SparkSession, root: str, version: int) -> bool:
+    """Whether unit ``version`` was published (a replayed batch is then done)."""
+    found = _manifests(spark, root)
+    return found is not None and not found.where((F.col("version") == version) & (F.col("step") == 0)).isEmpty()
+
+
+def _publish(spark: SparkSession, root: str, version: int, step: int, state: dict) -> str:
+    path = f"{root.rstrip('/')}/{MANIFESTS}/v={version}" + ("_compact" if step else "")
+    # errorifexists: a second writer of the same version fails instead of
+    # replacing a published manifest.
+    spark.createDataFrame([(version, step, json.dumps(state, sort_keys=True))], _MANIFEST_SCHEMA).coalesce(
+        1).write.mode("errorifexists").json(path)
+    return path
 
 
 def write_snapshot(changed: Mapping[str, DataFrame], root: str, version: int,
@@ -27,7 +67,9 @@ def write_snapshot(changed: Mapping[str, DataFrame], root: str, version: int,
         raise ValueError("nothing to publish")
     spark = next(iter(changed.values())).sparkSession
     root = root.rstrip("/")
-    paths = {}
+    if is_published(spark, root, version):
+        raise ValueError(f"version {version} is already published")
+    state = newest_manifest(spark, root) or {"tables": {}, "bases": {}, "log": {}}
     for name, df in changed.items():
         path = f"{root}/{name}/v={version}"
         w = df.write.mode("overwrite")
@@ -35,44 +77,24 @@ def write_snapshot(changed: Mapping[str, DataFrame], root: str, version: int,
         if cols:
             w = w.partitionBy(*cols)
         w.parquet(path)
-        paths[name] = path
-    manifest = f"{root}/{MANIFESTS}/v={version}"
-    doc = json.dumps({"version": version, "tables": paths}, sort_keys=True)
-    # errorifexists: a second writer of the same version fails instead of
-    # replacing a published manifest.
-    spark.createDataFrame([(version, doc)], "version long, manifest string").coalesce(1).write.mode(
-        "errorifexists").json(manifest)
-    return manifest
+        state["tables"][name] = path
+        state["log"].setdefault(name, []).append([version, path])
+    return _publish(spark, root, version, 0, {**state, "version": version})
 
 
 def read_snapshot(spark: SparkSession, root: str, base: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """Tables as of the newest manifest: each table from the newest version
     that changed it (``base`` gives paths for tables never published)."""
-    root = root.rstrip("/")
-    docs = (spark.read.schema("version long, manifest string").json(f"{root}/{MANIFESTS}/*")
-            .orderBy("version").select("manifest"))
-    # One small row per published version.
-    latest: dict[str, str] = dict(base or {})
-    for row in docs.toLocalIterator():
-        latest.update(json.loads(row["manifest"])["tables"])
+    state = newest_manifest(spark, root)
+    latest = {**dict(base or {}), **(state["tables"] if state else {})}
     return {name: spark.read.parquet(path) for name, path in latest.items()}
 
 
 def published_changes(spark: SparkSession, root: str) -> dict[str, list[tuple[int, str]]]:
-    """Change sets published under ``root``: table -> [(version, path), ...]
-    (one small manifest row per version; empty before the first one)."""
-    from pyspark.errors import AnalysisException
-    root = root.rstrip("/")
-    try:
-        docs = spark.read.schema("version long, manifest string").json(f"{root}/{MANIFESTS}/*")
-    except AnalysisException:
-        return {}
-    out: dict[str, list[tuple[int, str]]] = {}
-    for row in docs.select("manifest").toLocalIterator():
-        doc = json.loads(row["manifest"])
-        for name, path in doc["tables"].items():
-            out.setdefault(name, []).append((int(doc["version"]), path))
-    return out
+    """Change sets published under ``root`` since the last compaction:
+    table -> [(version, path), ...]; empty before the first one."""
+    state = newest_manifest(spark, root)
+    return {name: [(int(v), path) for v, path in log] for name, log in (state["log"] if state else {}).items() if log}
 
 
 def merge_on_read(base: DataFrame, changes: list[tuple[int, DataFrame]], key: str | list[str]) -> DataFrame:
@@ -94,25 +116,36 @@ def merge_on_read(base: DataFrame, changes: list[tuple[int, DataFrame]], key: st
 
 def read_current(spark: SparkSession, base: Mapping[str, DataFrame], root: str,
                  keys: Mapping[str, str | list[str]]) -> dict[str, DataFrame]:
-    """Tables of ``base`` with every change set published under ``root`` applied."""
-    pub = published_changes(spark, root)
+    """Tables of ``base`` (or, after a compaction, the compacted ones) with
+    every change set published since then applied."""
+    state = newest_manifest(spark, root)
     out = dict(base)
-    for name, versions in pub.items():
-        frames = [(v, spark.read.parquet(p)) for v, p in sorted(versions)]
-        out[name] = merge_on_read(base[name], frames, keys[name])
+    if state is None:
+        return out
+    for name, path in state["bases"].items():
+        out[name] = spark.read.parquet(path)
+    for name, log in state["log"].items():
+        if log:
+            out[name] = merge_on_read(out[name], [(int(v), spark.read.parquet(p)) for v, p in sorted(log)], keys[name])
     return out
 
 
 def compact(spark: SparkSession, base: Mapping[str, DataFrame], root: str, keys: Mapping[str, str | list[str]],
             out_root: str) -> dict[str, str]:
     """Write the current tables (base + all change sets) as a new base under
-    ``out_root``; later change sets then start from it."""
+    ``out_root`` and publish a manifest that starts from it with an empty log.
+    Run it between units."""
+    state = newest_manifest(spark, root)
+    if state is None:
+        return {}
     cur = read_current(spark, base, root, keys)
     paths = {}
-    for name in published_changes(spark, root):
-        path = f"{out_root.rstrip('/')}/{name}"
-        cur[name].write.mode("errorifexists").parquet(path)
-        paths[name] = path
+    for name, log in state["log"].items():
+        if log:
+            paths[name] = f"{out_root.rstrip('/')}/{name}"
+            cur[name].write.mode("errorifexists").parquet(paths[name])
+    _publish(spark, root, state["version"], 1, {"version": state["version"], "tables": {**state["tables"], **paths},
+                                                "bases": {**state["bases"], **paths}, "log": {}})
     return paths
 
 

@@ -31,12 +31,21 @@ CATEGORY_ROWS = [(1, "STANDARD", True), (2, "PROMO", False), (3, "ECONOMY", True
                  (5, "SMALL", True), (6, "LARGE", False), (7, "EMPTY", False)]
 
 
-_RAW: dict[tuple, DataFrame] = {}
-_VIEWS: dict[tuple, "ShopTables"] = {}
-
-
-def _session_key(spark: SparkSession) -> tuple:
-    return (spark.sparkContext.applicationId, id(spark))
+# Columns of the driver tables. Reading with the schema needs no
+# footer scan, so nothing has to be remembered between queries.
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def _s(c) -> F.Column:
@@ -50,16 +59,14 @@ class ShopTables(Mapping):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
         self._extra: dict[str, DataFrame] = {}
+        self._raw: dict[str, DataFrame] = {}
 
     # driver tables
     def raw(self, name: str) -> DataFrame:
-        """A driver table; the DataFrame (file listing and footer schema) is
-        made once per session and folder and reused by every query."""
-        key = (_session_key(self.spark), self.sf_dir, name)
-        df = _RAW.get(key)
-        if df is None:
-            df = _RAW[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return df
+        """A driver table, read once per ``ShopTables`` object."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     # Mapping protocol
     def __getitem__(self, name: str) -> DataFrame:
@@ -83,7 +90,7 @@ class ShopTables(Mapping):
     def with_tables(self, **tables: DataFrame) -> "ShopTables":
         """A copy where some tables are replaced (e.g. the output of a change)."""
         out = ShopTables(self.spark, self.sf_dir)
-        out._cache, out._extra = self._cache, {**self._extra, **tables}
+        out._cache, out._raw, out._extra = self._cache, self._raw, {**self._extra, **tables}
         return out
 
     # ------------------------------------------------------------------ views
@@ -233,10 +240,6 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
 
 
 def shop_views(spark: SparkSession, sf_dir: str) -> ShopTables:
-    """S2 entry point: the canonical shop tables over one driver directory
-    (one lazily built set per session and folder)."""
-    key = (_session_key(spark), sf_dir.rstrip("/"))
-    t = _VIEWS.get(key)
-    if t is None:
-        t = _VIEWS[key] = ShopTables(spark, sf_dir)
-    return t
+    """S2 entry point: the canonical shop tables over one driver directory as
+    its files are now. Keep the returned object to reuse its DataFrames."""
+    return ShopTables(spark, sf_dir)

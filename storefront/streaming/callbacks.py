@@ -160,9 +160,10 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
     one change set per batch id under ``state_root`` (ids already published
     are skipped). The current tables are the base ones with every published
     change set merged on read (:func:`storefront.sources.sinks.read_current`),
-    so a batch writes only what it changed. Dead letters are appended to
-    ``state_root/dead_letters``. Returns state_root."""
-    from storefront.sources.sinks import read_current, write_snapshot
+    so a batch writes only what it changed. A batch's dead letters are
+    overwritten under ``state_root/dead_letters/batch_id=<n>``, so a replay
+    writes them once. Returns state_root."""
+    from storefront.sources.sinks import is_published, read_current, write_snapshot
 
     reader = spark.readStream.schema("seq long, value string")
     if max_files_per_trigger:
@@ -171,8 +172,7 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
     root = state_root.rstrip("/")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        published = _published(spark, root)
-        if published is not None and not published.where(F.col("version") == batch_id).isEmpty():
+        if is_published(spark, root, batch_id):
             return  # replay of a published batch
         current = read_current(spark, {k: tables[k] for k in CALLBACK_KEYS}, root, CALLBACK_KEYS)
         current = {**dict(tables.items()), **current}
@@ -181,7 +181,7 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
         dead = parsed.dead.select("seq", "raw", F.lit("malformed").alias("reason")).unionByName(
             known.dead.select("seq", F.lit(None).cast("string").alias("raw"),
                               F.lit("unknown checkout id").alias("reason")))
-        dead.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/dead_letters")
+        dead.write.mode("overwrite").parquet(f"{root}/dead_letters/batch_id={batch_id}")
         write_snapshot(apply_callbacks(current, known.good, as_of, changed_only=True), root, batch_id)
 
     q = (raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
@@ -190,14 +190,3 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return root
-
-
-def _published(spark: SparkSession, root: str) -> DataFrame | None:
-    """Manifests published under ``root`` (None before the first one)."""
-    from pyspark.errors import AnalysisException
-
-    from storefront.sources.sinks import MANIFESTS
-    try:
-        return spark.read.schema("version long, manifest string").json(f"{root}/{MANIFESTS}/*")
-    except AnalysisException:
-        return None

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storefront.session import scratch_path
+from storefront.sources.views import DRIVER_SCHEMAS
+
 
 def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -31,9 +33,8 @@ def wall_clock(c: Column | str) -> Column:
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """A driver table read as a file stream (one parquet file per table in the
-    folder, chosen with pathGlobFilter); the schema comes from the batch read."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    folder, chosen with pathGlobFilter)."""
+    r = spark.readStream.schema(DRIVER_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(sf_dir)

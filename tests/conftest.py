@@ -9,9 +9,10 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from storefront.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8, driver_memory="4g")
+    s = build_session(master="local[*]", shuffle_partitions=8, driver_memory="4g",
+                      checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield s
 
 

@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _names():
-    from __spark_entry__ import queries
+    from storefront.plans.registry import queries
     return sorted(queries())
 
 

@@ -44,8 +44,7 @@ def test_cart_adds_equal_sequential_fold(spark, adds, stocks, have):
     t = tables_from(spark, {"products": products, "cart_items": items, "carts": carts})
     df = spark.createDataFrame([(i, c, p, q) for i, (c, p, q) in enumerate(adds, start=1)],
                                "seq long, cart_id long, product_id long, quantity int")
-    # a tiny chunk size exercises the chunked running total
-    res = C.apply_cart_adds(t, df, dt.datetime(2024, 1, 1), chunk_rows=3)
+    res = C.apply_cart_adds(t, df, dt.datetime(2024, 1, 1))
     want, cur = python_fold(adds, stock, have)
     got = {r["seq"]: r["accepted"] for r in res.decisions.collect()}
     assert got == want

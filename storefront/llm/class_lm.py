@@ -235,8 +235,8 @@ def fit(train: DataFrame, vocab: DataFrame) -> ClassModel:
         if have + row["v"] > FREQUENT:
             break
         least, have = row["c"], have + row["v"]
-    frequent = vocab.filter(F.col("c") >= F.lit(least)).toPandas() if least is not None else vocab.limit(0).toPandas()
-    frequent = frequent.sort_values(["c", "word"], ascending=[False, True]).reset_index(drop=True)
+    frequent = vocab.filter(F.col("c") >= F.lit(least)) if least is not None else vocab.limit(0)
+    frequent = frequent.select("word", "c").toArrow().to_pandas().sort_values(["c", "word"], ascending=[False, True]).reset_index(drop=True)
     top = {int(k): 2 + i for i, k in enumerate(frequent.word[:TOP_WORDS])}
     others = vocab.filter(~F.col("word").isin(list(top))) if top else vocab
     tails = (others.groupBy("suffix").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
@@ -246,9 +246,9 @@ def fit(train: DataFrame, vocab: DataFrame) -> ClassModel:
     units = Units(by_key.word.to_numpy(np.int64), by_key.c.to_numpy(np.float64), top, suffixes)
 
     shared = spark.sparkContext.broadcast(units)
-    pairs = (train.mapInArrow(_bigrams(shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))).toPandas()
+    pairs = (train.mapInArrow(_bigrams(shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))).toArrow()
     g = np.zeros((units.n, units.n))
-    g[pairs.a, pairs.b] = pairs.n
+    g[pairs["a"].to_numpy(), pairs["b"].to_numpy()] = pairs["n"].to_numpy()
     cls = exchange_clusters(g)
 
     member = np.zeros((units.n, CLASSES))

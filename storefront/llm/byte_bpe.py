@@ -20,6 +20,9 @@ are encoded alike; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
+import itertools
 import re
 from functools import lru_cache
 from itertools import chain
@@ -38,10 +41,38 @@ NONE = np.int64(1) << 62
 LOCKSTEP_LIMIT = 256
 LOCKSTEP_ROWS = 8192
 #: Chunks remembered per worker; the memory is emptied when it is full.
-MEMO_CHUNKS = 150_000
-#: Cut before a single space between two non-space characters. Under PATTERN no
-#: match reaches over such a place, so chunks can be encoded on their own.
+MEMO_CHUNKS = 600_000
+#: Texts are cut at single spaces between two non-space characters. Under PATTERN
+#: no match reaches over such a place, so chunks can be encoded on their own.
 _CHUNK = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text, without the spaces between them."""
+    plain = text.split(" ")
+    if "" in plain or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
+        return _CHUNK.split(text)
+    return plain
+
+
+def take(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start:start + size] of all given parts, end to end."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start - ends + size, size) + np.arange(total)]
+
+
+class _Chunks(dict):
+    """chunk -> row; a new chunk gets the next row and is noted."""
+
+    def __init__(self, rows: itertools.count, new: list):
+        self.next_row, self.note = rows.__next__, new.append
+
+    def __missing__(self, chunk: str) -> int:
+        row = self[chunk] = self.next_row()
+        self.note(chunk)
+        return row
 
 
 class PairTable:
@@ -103,8 +134,19 @@ class ByteBPE:
             self.tokens[rank] = token
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs = PairTable(self.ranks)
-        self.spaced: dict[str, tuple[int, ...]] = {}
-        self.first: dict[str, tuple[int, ...]] = {}
+        self.whole = {}  # tokens that are valid text, by that text
+        for token, rank in self.ranks.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                self.whole[token.decode()] = rank
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the memory of chunks: rows of the flat array of their ids."""
+        rows = itertools.count()
+        self.new_heads, self.new_tails = [], []
+        self.heads, self.tails = _Chunks(rows, self.new_heads), _Chunks(rows, self.new_tails)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
     # one match --------------------------------------------------------------
     def merge_one(self, match: bytes) -> list[int]:
@@ -152,8 +194,9 @@ class ByteBPE:
         return out
 
     # many matches of one size ----------------------------------------------
-    def merge_rows(self, matches: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """Merge matches of at most ``width`` (a power of two) bytes in lockstep."""
+    def merge_rows(self, matches: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merge matches of at most ``width`` (a power of two) bytes in
+        lockstep: their ids end to end, and how many each has."""
         n = len(matches)
         sizes = np.fromiter(map(len, matches), np.int64, n)
         flat = np.frombuffer(b"".join(m.ljust(width, b"\0") for m in matches), np.uint8).reshape(n, width)
@@ -205,56 +248,74 @@ class ByteBPE:
             if has.any():
                 put(rows[has], p[has], leaves(rows[has], p[has]))
             rows = rows[tree[rows, 1] != NONE]
-        flat_ids, counts = ids[live].tolist(), live.sum(axis=1)
-        ends = np.cumsum(counts).tolist()
-        return [tuple(flat_ids[e - c:e]) for e, c in zip(ends, counts.tolist())]
-
-    def merge(self, matches: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct matches."""
-        out, by_width = {}, {}
-        for m in matches:
-            rank = self.ranks.get(m)
-            if rank is not None:
-                out[m] = (rank,)
-            else:
-                by_width.setdefault(1 << (len(m) - 1).bit_length(), []).append(m)
-        for width, same_width in by_width.items():
-            if width > LOCKSTEP_LIMIT:
-                out.update((m, tuple(self.merge_one(m))) for m in same_width)
-                continue
-            step = max(64, LOCKSTEP_ROWS * 16 // width)
-            for at in range(0, len(same_width), step):
-                part = same_width[at:at + step]
-                out.update(zip(part, self.merge_rows(part, width)))
-        return out
+        return ids[live].astype(np.int32), live.sum(axis=1)
+
+    def merge(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct matches: a flat array, and each match's start and size in it."""
+        n = len(matches)
+        rank = np.fromiter(map(self.whole.get, matches, itertools.repeat(-1)), np.int64, n)
+        start, size, parts, used = np.arange(n), np.ones(n, np.int64), [rank.astype(np.int32)], n
+        by_width: dict[int, list] = {}
+        for i in np.flatnonzero(rank < 0).tolist():
+            m = matches[i].encode()
+            by_width.setdefault(1 << (len(m) - 1).bit_length(), []).append((i, m))
+        for width, group in by_width.items():
+            step = max(64, LOCKSTEP_ROWS * 16 // width) if width <= LOCKSTEP_LIMIT else 1
+            for at in range(0, len(group), step):
+                where, found = zip(*group[at:at + step])
+                if width <= LOCKSTEP_LIMIT:
+                    ids, counts = self.merge_rows(found, width)
+                else:
+                    ids = np.array(self.merge_one(found[0]), np.int32)
+                    counts = np.array([len(ids)])
+                start[list(where)] = used + np.cumsum(counts) - counts
+                size[list(where)] = counts
+                parts.append(ids)
+                used += len(ids)
+        return np.concatenate(parts), start, size
 
     # texts --------------------------------------------------------------------
-    def _learn(self, first: set[str], spaced: set[str]) -> None:
-        cut = {c: [m.encode() for m in self.pattern.findall(c)] for c in first}
-        cut_spaced = {c: [m.encode() for m in self.pattern.findall(" " + c)] for c in spaced}
-        ids = self.merge(list({m for ms in chain(cut.values(), cut_spaced.values()) for m in ms}))
-        for memo, found in ((self.first, cut), (self.spaced, cut_spaced)):
-            for c, ms in found.items():
-                memo[c] = tuple(chain.from_iterable(ids[m] for m in ms))
+    def _learn(self) -> None:
+        """Find the ids of the chunks met for the first time."""
+        find = self.pattern.findall
+        # Rows were given out in the order of first sight, heads before tails.
+        cut = [find(c) for c in self.new_heads] + [find(" " + c) for c in self.new_tails]
+        self.new_heads.clear()
+        self.new_tails.clear()
+        if not cut:
+            return
+        known: dict[str, int] = {}
+        at = np.fromiter((known.setdefault(m, len(known)) for ms in cut for m in ms), np.int64)
+        flat, start, size = self.merge(list(known))
+        owner = np.repeat(np.arange(len(cut)), np.fromiter(map(len, cut), np.int64, len(cut)))
+        sizes = np.bincount(owner, size[at], len(cut)).astype(np.int64)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, take(flat, start[at], size[at])])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the offsets of each text in them."""
-        if len(self.spaced) + len(self.first) > MEMO_CHUNKS:
-            self.spaced, self.first = {}, {}
-        cut = [_CHUNK.split(t) for t in texts]
-        heads = {c[0] for c in cut if c[0]} - self.first.keys()
-        tails: set[str] = set()
-        for c in cut:
-            tails.update(c[1:])
-        self._learn(heads, tails - self.spaced.keys())
-        self.first[""] = ()
-        first, spaced = self.first.__getitem__, self.spaced.__getitem__
-        parts, offsets = [], np.zeros(len(texts) + 1, np.int64)
-        for i, c in enumerate(cut):
-            ids = np.fromiter(chain(first(c[0]), chain.from_iterable(map(spaced, c[1:]))), np.int32)
-            parts.append(ids)
-            offsets[i + 1] = offsets[i] + len(ids)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), offsets
+        if len(self.size) > MEMO_CHUNKS:
+            self._forget()
+        cut = [chunks_of(t) for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        first = np.cumsum(counts) - counts
+        tracked = gc.isenabled()
+        gc.disable()  # many small objects, none of them cyclic
+        try:
+            rows = np.empty(int(counts.sum()), np.int64)
+            inner = np.ones(len(rows), bool)
+            inner[first] = False
+            rows[first] = np.fromiter((self.heads[c[0]] for c in cut), np.int64, len(cut))
+            rows[inner] = np.fromiter(map(self.tails.__getitem__, chain.from_iterable(c[1:] for c in cut)), np.int64,
+                                      len(rows) - len(cut))
+            self._learn()
+        finally:
+            if tracked:
+                gc.enable()
+        size = self.size[rows]
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(size, first) if len(cut) else [])]).astype(np.int64)
+        return take(self.flat, self.start[rows], size), offsets
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -284,7 +345,7 @@ def encode(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", pat
 
     def run(batches):
         coder = bpe(path, pattern)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 6 << 20):
             ids, offsets = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key_col, "ids"])

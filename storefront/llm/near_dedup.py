@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storefront.llm.common import bounded_batches, pieces, raw_texts, same, written
+from storefront.llm.common import bounded_batches, pieces, raw_texts, written
 from storefront.llm.components import components
 from storefront.llm.setsketch import joint_estimate, shingle_set, sketches, word_digest, words_of
 
@@ -100,7 +100,7 @@ def _confirmed(shingle: int, percent: int):
 class _Verifier:
     """Confirms candidate pairs (a, b) of nodes."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, margin: float, registers: int):
+    def __init__(self, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, margin: float):
         self.nodes, self.texts = nodes, texts
         self.estimate = _estimated(margin, percent)
         self.confirm = _confirmed(shingle, percent)
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, r
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_id")), "node")
     text_rows = src.join(wanted, src["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
     texts = written(text_rows.mapInArrow(_own_texts, "node binary, text string").dropDuplicates(["node"]), "texts")
-    verifier = _Verifier(nodes, texts, shingle, percent, margin, registers)
+    verifier = _Verifier(nodes, texts, shingle, percent, margin)
 
     stars = members.filter("node != leader").select(F.col("node").alias("b"), F.col("leader").alias("a")).distinct()
     links = verifier.links(stars.select("a", "b"), "star")

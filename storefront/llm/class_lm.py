@@ -1,18 +1,21 @@
 """Brown class-based n-gram scoring (operator 4).
 
-Every word belongs to a unit: the most frequent words are units of their own,
-the others share the unit of their last two code points. Exchange clustering
-moves units between classes while the class bigram likelihood of all training
-tokens grows. A token's probability is P(class | class before) * P(unit | class)
-* P(word | unit), smoothed at each level; a word that training never saw keeps
-the additive share of its unit.
-
-Counts come from every training document: word counts and unit bigrams are
-pre-aggregated in the tasks and summed by Spark. The driver only ever holds
-bounded tables: at most FREQUENT words with their counts, and the unit bigrams
-(UNITS ** 2 at most). Words below that frequency are scored by a distributed
-join of (document, word) rows with the vocabulary. Words are told apart by
-64-bit keys.
+Every word of the training vocabulary belongs to a class of its own choosing.
+Exchange clustering moves the EXCHANGE or sqrt(tokens) most frequent words
+(whichever is more) between classes while the class bigram likelihood grows,
+until no word moves. Every other word then joins the class that its own
+neighbours make most likely, in one distributed pass. The number of classes is
+CLASSES or the fourth root of the vocabulary, whichever is more. A token's
+probability is P(class | class before) * P(word | class), smoothed at each
+level. Only words that training never saw go by their last two code points:
+each suffix has the additive share of one word in the class that holds most of
+its words.
+
+Counts come from every training document and are pre-aggregated in the tasks.
+The driver holds bounded tables: at most FREQUENT words with counts and
+classes, as many suffixes, and the bigrams among the exchanged words. Words
+below the frequent ones are scored by a distributed join of their tokens with
+the vocabulary. Words are told apart by 64-bit keys.
 
 Cases: null text is the empty text, which is one end token; without training
 documents the base and score of every token is that of the uniform unknown
@@ -22,11 +25,14 @@ rows are scored alike; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +40,13 @@ from pyspark.sql import functions as F
 from storefront.llm.common import bounded_batches, pieces, raw_texts, remainder, same, table, written
 
 FREQUENT = 300_000
-TOP_WORDS, SUFFIXES, CLASSES = 700, 300, 48
+#: Least number of exchanged words and of classes; both grow with the corpus.
+EXCHANGE, CLASSES = 2000, 48
 END, OTHER = 0, 1
 DELTA = 0.1
 FLUSH_WORDS = 250_000
 MEMO_WORDS = 250_000
+FLUSH_PAIRS = 2_000_000
 
 
 def word_key(word: bytes) -> int:
@@ -85,49 +93,46 @@ def vocabulary(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Units:
-    """word -> unit tables and what scoring needs of the frequent words."""
+    """word -> unit tables and what scoring needs of the frequent words. Units:
+    END, OTHER, the frequent words in the order of their keys, the suffixes."""
     words: np.ndarray         # sorted keys of the frequent words
     counts: np.ndarray        # their counts
-    top: dict[int, int]       # key of a most frequent word -> unit
-    suffixes: dict[int, int]  # suffix key -> unit
+    suffixes: dict[int, int]  # suffix key -> unit of its unseen words
 
     @property
     def n(self) -> int:
-        return 2 + len(self.top) + len(self.suffixes)
+        return 2 + len(self.words) + len(self.suffixes)
+
+    @cached_property
+    def top(self) -> dict[int, int]:
+        return {k: 2 + i for i, k in enumerate(self.words.tolist())}
 
     def unit(self, key: int, suffix: int) -> int:
         return self.top[key] if key in self.top else self.suffixes.get(suffix, OTHER)
 
 
 class _Memo:
-    """word -> row of (unit, log10 count of a frequent word or nan, key)."""
-
-    def __init__(self, units: Units):
-        self.units, self.rows = units, {}
-        self._grow(4096)
+    """word -> row of (index among the sorted ``words`` or -1, suffix unit of
+    the others, key)."""
 
-    def _grow(self, size: int) -> None:
-        old = len(self.rows)
-        unit, logc, key = np.zeros(size, np.int32), np.zeros(size), np.zeros(size, np.int64)
-        if old:
-            unit[:old], logc[:old], key[:old] = self.unit[:old], self.logc[:old], self.key[:old]
-        self.unit, self.logc, self.key = unit, logc, key
+    def __init__(self, words: np.ndarray, suffixes: dict[int, int] | None = None):
+        self.words, self.suffixes, self.rows = words, suffixes or {}, {}
+        self.at, self.tail, self.key = np.zeros(4096, np.int64), np.zeros(4096, np.int64), np.zeros(4096, np.int64)
 
     def lookup(self, words: list[list[bytes]]) -> np.ndarray:
-        if len(self.rows) > MEMO_WORDS:
-            self.rows.clear()
         new = list({w for ws in words for w in ws} - self.rows.keys())
         start, end = len(self.rows), len(self.rows) + len(new)
-        if end > len(self.unit):
-            self._grow(max(end, 2 * len(self.unit)))
+        if end > len(self.at):
+            more = max(end, 2 * len(self.at)) - len(self.at)
+            self.at, self.tail, self.key = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.at, self.tail, self.key))
         if new:
-            u = self.units
             keys = np.array([word_key(w) for w in new], np.int64)
-            at = np.minimum(np.searchsorted(u.words, keys), max(0, len(u.words) - 1))
-            known = u.words[at] == keys if len(u.words) else np.zeros(len(keys), bool)
+            at = np.minimum(np.searchsorted(self.words, keys), max(0, len(self.words) - 1))
+            known = self.words[at] == keys if len(self.words) else np.zeros(len(keys), bool)
             self.key[start:end] = keys
-            self.logc[start:end] = np.where(known, np.log10(u.counts[at] + DELTA) if len(u.words) else 0.0, np.nan)
-            self.unit[start:end] = [u.unit(k, suffix_key(w)) for k, w in zip(keys.tolist(), new)]
+            self.at[start:end] = np.where(known, at, -1)
+            if self.suffixes:
+                self.tail[start:end] = [OTHER if k else self.suffixes.get(suffix_key(w), OTHER) for k, w in zip(known.tolist(), new)]
             self.rows.update(zip(new, range(start, end)))
         return np.fromiter((i for ws in words for i in map(self.rows.__getitem__, ws)), np.int64, sum(map(len, words)))
 
@@ -143,91 +148,246 @@ def _sequences(texts: list[bytes], memo: _Memo):
     return rows, n
 
 
-def _units_of(rows: np.ndarray, memo: _Memo) -> np.ndarray:
-    return np.where(rows >= 0, memo.unit[rows], END)
+def _summed(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
 
 def _bigrams(shared):
+    """Bigrams (a, b, n) of exchanged words: 0 is the end, 1 + i the i-th key."""
     def run(batches):
-        units = shared.value
-        size, memo = units.n, _Memo(units)
-        total = np.zeros(size * size, np.int64)
+        keys = shared.value
+        memo, size = _Memo(keys), len(keys) + 1
+        codes, counts, held = [], [], 0
+
+        def out():
+            code, n = _summed(codes, counts)
+            return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], names=["a", "b", "n"])
+
         for batch in pieces(batches, "text", 4 << 20):
+            if len(memo.rows) > MEMO_WORDS:
+                memo.rows.clear()
             rows, _ = _sequences(raw_texts(batch, "text"), memo)
-            u = _units_of(rows, memo).astype(np.int64)
-            before = np.concatenate([[END], u[:-1]])  # every text follows an end
-            total += np.bincount(before * size + u, minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int64()), pa.array(at % size, pa.int64()),
-                                          pa.array(total[at], pa.int64())], names=["a", "b", "n"])
+            u = np.where(rows >= 0, memo.at[rows] + 1, 0)
+            u[(rows >= 0) & (memo.at[rows] < 0)] = -1
+            before = np.concatenate([[0], u[:-1]])  # every text follows an end
+            both = (u >= 0) & (before >= 0)
+            code, n = np.unique(before[both] * size + u[both], return_counts=True)
+            codes.append(code)
+            counts.append(n)
+            held += len(code)
+            if held > FLUSH_PAIRS:
+                yield out()
+                codes, counts, held = [], [], 0
+        if held:
+            yield out()
     return run
 
 
-def exchange_clusters(g: np.ndarray, classes: int = CLASSES, sweeps: int = 8) -> np.ndarray:
-    """Class of every unit. ``g``: unit bigram counts; unit END keeps class 0.
-    Each unit in turn moves to the class that makes the class bigram
-    likelihood largest, until a sweep moves none."""
-    size = len(g)
-    cls = 1 + np.arange(size) % max(1, classes - 1)
-    order = np.argsort(-g.sum(axis=0), kind="stable")
-    cls[order] = 1 + np.arange(size) % max(1, classes - 1)
-    cls[END] = 0
+def _contexts(shared):
+    """Neighbours (word, code, other, n) of every word that was not exchanged:
+    ``code`` is the class before, or the number of classes plus the class
+    after; -1 if the word after, ``other``, was not exchanged either."""
+    def run(batches):
+        keys, cls, classes = shared.value
+        memo, width = _Memo(keys), 2 * classes
+        held, pairs = [], []
+
+        def out():
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            pair, m = np.unique(np.concatenate(pairs, axis=0), axis=0, return_counts=True) if pairs else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            none = np.concatenate([np.ones(len(code), bool), np.zeros(len(m), bool)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([memo.key[code // width], memo.key[pair[:, 0]]])),
+                 pa.array(np.concatenate([code % width, np.full(len(m), -1)]).astype(np.int32)),
+                 pa.array(np.concatenate([np.zeros(len(code), np.int64), memo.key[pair[:, 1]]]), mask=none),
+                 pa.array(np.concatenate([n, m]).astype(np.int64))], names=["word", "code", "other", "n"])
+
+        for batch in pieces(batches, "text", 4 << 20):
+            if len(memo.rows) > MEMO_WORDS or sum(map(len, held)) > FLUSH_PAIRS:
+                yield out()
+                held, pairs = [], []
+                memo.rows.clear()
+            rows, _ = _sequences(raw_texts(batch, "text"), memo)
+            c = np.where(rows >= 0, cls[memo.at[rows] + 1], 0)
+            c[(rows >= 0) & (memo.at[rows] < 0)] = -1
+            before = np.concatenate([[0], c[:-1]])
+            tail = c < 0
+            held.append(rows[tail & (before >= 0)] * width + before[tail & (before >= 0)])
+            at = np.flatnonzero(tail)  # an end follows the last word
+            known = c[at + 1] >= 0
+            held.append(rows[at[known]] * width + classes + c[at[known] + 1])
+            pairs.append(np.column_stack([rows[at[~known]], rows[at[~known] + 1]]))
+        if held:
+            yield out()
+    return run
+
+
+def _f(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _bigram_gains(n: np.ndarray, code: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """(entries, classes): growth of the bigram terms if a class gets ``v``
+    bigrams with the class before, ``code``, or after, ``code`` - classes."""
+    table = np.concatenate([n, n.T])[code]
+    return _f(table + v[:, None]) - _f(table)
+
 
-    def f(x):
-        return x * np.log(np.maximum(x, 1e-300))
+def _margin_gains(rows: np.ndarray, cols: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return (_f(rows) - _f(rows + after[:, None])) + (_f(cols) - _f(cols + before[:, None]))
 
-    member = np.zeros((size, classes))
-    member[np.arange(size), cls] = 1.0
-    n = member.T @ g @ member
-    out_g, in_g = g.sum(axis=1), g.sum(axis=0)
-    for _ in range(sweeps):
+
+def exchange(size: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
+    """Class of every unit, from unit bigram counts (a, b, v); unit END keeps
+    class 0. Each unit in turn moves to the class that makes the class bigram
+    likelihood largest, until a sweep moves none (or ``sweeps`` are done)."""
+    out_g, in_g = np.bincount(a, v, size), np.bincount(b, v, size)
+    order = np.argsort(-in_g, kind="stable")
+    cls = np.zeros(size, np.int64)
+    cls[order] = 1 + np.arange(size) % max(1, classes - 1)
+    cls[END] = 0
+    own = np.bincount(a[a == b], v[a == b], size)
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    to, to_n, frm, frm_n = b[by_a], v[by_a], a[by_b], v[by_b]
+    to_at = np.searchsorted(a[by_a], np.arange(size + 1))
+    frm_at = np.searchsorted(b[by_b], np.arange(size + 1))
+    n = np.bincount(cls[a] * classes + cls[b], v, classes * classes).reshape(classes, classes).astype(float)
+    tolerance = max(1e-9, 1e-13 * float(_f(v.sum()))) if len(v) else 1.0
+    done = 0
+    while sweeps is None or done < sweeps:
         moved = 0
         for w in order:
             if w == END or in_g[w] + out_g[w] == 0:
                 continue
-            own = g[w, w]
-            r = np.bincount(cls, g[w], classes)   # from w to each class
-            l_ = np.bincount(cls, g[:, w], classes)  # from each class to w
-            a = cls[w]
-            r[a] -= own
-            l_[a] -= own
-            n[a, :] -= r
-            n[:, a] -= l_
-            n[a, a] -= own
+            i, j, k, m = to_at[w], to_at[w + 1], frm_at[w], frm_at[w + 1]
+            r = np.bincount(cls[to[i:j]], to_n[i:j], classes)      # from w to each class
+            l_ = np.bincount(cls[frm[k:m]], frm_n[k:m], classes)  # from each class to w
+            c, self_n = cls[w], own[w]
+            r[c] -= self_n
+            l_[c] -= self_n
+            n[c, :] -= r
+            n[:, c] -= l_
+            n[c, c] -= self_n
             rows, cols = n.sum(axis=1), n.sum(axis=0)
-            gain = (f(n + r[None, :]) - f(n)).sum(axis=1) + (f(n + l_[:, None]) - f(n)).sum(axis=0)
+            after, before = np.flatnonzero(r), np.flatnonzero(l_)
+            x, y = n[:, after], n[before, :]
+            gain = (_f(x + r[after]) - _f(x)).sum(axis=1) + (_f(y + l_[before, None]) - _f(y)).sum(axis=0)
             diag = np.diag(n)
-            gain += f(diag + r + l_ + own) - f(diag) - (f(diag + r) - f(diag)) - (f(diag + l_) - f(diag))
-            gain -= f(rows + out_g[w]) - f(rows) + f(cols + in_g[w]) - f(cols)
+            gain += _f(diag + r + l_ + self_n) - _f(diag + r) - _f(diag + l_) + _f(diag)
+            gain -= _f(rows + out_g[w]) - _f(rows) + _f(cols + in_g[w]) - _f(cols)
             gain[0] = -np.inf
-            b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
-                b = a
-            n[b, :] += r
-            n[:, b] += l_
-            n[b, b] += own
-            cls[w] = b
-            moved += b != a
+            best = int(np.argmax(gain))
+            if gain[best] <= gain[c] + tolerance:
+                best = c
+            n[best, :] += r
+            n[:, best] += l_
+            n[best, best] += self_n
+            cls[w] = best
+            moved += best != c
+        done += 1
         if moved == 0:
             break
     return cls
 
 
+def exchange_clusters(g: np.ndarray, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
+    """``exchange`` of a matrix of unit bigram counts."""
+    a, b = np.nonzero(g)
+    return exchange(len(g), a, b, g[a, b].astype(float), classes, sweeps)
+
+
+def _assigned(shared):
+    """Rows (word, cls) of the best class of every word, given its neighbours,
+    and rows (a, b, n) of the class bigrams that come with it."""
+    def run(batches):
+        n, classes = shared.value, len(shared.value)
+        rows, cols = n.sum(axis=1), n.sum(axis=0)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2000):
+                batch = whole.slice(first, 2000)
+                words, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                entry = lists.flatten()
+                owner = np.repeat(np.arange(len(words)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+                code, v = (entry.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                kinds, at = np.unique(np.column_stack([code, v]), axis=0, return_inverse=True)
+                gains = _bigram_gains(n, kinds[:, 0], kinds[:, 1].astype(float))[at.reshape(-1)]
+                order = np.argsort(owner, kind="stable")
+                gain = np.add.reduceat(gains[order], np.searchsorted(owner[order], np.arange(len(words))), axis=0)
+                is_after = code >= classes
+                gain += _margin_gains(rows, cols, np.bincount(owner, v * is_after, len(words)), np.bincount(owner, v * ~is_after, len(words)))
+                gain[:, 0] = -np.inf
+                cls = gain.argmax(axis=1)
+                own = cls[owner]
+                a, b = np.where(is_after, own, code), np.where(is_after, code - classes, own)
+                pair, m = _summed([a * classes + b], [v])
+                none = np.concatenate([np.zeros(len(words), bool), np.ones(len(m), bool)])
+                blank, nil = np.zeros(len(m), np.int64), np.zeros(len(words), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([words, blank]), mask=none), pa.array(np.concatenate([cls, blank]).astype(np.int32), mask=none),
+                     pa.array(np.concatenate([nil, pair // classes]).astype(np.int32), mask=~none),
+                     pa.array(np.concatenate([nil, pair % classes]).astype(np.int32), mask=~none),
+                     pa.array(np.concatenate([nil, m]), mask=~none)], names=["word", "cls", "a", "b", "n"])
+    return run
+
+
 @dataclass
 class ClassModel:
     units: Units
-    cls: np.ndarray    # class of a unit
-    trans: np.ndarray  # log10 P(class | class before)
-    emit: np.ndarray   # log10 P(unit | class), and the denominator of P(word | unit) taken off
-    total: int         # N
-    distinct: int      # V
+    cls: np.ndarray       # class of a unit
+    trans: np.ndarray     # log10 P(class | class before)
+    emit: np.ndarray      # log10 P(unit | class); of suffixes and OTHER, without the DELTA of their one word
+    in_class: np.ndarray  # smoothed tokens of a class
+    bigrams: np.ndarray   # class bigrams of all training tokens
+    total: int            # N
+    distinct: int         # V
 
 
 def fit(train: DataFrame, vocab: DataFrame) -> ClassModel:
     """Classes and probabilities from all training documents."""
+    return _fitted(train, vocab)[0]
+
+
+def _fitted(train: DataFrame, vocab: DataFrame) -> tuple[ClassModel, DataFrame]:
+    """The model, and (word, suffix, c, cls) of the whole vocabulary."""
     spark = train.sparkSession
     ends = train.count()
     stats = vocab.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = int(stats["n"] or 0) + ends, int(stats["v"] or 0)
+    # The exchanged words: ties at the least count go by key.
+    size = max(EXCHANGE, math.isqrt(total))
+    classes = max(CLASSES, round(distinct ** 0.25))
+    chosen = vocab.orderBy(F.desc("c"), "word").limit(size).select("word").toArrow()["word"].to_numpy()
+    keys = np.sort(chosen.astype(np.int64))
+    shared = spark.sparkContext.broadcast(keys)
+    pairs = train.mapInArrow(_bigrams(shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    a, b, v = (pairs[c].to_numpy() for c in ("a", "b", "n"))
+    order = np.lexsort((b, a))
+    a, b, v = a[order], b[order], v[order].astype(float)
+    cls = exchange(len(keys) + 1, a, b, v, classes)
+    n = np.bincount(cls[a] * classes + cls[b], v, classes * classes).reshape(classes, classes).astype(float)
+
+    # All other words, by their own neighbours.
+    context = train.mapInArrow(_contexts(spark.sparkContext.broadcast((keys, cls, classes))), "word long, code int, other long, n long")
+    context = written(context, "contexts")
+    known = (context.filter("code >= 0").repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
+             .groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near")))
+    best = written(known.mapInArrow(_assigned(spark.sparkContext.broadcast(n)), "word long, cls int, a int, b int, n long"), "assigned")
+    own = best.filter("word is not null").select("word", "cls")
+    for r in best.filter("word is null").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        n[r["a"], r["b"]] += r["n"]
+    # Words that only met words that were not exchanged go where most others went.
+    most = own.groupBy("cls").agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("v"), "cls").first()
+    rest = most["cls"] if most else 1
+    moved = spark.createDataFrame(pa.table({"word": pa.array(keys, pa.int64()), "cls": pa.array(cls[1:].astype(np.int32))}))
+    classed = vocab.join(own.union(moved), "word", "left").select("word", "suffix", "c", F.coalesce("cls", F.lit(rest)).alias("cls"))
+    classed = written(classed, "classes")
+    tails = context.filter("code < 0").select("word", "other", "n")
+    left, right = (classed.select(F.col("word").alias(w), F.col("cls").alias(c)) for w, c in (("word", "a"), ("other", "b")))
+    for r in tails.join(left, "word").join(right, "other").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        n[r["a"], r["b"]] += r["n"]
+
     # The least count that at most FREQUENT words reach.
     steps = vocab.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("c")).collect()
     least, have = None, 0
@@ -235,67 +395,69 @@ def fit(train: DataFrame, vocab: DataFrame) -> ClassModel:
         if have + row["v"] > FREQUENT:
             break
         least, have = row["c"], have + row["v"]
-    frequent = vocab.filter(F.col("c") >= F.lit(least)) if least is not None else vocab.limit(0)
-    frequent = frequent.select("word", "c").toArrow().to_pandas().sort_values(["c", "word"], ascending=[False, True]).reset_index(drop=True)
-    top = {int(k): 2 + i for i, k in enumerate(frequent.word[:TOP_WORDS])}
-    others = vocab.filter(~F.col("word").isin(list(top))) if top else vocab
-    tails = (others.groupBy("suffix").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
-             .orderBy(F.desc("c"), "suffix").limit(SUFFIXES).collect())
-    suffixes = {r["suffix"]: 2 + len(top) + i for i, r in enumerate(tails)}
-    by_key = frequent.sort_values("word")
-    units = Units(by_key.word.to_numpy(np.int64), by_key.c.to_numpy(np.float64), top, suffixes)
-
-    shared = spark.sparkContext.broadcast(units)
-    pairs = (train.mapInArrow(_bigrams(shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))).toArrow()
-    g = np.zeros((units.n, units.n))
-    g[pairs["a"].to_numpy(), pairs["b"].to_numpy()] = pairs["n"].to_numpy()
-    cls = exchange_clusters(g)
-
-    member = np.zeros((units.n, CLASSES))
-    member[np.arange(units.n), cls] = 1.0
-    n = member.T @ g @ member
-    share = (n.sum(axis=0) + 0.5) / (n.sum() + 0.5 * CLASSES)
+    frequent = classed.filter(F.col("c") >= F.lit(least)) if least is not None else classed.limit(0)
+    frequent = frequent.select("word", "c", "cls").toArrow().to_pandas().sort_values("word")
+    most = F.max(F.struct("v", "cls")).alias("most")
+    ends_in = (classed.groupBy("suffix", "cls").agg(F.count(F.lit(1)).alias("v")).groupBy("suffix").agg(most, F.sum("v").alias("v"))
+               .orderBy(F.desc("v"), "suffix").limit(FREQUENT).select("suffix", "most.cls").collect())
+    start = 2 + len(frequent)
+    units = Units(frequent.word.to_numpy(np.int64), frequent.c.to_numpy(np.float64), {r["suffix"]: start + i for i, r in enumerate(ends_in)})
+    unit_cls = np.concatenate([[0, rest], frequent.cls.to_numpy(np.int64), np.array([r["cls"] for r in ends_in], np.int64)]).astype(np.int64)
+
+    in_class = np.zeros(classes)
+    for r in classed.groupBy("cls").agg((F.sum("c") + F.count(F.lit(1)) * F.lit(DELTA)).alias("n")).collect():
+        in_class[r["cls"]] = r["n"]
+    in_class[0] = ends + DELTA
+    unseen = np.r_[OTHER, start:units.n]
+    in_class += DELTA * np.bincount(unit_cls[unseen], minlength=classes)
+    count = np.ones(units.n)
+    count[END] = ends + DELTA
+    count[2:start] = units.counts + DELTA
+    emit = np.log10(count / in_class[unit_cls])
+
+    share = (n.sum(axis=0) + 0.5) / (n.sum() + 0.5 * classes)
     trans = (n + 2.0 * share[None, :]) / (n.sum(axis=1, keepdims=True) + 2.0)
-    count = g.sum(axis=0) + DELTA
-    in_class = np.bincount(cls, count, CLASSES)
-    emit = np.log10(count / in_class[cls])
-    # P(word | unit) of shared units is (c + DELTA) / (their tokens + DELTA * (their words + 1)).
-    words_of = np.zeros(units.n)
-    for r in tails:
-        words_of[suffixes[r["suffix"]]] = r["v"]
-    words_of[OTHER] = (stats["v"] or 0) - len(top) - sum(r["v"] for r in tails)
-    shared_unit = np.ones(units.n, bool)
-    shared_unit[END] = False
-    shared_unit[list(top.values())] = False
-    tokens = g.sum(axis=0)
-    emit[shared_unit] -= np.log10(tokens + DELTA * (words_of + 1))[shared_unit]
-    return ClassModel(units, cls, np.log10(trans), emit, int(stats["n"] or 0) + ends, int(stats["v"] or 0) + (ends > 0))
+    return ClassModel(units, unit_cls, np.log10(trans), emit, in_class, n, total, distinct + (ends > 0)), classed
 
 
-SCORED = ("doc_id long, th long, n_tokens long, known long, logs double, model double, rare array<long>")
+RARE = pa.struct([("word", pa.int64()), ("at", pa.int64()), ("unit", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
+SCORED = ("doc_id long, th long, n_tokens long, known long, logs double, model double, "
+          "rare array<struct<word:long,at:long,unit:int,before:int,after:int>>")
 
 
 def _score(shared, ends: int):
+    """Scores of the tokens whose words are frequent; the others are listed in
+    ``rare`` with the classes around them (-1: a rare word as well)."""
     def run(batches):
         m: ClassModel = shared.value
-        memo = _Memo(m.units)
-        is_word = np.zeros(m.units.n, bool)
-        is_word[list(m.units.top.values())] = True
+        memo = _Memo(m.units.words, m.units.suffixes)
+        counts = np.log10(m.units.counts + DELTA)
         for batch in pieces(batches, "text", 4 << 20):
+            if len(memo.rows) > MEMO_WORDS:
+                memo.rows.clear()
             texts = raw_texts(batch, "text")
             rows, n = _sequences(texts, memo)
             doc = np.repeat(np.arange(len(texts)), n)
-            u = _units_of(rows, memo)
+            at = memo.at[rows]
+            is_rare = (rows >= 0) & (at < 0)
+            u = np.where(rows < 0, END, np.where(is_rare, memo.tail[rows], at + 2))
             c = m.cls[u]
-            before = np.concatenate([[0], c[:-1]])
-            logc = np.where(rows >= 0, memo.logc[rows], np.log10(ends + DELTA))
-            is_rare = np.isnan(logc)
+            before, after = np.concatenate([[0], c[:-1]]), np.concatenate([c[1:], [0]])
+            rare_before, rare_after = np.concatenate([[False], is_rare[:-1]]), np.concatenate([is_rare[1:], [False]])
+            logc = np.full(len(rows), np.log10(ends + DELTA))
+            is_known = (rows >= 0) & ~is_rare
+            logc[is_known] = counts[at[is_known]]
             logc[is_rare] = 0.0
-            inside = np.where(is_word[u] | (rows < 0), 0.0, logc)
-            model = np.bincount(doc, m.trans[before, c] + m.emit[u] + inside, len(texts))
+            token = np.where(is_rare, 0.0, m.emit[u] + np.where(rare_before, 0.0, m.trans[before, c]))
+            model = np.bincount(doc, token, len(texts))
             known = np.bincount(doc, (~is_rare) & ((rows >= 0) | (ends > 0)), len(texts)).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, is_rare, len(texts)))]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(memo.key[rows[is_rare]], pa.int64()))
+            i = np.flatnonzero(is_rare)
+            values = pa.StructArray.from_arrays(
+                [pa.array(memo.key[rows[i]], pa.int64()), pa.array(i, pa.int64()), pa.array(u[i].astype(np.int32)),
+                 pa.array(np.where(rare_before[i], -1, before[i]).astype(np.int32)),
+                 pa.array(np.where(rare_after[i], -1, after[i]).astype(np.int32))], fields=list(RARE))
+            rare = pa.ListArray.from_arrays(pa.array(offsets), values)
             th = [word_key(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(th, pa.int64()), pa.array(n, pa.int64()), pa.array(known),
@@ -304,12 +466,35 @@ def _score(shared, ends: int):
     return run
 
 
+def _rare_sums(shared):
+    """What the rare tokens of a text, in ``found``, add to its sums."""
+    def run(batches):
+        m: ClassModel = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            entry = lists.flatten()
+            doc = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            at, unit, before, after, c, cls = (entry.field(i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            order = np.lexsort((at, doc))
+            doc, unit, before, after, c, cls = (x[order] for x in (doc, unit, before, after, c, cls))
+            seen = c >= 0
+            cls = np.where(seen, cls, m.cls[unit])
+            logc = np.log10(np.where(seen, c, 0) + DELTA)
+            before = np.where(before < 0, np.concatenate([[0], cls[:-1]]), before)
+            score = m.trans[before, cls] + logc - np.log10(m.in_class[cls]) + np.where(after < 0, 0.0, m.trans[cls, after])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.bincount(doc, logc, batch.num_rows)),
+                 pa.array(np.bincount(doc, score, batch.num_rows)), pa.array(np.bincount(doc, seen, batch.num_rows).astype(np.int64))],
+                names=["doc_id", "th", "more", "fit", "found"])
+    return run
+
+
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens,
     base_score, score, perplexity; learned from ``train`` (doc_id, text)."""
     src, train = _source(docs), _source(train)
     vocab = written(vocabulary(train), "vocabulary")
-    model = fit(train, vocab)
+    model, classed = _fitted(train, vocab)
     ends = model.total - int(vocab.agg(F.sum("c")).first()[0] or 0)
     if model.total == 0:
         zero = F.lit(0.0)
@@ -319,21 +504,18 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = written(src.mapInArrow(_score(shared, ends), SCORED), "scored")
 
-    # Words below the frequent ones: their counts come by a join.
-    rare = scored.select("doc_id", "th", F.explode("rare").alias("word"))
-    seen = rare.join(vocab.select("word", "c"), "word", "left")
-    sums = seen.groupBy("doc_id", "th").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(DELTA))).alias("more"),
-                                            F.count("c").alias("found"))
-    # Rows with the same id and text counted their words together.
-    times = scored.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("times"))
-    extra = times.join(sums, same(times, sums, ["doc_id", "th"])).select(
-        times["doc_id"], times["th"], (F.col("more") / F.col("times")).alias("more"),
-        (F.col("found") / F.col("times")).cast("long").alias("found"))
+    # Words below the frequent ones: their counts and classes come by a join.
+    # Rows with the same id and text have the same ones.
+    rare = scored.filter(F.size("rare") > 0).select("doc_id", "th", "rare").dropDuplicates(["doc_id", "th"])
+    rare = rare.select("doc_id", "th", F.inline("rare"))
+    seen = rare.join(classed.select("word", "c", "cls"), "word", "left")
+    texts = seen.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "unit", "before", "after", "c", "cls")).alias("found"))
+    extra = texts.mapInArrow(_rare_sums(shared), "doc_id long, th long, more double, fit double, found long")
     rows = scored.drop("rare")
     out = rows.join(extra, same(rows, extra, ["doc_id", "th"]), "left")
     more = F.coalesce("more", F.lit(0.0))
     share = float(np.log10(model.total + DELTA * (model.distinct + 1)))
-    score = F.col("model") + more
+    score = F.col("model") + F.coalesce("fit", F.lit(0.0))
     return out.select(rows["doc_id"], "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
                       F.lit(model.total).cast("long").alias("train_tokens"),
                       (F.col("logs") + more - F.col("n_tokens") * F.lit(share)).alias("base_score"), score.alias("score"),

@@ -175,3 +175,30 @@ def test_language_edge_cases(edge, empty):
     assert language_id.fit_languages(empty) is None
     assert {r.lang_pred for r in language_id.identify(edge, None).collect()} == {"und"}
     assert language_id.identify(empty, model).count() == 0
+
+
+def test_every_word_has_a_class_of_its_own(spark):
+    """Words far below the most frequent ones get their class from their neighbours, not from their suffix."""
+    rng = np.random.default_rng(5)
+    left, right = [f"a{i}x" for i in range(3000)], [f"b{i}x" for i in range(3000)]  # 6000 words, one suffix pattern
+    rows = [(d, " ".join(w for _ in range(30) for w in (left[min(2999, int(rng.pareto(0.5) * 20))], right[min(2999, int(rng.pareto(0.5) * 20))])))
+            for d in range(1500)]
+    docs = class_lm._source(spark.createDataFrame(rows, "doc_id long, text string"))
+    vocab = class_lm.vocabulary(docs).cache()
+    model, classed = class_lm._fitted(docs, vocab)
+    got = {r.word: r.cls for r in classed.collect()}
+    assert len(got) == vocab.count() > class_lm.EXCHANGE
+    assert model.bigrams.sum() == model.total
+    seen = [(got[k], side) for side, words in enumerate((left, right)) for w in words if (k := class_lm.word_key(w.encode())) in got]
+    votes = Counter(seen)
+    fits = sum(max(votes[c, 0], votes[c, 1]) for c in {c for c, _ in votes})
+    assert fits > 0.95 * len(seen)
+
+
+def test_class_lm_scores_do_not_depend_on_the_words_a_task_knows(docs01, monkeypatch):
+    docs = docs01.limit(200)
+    want = {r.doc_id: r.score for r in class_lm.score_texts(docs, docs).collect()}
+    monkeypatch.setattr(class_lm, "FREQUENT", 500)
+    got = {r.doc_id: r.score for r in class_lm.score_texts(docs.filter(remainder("doc_id", 3) != 0), docs).collect()}
+    # Fewer suffixes get a unit, which changes the classes' additive shares a little.
+    assert got and all(math.isclose(s, want[d], rel_tol=1e-2) for d, s in got.items())

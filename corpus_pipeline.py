@@ -7,7 +7,7 @@ return the columns of ``documents``; the last one returns the token ids.
 
 Every stage calls one operator of ``storefront.llm``; see there for how nulls,
 empty and very long texts, ties, repeated rows, empty tables and extra columns
-are handled. Rows that share a doc_id stay or go together.
+are handled. Every row stays or goes by its own verdict, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from storefront.llm.byte_bpe import decode, encode
 from storefront.llm.common import table, written
-from storefront.llm.decontaminate import clean_documents
+from storefront.llm.decontaminate import clean_rows
 from storefront.llm.line_dedup import drop_repeated_lines
 from storefront.llm.near_dedup import keep_first
 from storefront.llm.toxicity import drop_toxic
@@ -40,13 +40,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or
-    more) the document with the least doc_id stays."""
+    more) one row stays, that with the least doc_id."""
     return keep_first(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a window of a benchmark item go."""
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"), MAX_BENCHMARK_SHARE)
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"), MAX_BENCHMARK_SHARE)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,11 +78,13 @@ def _document_tokens(docs: DataFrame, single: bool) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                  broadcast_tokens: int = 2_000_000) -> DataFrame:
+                  broadcast_tokens: int = 2_000_000, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside an
     occurrence of a window), items (ids of the items hit, sorted as text),
-    spans (array of start, length in words), contaminated."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans (array of start, length in words), contaminated, and the column
+    ``carry``, if given."""
+    more = [carry] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     windows = written(benchmark_windows(benchmark, window), "windows")
     tokens = _tokens_of_windows(windows)
     keys = written(tokens.select("token", (F.col("length") == 1).alias("single")).distinct(), "tokens")
@@ -116,11 +118,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     per_doc = (near.filter(F.size("windows") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "windows")).alias("near")))
 
     joined = docs.join(per_doc, same(docs, per_doc, ["doc_id"]), "left").select(
-        docs["doc_id"], words_of(docs["text"]).alias("w"), "near")
+        docs["doc_id"], words_of(docs["text"]).alias("w"), "near", *more)
     candidates = F.flatten(F.transform(F.coalesce("near", F.array().cast(per_doc.schema["near"].dataType)), lambda c: F.transform(
         c["windows"], lambda x: F.struct((c["pos"] - x["offset"]).alias("start"), x["length"].alias("length"),
                                          x["words"].alias("words"), x["items"].alias("items")))))
-    found = joined.select("doc_id", F.size("w").cast("long").alias("n_words"), F.filter(
+    found = joined.select("doc_id", *more, F.size("w").cast("long").alias("n_words"), F.filter(
         candidates, lambda c: F.slice(F.col("w"), c["start"] + 1, c["length"]) == c["words"]).alias("found"))
     spans = F.array_sort(F.array_distinct(F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))))
     end = lambda s: s["start"] + s["length"]
@@ -129,18 +131,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         lambda acc, s: F.struct(F.greatest(acc["end"], end(s)).alias("end"),
                                 (acc["n"] + F.greatest(F.lit(0), end(s) - F.greatest(acc["end"], s["start"]))).cast("long").alias("n")),
         lambda acc: acc["n"])
-    return (found.select("doc_id", "n_words", spans.alias("spans"),
+    return (found.select("doc_id", *more, "n_words", spans.alias("spans"),
                          F.array_sort(F.array_distinct(F.flatten(F.col("found.items")))).alias("items"))
-            .select("doc_id", "n_words", covered.alias("n_hit"), "items", "spans", (F.size("spans") > 0).alias("contaminated")))
+            .select("doc_id", "n_words", covered.alias("n_hit"), "items", "spans", (F.size("spans") > 0).alias("contaminated"), *more))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, whose share of hit words is at most ``max_share``."""
+    """The rows of ``docs``, all columns, without every doc_id of which a row's
+    share of hit words is above ``max_share`` (``clean_rows`` goes by row)."""
     bad = (contamination(docs, benchmark, window).filter(F.col("n_hit") > F.lit(max_share) * F.col("n_words"))
            .select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own share of hit words is at most ``max_share``."""
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    found = contamination(whole, benchmark, window, carry="_row")
+    return found.filter(F.col("n_hit") <= F.lit(max_share) * F.col("n_words")).select("_row.*")
+
+
 def op10_decontamination(spark, sf_dir):
     from storefront.llm.common import table
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

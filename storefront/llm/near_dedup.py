@@ -51,9 +51,9 @@ def _sketch_rows(shingle: int, registers: int):
                 sets.append(shingle_set(words, shingle))
             found = sketches(sets, registers)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([row.tobytes() for row in found], pa.binary())],
-                names=["doc_id", "node", "n_shingles", "sketch"])
+                names=["doc_id", "row", "node", "n_shingles", "sketch"])
     return run
 
 
@@ -118,16 +118,18 @@ class _Verifier:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, registers: int = REGISTERS,
-                    band: int = BAND) -> DataFrame:
+                    band: int = BAND, row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least
     doc_id reachable over links, the own one included), kept, group (the
-    component's node, equal within a component)."""
+    component's node, equal within a component), and ``row``, if given: a
+    column of 64-bit row keys that is passed on."""
     spark = docs.sparkSession
     bounded_batches(spark)
     margin = 5.0 * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                      (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
     base = written(src.mapInArrow(_sketch_rows(shingle, registers),
-                                  "doc_id long, node binary, n_shingles long, sketch binary"), "sketches")
+                                  "doc_id long, row long, node binary, n_shingles long, sketch binary"), "sketches")
     nodes = written(base.filter("n_shingles > 0").groupBy("node")
                     .agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"))
                     .select("node", "x.doc_id", "x.n_shingles", "x.sketch"), "nodes")
@@ -175,17 +177,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, r
             comps = written(components(links, "components"), "comps")
         tested = reach
 
-    rows = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    rows = base.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     # Wordless rows are on their own: their group is their id.
     labelled = rows.join(comps, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("group"))
+        "doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("group"))
     labelled = written(labelled, "labelled")
     least = labelled.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("least_id"))
     least = written(least, "least")
     done = labelled.join(least, "group", "left")
     component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
     return done.select("doc_id", "n_shingles", component.alias("component_id"),
-                       F.col("doc_id").eqNullSafe(component).alias("kept"), "group")
+                       F.col("doc_id").eqNullSafe(component).alias("kept"), "group", *([F.col("row").alias(row)] if row else []))
 
 
 def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -201,11 +203,15 @@ def _own_texts(batches):
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each component, the
-    document with the least doc_id. Rows that share a doc_id stay or go together."""
-    found = near_duplicates(docs, shingle, percent)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs``, all columns, that stay: every wordless row, and one
+    row of each component, the one with the least doc_id (a null one last).
+    Rows are told apart by a key of their own that is written first."""
+    keyed = written(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, shingle, percent, row="_row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row_key"))
+    stays = (found.filter("group is not null").groupBy("group").agg(first.alias("first")).select("first._row_key")
+             .unionByName(found.filter("group is null").select("_row_key")))
+    return keyed.join(stays, "_row_key", "left_semi").select(*docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir):

@@ -243,6 +243,23 @@ def _spans(text: bytes, p: np.ndarray) -> list[dict]:
     return out
 
 
+def _scored(batches, model: ToxicityModel | None):
+    """Batches with the scores and spans of their rows."""
+    memo = None
+    for batch in pieces(batches, "text", 2 << 20):
+        texts = raw_texts(batch, "text")
+        if model is None:
+            scores, spans = np.zeros(len(texts)), [[]] * len(texts)
+        else:
+            memo = memo or _Memo(model.weights)
+            p, n = token_marginals(texts, model, memo)
+            x = document_features(p, n)
+            scores = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
+            ends = np.cumsum(n)
+            spans = [_spans(t, p[e - k:e]) if x[i, 2] >= 0.5 else [] for i, (t, e, k) in enumerate(zip(texts, ends, n))]
+        yield batch, scores, spans
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64())]))
 
 
@@ -255,18 +272,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # DIM + 9 numbers
 
     def run(batches):
-        memo = None
-        for batch in pieces(batches, "text", 2 << 20):
-            texts = raw_texts(batch, "text")
-            if shared.value is None:
-                scores, spans = np.zeros(len(texts)), [[]] * len(texts)
-            else:
-                memo = memo or _Memo(shared.value.weights)
-                p, n = token_marginals(texts, shared.value, memo)
-                x = document_features(p, n)
-                scores = 1 / (1 + np.exp(-np.clip(x @ shared.value.curve, -30, 30)))
-                ends = np.cumsum(n)
-                spans = [_spans(t, p[e - k:e]) if x[i, 2] >= 0.5 else [] for i, (t, e, k) in enumerate(zip(texts, ends, n))]
+        for batch, scores, spans in _scored(batches, shared.value):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, SPANS)],
                                              names=["doc_id", "score", "spans"])
 
@@ -279,11 +285,15 @@ def _fitted(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, with a score below ``limit``. Rows
-    that share a doc_id stay or go together."""
-    bad = (score_toxicity(docs, _fitted(docs, labels)).filter(F.col("score") >= limit)
-           .select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs``, all columns, whose own score is below ``limit``."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels))
+
+    def run(batches):
+        for batch, scores, _ in _scored(batches, shared.value):
+            yield batch.filter(pa.array(scores < limit))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark, sf_dir):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storefront.llm import exact_dedup, line_dedup, near_dedup, setsketch
+from storefront.llm import decontaminate, exact_dedup, line_dedup, near_dedup, setsketch, toxicity
 from storefront.llm.components import components
 from storefront.llm.cuckoo import CuckooFilter, FilterFull, filter_of
 
@@ -200,3 +200,33 @@ def test_empty_tables(empty):
     assert line_dedup.rewrite(empty, index).count() == 0
     grown = line_dedup.insert(index, empty.sparkSession.createDataFrame([(1, "x" * 30), (2, "x" * 30), (3, "x" * 30)], "doc_id long, text string"))
     assert grown.counts.select(F.max("docs")).first()[0] == 3 and grown.filters.count() == 1
+
+
+def test_filters_go_by_row_not_by_doc_id(spark, docs001, sf001):
+    """Rows without an id, or with one id, stay or go each on its own."""
+    words = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    item = " ".join(f"item{i}" for i in range(12))
+    rows = [(None, words[0], 1), (None, f"{words[1]} {item}", 2), (7, words[2], 3), (7, f"{item} tail", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.n for r in decontaminate.clean_rows(docs, bench).collect()} == {1, 3}
+
+    t1, t2 = words[0], words[1]
+    docs = spark.createDataFrame([(3, t1, 1), (5, t1 + " more", 2), (5, t2, 3), (8, t2 + " more", 4),
+                                  (None, words[2], 5), (None, words[2], 6), (None, words[3], 7), (None, None, 8), (None, "", 9)],
+                                 "doc_id long, text string, n int")
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = {r.n for r in kept.collect()}
+    assert got - {5, 6} == {1, 3, 7, 8, 9} and len(got & {5, 6}) == 1
+
+    labels = spark.read.parquet(f"{sf001}/labels.parquet")
+    model = toxicity._fitted(docs001, labels)
+    scored = toxicity.score_toxicity(docs001, model).filter("doc_id is not null").collect()
+    toxic = {r.doc_id for r in scored if r.score >= 0.5}
+    assert toxic
+    # Every id away, but for rows that are learned from: the verdicts must not change.
+    blank = docs001.withColumn("old", F.col("doc_id")).withColumn("doc_id", F.when(F.lit(False), F.col("doc_id")))
+    both = blank.unionByName(docs001.withColumn("old", F.col("doc_id")))
+    left = toxicity.drop_toxic(both, labels).filter("doc_id is null").collect()
+    assert {r.old for r in left} == {r.doc_id for r in scored} - toxic

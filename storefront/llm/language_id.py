@@ -1,7 +1,7 @@
 """Language identification by a bidirectional GRU over bytes (operator 6).
 
 The network (see ``gru``) is trained on a bounded sample: at most ``per_language``
-documents of each of the ``MAX_LANGUAGES`` most frequent languages. Every
+documents of every language, fewer if there are very many languages. Every
 document is read whole, in segments of 64 bytes; each letter position gets
 label probabilities, and the mean log-probabilities over all of them are the
 document's.
@@ -22,26 +22,32 @@ from storefront.llm import gru
 from storefront.llm.common import bounded_batches, pieces, raw_texts, remainder, table
 from storefront.llm.sampling import MAX_TRAIN_CHARS
 
-MAX_LANGUAGES = 64
+#: Bound of the training sample, in documents: with many languages each gets
+#: fewer, but at least one.
+MAX_SAMPLE = 64 * 300
+#: Languages that the network's smallest size and shortest training are for.
+FEW_LANGUAGES = 64
 UNKNOWN = "und"
 _SPAN = 1 << 30
 
 
 def language_sample(docs: DataFrame, per_language: int) -> list:
-    """At most ``per_language`` rows (text, lang) of each frequent language,
-    those whose doc_id has the least keyed hash."""
-    usable = docs.filter("doc_id is not null and lang is not null and text is not null").filter(
-        F.length("text").between(1, MAX_TRAIN_CHARS))
-    counts = (usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    if not counts:
+    """At most ``per_language`` rows (text, lang) of every language, those with
+    the least keyed hash; of a text of more than MAX_TRAIN_CHARS, a piece."""
+    usable = docs.filter("doc_id is not null and lang is not null and text is not null").filter(F.length("text") >= 1)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return []
-    # About 1.2 times the wanted rows pass the hash threshold of their language.
-    wanted = F.lit(None).cast("long")
-    for r in counts:
-        wanted = F.when(F.col("lang") == r["lang"], F.lit(int(_SPAN * min(1.0, 1.2 * per_language / r["n"])))).otherwise(wanted)
-    at = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(_SPAN))
-    rows = usable.select("doc_id", "text", "lang", at.alias("at")).filter(F.col("at") < wanted).collect()
+    per_language = max(1, min(per_language, MAX_SAMPLE // languages))
+    # So many rows pass the hash threshold of their language that enough do.
+    enough = 1.2 * per_language + 4 * per_language ** 0.5 + 20
+    wanted = counts.select("lang", (F.least(F.lit(1.0), F.lit(enough) / F.col("n")) * F.lit(float(_SPAN))).alias("wanted"))
+    at = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(_SPAN))
+    start = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.greatest(F.lit(1), F.length("text") - F.lit(MAX_TRAIN_CHARS - 1))) + 1
+    piece = F.substring(F.col("text"), start.cast("int"), F.lit(MAX_TRAIN_CHARS))
+    rows = (usable.withColumn("at", at).join(F.broadcast(wanted), "lang").filter(F.col("at") < F.col("wanted"))
+            .select("doc_id", piece.alias("text"), "lang", "at").collect())
     rows.sort(key=lambda r: (r["lang"], r["at"], r["doc_id"]))
     taken, out = {}, []
     for r in rows:
@@ -52,12 +58,16 @@ def language_sample(docs: DataFrame, per_language: int) -> list:
 
 
 def fit_languages(docs: DataFrame, per_language: int = 300, rounds: int = 500) -> tuple[list[str], dict] | None:
-    """Languages and network learned from ``docs`` (doc_id, text, lang)."""
+    """Languages and network learned from ``docs`` (doc_id, text, lang). Beyond
+    FEW_LANGUAGES the network and its training grow with the languages."""
     rows = language_sample(docs, per_language)
     names = sorted({r["lang"] for r in rows})
     if not names:
         return None
-    return names, gru.train([r["text"].encode() for r in rows], [names.index(r["lang"]) for r in rows], len(names), rounds)
+    number = {name: i for i, name in enumerate(names)}
+    more = max(1.0, len(names) / FEW_LANGUAGES)
+    return names, gru.train([r["text"].encode() for r in rows], [number[r["lang"]] for r in rows], len(names),
+                            round(rounds * more), hidden=round(gru.HIDDEN * more))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], dict] | None) -> DataFrame:

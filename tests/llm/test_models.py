@@ -202,3 +202,21 @@ def test_class_lm_scores_do_not_depend_on_the_words_a_task_knows(docs01, monkeyp
     got = {r.doc_id: r.score for r in class_lm.score_texts(docs.filter(remainder("doc_id", 3) != 0), docs).collect()}
     # Fewer suffixes get a unit, which changes the classes' additive shares a little.
     assert got and all(math.isclose(s, want[d], rel_tol=1e-2) for d, s in got.items())
+
+
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one of them with long documents only."""
+    rng = np.random.default_rng(4)
+    names = [f"l{i:02d}" for i in range(70)]
+    rows = [(n * 10 + k, " ".join(chr(0x4E00 + 60 * n + int(j)) for j in rng.integers(0, 20, 40)), name)
+            for n, name in enumerate(names) for k in range(6 if n < 69 else 2)]
+    rows += [(9000 + k, " ".join(["ƕƕ"] * 20_000), "long") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.language_sample(docs, per_language=4)
+    assert {r.lang for r in sample} == {*names, "long"}
+    assert max(len(r.text) for r in sample) == language_id.MAX_TRAIN_CHARS
+    assert max(Counter(r.lang for r in sample).values()) == 4
+    names, net = language_id.fit_languages(docs, per_language=4, rounds=300)
+    assert len(names) == 71 and len(net["o"]) == 71
+    found = language_id.identify(docs, (names, net)).join(docs, "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in found) > 0.8 * len(found)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from storefront.llm import byte_bpe, chat_format, class_lm, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, toxicity
+from storefront.llm import (align, byte_bpe, chat_format, class_lm, decontaminate, exact_dedup, language_id, line_dedup, near_dedup,
+                            phrases, quality, simhash, toxicity)
 
 QUERIES = {
     "op6_language_id": language_id.op6_language_id,
@@ -15,6 +16,9 @@ QUERIES = {
     "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_align": align.op12_align,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 SQL = {
@@ -22,4 +26,5 @@ SQL = {
     "op10_decontamination": decontaminate.OP10_SQL,
     "op2_chat_formatting": chat_format.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+from collections.abc import Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -108,9 +109,13 @@ def avg2(c: Column | str) -> Column:
     so there is no double rounding and no floating point.
     """
     c = F.col(c) if isinstance(c, str) else c
-    cents = F.sum((c * 100).cast("long"))
-    n = F.count(c)
-    q = F.signum(cents).cast("long") * idiv(F.abs(cents) * 2 + n, n * 2)
+    # Two sums of longs, the high and the low bits of the cents: each fits for
+    # any table, and neither is as slow as a sum of wide decimals.
+    each = (c * 100).cast("long")
+    high, low = F.sum(F.shiftright(each, 20)), F.sum(each.bitwiseAND(F.lit((1 << 20) - 1)))
+    cents = high.cast("decimal(20,0)") * F.lit(1 << 20).cast("decimal(7,0)") + low.cast("decimal(20,0)")
+    n = F.count(c).cast("decimal(20,0)")
+    q = F.signum(cents).cast("decimal(1,0)") * idiv(F.abs(cents) * 2 + n, n * 2)
     return F.when(n > 0, (q.cast("decimal(36,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,2)"))
 
 
@@ -189,9 +194,27 @@ def item_value(items: Column, name: str) -> Column:
 
 
 def specs_map(c: Column | str) -> Column:
-    """JSON object text -> map<string,string>."""
+    """JSON object text -> map<string,string>; text that is not a JSON
+    object gives NULL (an empty object an empty map)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.from_json(c, "map<string,string>")
+    whole = F.startswith(F.ltrim(c), F.lit("{")) & F.try_parse_json(c).isNotNull()
+    return F.when(whole, F.from_json(c, "map<string,string>"))
+
+
+def spec_value(c: Column | str, key: str, dtype: str = "string") -> Column:
+    """one attribute of JSON object text as ``dtype``; NULL when the text is
+    malformed, the key is missing or the value doesn't fit the type."""
+    c = F.col(c) if isinstance(c, str) else c
+    name = key.replace("\\", "\\\\").replace("'", "\\'")
+    return F.try_variant_get(F.try_parse_json(c), f"$['{name}']", dtype)
+
+
+def specs_with(specs: Column | str, wanted: Mapping[str, str]) -> Column:
+    """whether a specs map has all ``wanted`` attributes with these values."""
+    specs = F.col(specs) if isinstance(specs, str) else specs
+    hits = F.map_filter(specs, lambda k, v: F.coalesce(
+        F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])[k] == v, F.lit(False)))
+    return F.coalesce(F.size(hits) == len(wanted), F.lit(False)) if wanted else specs.isNotNull()
 
 
 # ------------------------------------------------------------------ ordering
@@ -247,7 +270,7 @@ def zero2() -> Column:
 def mean2(total_amount: Column, n: Column) -> Column:
     """Mean of cents-valued items from a pre-aggregated sum and count, rounded
     half away from zero to two places (the same result as ``avg2`` on the rows)."""
-    cents = (total_amount * 100).cast("long")
-    n = n.cast("long")
-    q = F.signum(cents).cast("long") * idiv(F.abs(cents) * 2 + n, n * 2)
+    cents = (total_amount * 100).cast("decimal(28,0)")
+    n = n.cast("decimal(20,0)")
+    q = F.signum(cents).cast("decimal(1,0)") * idiv(F.abs(cents) * 2 + n, n * 2)
     return F.when(n > 0, (q.cast("decimal(36,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,2)"))

@@ -26,10 +26,11 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storefront.functions.scalar import (
     ago, amount_matches, append_note, selling_price, ts_lit, valid_phone)
-from storefront.operators.quality import CHECKS, FOREIGN_KEYS, UNIQUE, table_rules
+from storefront.operators.quality import CHECKS, FOREIGN_KEYS, ROW_RULES, UNIQUE, table_rules
 from storefront.session import checkpoint_root
 from storefront.sources.schemas import PRIMARY_KEYS, SCHEMAS
 
@@ -77,7 +78,7 @@ def assign_keys(rows: DataFrame, key: str, start: Column) -> DataFrame:
         "_mid", "_pid", "_idx", "_off")
 
 
-def _first_reason(rules: list[tuple[str, Column]]) -> Column:
+def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """The broken rules' names, comma-joined; NULL when none is broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(r, F.lit(True)), F.lit(n)) for n, r in rules])) \
         if rules else F.array().cast("array<string>")
@@ -119,7 +120,7 @@ def insert_rows(base: DataFrame, rows: DataFrame, name: str, defaults: Mapping[s
         r = r.withColumn("seq", F.monotonically_increasing_id()).checkpoint(eager=True)
         seq = "seq"
     columns = r.columns
-    r = r.withColumn("reason", _first_reason([x for x in table_rules(name, columns) if x[0] != f"{key}_not_null"]))
+    r = r.withColumn("reason", first_reason([x for x in table_rules(name, columns) if x[0] != f"{key}_not_null"]))
     r = _missing_parents(r, name, parents or {}, columns)
     for cols in map(list, UNIQUE.get(name, ())):
         # Per key of the rows still good: its earliest row (a partial aggregate,
@@ -159,6 +160,49 @@ def _rule_columns(name: str) -> dict[str, set[str]]:
             for rule, _ in table_rules(name, columns)}
 
 
+def _fold_rules(keys: list[str], seen: list[str], rules: dict):
+    """Decide changes one after the other: rows come sorted by key and seq; the
+    state is the current key and the row's columns that the rules read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, row = None, {}
+        for batch in batches:
+            names = batch.schema.names
+            get = {c: batch.column(names.index(c)).to_pylist()
+                   for c in {*keys, "_sets", "_known", *(f"_now_{c}" for c in seen), *(c for c in seen if c in names)}}
+            reasons = []
+            for i in range(batch.num_rows):
+                now = tuple(get[c][i] for c in keys)
+                if now != key:
+                    key, row = now, {c: get[f"_now_{c}"][i] for c in seen}
+                after = {**row, **{c: get[c][i] for c in get["_sets"][i]}}
+                broken = [name for name, (_, holds) in rules.items() if not holds(after)] if get["_known"][i] else []
+                if not broken:
+                    row = after
+                reasons.append(",".join(broken) or None)
+            kept = [n for n in names if not n.startswith(("_now_", "_sets", "_known")) and n != "reason"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(reasons, pa.string())],
+                                             names=[*kept, "reason"])
+    return run
+
+
+def _decided_in_order(base: DataFrame, marked: DataFrame, keys: list[str], seq: str, cols: list[str], rules: dict, is_set) -> DataFrame:
+    """``marked`` with the changes refused that break a rule over several
+    columns at their turn. Only changes that set one of those columns take
+    part, sorted by key and seq inside their partition and folded in one pass
+    (a key's changes meet in one task; memory is one row)."""
+    seen = sorted({c for columns, _ in rules.values() for c in columns})
+    sets = F.array_compact(F.array(*[F.when(is_set(c), F.lit(c)) for c in seen if c in cols]))
+    marked = marked.withColumn("_sets", sets)
+    part = F.col("reason").isNull() & (F.size("_sets") > 0)
+    now = base.select(*keys, F.lit(True).alias("_known"), *[F.col(c).alias(f"_now_{c}") for c in seen])
+    rows = marked.where(part).join(now, keys, "left").repartition(*keys).sortWithinPartitions(*keys, seq)
+    rows = rows.withColumn("_known", F.coalesce("_known", F.lit(False)))
+    rest = marked.where(~part).drop("_sets")
+    schema = T.StructType([f for f in rows.schema if not f.name.startswith(("_now_", "_sets", "_known")) and f.name != "reason"]
+                          + [T.StructField("reason", T.StringType())])
+    return rest.unionByName(rows.mapInArrow(_fold_rules(keys, seen, rules), schema))
+
+
 def patch(base: DataFrame, changes: DataFrame, key: str | Sequence[str], mode: str = "present",
           seq: str = "seq", as_of=None, name: str | None = None, parents: Tables | None = None) -> Change:
     """Partial update of ``base`` from a change set.
@@ -172,9 +216,10 @@ def patch(base: DataFrame, changes: DataFrame, key: str | Sequence[str], mode: s
 
     With ``name`` the table's constraints hold: a change that sets a value its
     own rules forbid, or a foreign key without a row in ``parents``, is
-    rejected by itself; a row whose merged values break a rule over several
-    columns keeps its old values and all its changes are rejected. ``rejected``
-    then has a ``reason``.
+    rejected by itself; rules over several columns are decided change by change
+    in seq order, each against what the accepted ones before it left. (A row
+    that broke a rule before keeps its old values unless its changes together
+    mend it.) ``rejected`` then has a ``reason``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     dtypes = dict(changes.dtypes)
@@ -197,13 +242,16 @@ def patch(base: DataFrame, changes: DataFrame, key: str | Sequence[str], mode: s
                 for c in sorted(need):
                     given = given & is_set(c)
                 alone.append((rule, ~given | ok))
-        marked = changes.withColumn("reason", _first_reason(alone))
+        marked = changes.withColumn("reason", first_reason(alone))
         for child, col, parent, pcol, _ in FOREIGN_KEYS:
             if child == name and col in cols and parent in (parents or {}):
                 have = parents[parent].select(F.col(pcol).alias("_pk"), F.lit(True).alias("_there"))
                 marked = marked.join(have, F.col(col) == F.col("_pk"), "left").withColumn("reason", F.coalesce(
                     "reason", F.when(is_set(col) & F.col(col).isNotNull() & F.col("_there").isNull(),
                                      F.lit(f"missing {parent}")))).drop("_pk", "_there")
+        order_rules = {rule: x for rule, x in ROW_RULES.get(name, {}).items() if set(x[0]) & set(cols)}
+        if order_rules:
+            marked = _decided_in_order(base, marked, keys, seq, cols, order_rules, is_set)
     good = marked.where(F.col("reason").isNull())
     aggs = []
     for c in cols:
@@ -219,7 +267,7 @@ def patch(base: DataFrame, changes: DataFrame, key: str | Sequence[str], mode: s
     out = _touch(out, as_of, F.col("_hit").isNotNull())
     broken = None
     if name is not None:
-        out = out.withColumn("_broken", F.when(F.col("_hit"), _first_reason(table_rules(name, base.columns))))
+        out = out.withColumn("_broken", F.when(F.col("_hit"), first_reason(table_rules(name, base.columns))))
         broken = out.where(F.col("_broken").isNotNull()).select(*keys, F.col("_broken"))
         back = F.col("_broken").isNotNull()
         out = out.select(*[F.when(back, F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in base.columns],
@@ -253,7 +301,7 @@ def bulk_update(base: DataFrame, ids: DataFrame, values: Mapping[str, object], k
     missing = ids.select(key).dropDuplicates().join(base.select(key), key, "left_anti")
     if name is None:
         return Change(j.select(*base.columns), j.where(hit).select(*base.columns), missing)
-    j = j.withColumn("reason", F.when(hit, _first_reason(table_rules(name, base.columns))))
+    j = j.withColumn("reason", F.when(hit, first_reason(table_rules(name, base.columns))))
     back = F.col("reason").isNotNull()
     refused = j.where(back).select(key, "reason").unionByName(missing.withColumn("reason", F.lit("not found")))
     j = j.select(*[F.when(back, F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in base.columns],
@@ -524,7 +572,7 @@ def apply_cart_adds(t: Tables, adds: DataFrame, as_of) -> CartAdds:
                  .withColumn("reason", F.when(F.col("_known").isNull(), "Product not found")
                              .when(F.col("_cart").isNull(), "Cart not found")
                              .when(F.coalesce(F.col("quantity") <= 0, F.lit(True)), "Quantity must be positive")
-                             .when(~F.col("accepted"), "Insufficient stock"))
+                             .when(~F.coalesce("accepted", F.lit(False)), "Insufficient stock"))
                  .withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop("_known", "_cart"))
     gained = (decisions.where("accepted").groupBy(*keys).agg(F.sum("quantity").alias("_add"),
                                                              F.min("seq").alias("_first"))
@@ -593,19 +641,26 @@ def clear_carts(t: Tables, cart_ids: DataFrame, as_of) -> CartAdds:
     return CartAdds(items.join(k, "cart_id", "left_anti"), carts, items.join(k, "cart_id", "left_semi"))
 
 
-def claim_carts(carts: DataFrame, claims: DataFrame, as_of=None) -> Change:
+def claim_carts(t: Tables, claims: DataFrame, as_of=None) -> Change:
     """A guest cart (by session id) becomes the user's cart: user set,
-    session cleared. The last claim per session wins; unknown sessions are
-    rejected."""
-    last = claims.groupBy("session_id").agg(F.max_by("user_id", "seq").alias("_uid"))
-    j = carts.join(last, "session_id", "left").withColumn(
-        "_h", F.col("_uid").isNotNull() & F.col("user_id").isNull())
+    session cleared. Claims without a user, by an unknown user or of a session
+    that has no guest cart are rejected with the reason; of a session's other
+    claims the last by seq wins."""
+    carts = t["carts"]
+    guests = carts.where(F.col("user_id").isNull() & F.col("session_id").isNotNull()).select("session_id").dropDuplicates()
+    known = t["users"].select("user_id", F.lit(True).alias("_user"))
+    asked = (claims.join(known, "user_id", "left").join(guests.withColumn("_cart", F.lit(True)), "session_id", "left")
+             .withColumn("reason", F.when(F.col("_cart").isNull(), "Cart not found")
+                         .when(F.col("user_id").isNull(), "user_id is required")
+                         .when(F.col("_user").isNull(), "missing users")))
+    last = asked.where(F.col("reason").isNull()).groupBy("session_id").agg(F.max_by("user_id", "seq").alias("_uid"))
+    j = carts.join(last, "session_id", "left").withColumn("_h", F.col("_uid").isNotNull() & F.col("user_id").isNull())
     hit = F.col("_h")
     out = (j.withColumn("user_id", F.when(hit, F.col("_uid")).otherwise(F.col("user_id")))
            .withColumn("session_id", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("session_id"))))
     out = _touch(out, as_of, hit)
-    rejected = claims.join(carts.where(F.col("user_id").isNull()).select("session_id"), "session_id", "left_anti")
-    return Change(out.drop("_uid", "_h").select(*carts.columns), out.where("_h").drop("_uid", "_h"), rejected)
+    return Change(out.drop("_uid", "_h").select(*carts.columns), out.where("_h").drop("_uid", "_h"),
+                  asked.where(F.col("reason").isNotNull()).select(*claims.columns, "reason"))
 
 
 # ---------------------------------------------------------------- T11 payments
@@ -681,12 +736,13 @@ def apply_reviews(t: Tables, changes: DataFrame, as_of) -> ReviewChange:
       comment when given (last by seq wins); forbidden ratings are refused;
       created_at = as_of (as the reference does).
     * delete: only by the author; the first one counts.
-    Products: rating = average rounded to 2 places, 0 with no reviews left;
+    * any other op is refused.
+    A refused change touches nothing. Products of accepted ones: rating = average rounded to 2 places, 0 with no reviews left;
     review_count; updated_at = as_of.
     """
     from storefront.operators.metrics import product_ratings
     reviews = t["reviews"]
-    owner = reviews.select("review_id", F.col("user_id").alias("_author"), F.col("product_id").alias("_pid"))
+    owner = reviews.select("review_id", F.col("user_id").alias("_author"))
     ud = changes.where(F.col("op").isin("update", "delete")).join(owner, "review_id", "left")
     gone = (ud.where((F.col("op") == "delete") & (F.col("_author") == F.col("user_id")))
             .groupBy("review_id").agg(F.min("seq").alias("_gone")))
@@ -711,7 +767,7 @@ def apply_reviews(t: Tables, changes: DataFrame, as_of) -> ReviewChange:
     cr = changes.where(F.col("op") == "create").select("seq", *pair, "rating", "comment").join(freed, pair, "left")
     taken = F.coalesce((F.col("_stay") > 0) | (F.col("seq") < F.col("_free")), F.lit(False))
     # A taken pair is refused after the row's own faults, as on an insert.
-    own_fault = _missing_parents(cr.withColumn("reason", _first_reason(
+    own_fault = _missing_parents(cr.withColumn("reason", first_reason(
         [x for x in table_rules("reviews", cr.columns) if x[0] != "review_id_not_null"])), "reviews", t, cr.columns)
     cr = own_fault.withColumn("reason", F.coalesce("reason", F.when(taken, "duplicate " + ",".join(pair))))
     ins = insert_rows(left, cr.where(F.col("reason").isNull()).select("seq", *pair, "rating", "comment"), "reviews",
@@ -722,8 +778,9 @@ def apply_reviews(t: Tables, changes: DataFrame, as_of) -> ReviewChange:
     new = new.withColumn("review_id", F.col("review_id") + F.coalesce(top, F.lit(0)) - F.coalesce(kept, F.lit(0)))
     rv = left.unionByName(new.select(*left.columns))
 
-    touched = (changes.where(F.col("op") == "create").select("product_id")
-               .unionByName(ud_ok.select(F.col("_pid").alias("product_id"))).dropDuplicates())
+    deleted = reviews.join(gone, "review_id", "left_semi")
+    touched = (new.select("product_id").unionByName(patched.affected.select("product_id"))
+               .unionByName(deleted.select("product_id")).dropDuplicates())
     ratings = product_ratings(rv.join(touched, "product_id", "left_semi"), touched)
     p = t["products"].join(ratings.withColumnRenamed("rating", "_r").withColumnRenamed("review_count", "_n")
                            .withColumn("_hit", F.lit(True)), "product_id", "left")
@@ -731,7 +788,9 @@ def apply_reviews(t: Tables, changes: DataFrame, as_of) -> ReviewChange:
     p = (p.withColumn("rating", F.when(hit, F.col("_r")).otherwise(F.col("rating")))
          .withColumn("review_count", F.when(hit, F.col("_n")).otherwise(F.col("review_count"))))
     p = _touch(p, as_of, hit).select(*t["products"].columns)
+    unknown = changes.where(~F.coalesce(F.col("op").isin("create", "update", "delete"), F.lit(False)))
     rejected = (ins.rejected.select("seq", "reason")
+                .unionByName(unknown.select("seq", F.lit("unknown op").alias("reason")))
                 .unionByName(cr.where(F.col("reason").isNotNull()).select("seq", "reason"))
                 .unionByName(ud.where(F.col("reason").isNotNull()).select("seq", "reason"))
                 .unionByName(patched.rejected.select("seq", "reason")))
@@ -777,18 +836,23 @@ def update_transaction_status(txns: DataFrame, updates: DataFrame, as_of) -> tup
     """Status updates by checkout id (checkout_request_id, status,
     mpesa_receipt_number, result_code, result_desc, seq): status is set, the
     other fields keep their old value when the update has NULL; updated_at =
-    as_of. Returns (new table, results with success, message, transaction_id)."""
+    as_of. An update that the table's rules forbid (another status, a text that
+    is too long) changes nothing. Returns (new table, one result per update:
+    checkout_request_id, seq, success, message, transaction_id)."""
     cols = ["status", "mpesa_receipt_number", "result_code", "result_desc"]
     up = updates.select("checkout_request_id", "seq", *cols).withColumn(
         "changed", F.array_compact(F.array(F.lit("status"), *[F.when(F.col(c).isNotNull(), F.lit(c))
                                                                for c in cols[1:]])))
-    ch = patch(txns, up, "checkout_request_id", "present", as_of=as_of)
-    ids = updates.select("checkout_request_id").dropDuplicates()
-    found = ids.join(txns.select("checkout_request_id", "transaction_id"), "checkout_request_id", "left")
-    results = found.select(
-        "checkout_request_id", F.col("transaction_id").isNotNull().alias("success"),
-        F.when(F.col("transaction_id").isNotNull(), "Transaction updated successfully")
-        .otherwise("Transaction not found").alias("message"), "transaction_id")
+    # The rules of the columns an update writes; the rest of the row is not its matter.
+    rules = [r for r in table_rules("mpesa_transactions", cols) if r[0].startswith(tuple(cols))]
+    decided = up.withColumn("reason", first_reason(rules))
+    ch = patch(txns, decided.where(F.col("reason").isNull()).drop("reason"), "checkout_request_id", "present", as_of=as_of)
+    found = decided.join(txns.select("checkout_request_id", "transaction_id"), "checkout_request_id", "left")
+    ok = F.col("transaction_id").isNotNull() & F.col("reason").isNull()
+    message = (F.when(F.col("transaction_id").isNull(), "Transaction not found")
+               .when(F.col("reason").isNotNull(), F.concat(F.lit("Transaction update refused: "), "reason"))
+               .otherwise("Transaction updated successfully"))
+    results = found.select("checkout_request_id", "seq", ok.alias("success"), message.alias("message"), "transaction_id")
     return ch.table, results
 
 

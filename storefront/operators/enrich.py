@@ -286,9 +286,10 @@ def owned_images(t: Tables, requests: DataFrame) -> Access:
 
 
 def image_manifest(t: Tables) -> DataFrame:
-    """Images per product, primary first then sort_order; missing alt text
-    becomes 'Product image n' and a missing sort order becomes n - 1 (n = position),
-    with the product's image count.
+    """Images per product, primary first then sort_order; missing or empty
+    alt text becomes 'Product image n' and a missing or zero sort order becomes
+    n - 1 (n = position; both as the reference's falsy values do), with the
+    product's image count.
 
     The position is a row_number over the product's images; the count is a
     window count over the same partition.
@@ -297,9 +298,9 @@ def image_manifest(t: Tables) -> DataFrame:
                                                  F.col("image_id").asc())
     counts = t["product_images"].groupBy("product_id").agg(F.count(F.lit(1)).alias("image_count"))
     return (t["product_images"].withColumn("position", F.row_number().over(w))
-            .withColumn("alt_text", F.coalesce(F.col("alt_text"),
+            .withColumn("alt_text", F.coalesce(F.nullif(F.col("alt_text"), F.lit("")),
                                                F.concat(F.lit("Product image "), F.col("position").cast("string"))))
-            .withColumn("sort_order", F.coalesce(F.col("sort_order"), (F.col("position") - 1).cast("int")))
+            .withColumn("sort_order", F.coalesce(F.nullif(F.col("sort_order"), F.lit(0)), (F.col("position") - 1).cast("int")))
             .join(counts, "product_id"))
 
 

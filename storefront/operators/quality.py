@@ -9,7 +9,7 @@ nested loop).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -71,6 +71,12 @@ CHECKS: dict[str, tuple[tuple[str, str], ...]] = {
     "mpesa_transactions": (("amount_positive", "amount > 0"),),
 }
 
+# The rules that read several columns, as functions of a row (a dict): what a
+# fold over the changes of one row asks. table -> rule -> (columns, holds).
+ROW_RULES: dict[str, dict[str, tuple[tuple[str, ...], Callable[[dict], bool]]]] = {
+    "carts": {"cart_owner": (("user_id", "session_id"), lambda row: (row["user_id"] is None) != (row["session_id"] is None))},
+}
+
 # Unique constraints besides the primary keys.
 UNIQUE: dict[str, tuple[tuple[str, ...], ...]] = {
     "users": (("email",), ("phone",)),
@@ -167,39 +173,53 @@ def orphans(t: Tables, keys=FOREIGN_KEYS) -> DataFrame:
     """Q2: child rows whose (non-NULL) foreign key has no parent, for every key.
 
     Per parent, the references of all its children are united and anti-joined
-    with the parent's keys once; the parent is not de-duplicated first.
+    with the parent's keys once; the parent is not de-duplicated first. A
+    reference is a few numbers; names and key texts are made for the misses.
     """
+    names = [f"{child}.{col} -> {parent}.{pcol}" for child, col, parent, pcol, _ in keys]
     by_parent: dict[tuple[str, str], DataFrame] = {}
-    for child, col, parent, pcol, _ in keys:
+    for i, (child, col, parent, pcol, _) in enumerate(keys):
+        own = [F.col(k).cast("long") for k in PRIMARY_KEYS[child]]
         refs = t[child].where(F.col(col).isNotNull()).select(
-            F.lit(f"{child}.{col} -> {parent}.{pcol}").alias("foreign_key"), F.lit(child).alias("child_table"),
-            _key_text(child).alias("child_key"), F.col(col).cast("long").alias("missing_key"))
+            F.lit(i).alias("_fk"), own[0].alias("_k1"), (own[1] if len(own) > 1 else F.lit(None).cast("long")).alias("_k2"),
+            F.col(col).cast("long").alias("missing_key"))
         at = (parent, pcol)
         by_parent[at] = by_parent[at].unionByName(refs) if at in by_parent else refs
     out = None
     for (parent, pcol), refs in by_parent.items():
-        miss = refs.join(t[parent].select(F.col(pcol).cast("long").alias("missing_key")), "missing_key", "left_anti").select(
-            "foreign_key", "child_table", "child_key", "missing_key")
+        miss = refs.join(t[parent].select(F.col(pcol).cast("long").alias("missing_key")), "missing_key", "left_anti")
         out = miss if out is None else out.unionByName(miss)
-    return out
+    named = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k[0]).alias("c")) for n, k in zip(names, keys)])
+    return out.select(named[F.col("_fk")]["n"].alias("foreign_key"), named[F.col("_fk")]["c"].alias("child_table"),
+                      F.concat_ws("|", F.col("_k1").cast("string"), F.col("_k2").cast("string")).alias("child_key"), "missing_key")
 
 
 def duplicates(t: Tables, tables: Iterable[str] | None = None) -> DataFrame:
     """Q3: key values held by more than one row, for primary and unique keys
-    (rows with a NULL in the key are excluded, as SQL UNIQUE does)."""
+    (rows with a NULL in the key are excluded, as SQL UNIQUE does). A table is
+    scanned once: its keys are grouping sets of one aggregate, each counted in
+    partial aggregates."""
     out = None
     for name in tables or PRIMARY_KEYS:
-        for cols in (PRIMARY_KEYS[name],) + UNIQUE.get(name, ()):
-            df = t[name]
-            nn = F.lit(True)
-            for c in cols:
-                nn = nn & F.col(c).isNotNull()
-            d = (df.where(nn).groupBy(*cols).agg(F.count(F.lit(1)).alias("row_count"))
-                 .where(F.col("row_count") > 1)
-                 .select(F.lit(name).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
-                         F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key_value"),
-                         "row_count"))
-            out = d if out is None else out.unionByName(d)
+        sets = [list(k) for k in (PRIMARY_KEYS[name], *UNIQUE.get(name, ()))]
+        cols = list(dict.fromkeys(c for k in sets for c in k))
+        if len(sets) == 1:
+            found = t[name].groupBy(*cols).agg(F.count(F.lit(1)).alias("row_count"), F.lit(0).cast("long").alias("_set"))
+        else:
+            found = t[name].groupingSets([[F.col(c) for c in k] for k in sets], *cols).agg(
+                F.count(F.lit(1)).alias("row_count"), F.grouping_id(*cols).alias("_set"))
+        found = found.where(F.col("row_count") > 1)
+        for k in sets:
+            # grouping_id has a one for every column that is not in the set
+            bits = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in k) if len(sets) > 1 else 0
+            held = F.col("_set") == bits
+            for c in k:
+                held = held & F.col(c).isNotNull()
+            key_text = F.concat_ws("|", *[F.col(c).cast("string") for c in k])
+            one = F.struct(F.lit(name).alias("table_name"), F.lit(",".join(k)).alias("key_columns"), key_text.alias("key_value"))
+            found = found.withColumn("_row", F.when(held, one) if k is sets[0] else F.coalesce("_row", F.when(held, one)))
+        d = found.where(F.col("_row").isNotNull()).select("_row.*", "row_count")
+        out = d if out is None else out.unionByName(d)
     return out
 
 

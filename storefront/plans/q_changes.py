@@ -119,10 +119,19 @@ def _t7(t):
     return out["products"].groupBy("category_id").agg(F.count(F.lit(1)).alias("product_count"))
 
 
-ADDS_SQL = "SELECT event_id AS seq, user_id AS cart_id, (event_id % 7) + 1 AS product_id, " \
+ADDS_SQL = "SELECT event_id AS seq, user_id AS cart_id, (user_id * 7 + event_id % 7) % (SELECT count(*) FROM part) AS product_id, " \
            "CAST(1 + event_id % 13 AS INT) AS quantity FROM events WHERE event_type = 'purchase'"
 
 
+def _cart_adds(t):
+    """Every purchase event as a cart add; a cart meets seven products, all carts meet all of them."""
+    n_parts = t.raw("part").select(F.count(F.lit(1))).scalar()
+    e = t.raw("events").where(F.col("event_type") == "purchase")
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("cart_id"),
+                    ((F.col("user_id") * 7 + F.col("event_id") % 7) % n_parts).alias("product_id"),
+                    (1 + F.col("event_id") % 13).cast("int").alias("quantity"))
+
+
 @query("cart_add_decisions", f"""
 WITH RECURSIVE adds AS ({ADDS_SQL}),
 keyed AS (
@@ -142,11 +151,7 @@ SELECT a.seq, a.cart_id, a.product_id, a.quantity, coalesce(f.accepted, false) A
 FROM adds a LEFT JOIN fold f ON a.seq = f.seq LEFT JOIN shop_products p ON a.product_id = p.product_id""")
 def _t8(t):
     """Purchase events replayed as cart adds; per add accepted or refused."""
-    e = t.raw("events").where(F.col("event_type") == "purchase")
-    adds = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("cart_id"),
-                    ((F.col("event_id") % 7) + 1).alias("product_id"),
-                    (1 + F.col("event_id") % 13).cast("int").alias("quantity"))
-    return C.apply_cart_adds(t, adds, EVENTS_AS_OF).decisions.select(
+    return C.apply_cart_adds(t, _cart_adds(t), EVENTS_AS_OF).decisions.select(
         "seq", "cart_id", "product_id", "quantity", "accepted", "reason")
 
 
@@ -173,11 +178,7 @@ FROM shop_cart_items ci FULL JOIN (SELECT * FROM fin WHERE any_ok) fin
 LEFT JOIN shop_products p ON p.product_id = coalesce(ci.product_id, fin.product_id)""")
 def _t8_lines(t):
     """Cart lines after the adds (quantities folded, price refreshed on accepted adds)."""
-    e = t.raw("events").where(F.col("event_type") == "purchase")
-    adds = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("cart_id"),
-                    ((F.col("event_id") % 7) + 1).alias("product_id"),
-                    (1 + F.col("event_id") % 13).cast("int").alias("quantity"))
-    return C.apply_cart_adds(t, adds, EVENTS_AS_OF).cart_items.select("cart_id", "product_id", "quantity",
+    return C.apply_cart_adds(t, _cart_adds(t), EVENTS_AS_OF).cart_items.select("cart_id", "product_id", "quantity",
                                                                      "unit_price")
 
 
@@ -189,7 +190,7 @@ def _t10(t):
     """Every guest session 'guest_<n>' claimed by user n (when user n exists)."""
     claims = t["users"].select(F.concat(F.lit("guest_"), F.col("user_id").cast("string")).alias("session_id"),
                                "user_id", F.col("user_id").alias("seq"))
-    return C.claim_carts(t["carts"], claims).table.select("cart_id", "user_id", "session_id")
+    return C.claim_carts(t, claims).table.select("cart_id", "user_id", "session_id")
 
 
 @query("confirm_unconfirmed_payments", """
@@ -219,7 +220,7 @@ WITH cr AS (SELECT event_id AS seq, user_id, event_id % (SELECT count(*) FROM pa
 ok AS (SELECT * FROM cr WHERE NOT EXISTS (SELECT 1 FROM shop_reviews r WHERE r.user_id = cr.user_id AND r.product_id = cr.product_id)
        QUALIFY row_number() OVER (PARTITION BY user_id, product_id ORDER BY seq) = 1),
 allr AS (SELECT product_id, rating FROM shop_reviews UNION ALL SELECT product_id, rating FROM ok),
-touched AS (SELECT DISTINCT product_id FROM cr)
+touched AS (SELECT DISTINCT product_id FROM ok)
 SELECT p.product_id,
        CAST(CASE WHEN tt.product_id IS NULL THEN NULL ELSE coalesce(
          (SELECT CAST((sum(rating) * 200 + count(*)) // (count(*) * 2) AS DECIMAL(36,0)) * 0.01 FROM allr a
@@ -228,8 +229,8 @@ SELECT p.product_id,
             ELSE CAST((SELECT count(*) FROM allr a WHERE a.product_id = p.product_id) AS INT) END AS review_count
 FROM shop_products p LEFT JOIN touched tt ON p.product_id = tt.product_id""")
 def _t12(t):
-    """Purchase events become review creates; products touched get the new
-    rating and count (others keep theirs)."""
+    """Purchase events become review creates; products that got a review get
+    the new rating and count (others keep theirs)."""
     e = t.raw("events").where(F.col("event_type") == "purchase")
     n_parts = t.raw("part").select(F.count(F.lit(1))).scalar()
     ch = e.select(F.lit("create").alias("op"), F.col("event_id").alias("seq"), F.lit(None).cast("long").alias("review_id"),
@@ -537,3 +538,141 @@ def _t7_chain(t):
                                                                    (F.col("category_id") + 1).alias("target_id"))
     out, _ = C.merge_categories(t, pairs, EVENTS_AS_OF)
     return out["products"].groupBy("category_id").agg(F.count(F.lit(1)).alias("product_count"))
+
+
+# ---------------------------------------------------------------- decided in order, checked
+
+def _cart_patches(t):
+    """Per cart, in order: a status, a session id (breaks the owner rule of a
+    user's cart), no user (breaks it as well), and for even carts a session
+    instead of the user."""
+    c = F.col("cart_id")
+    carts = t["carts"].select("cart_id")
+
+    def change(k, rows, status=None, user=None, session=None, names=()):
+        return rows.select("cart_id", (c * 4 + k).alias("seq"), F.lit(status).cast("string").alias("status"), F.lit(user).cast("long").alias("user_id"),
+                           (F.concat(F.lit(session), c.cast("string")) if session else F.lit(None).cast("string")).alias("session_id"),
+                           F.array(*map(F.lit, names)).alias("changed"))
+    return (change(0, carts, status="converted", names=["status"]).unionByName(change(1, carts, session="late_", names=["session_id"]))
+            .unionByName(change(2, carts, names=["user_id"]))
+            .unionByName(change(3, carts.where(c % 2 == 0), session="moved_", names=["user_id", "session_id"])))
+
+
+@query("patch_in_order", """
+SELECT cart_id, cart_id * 4 + k AS seq, CASE WHEN k IN (1, 2) AND cart_id % 4 <> 0 THEN 'cart_owner' END AS reason
+FROM shop_carts, range(0, 4) r(k) WHERE k < 3 OR cart_id % 2 = 0""")
+def _t2_order(t):
+    """Changes decided one after the other; the reason of the refused ones."""
+    changes = _cart_patches(t)
+    refused = C.patch(t["carts"], changes, "cart_id", name="carts").rejected.select("cart_id", "seq", "reason")
+    return changes.select("cart_id", "seq").join(refused, ["cart_id", "seq"], "left")
+
+
+@query("patch_in_order_carts", """
+SELECT cart_id, CASE WHEN cart_id % 2 = 0 THEN NULL ELSE user_id END AS user_id,
+       CASE WHEN cart_id % 2 = 0 THEN 'moved_' || CAST(cart_id AS VARCHAR) ELSE session_id END AS session_id, 'converted' AS status
+FROM shop_carts""")
+def _t2_order_carts(t):
+    """The carts after those changes: what was valid at its turn stays."""
+    return C.patch(t["carts"], _cart_patches(t), "cart_id", name="carts").table.select("cart_id", "user_id", "session_id", "status")
+
+
+@query("cart_claims_checked", """
+WITH claims AS (
+  SELECT 'guest_' || CAST(cart_id AS VARCHAR) AS session_id, cart_id * 2 AS seq,
+         CASE cart_id % 3 WHEN 0 THEN 888888888 WHEN 1 THEN NULL ELSE cart_id END AS user_id FROM shop_carts
+  UNION ALL SELECT 'guest_' || CAST(cart_id AS VARCHAR), cart_id * 2 + 1, cart_id + 1 FROM shop_carts WHERE cart_id % 8 = 0)
+SELECT c.session_id, c.seq, CASE WHEN g.session_id IS NULL THEN 'Cart not found' WHEN c.user_id IS NULL THEN 'user_id is required'
+                                 WHEN u.user_id IS NULL THEN 'missing users' END AS reason
+FROM claims c LEFT JOIN shop_carts g ON g.session_id = c.session_id AND g.user_id IS NULL
+LEFT JOIN shop_users u ON u.user_id = c.user_id""")
+def _t10_checked(t):
+    """Claims without a user, by unknown users, of carts that are nobody's
+    guest cart; the reason of each claim (NULL: valid)."""
+    claims = _claims(t)
+    refused = C.claim_carts(t, claims, EVENTS_AS_OF).rejected.select("seq", "reason")
+    return claims.select("session_id", "seq").join(refused, "seq", "left")
+
+
+def _claims(t):
+    c = F.col("cart_id")
+    session = F.concat(F.lit("guest_"), c.cast("string")).alias("session_id")
+    user = F.when(c % 3 == 0, F.lit(888888888)).when(c % 3 == 2, c).cast("long")
+    return t["carts"].select(session, (c * 2).alias("seq"), user.alias("user_id")).unionByName(
+        t["carts"].where(c % 8 == 0).select(session, (c * 2 + 1).alias("seq"), (c + 1).alias("user_id")))
+
+
+@query("cart_claims_applied", f"""
+WITH ok AS (
+  SELECT 'guest_' || CAST(cart_id AS VARCHAR) AS session_id, cart_id + 1 AS user_id, 1 AS k FROM shop_carts WHERE cart_id % 8 = 0
+  UNION ALL SELECT 'guest_' || CAST(cart_id AS VARCHAR), cart_id, 0 FROM shop_carts WHERE cart_id % 3 = 2),
+won AS (SELECT session_id, max_by(ok.user_id, k) AS user_id FROM ok JOIN shop_users u ON u.user_id = ok.user_id GROUP BY session_id)
+SELECT c.cart_id, CASE WHEN c.user_id IS NULL AND w.user_id IS NOT NULL THEN w.user_id ELSE c.user_id END AS user_id,
+       CASE WHEN c.user_id IS NULL AND w.user_id IS NOT NULL THEN NULL ELSE c.session_id END AS session_id,
+       CASE WHEN c.user_id IS NULL AND w.user_id IS NOT NULL THEN {EA} ELSE c.updated_at END AS updated_at
+FROM shop_carts c LEFT JOIN won w ON w.session_id = c.session_id""")
+def _t10_applied(t):
+    """The carts after those claims."""
+    return C.claim_carts(t, _claims(t), EVENTS_AS_OF).table.select("cart_id", "user_id", "session_id", "updated_at")
+
+
+@query("review_changes_products", f"""
+WITH {_PAIRS},
+after AS (
+  SELECT product_id, CAST(CASE WHEN review_id % 5 = 1 AND review_id % 8 BETWEEN 1 AND 5 THEN review_id % 8 ELSE rating END AS INT) AS rating
+  FROM shop_reviews WHERE review_id % 5 <> 0
+  UNION ALL SELECT product_id, CAST(1 + review_id % 4 AS INT) FROM again WHERE free AND known),
+touched AS (
+  SELECT product_id FROM shop_reviews WHERE review_id % 5 = 0 OR (review_id % 5 = 1 AND review_id % 8 BETWEEN 1 AND 5)),
+stats AS (SELECT product_id, count(*) AS n, sum(rating) AS total FROM after GROUP BY product_id)
+SELECT p.product_id,
+       CAST(CASE WHEN p.product_id IN (SELECT product_id FROM touched)
+            THEN coalesce(CAST((total * 200 + n) // (n * 2) AS DECIMAL(36,0)) * 0.01, 0) END AS DECIMAL(3,2)) AS rating,
+       CAST(CASE WHEN p.product_id IN (SELECT product_id FROM touched) THEN coalesce(n, 0) END AS INT) AS review_count,
+       CASE WHEN p.product_id IN (SELECT product_id FROM touched) THEN {EA} ELSE p.updated_at END AS updated_at
+FROM shop_products p LEFT JOIN stats s ON s.product_id = p.product_id""")
+def _t12_products(t):
+    """The products after those review changes (and an unknown operation on
+    every review): refused changes touch nothing."""
+    changes = _review_changes(t).unionByName(t["reviews"].select(
+        F.lit("merge").alias("op"), (F.col("review_id") * 10 + 9).alias("seq"), "review_id", "user_id", "product_id", "rating", "comment"))
+    return C.apply_reviews(t, changes, EVENTS_AS_OF).products.select("product_id", "rating", "review_count", "updated_at")
+
+
+def _status_updates(t):
+    """Updates of every transaction: every fourth to an unknown status, every
+    fifth with a code of 20 characters, every seventh under an unknown id."""
+    x, tx = F.col("transaction_id"), t["mpesa_transactions"]
+    none = F.lit(None).cast("string")
+    return tx.select(
+        F.when(x % 7 == 0, F.concat("checkout_request_id", F.lit("_x"))).otherwise(F.col("checkout_request_id")).alias("checkout_request_id"),
+        x.alias("seq"), F.when(x % 4 == 0, "bogus").otherwise("cancelled").alias("status"), none.alias("mpesa_receipt_number"),
+        F.when(x % 5 == 0, F.lit("1" * 20)).alias("result_code"), F.lit("Expired").alias("result_desc"))
+
+
+_REFUSED = """CASE WHEN transaction_id % 5 = 0 AND transaction_id % 4 = 0 THEN 'result_code_max_length_10,status_allowed'
+                   WHEN transaction_id % 5 = 0 THEN 'result_code_max_length_10' WHEN transaction_id % 4 = 0 THEN 'status_allowed' END"""
+
+
+@query("transaction_status_invalid", f"""
+SELECT transaction_id AS seq, CASE WHEN transaction_id % 7 <> 0 THEN transaction_id END AS transaction_id,
+       transaction_id % 7 <> 0 AND transaction_id % 5 <> 0 AND transaction_id % 4 <> 0 AS success,
+       CASE WHEN transaction_id % 7 = 0 THEN 'Transaction not found'
+            ELSE coalesce('Transaction update refused: ' || {_REFUSED}, 'Transaction updated successfully') END AS message
+FROM shop_transactions""")
+def _t15_invalid(t):
+    """The result of every update, forbidden values refused."""
+    return C.update_transaction_status(t["mpesa_transactions"], _status_updates(t), EVENTS_AS_OF)[1].select(
+        "seq", "transaction_id", "success", "message")
+
+
+@query("transaction_status_checked", f"""
+WITH ok AS (SELECT transaction_id FROM shop_transactions WHERE transaction_id % 7 <> 0 AND transaction_id % 5 <> 0 AND transaction_id % 4 <> 0)
+SELECT t.transaction_id, CASE WHEN ok.transaction_id IS NULL THEN status ELSE 'cancelled' END AS status, result_code,
+       CASE WHEN ok.transaction_id IS NULL THEN result_desc ELSE 'Expired' END AS result_desc,
+       CASE WHEN ok.transaction_id IS NULL THEN updated_at ELSE {EA} END AS updated_at
+FROM shop_transactions t LEFT JOIN ok ON ok.transaction_id = t.transaction_id""")
+def _t15_checked(t):
+    """The transactions after those updates."""
+    return C.update_transaction_status(t["mpesa_transactions"], _status_updates(t), EVENTS_AS_OF)[0].select(
+        "transaction_id", "status", "result_code", "result_desc", "updated_at")

@@ -73,17 +73,19 @@ def _j3_items(t):
 @query("product_documents", """
 WITH s AS (SELECT product_id, count(order_item_id) AS times_ordered, CAST(sum(quantity) AS BIGINT) AS units_sold,
                   CAST(sum(quantity * unit_price) AS DECIMAL(38,2)) AS revenue FROM shop_order_items GROUP BY product_id),
-     r AS (SELECT product_id, count(*) AS n FROM shop_reviews GROUP BY product_id)
+     r AS (SELECT product_id, count(*) AS n FROM shop_reviews GROUP BY product_id),
+     i AS (SELECT product_id, count(*) AS n FROM shop_product_images GROUP BY product_id)
 SELECT p.product_id, p.title, c.name AS category_name, u.name AS seller_name, s.times_ordered, s.units_sold, s.revenue,
-       coalesce(r.n, 0) AS reviews_found
+       coalesce(r.n, 0) AS reviews_found, coalesce(i.n, 0) AS image_count
 FROM shop_products p LEFT JOIN shop_categories c ON p.category_id = c.category_id
 LEFT JOIN (shop_sellers se JOIN shop_users u ON se.user_id = u.user_id) ON p.seller_id = se.seller_id
-LEFT JOIN s ON p.product_id = s.product_id LEFT JOIN r ON p.product_id = r.product_id""")
+LEFT JOIN s ON p.product_id = s.product_id LEFT JOIN r ON p.product_id = r.product_id
+LEFT JOIN i ON p.product_id = i.product_id""")
 def _j4(t):
     """J4 headers for every product."""
     return E.product_documents(t).header.select("product_id", "title", "category_name", "seller_name",
                                                 "times_ordered", "units_sold", "revenue",
-                                                F.col("reviews_found").cast("long").alias("reviews_found"))
+                                                F.col("reviews_found").cast("long").alias("reviews_found"), "image_count")
 
 
 @query("seller_documents", """

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from storefront.operators import payments as P
-from storefront.plans.registry import EVENTS_AS_OF, ORDERS_AS_OF, query
+from storefront.plans.registry import EVENTS_AS_OF, EVENTS_MIDWAY, ORDERS_AS_OF, query
 from storefront.plans.sqltext import avg2, pct
 
 EA = f"TIMESTAMP '{EVENTS_AS_OF}'"
 OA = f"TIMESTAMP '{ORDERS_AS_OF}'"
 EDAY = f"date_trunc('day', {EA})"
+MID = f"TIMESTAMP '{EVENTS_MIDWAY}'"
 ODAY = f"date_trunc('day', {OA})"
 
 
@@ -28,12 +29,12 @@ def _m1(t):
 
 @query("pending_recent", f"""
 SELECT t.transaction_id, t.order_id, t.checkout_request_id, t.phone_number, t.amount, o.user_id, o.total_amount,
-       {secs('t.created_at')} AS seconds_pending
+       {secs('t.created_at', MID)} AS seconds_pending
 FROM shop_transactions t JOIN shop_orders o ON t.order_id = o.order_id
-WHERE t.status = 'pending' AND t.created_at > {EA} - INTERVAL 1 HOUR""")
+WHERE t.status = 'pending' AND t.created_at > {MID} - INTERVAL 1 HOUR""")
 def _m2(t):
-    """M2."""
-    return P.pending_recent(t, EVENTS_AS_OF)
+    """M2 midway through the events (their last orders don't exist)."""
+    return P.pending_recent(t, EVENTS_MIDWAY)
 
 
 @query("outcome_rate", f"""
@@ -101,11 +102,11 @@ def _m8(t):
 SELECT t.transaction_id, t.order_id, t.mpesa_receipt_number, t.amount, t.created_at, o.status AS order_status,
        CASE WHEN o.status <> 'processing' THEN 'NEEDS_UPDATE' ELSE 'OK' END AS reconciliation_status
 FROM shop_transactions t JOIN shop_orders o ON t.order_id = o.order_id
-WHERE t.status = 'completed' AND t.created_at > {EDAY} - INTERVAL 1 DAY
+WHERE t.status = 'completed' AND t.created_at > date_trunc('day', {MID}) - INTERVAL 1 DAY
   AND o.status NOT IN ('processing', 'shipped', 'delivered')""")
 def _m9(t):
-    """M9."""
-    return P.reconciliation(t, EVENTS_AS_OF)
+    """M9 midway through the events."""
+    return P.reconciliation(t, EVENTS_MIDWAY)
 
 
 @query("method_stats", f"""

@@ -6,97 +6,72 @@ from pyspark.sql import functions as F
 
 from storefront.operators import quality as Q
 from storefront.plans.registry import query
+from storefront.sources.schemas import ENUMS, PRIMARY_KEYS
 
-CHECKED = ("users", "products", "orders", "order_items", "payments", "reviews", "carts", "cart_items",
-           "mpesa_transactions")
+VIEWS = {"users": "shop_users", "sellers": "shop_sellers", "carts": "shop_carts", "addresses": "shop_addresses",
+         "categories": "shop_categories", "products": "shop_products", "product_images": "shop_product_images",
+         "cart_items": "shop_cart_items", "orders": "shop_orders", "order_items": "shop_order_items", "payments": "shop_payments",
+         "reviews": "shop_reviews", "delivery_pricing": "shop_delivery_pricing", "special_offers": "shop_offers",
+         "product_offers": "shop_product_offers", "mpesa_transactions": "shop_transactions"}
 
+# Columns of the rules and keys that the driver data does not fill: NULL in every row.
+UNFILLED = {"users": ("password_hash",), "sellers": ("tax_id", "business_license"), "addresses": ("building", "postal_code"),
+            "categories": ("icon_path",), "products": ("rating", "review_count"), "orders": ("cart_id",),
+            "payments": ("mpesa_code", "mpesa_phone", "transaction_reference"), "special_offers": ("banner_image_url",),
+            "mpesa_transactions": ("merchant_request_id",)}
+NUMERIC = ("rating", "review_count", "cart_id")
 
-@query("rejected_rows", """
-SELECT 'users' AS table_name, CAST(user_id AS VARCHAR) AS row_key,
-       concat_ws(',', CASE WHEN role NOT IN ('customer','seller','admin','guest') THEN 'role_allowed' END,
-                 CASE WHEN NOT (phone LIKE '+254%') THEN 'phone_prefix' END) AS broken_rules
-FROM shop_users WHERE role NOT IN ('customer','seller','admin','guest') OR NOT (phone LIKE '+254%')
-  OR length(name) > 100 OR length(email) > 100 OR length(phone) > 13
-UNION ALL
-SELECT 'products', CAST(product_id AS VARCHAR),
-       concat_ws(',', CASE WHEN title IS NULL THEN 'title_not_null' END,
-                 CASE WHEN length(title) > 100 THEN 'title_max_length_100' END,
-                 CASE WHEN NOT (price > 0) THEN 'price_positive' END,
-                 CASE WHEN NOT (sale_price > 0) THEN 'sale_price_positive' END,
-                 CASE WHEN NOT (stock >= 0) THEN 'stock_non_negative' END)
-FROM shop_products WHERE title IS NULL OR length(title) > 100 OR NOT (price > 0) OR NOT coalesce(sale_price > 0, true)
-  OR NOT (stock >= 0)
-UNION ALL
-SELECT 'orders', CAST(order_id AS VARCHAR),
-       concat_ws(',', CASE WHEN NOT (total_amount > 0) THEN 'total_amount_positive' END)
-FROM shop_orders WHERE NOT (total_amount > 0)
-UNION ALL
-SELECT 'order_items', CAST(order_item_id AS VARCHAR),
-       concat_ws(',', CASE WHEN NOT (quantity > 0) THEN 'quantity_positive' END,
-                 CASE WHEN NOT (unit_price > 0) THEN 'unit_price_positive' END)
-FROM shop_order_items WHERE NOT (quantity > 0) OR NOT (unit_price > 0)
-UNION ALL
-SELECT 'payments', CAST(payment_id AS VARCHAR),
-       concat_ws(',', CASE WHEN NOT (amount > 0) THEN 'amount_positive' END)
-FROM shop_payments WHERE NOT (amount > 0)
-UNION ALL
-SELECT 'reviews', CAST(review_id AS VARCHAR),
-       concat_ws(',', CASE WHEN NOT (rating >= 1 AND rating <= 5) THEN 'rating_range' END)
-FROM shop_reviews WHERE NOT (rating >= 1 AND rating <= 5)
-UNION ALL
-SELECT 'carts', CAST(cart_id AS VARCHAR),
-       concat_ws(',', CASE WHEN NOT ((user_id IS NOT NULL AND session_id IS NULL) OR (user_id IS NULL AND session_id IS NOT NULL))
-                      THEN 'cart_owner' END)
-FROM shop_carts WHERE NOT ((user_id IS NOT NULL AND session_id IS NULL) OR (user_id IS NULL AND session_id IS NOT NULL))
-UNION ALL
-SELECT 'cart_items', CAST(cart_item_id AS VARCHAR),
-       concat_ws(',', CASE WHEN NOT (quantity > 0) THEN 'quantity_positive' END,
-                 CASE WHEN NOT (unit_price > 0) THEN 'unit_price_positive' END)
-FROM shop_cart_items WHERE NOT (quantity > 0) OR NOT (unit_price > 0)
-UNION ALL
-SELECT 'mpesa_transactions', CAST(transaction_id AS VARCHAR),
-       concat_ws(',', 'merchant_request_id_not_null',
-                 CASE WHEN amount IS NULL THEN 'amount_not_null' END,
-                 CASE WHEN length(phone_number) > 15 THEN 'phone_number_max_length_15' END,
-                 CASE WHEN status NOT IN ('pending','completed','failed','cancelled') THEN 'status_allowed' END,
-                 CASE WHEN NOT (amount > 0) THEN 'amount_positive' END)
-FROM shop_transactions""")
+
+def _rows(name: str) -> str:
+    """The table with its unfilled columns as typed NULLs."""
+    more = "".join(f", CAST(NULL AS {'DECIMAL(10,2)' if c in NUMERIC else 'VARCHAR'}) AS {c}" for c in UNFILLED.get(name, ()))
+    return f"(SELECT *{more} FROM {VIEWS[name]})"
+
+
+def _key(name: str, of: str = "") -> str:
+    return " || '|' || ".join(f"CAST({of}{k} AS VARCHAR)" for k in PRIMARY_KEYS[name])
+
+
+def _rules_sql(name: str) -> str:
+    rules = [(f"{c}_not_null", f"{c} IS NOT NULL") for c in Q.NOT_NULL.get(name, ())]
+    rules += [(f"{c}_max_length_{n}", f"length({c}) <= {n}") for c, n in Q.MAX_LENGTH.get(name, {}).items()]
+    rules += [(f"{c}_allowed", f"{c} IN ({', '.join(repr(v) for v in values)})") for (tbl, c), values in ENUMS.items() if tbl == name]
+    rules += list(Q.CHECKS.get(name, ()))
+    broken = ", ".join(f"CASE WHEN NOT coalesce({ok}, true) THEN '{rule}' END" for rule, ok in rules)
+    return (f"SELECT '{name}' AS table_name, {_key(name)} AS row_key, concat_ws(',', {broken}) AS broken_rules "
+            f"FROM {_rows(name)} x WHERE concat_ws(',', {broken}) <> ''")
+
+
+@query("rejected_rows", "\nUNION ALL\n".join(_rules_sql(n) for n in VIEWS))
 def _q1(t):
-    """Q1 over nine tables of the driver data (every transaction lacks a
-    merchant request id, which the DDL requires)."""
-    return Q.rejected_rows(t, CHECKED)
+    """Q1 over all sixteen tables, every rule (every transaction lacks a merchant
+    request id, which the DDL requires)."""
+    return Q.rejected_rows(t, VIEWS)
 
 
 def _fk_sql() -> str:
-    views = {"users": "shop_users", "sellers": "shop_sellers", "carts": "shop_carts", "addresses": "shop_addresses",
-             "categories": "shop_categories", "products": "shop_products", "cart_items": "shop_cart_items",
-             "orders": "shop_orders", "order_items": "shop_order_items", "payments": "shop_payments",
-             "reviews": "shop_reviews", "special_offers": "shop_offers", "product_offers": "shop_product_offers",
-             "mpesa_transactions": "shop_transactions"}
-    pk = {"users": "user_id", "sellers": "seller_id", "carts": "cart_id", "addresses": "address_id",
-          "products": "product_id", "cart_items": "cart_item_id", "orders": "order_id",
-          "order_items": "order_item_id", "payments": "payment_id", "reviews": "review_id",
-          "mpesa_transactions": "transaction_id"}
-    parts = []
-    for child, col, parent, pcol, _ in Q.FOREIGN_KEYS:
-        if child not in views or parent not in views:
-            continue
-        key = ("CAST(c.product_id AS VARCHAR) || '|' || CAST(c.offer_id AS VARCHAR)" if child == "product_offers"
-               else f"CAST(c.{pk[child]} AS VARCHAR)")
-        if child == "orders" and col == "cart_id":
-            continue  # the driver orders view has no cart column
-        parts.append(
-            f"SELECT '{child}.{col} -> {parent}.{pcol}' AS foreign_key, '{child}' AS child_table, {key} AS child_key, "
-            f"CAST(c.{col} AS BIGINT) AS missing_key FROM {views[child]} c WHERE c.{col} IS NOT NULL AND NOT EXISTS "
-            f"(SELECT 1 FROM {views[parent]} p WHERE p.{pcol} = c.{col})")
-    return "\nUNION ALL\n".join(parts)
+    return "\nUNION ALL\n".join(
+        f"SELECT '{child}.{col} -> {parent}.{pcol}' AS foreign_key, '{child}' AS child_table, {_key(child, 'c.')} AS child_key, "
+        f"CAST(c.{col} AS BIGINT) AS missing_key FROM {_rows(child)} c WHERE c.{col} IS NOT NULL AND NOT EXISTS "
+        f"(SELECT 1 FROM {VIEWS[parent]} p WHERE p.{pcol} = c.{col})" for child, col, parent, pcol, _ in Q.FOREIGN_KEYS)
 
 
 @query("orphans", _fk_sql())
 def _q2(t):
-    """Q2 over every foreign key the driver tables fill."""
-    keys = tuple(k for k in Q.FOREIGN_KEYS if k[0] != "product_images" and not (k[0] == "orders" and k[1] == "cart_id"))
-    return Q.orphans(t, keys)
+    """Q2 over every foreign key of the schema."""
+    return Q.orphans(t)
+
+
+def _unique_sql(name: str, cols: tuple[str, ...]) -> str:
+    return (f"SELECT '{name}' AS table_name, '{','.join(cols)}' AS key_columns, "
+            f"{' || chr(124) || '.join(f'CAST({c} AS VARCHAR)' for c in cols)} AS key_value, count(*) AS row_count FROM {_rows(name)} x "
+            f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)} GROUP BY {', '.join(cols)} HAVING count(*) > 1")
+
+
+@query("duplicate_keys", "\nUNION ALL\n".join(_unique_sql(n, k) for n in VIEWS for k in (PRIMARY_KEYS[n], *Q.UNIQUE.get(n, ()))))
+def _q3_all(t):
+    """Q3 for all sixteen tables, every primary and unique key."""
+    return Q.duplicates(t)
 
 
 @query("duplicates", """

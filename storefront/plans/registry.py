@@ -19,6 +19,8 @@ from storefront.sources.views import ShopTables, shop_views
 # 1995-01-01..2001-08-01, events 2024-01-01..2024-01-30.
 ORDERS_AS_OF = "2001-07-31 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
+# Inside the events, whose orders exist: for reports on the last hour or day.
+EVENTS_MIDWAY = "2024-01-15 12:00:00"
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,7 @@ def query(name: str, sql: str | None = None):
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from storefront.plans import (  # noqa: F401
-        q_changes, q_dashboard, q_enrich, q_payments, q_quality, q_sellers, q_streams)
+        q_changes, q_dashboard, q_enrich, q_media, q_payments, q_quality, q_sellers, q_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

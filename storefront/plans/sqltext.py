@@ -93,6 +93,18 @@ SELECT CAST(n_nationkey AS BIGINT) AS offer_id, n_name AS title, CAST(5 + n_nati
        (n_nationkey % 2 = 0) AS is_active,
        CASE n_nationkey % 3 WHEN 0 THEN TIMESTAMP '2023-12-31 00:00:00' WHEN 1 THEN TIMESTAMP '2024-06-30 00:00:00' END
          AS valid_until FROM nation""",
+    "shop_product_images": """
+SELECT page_id * 100000 + pos AS image_id, page_id % (SELECT count(*) FROM part) AS product_id,
+       '/uploads/products' || urls[pos + 1] AS image_url, CASE WHEN pos % 3 <> 1 THEN texts[pos + 1] END AS alt_text,
+       pos = page_id % 4 AS is_primary, CAST(CASE WHEN pos % 4 <> 3 THEN (pos * 7 + page_id) % 5 END AS INT) AS sort_order
+FROM (SELECT page_id, urls, texts, unnest(range(len(urls))) AS pos FROM (
+  SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS urls,
+         regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages) found) numbered""",
+    "shop_delivery_pricing": """
+SELECT CAST(n_nationkey + 1 AS BIGINT) AS rule_id, n_name AS city,
+       CAST(CASE WHEN n_nationkey % 4 <> 0 THEN 1000 + 100 * n_nationkey END AS DECIMAL(10,2)) AS min_free_delivery,
+       CAST(150 + 10 * n_nationkey AS DECIMAL(10,2)) AS standard_fee, n_nationkey % 5 <> 0 AS is_active,
+       TIMESTAMP '1995-01-01 00:00:00' AS created_at FROM nation""",
     "shop_product_offers": """
 SELECT p_partkey AS product_id, p_partkey % 25 AS offer_id FROM part WHERE p_partkey % 4 = 0""",
 }

@@ -11,13 +11,18 @@
 Tables are written through the session catalog (``saveAsTable``), because
 bucket metadata lives in the catalog; on a cluster the metastore holds it and
 ``path`` should point at the shared warehouse.
+
+* The bases of a change log (``sources.sinks``) are bucketed by one column and
+  partitioned by the bucket's number as well: a filter on the number prunes
+  folders, and a join on the column needs no shuffle of the base.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed layout: table -> bucket column (None = not bucketed).
@@ -43,6 +48,37 @@ def save_by_day(df: DataFrame, table: str, ts_col: str, path: str | None = None)
     w.saveAsTable(table)
 
 
+#: The bucket's number as a column: Spark's own bucket hash, so a folder holds one bucket.
+BUCKET = "_bucket"
+
+
+def bucket_of(by: str, buckets: int) -> Column:
+    """The number of the bucket that a value of column ``by`` falls into."""
+    return F.pmod(F.hash(F.col(by)), F.lit(buckets))
+
+
+def _catalog_name(path: str) -> str:
+    return f"base_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def save_by_bucket(df: DataFrame, path: str, by: str, buckets: int) -> None:
+    """Write ``df`` to ``path`` in ``buckets`` buckets of column ``by``, one folder and file each."""
+    (df.withColumn(BUCKET, bucket_of(by, buckets)).repartition(buckets, by).write.format("parquet")
+     .partitionBy(BUCKET).bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(_catalog_name(path)))
+
+
+def open_bucketed(spark: SparkSession, path: str, by: str, buckets: int) -> DataFrame:
+    """The table at ``path`` with its buckets known to the planner. A session
+    whose catalog doesn't have it (a restart) registers it first."""
+    name = _catalog_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (`{BUCKET}`) "
+                  f"CLUSTERED BY (`{by}`) SORTED BY (`{by}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
+
+
 def write_layout(t: Mapping[str, DataFrame], buckets: int, prefix: str = "shop_",
                  root: str | None = None) -> dict[str, str]:
     """Write the tables of ``t`` with the layout above; returns table -> catalog name.

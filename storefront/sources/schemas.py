@@ -6,10 +6,14 @@ Keys are bigint, money is decimal, times are timestamp_ntz in batch.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storefront.session import scratch_path
+
 LONG, INT, STR, BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType()
 TS = T.TimestampNTZType()
 
@@ -119,5 +123,42 @@ def load(spark: SparkSession, path: str, name: str, fmt: str = "parquet", **opti
     return reader.format(fmt).load(path)
 
 
+class Loaded(NamedTuple):
+    rows: DataFrame
+    quarantined: DataFrame
+
+
+def load_checked(spark: SparkSession, path: str, name: str, fmt: str = "csv", **options) -> Loaded:
+    """S1 with quarantine: rows that fit the table's schema, and the others with
+    their raw text and the reason (a value or line that does not parse, or a
+    column that must not be NULL and is). Good and quarantined rows together are
+    the input rows.
+
+    The raw files are read once into a staged Parquet table below the shared
+    checkpoint folder: a parser that is asked for fewer columns later would
+    overlook broken values in the others.
+    """
+    schema = SCHEMAS[name]
+    raw = "_raw_text"
+    if fmt in ("csv", "json"):
+        wide = T.StructType([*schema.fields, T.StructField(raw, STR, True)])
+        df = (spark.read.schema(wide).options(**options).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", raw).format(fmt).load(path))
+        broken = F.col(raw).isNotNull()
+    else:  # typed formats parse or fail as a whole
+        df = spark.read.schema(schema).options(**options).format(fmt).load(path).withColumn(raw, F.lit(None).cast(STR))
+        broken = F.lit(False)
+    missing = F.concat_ws(",", *[F.when(F.col(f.name).isNull(), F.lit(f.name)) for f in schema.fields if not f.nullable])
+    df = df.withColumn("_reason", F.when(broken, "does not fit the schema")
+                       .when(missing != "", F.concat(F.lit("missing "), missing)))
+    staged = scratch_path(spark, f"load-{name}")
+    df.write.parquet(staged)
+    df = spark.read.schema(df.schema).parquet(staged)
+    bad = df.where(F.col("_reason").isNotNull())
+    text = F.coalesce(F.col(raw), F.to_json(F.struct(*schema.names)))
+    return Loaded(df.where(F.col("_reason").isNull()).select(*schema.names),
+                  bad.select(text.alias("raw"), F.col("_reason").alias("reason")))
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])

@@ -14,15 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storefront.functions.scalar import ts_lit
-from storefront.sources.schemas import conform, empty
+from storefront.sources.schemas import conform
 
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
 SHOP_TABLES = ("users", "sellers", "categories", "products", "addresses", "orders", "order_items", "payments",
-               "mpesa_transactions", "reviews", "carts", "cart_items", "special_offers", "product_offers")
-
-# Canonical tables the driver data has no source for: empty, with their schema.
-EMPTY_TABLES = ("product_images", "delivery_pricing")
+               "mpesa_transactions", "reviews", "carts", "cart_items", "special_offers", "product_offers",
+               "product_images", "delivery_pricing")
 
 EPOCH = "1995-01-01 00:00:00"
 
@@ -45,8 +43,12 @@ DRIVER_SCHEMAS = {
                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
                 "l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
 }
 
+#: A link of a page: its address and its text.
+LINK = '<a href="([^"]*)">([^<]*)</a>'
+
 
 def _s(c) -> F.Column:
     return F.col(c).cast("string")
@@ -73,9 +75,6 @@ class ShopTables(Mapping):
         if name in self._extra:
             return self._extra[name]
         if name not in self._cache:
-            if name in EMPTY_TABLES:
-                self._cache[name] = empty(self.spark, name)
-                return self._cache[name]
             if name not in SHOP_TABLES:
                 raise KeyError(name)
             self._cache[name] = conform(getattr(self, f"_{name}")(), name)
@@ -215,6 +214,25 @@ class ShopTables(Mapping):
             F.when(n % 3 == 0, ts_lit("2023-12-31 00:00:00"))
              .when(n % 3 == 1, ts_lit("2024-06-30 00:00:00")).alias("valid_until"))
 
+    def _product_images(self) -> DataFrame:
+        # The links of a page, in page order, stand for the images of a product.
+        links = F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK), 1).alias("url"),
+                             F.regexp_extract_all("html", F.lit(LINK), 2).alias("text"))
+        page, pos = F.col("page_id"), F.col("pos")
+        return self.raw("pages").select("page_id", F.posexplode(links)).select(
+            (page * 100_000 + pos).alias("image_id"), (page % self._n_parts()).alias("product_id"),
+            F.concat(F.lit("/uploads/products"), F.col("col.url")).alias("image_url"),
+            F.when(pos % 3 != 1, F.col("col.text")).alias("alt_text"), (pos == page % 4).alias("is_primary"),
+            F.when(pos % 4 != 3, (pos * 7 + page) % 5).cast("int").alias("sort_order"))
+
+    def _delivery_pricing(self) -> DataFrame:
+        n = F.col("n_nationkey")
+        return self.raw("nation").select(
+            (n + 1).cast("long").alias("rule_id"), F.col("n_name").alias("city"),
+            F.when(n % 4 != 0, 1000 + 100 * n).cast("decimal(10,2)").alias("min_free_delivery"),
+            (150 + 10 * n).cast("decimal(10,2)").alias("standard_fee"), (n % 5 != 0).alias("is_active"),
+            ts_lit(EPOCH).alias("created_at"))
+
     def _product_offers(self) -> DataFrame:
         return self.raw("part").where(F.col("p_partkey") % 4 == 0).select(
             F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % 25).alias("offer_id"))
@@ -239,6 +257,18 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
         F.col("ts").alias("created_at"), F.col("ts").alias("updated_at")), "mpesa_transactions")
 
 
+def categories_of_parts(part: DataFrame) -> DataFrame:
+    """The categories that the parts' types name, and the empty one: what the
+    fixed rows are for parts of every type."""
+    kind = F.col("p_type")
+    number = F.when(kind == "STANDARD", 1)
+    for i, name in enumerate(("PROMO", "ECONOMY", "MEDIUM", "SMALL"), start=2):
+        number = number.when(kind == name, i)
+    found = part.select(number.otherwise(6).alias("category_id")).distinct()
+    rows = part.sparkSession.createDataFrame(CATEGORY_ROWS, "category_id long, name string, featured boolean")
+    return conform(rows.join(found, "category_id", "left_semi").unionByName(rows.where("category_id = 7")), "categories")
+
+
 def shop_views(spark: SparkSession, sf_dir: str) -> ShopTables:
     """S2 entry point: the canonical shop tables over one driver directory as
     its files are now. Keep the returned object to reuse its DataFrames."""

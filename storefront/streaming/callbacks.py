@@ -3,10 +3,12 @@ transactions, payments and orders.
 
 R1 is a per-row projection, so it runs on a stream as well as on a batch.
 R2 runs inside ``foreachBatch``: each micro-batch is de-duplicated by
-checkout id (latest arrival wins), applied to the current table versions with
-the T2 patch, and published as one new version per batch id (S3). A replayed
-batch id finds its version already published and is skipped, so applying a
-batch twice equals applying it once.
+checkout id (latest arrival wins), applied to the current rows it names with
+the T2 patch, and published as one new version per batch id (S3). The tables
+are the bucketed bases of a change log: a batch reads the buckets its keys fall
+into and nothing of the base is shuffled. A replayed batch id finds its version
+already published and is skipped, so applying a batch twice equals applying it
+once. Callbacks with a field that the tables' rules forbid are dead letters.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storefront.functions.scalar import append_note, item_value, ts_lit
-from storefront.operators.changes import patch
+from storefront.operators.changes import first_reason, patch
+from storefront.operators.quality import MAX_LENGTH
+from storefront.session import checkpoint_root
+from storefront.sources.sinks import compact_if_large, newest_manifest, rows_for, start_log, write_snapshot
 
 Tables = Mapping[str, DataFrame]
 
@@ -74,6 +79,21 @@ def route_unknown(parsed: DataFrame, txns: DataFrame) -> Parsed:
                   parsed.join(ids, "checkout_request_id", "left_anti"))
 
 
+def route_invalid(parsed: DataFrame) -> Parsed:
+    """Callbacks that would write a value the tables forbid (a result code
+    or receipt that is too long) are dead letters with the broken rules as
+    ``reason``; a callback changes all its tables or none."""
+    marked = parsed.withColumn("mpesa_code", F.col("mpesa_receipt_number"))
+    receipt = F.col("success") & F.col("mpesa_receipt_number").isNotNull()
+    rules = [(f"{column}_max_length_{size}", F.length(column) <= size) for column, size in (
+        ("result_code", MAX_LENGTH["mpesa_transactions"]["result_code"]),
+        ("mpesa_receipt_number", MAX_LENGTH["mpesa_transactions"]["mpesa_receipt_number"]),
+        ("mpesa_code", MAX_LENGTH["payments"]["mpesa_code"]))]
+    rules = [(name, ok if name.startswith("result") else ~receipt | ok) for name, ok in rules]
+    marked = marked.withColumn("reason", first_reason(rules)).drop("mpesa_code")
+    return Parsed(marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull()))
+
+
 def latest_per_checkout(parsed: DataFrame, seq: str = "seq") -> DataFrame:
     """Duplicates by checkout id are applied once: the latest arrival wins.
     ``max_by`` is a partial aggregate, so a much-repeated id is reduced on the
@@ -149,40 +169,56 @@ def callback_json(txns: DataFrame, success: F.Column, code: F.Column, desc: F.Co
     return txns.select(F.col("transaction_id").alias("seq"), F.to_json(F.struct(body)).alias("value"))
 
 
-# Keys of the tables a callback batch changes.
+# Keys of the tables a callback batch changes, and the columns their bases are bucketed by.
 CALLBACK_KEYS = {"mpesa_transactions": "checkout_request_id", "payments": "payment_id", "orders": "order_id"}
+CALLBACK_BUCKETS = {"mpesa_transactions": "checkout_request_id", "payments": "order_id", "orders": "order_id"}
+
+
+def rows_of_callbacks(spark: SparkSession, root: str, parsed: DataFrame, state: dict | None = None) -> dict[str, DataFrame]:
+    """The current rows that a batch of callbacks can change: its transactions
+    by checkout id (written once: the other two are looked up by them), and the
+    payments and orders of those transactions."""
+    checkpoint_root(spark)
+    txns = rows_for(spark, root, "mpesa_transactions", parsed, state).checkpoint(eager=True)
+    return {"mpesa_transactions": txns, "payments": rows_for(spark, root, "payments", txns, state),
+            "orders": rows_for(spark, root, "orders", txns, state)}
 
 
 def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state_root: str, as_of,
-                     checkpoint: str, max_files_per_trigger: int | None = None) -> str:
+                     checkpoint: str, max_files_per_trigger: int | None = None, buckets: int = 16) -> str:
     """R1 + R2 as a stream: JSON lines in ``source_dir`` -> parse -> per
-    micro-batch apply to the current tables -> publish the changed rows as
-    one change set per batch id under ``state_root`` (ids already published
-    are skipped). The current tables are the base ones with every published
-    change set merged on read (:func:`storefront.sources.sinks.read_current`),
-    so a batch writes only what it changed. A batch's dead letters are
-    overwritten under ``state_root/dead_letters/batch_id=<n>``, so a replay
-    writes them once. Returns state_root."""
-    from storefront.sources.sinks import is_published, read_current, write_snapshot
-
+    micro-batch apply to the current rows -> publish the changed rows as one
+    change set per batch id under ``state_root`` (ids already published are
+    skipped). The first run writes the three tables as bucketed bases of a
+    change log there; on a cluster choose ``buckets`` so that a bucket's file is
+    a few hundred MB. A batch reads the buckets of its keys and the live runs,
+    and writes what it changed; the log is folded into new bases when it has
+    grown to half of them. A batch's dead letters (malformed, unknown checkout
+    id, forbidden values) are overwritten under
+    ``state_root/dead_letters/batch_id=<n>``, so a replay writes them once.
+    Returns state_root."""
     reader = spark.readStream.schema("seq long, value string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.json(source_dir)
     root = state_root.rstrip("/")
+    start_log({k: tables[k] for k in CALLBACK_KEYS}, root, CALLBACK_KEYS, CALLBACK_BUCKETS, buckets)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if is_published(spark, root, batch_id):
+        state = newest_manifest(spark, root)
+        if batch_id <= state["version"]:
             return  # replay of a published batch
-        current = read_current(spark, {k: tables[k] for k in CALLBACK_KEYS}, root, CALLBACK_KEYS)
-        current = {**dict(tables.items()), **current}
         parsed = parse_callbacks(batch, seq="seq")
-        known = route_unknown(parsed.good, current["mpesa_transactions"])
-        dead = parsed.dead.select("seq", "raw", F.lit("malformed").alias("reason")).unionByName(
-            known.dead.select("seq", F.lit(None).cast("string").alias("raw"),
-                              F.lit("unknown checkout id").alias("reason")))
+        sound = route_invalid(parsed.good)
+        current = rows_of_callbacks(spark, root, sound.good, state)
+        known = route_unknown(sound.good, current["mpesa_transactions"])
+        none = F.lit(None).cast("string")
+        dead = (parsed.dead.select("seq", "raw", F.lit("malformed").alias("reason"))
+                .unionByName(sound.dead.select("seq", none.alias("raw"), "reason"))
+                .unionByName(known.dead.select("seq", none.alias("raw"), F.lit("unknown checkout id").alias("reason"))))
         dead.write.mode("overwrite").parquet(f"{root}/dead_letters/batch_id={batch_id}")
-        write_snapshot(apply_callbacks(current, known.good, as_of, changed_only=True), root, batch_id)
+        write_snapshot(apply_callbacks(current, known.good, as_of, changed_only=True), root, batch_id, keys=CALLBACK_KEYS)
+        compact_if_large(spark, root)
 
     q = (raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

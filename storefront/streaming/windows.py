@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storefront.operators.payments import FAILURE_RATE_ALERT, OK, PENDING_ALERT
+from storefront.sources.sinks import compact_if_large, newest_manifest, rows_for, start_log, write_snapshot
 from storefront.streaming.common import event_time, wall_clock
 
 
@@ -98,22 +99,27 @@ def apply_ratings(products: DataFrame, batch: DataFrame, as_of=None) -> DataFram
     return p.drop("_r", "_n").select(*products.columns)
 
 
-def ingest_ratings(reviews: DataFrame, products: DataFrame, root: str, checkpoint: str, as_of=None) -> str:
+PRODUCT_KEY = {"products": "product_id"}
+
+
+def ingest_ratings(reviews: DataFrame, products: DataFrame, root: str, checkpoint: str, as_of=None, buckets: int = 16) -> str:
     """R6 as a stream: each micro-batch of running totals becomes the changed
-    product rows, published under ``root`` as one change set per batch id. A
-    batch that was published before a crash is skipped when it is replayed."""
-    from storefront.sources.sinks import is_published, read_current, write_snapshot
+    product rows, published under ``root`` as one change set per batch id of a
+    change log that starts from ``products``, bucketed by product. A batch reads
+    the buckets of its products only; one that was published before a crash is
+    skipped when it is replayed."""
     spark = products.sparkSession
-    keys = {"products": "product_id"}
+    start_log({"products": products}, root, PRODUCT_KEY, PRODUCT_KEY, buckets)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if is_published(spark, root, batch_id):
+        state = newest_manifest(spark, root)
+        if batch_id <= state["version"]:
             batch.write.format("noop").mode("overwrite").save()  # the running totals must still be committed
             return
-        current = read_current(spark, {"products": products}, root, keys)["products"]
         # update mode: the batch holds only the products whose totals changed
-        changed = apply_ratings(current.join(batch.select("product_id"), "product_id", "left_semi"), batch, as_of)
-        write_snapshot({"products": changed}, root, batch_id)
+        changed = apply_ratings(rows_for(spark, root, "products", batch, state), batch, as_of)
+        write_snapshot({"products": changed}, root, batch_id, keys=PRODUCT_KEY)
+        compact_if_large(spark, root)
 
     q = (rating_stream(reviews).writeStream.outputMode("update").foreachBatch(on_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -44,7 +44,9 @@ COVER_PERCENT = 100
 #: Phrases of one broadcast trie: about 50 MB of arrays.
 MAX_PHRASES = 1_000_000
 #: Distinct words, or (state, word) pairs, a task adds up before it hands them on.
-WORDS_HELD, PAIRS_HELD = 400_000, 1_000_000
+WORDS_HELD, PAIRS_HELD = 300_000, 1_000_000
+#: Symbols of a row of encoded text (it ends with a piece), and bytes of an Arrow batch of them.
+CHUNK, BATCH_BYTES = 2048, 4 << 20
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
 BREAK = b"\n"
 
@@ -114,13 +116,22 @@ class _Words:
             names=["chunk", "lang", "word", "symbol", "count"])
 
 
+def _cut(symbols: np.ndarray) -> pa.Array:
+    """Rows of CHUNK symbols or a little more, each ending with a break: no piece is cut."""
+    breaks = np.flatnonzero(symbols == 0) + 1
+    ends = [0]
+    while ends[-1] < len(symbols):
+        ends.append(int(breaks[min(np.searchsorted(breaks, ends[-1] + CHUNK), len(breaks) - 1)]))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.array(ends, np.int32) * np.int32(8)), pa.py_buffer(symbols)])
+
+
 def _encoded(seed: int):
     def run(batches):
         held = _Words(seed)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             langs = ["und" if x is None else x for x in batch.column(1).to_pylist()]
-            chunk = held.encode(list(zip(langs, raw_texts(batch, "text"))))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk.tobytes()], pa.binary()), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64()))],
+            chunks = _cut(held.encode(list(zip(langs, raw_texts(batch, "text")))))
+            yield pa.RecordBatch.from_arrays([chunks, *(pa.nulls(len(chunks), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64()))],
                                              names=["chunk", "lang", "word", "symbol", "count"])
             if len(held.words) > WORDS_HELD:
                 yield held.rows()
@@ -192,9 +203,12 @@ class _Sums:
 
 
 def _chunks(batches):
+    """The symbols of all rows of a batch, end to end."""
     for batch in batches:
-        for raw in batch.column(0):
-            yield np.frombuffer(raw.as_buffer(), np.uint64)
+        if batch.num_rows:
+            rows = batch.column(0).cast(pa.binary())
+            ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset:rows.offset + len(rows) + 1]
+            yield np.frombuffer(rows.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.uint64)
 
 
 def _extensions(sent, k: int, check_rest: bool):
@@ -295,6 +309,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     lang, n: the words of each language."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     chunks, words = encode_texts(docs)
     totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
     alphabet_rows = words.filter(F.col("count") >= min_count)

@@ -1,22 +1,23 @@
 """Phrase collocation mining with double-array tries (operator 13).
 
-Texts are encoded once: every word becomes the 64-bit hash of its language and
-itself, zero marks where a piece ends. Word counts give the alphabet, the words
-that are frequent enough. Then level by level: the frequent phrases so far are
-broadcast as double-array tries, and numpy advances the states of all text
-positions of a task at once. A phrase of k words is an Apriori-safe candidate
-where its first k - 1 words and its last k - 1 words are frequent phrases; tasks
-add up (state, next word) pairs and Spark adds up tasks, so that only pairs that
-reach the least count get into the next trie. A last pass over the texts counts:
-all positions advance through the finished tries, the accepting states of each
-level are binned (``bincount``) and the shards' bins are summed by Spark.
+A first pass over the texts counts words. Those that are frequent enough are the
+alphabet; a second pass writes the texts as their numbers, -1 where a piece ends
+or any other word stands, and leaves out what cannot be part of a phrase. Then
+level by level: the frequent phrases so far are broadcast as double-array tries,
+and numpy advances the states of all text positions of a task at once. A phrase
+of k words is an Apriori-safe candidate where its first k - 1 words and its last
+k - 1 words are frequent phrases; tasks add up (state, next word) pairs and Spark
+adds up tasks, so that only pairs that reach the least count get into the next
+trie. A last pass over the numbers counts: all positions advance through the
+finished tries, the accepting states of each level are binned (``bincount``) and
+the shards' bins are summed by Spark.
 
 A trie holds at most ``MAX_PHRASES`` phrases, a contiguous range of the sorted
 ones with their own prefixes; beyond that there are several, each with its own
-pass. The alphabet is the one array every task holds: at most n / min_count
-words. Everything else, texts, counts, phrases, cuts and ranks, is a Spark
-table. Two words with one hash would be found by the word count, which takes
-another seed then.
+pass. The alphabet is the one array every task of the second pass holds: at most
+n / min_count numbers, the 64-bit hashes of the words with their language. Two
+words with one hash would be found by the word count, which takes another seed
+then. Everything else, texts, counts, phrases, cuts and ranks, is a Spark table.
 
 Scores are exact: products are decimals of 38 digits, divided whole.
 
@@ -45,8 +46,8 @@ COVER_PERCENT = 100
 MAX_PHRASES = 1_000_000
 #: Distinct words, or (state, word) pairs, a task adds up before it hands them on.
 WORDS_HELD, PAIRS_HELD = 300_000, 1_000_000
-#: Symbols of a row of encoded text (it ends with a piece), and bytes of an Arrow batch of them.
-CHUNK, BATCH_BYTES = 2048, 4 << 20
+#: Words of a row of numbered text (it ends with a piece), and bytes of an Arrow batch of them.
+CHUNK, BATCH_BYTES = 4096, 2 << 20
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
 BREAK = b"\n"
 
@@ -74,7 +75,7 @@ class _Numbers(dict):
 
 
 class _Words:
-    """The words a task has met since it last handed them on."""
+    """The words a task has met: rows of a table, 0 for a break, 1 to be skipped."""
 
     def __init__(self, seed: int):
         self.seed = seed
@@ -82,7 +83,6 @@ class _Words:
 
     def clear(self) -> None:
         self.langs, self.words, self.symbols = ["", ""], [b"", b""], [0, 0]
-        self.counts = np.zeros(1 << 16, np.int64)
         self.numbers: dict[str, _Numbers] = {}
 
     def note(self, lang: str, word: bytes) -> int:
@@ -91,80 +91,98 @@ class _Words:
         self.symbols.append(symbol_of(lang, word, self.seed))
         return len(self.words) - 1
 
-    def encode(self, rows: list[tuple[str, bytes]]) -> np.ndarray:
-        """Symbols of texts, each ended by a break."""
+    def rows_of(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Rows of all words of a batch's texts, each text ended by a break."""
         flat = []
-        for lang, text in rows:
+        for lang, text in zip(batch.column(1).to_pylist(), raw_texts(batch, "text")):
+            lang = "und" if lang is None else lang
             if lang not in self.numbers:
                 self.numbers[lang] = _Numbers(lang, self.note)
             flat += map(self.numbers[lang].__getitem__, words_and_breaks(text))
             flat.append(0)
         at = np.array(flat, np.int64)
-        at = at[at != 1]
-        found = np.bincount(at, minlength=len(self.words))
-        if len(self.counts) < len(found):
-            self.counts = np.concatenate([self.counts, np.zeros(max(len(found), 2 * len(self.counts)) - len(self.counts), np.int64)])
-        self.counts[:len(found)] += found
-        return np.array(self.symbols, np.uint64)[at]
-
-    def rows(self) -> pa.RecordBatch:
-        n = len(self.words) - 2
-        none = pa.nulls(n, pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [none, pa.array(self.langs[2:], pa.string()), pa.array(self.words[2:], pa.binary()).cast(pa.string()),
-             pa.array(np.array(self.symbols[2:], np.uint64).view(np.int64)), pa.array(self.counts[2:2 + n])],
-            names=["chunk", "lang", "word", "symbol", "count"])
-
-
-def _cut(symbols: np.ndarray) -> pa.Array:
-    """Rows of CHUNK symbols or a little more, each ending with a break: no piece is cut."""
-    breaks = np.flatnonzero(symbols == 0) + 1
-    ends = [0]
-    while ends[-1] < len(symbols):
-        ends.append(int(breaks[min(np.searchsorted(breaks, ends[-1] + CHUNK), len(breaks) - 1)]))
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.array(ends, np.int32) * np.int32(8)), pa.py_buffer(symbols)])
+        return at[at != 1]
 
 
-def _encoded(seed: int):
+def _counted(seed: int):
+    """lang, word, symbol and count of the words of a task's texts, handed on now and then."""
     def run(batches):
-        held = _Words(seed)
+        held, counts = _Words(seed), np.zeros(0, np.int64)
+
+        def rows():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(held.langs[2:], pa.string()), pa.array(held.words[2:], pa.binary()).cast(pa.string()),
+                 pa.array(np.array(held.symbols[2:], np.uint64).view(np.int64)), pa.array(counts[2:])],
+                names=["lang", "word", "symbol", "count"])
+
         for batch in pieces(batches, "text", 1 << 20):
-            langs = ["und" if x is None else x for x in batch.column(1).to_pylist()]
-            chunks = _cut(held.encode(list(zip(langs, raw_texts(batch, "text")))))
-            yield pa.RecordBatch.from_arrays([chunks, *(pa.nulls(len(chunks), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                                             names=["chunk", "lang", "word", "symbol", "count"])
+            found = np.bincount(held.rows_of(batch), minlength=len(held.words))
+            found[:len(counts)] += counts
+            counts = found
             if len(held.words) > WORDS_HELD:
-                yield held.rows()
+                yield rows()
                 held.clear()
-        if len(held.words) > 2:
-            yield held.rows()
+                counts = np.zeros(0, np.int64)
+        if len(counts) > 2:
+            yield rows()
     return run
 
 
-def encode_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks, words): the texts as symbols, and lang, word, symbol, count of every word."""
-    src = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def _numbered(sent, seed: int):
+    """The texts as positions in the sorted alphabet, in rows that end with -1."""
+    def run(batches):
+        alphabet = sent.value
+        held, codes = _Words(seed), np.full(2, -1, np.int32)
+        for batch in pieces(batches, "text", 1 << 20):
+            at = held.rows_of(batch)
+            new = np.array(held.symbols[len(codes):], np.uint64)
+            if len(new):
+                place = np.minimum(np.searchsorted(alphabet, new), max(len(alphabet) - 1, 0))
+                known = alphabet[place] == new if len(alphabet) else np.zeros(len(new), bool)
+                codes = np.concatenate([codes, np.where(known, place, -1).astype(np.int32)])
+            yield pa.RecordBatch.from_arrays([_cut(_phrases_only(codes[at]))], names=["chunk"])
+            if len(held.words) > WORDS_HELD:
+                held.clear()
+                codes = np.full(2, -1, np.int32)
+    return run
+
+
+def _phrases_only(codes: np.ndarray) -> np.ndarray:
+    """Without words that have no known neighbour, and one -1 after each run of words."""
+    none = np.full(1, -1, np.int32)
+    codes = np.concatenate([none, codes, none])
+    known = codes >= 0
+    paired = np.zeros(len(codes), bool)
+    paired[1:-1] = known[1:-1] & (known[:-2] | known[2:])
+    after = np.concatenate([[False], paired[:-1]]) & ~paired
+    return np.where(paired, codes, -1)[paired | after].astype(np.int32)
+
+
+def _cut(codes: np.ndarray) -> pa.Array:
+    """Rows of CHUNK numbers or a little more, each ending with -1: no run of words is cut."""
+    breaks = np.flatnonzero(codes < 0) + 1
+    ends = [0]
+    while ends[-1] < len(codes):
+        ends.append(int(breaks[min(np.searchsorted(breaks, ends[-1] + CHUNK), len(breaks) - 1)]))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.array(ends, np.int32) * np.int32(4)), pa.py_buffer(codes)])
+
+
+def count_words(src: DataFrame) -> tuple[DataFrame, int]:
+    """(words, seed): lang, word, symbol and count of every word; the seed of the symbols, which are distinct."""
     seed = 0
     while True:
-        both = written(src.mapInArrow(_encoded(seed), "chunk binary, lang string, word string, symbol long, count long"), "phrase-texts")
-        words = written(both.filter("word is not null").groupBy("lang", "word", "symbol").agg(F.sum("count").alias("count")), "phrase-words")
+        found = src.mapInArrow(_counted(seed), "lang string, word string, symbol long, count long")
+        words = written(found.groupBy("lang", "word", "symbol").agg(F.sum("count").alias("count")), "phrase-words")
         if words.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-            return both.filter("chunk is not null").select("chunk"), words
+            return words, seed
         seed += 1
 
 
 class _Trie:
-    """One broadcast trie: the alphabet's position, and slots numbered over all tries."""
+    """One broadcast trie; its slots are numbered over all tries from ``offset``."""
 
-    def __init__(self, trie: DoubleArray, alphabet: np.ndarray, offset: int):
-        self.trie, self.alphabet, self.offset = trie, alphabet, offset
-
-    def codes(self, symbols: np.ndarray) -> np.ndarray:
-        """Positions in the sorted alphabet, -1 for breaks and other words."""
-        if not len(self.alphabet):
-            return np.full(len(symbols), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == symbols, at, -1)
+    def __init__(self, trie: DoubleArray, offset: int):
+        self.trie, self.offset = trie, offset
 
     def levels(self, codes: np.ndarray, depth: int):
         """(positions, states) of all positions whose next k words are a path, for k = 1 to depth."""
@@ -203,12 +221,12 @@ class _Sums:
 
 
 def _chunks(batches):
-    """The symbols of all rows of a batch, end to end."""
+    """The numbers of all rows of a batch, end to end."""
     for batch in batches:
         if batch.num_rows:
             rows = batch.column(0).cast(pa.binary())
             ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset:rows.offset + len(rows) + 1]
-            yield np.frombuffer(rows.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.uint64)
+            yield np.frombuffer(rows.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.int32).astype(np.int64)
 
 
 def _extensions(sent, k: int, check_rest: bool):
@@ -223,8 +241,7 @@ def _extensions(sent, k: int, check_rest: bool):
             return pa.RecordBatch.from_arrays([pa.array((keys >> 32) + own.offset), pa.array(keys & 0xFFFFFFFF), pa.array(counts)],
                                               names=["head", "last", "count"])
 
-        for symbols in _chunks(batches):
-            codes = own.codes(symbols)
+        for codes in _chunks(batches):
             for pos, state in own.levels(codes, k - 1):
                 pass
             accepted = own.trie.accepts[state]
@@ -246,13 +263,14 @@ def _extensions(sent, k: int, check_rest: bool):
 
 
 def _accepted(sent, depth: int):
-    """Occurrences of accepting states, over all positions and levels."""
+    """Occurrences of accepting states, over all positions and the levels from two words on."""
     def run(batches):
         own = sent.value
         bins = np.zeros(len(own.trie.check), np.int64)
-        for symbols in _chunks(batches):
-            for _, state in own.levels(own.codes(symbols), depth):
-                bins += np.bincount(state, minlength=len(bins))
+        for codes in _chunks(batches):
+            for k, (_, state) in enumerate(own.levels(codes, depth), 1):
+                if k > 1:
+                    bins += np.bincount(state, minlength=len(bins))
         found = np.flatnonzero((bins > 0) & own.trie.accepts)
         yield pa.RecordBatch.from_arrays([pa.array(found + own.offset), pa.array(bins[found])], names=["slot", "count"])
     return run
@@ -283,15 +301,15 @@ def _matrix(codes: pa.Array) -> np.ndarray:
     return out
 
 
-def _send(spark, found: list[np.ndarray], alphabet: np.ndarray, most: int) -> list:
+def _send(spark, found: list[np.ndarray], symbols: int, most: int) -> list:
     """Broadcast the tries of all phrases of ``found`` (matrices of codes)."""
     width = max((m.shape[1] for m in found), default=1)
     rows = np.concatenate([np.full((0, width), -1, np.int64), *(np.pad(m, ((0, 0), (0, width - m.shape[1])), constant_values=-1) for m in found)])
     rows = rows[np.lexsort(rows.T[::-1])]
     sent, offset = [], 0
     for at in range(0, len(rows), most):
-        trie = DoubleArray(rows[at:at + most], len(alphabet))
-        sent.append(spark.sparkContext.broadcast(_Trie(trie, alphabet, offset)))
+        trie = DoubleArray(rows[at:at + most], symbols)
+        sent.append(spark.sparkContext.broadcast(_Trie(trie, offset)))
         offset += len(trie.check)
     return sent
 
@@ -310,16 +328,18 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     spark = docs.sparkSession
     bounded_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    chunks, words = encode_texts(docs)
+    src = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    words, seed = count_words(src)
     totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
     alphabet_rows = words.filter(F.col("count") >= min_count)
     # At most n / min_count numbers of 8 bytes: the alphabet.
     alphabet = np.sort(alphabet_rows.select("symbol").toArrow().column(0).to_numpy().view(np.uint64))
     code_of = spark.createDataFrame(pa.table({"symbol": pa.array(alphabet.view(np.int64)), "code": pa.array(np.arange(len(alphabet)))}))
-    letters = written(alphabet_rows.join(code_of, "symbol").select("lang", "word", "code"), "phrase-alphabet")
+    letters = written(alphabet_rows.join(code_of, "symbol").select("lang", "word", "code", "count"), "phrase-alphabet")
+    chunks = written(src.mapInArrow(_numbered(spark.sparkContext.broadcast(alphabet), seed), "chunk binary"), "phrase-texts")
     level = letters.select("lang", F.col("word").alias("phrase"), F.array("code").alias("codes"))
     levels, found = [level], [np.arange(len(alphabet), dtype=np.int64)[:, None]]
-    tries = _send(spark, found, alphabet, max_phrases)
+    tries = _send(spark, found, len(alphabet), max_phrases)
     for k in range(2, max_words + 1):
         if not len(found[-1]):
             break
@@ -337,15 +357,16 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
         found.append(_matrix(level.select("codes").toArrow().column(0).combine_chunks()).reshape(-1, k))
         for t in tries:
             t.unpersist()
-        tries = _send(spark, found, alphabet, max_phrases)
-    every = _union(levels).select(F.struct("lang", "phrase").alias("phrase"), "codes").mapInArrow(
+        tries = _send(spark, found, len(alphabet), max_phrases)
+    # Words are counted already; the last pass counts the phrases.
+    alone = letters.select("lang", F.col("word").alias("phrase"), F.array("code").alias("codes"), "count")
+    if len(levels) == 1:
+        return written(alone, "phrases"), written(totals, "phrase-totals")
+    every = _union(levels[1:]).select(F.struct("lang", "phrase").alias("phrase"), "codes").mapInArrow(
         _slots(tries), "phrase struct<lang:string,phrase:string>, codes array<long>, slot long")
-    if not tries:
-        counted = spark.createDataFrame([], "slot long, count long")
-    else:
-        counted = _union([chunks.mapInArrow(_accepted(t, len(found)), "slot long, count long") for t in tries])
+    counted = _union([chunks.mapInArrow(_accepted(t, len(found)), "slot long, count long") for t in tries])
     counted = counted.groupBy("slot").agg(F.sum("count").alias("count"))
-    phrases = every.join(counted, "slot").select("phrase.lang", "phrase.phrase", "codes", "count")
+    phrases = alone.unionByName(every.join(counted, "slot").select("phrase.lang", "phrase.phrase", "codes", "count"))
     return written(phrases, "phrases"), written(totals, "phrase-totals")
 
 

@@ -10,7 +10,7 @@ k - 1 words are frequent phrases; tasks add up (state, next word) pairs and Spar
 adds up tasks, so that only pairs that reach the least count get into the next
 trie. A last pass over the numbers counts: all positions advance through the
 finished tries, the accepting states of each level are binned (``bincount``) and
-the shards' bins are summed by Spark.
+the shards' bins are summed block by block.
 
 A trie holds at most ``MAX_PHRASES`` phrases, a contiguous range of the sorted
 ones with their own prefixes; beyond that there are several, each with its own
@@ -46,6 +46,8 @@ COVER_PERCENT = 100
 MAX_PHRASES = 1_000_000
 #: Distinct words, or (state, word) pairs, a task adds up before it hands them on.
 WORDS_HELD, PAIRS_HELD = 300_000, 1_000_000
+#: Phrases of a block of bins; ways in which the shards of a block are summed first.
+BLOCK, SHARDS_AT_ONCE = 1 << 15, 32
 #: Words of a row of numbered text (it ends with a piece), and bytes of an Arrow batch of them.
 CHUNK, BATCH_BYTES = 4096, 2 << 20
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
@@ -179,10 +181,15 @@ def count_words(src: DataFrame) -> tuple[DataFrame, int]:
 
 
 class _Trie:
-    """One broadcast trie; its slots are numbered over all tries from ``offset``."""
+    """One broadcast trie; its phrases are numbered over all tries from ``offset``."""
 
     def __init__(self, trie: DoubleArray, offset: int):
         self.trie, self.offset = trie, offset
+        self.count = int(trie.accepts.sum())
+
+    def numbers(self, states: np.ndarray) -> np.ndarray:
+        """The phrases' numbers of accepting states."""
+        return self.offset + np.searchsorted(np.flatnonzero(self.trie.accepts), states)
 
     def levels(self, codes: np.ndarray, depth: int):
         """(positions, states) of all positions whose next k words are a path, for k = 1 to depth."""
@@ -238,7 +245,7 @@ def _extensions(sent, k: int, check_rest: bool):
         def rows():
             keys, counts = sums.merge()
             sums.__init__()
-            return pa.RecordBatch.from_arrays([pa.array((keys >> 32) + own.offset), pa.array(keys & 0xFFFFFFFF), pa.array(counts)],
+            return pa.RecordBatch.from_arrays([pa.array(own.numbers(keys >> 32)), pa.array(keys & 0xFFFFFFFF), pa.array(counts)],
                                               names=["head", "last", "count"])
 
         for codes in _chunks(batches):
@@ -263,7 +270,8 @@ def _extensions(sent, k: int, check_rest: bool):
 
 
 def _accepted(sent, depth: int):
-    """Occurrences of accepting states, over all positions and the levels from two words on."""
+    """Bins of the accepting states over all positions of a task and the levels
+    from two words on, in blocks of BLOCK numbers."""
     def run(batches):
         own = sent.value
         bins = np.zeros(len(own.trie.check), np.int64)
@@ -271,23 +279,60 @@ def _accepted(sent, depth: int):
             for k, (_, state) in enumerate(own.levels(codes, depth), 1):
                 if k > 1:
                     bins += np.bincount(state, minlength=len(bins))
-        found = np.flatnonzero((bins > 0) & own.trie.accepts)
-        yield pa.RecordBatch.from_arrays([pa.array(found + own.offset), pa.array(bins[found])], names=["slot", "count"])
+        if bins.any():
+            bins = bins[own.trie.accepts]
+            for at in range(0, len(bins), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([own.offset + at], pa.int64()), pa.array([bins[at:at + BLOCK].tobytes()], pa.binary())],
+                                                 names=["block", "bins"])
     return run
 
 
-def _slots(tries):
-    """The slot of each phrase: that of the one trie that accepts it."""
+def _added(batches):
+    """One row per block: the sum of its bins. Rows come sorted by block."""
+    block, total = None, None
+    for batch in batches:
+        for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            bins = np.frombuffer(raw, np.int64)
+            if at != block:
+                if block is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "bins"])
+                block, total = at, bins.copy()
+            else:
+                total += bins
+    if block is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "bins"])
+
+
+def _spread(batches):
+    """(number, count) of the bins that are not empty."""
+    for batch in batches:
+        for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            bins = np.frombuffer(raw, np.int64)
+            found = np.flatnonzero(bins)
+            yield pa.RecordBatch.from_arrays([pa.array(at + found), pa.array(bins[found])], names=["number", "count"])
+
+
+def _summed(shards: DataFrame) -> DataFrame:
+    """The shards' bins summed block by block, first SHARDS_AT_ONCE ways."""
+    schema = "block long, bins binary"
+    part = shards.withColumn("way", F.spark_partition_id() % SHARDS_AT_ONCE).repartition("block", "way")
+    part = part.sortWithinPartitions("block").select("block", "bins").mapInArrow(_added, schema)
+    whole = part.repartition("block").sortWithinPartitions("block").mapInArrow(_added, schema)
+    return whole.mapInArrow(_spread, "number long, count long")
+
+
+def _numbers_of(tries):
+    """The number of each phrase: from the one trie that accepts it."""
     def run(batches):
         for batch in batches:
             codes = _matrix(batch.column(1))
-            slot = np.full(len(codes), -1, np.int64)
+            number = np.full(len(codes), -1, np.int64)
             for sent in tries:
                 own = sent.value
                 at = own.trie.walk(codes)
                 mine = (at >= 0) & own.trie.accepts[np.maximum(at, 0)]
-                slot[mine] = at[mine] + own.offset
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slot)], names=["phrase", "codes", "slot"])
+                number[mine] = own.numbers(at[mine])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(number)], names=["phrase", "codes", "number"])
     return run
 
 
@@ -309,8 +354,9 @@ def _send(spark, found: list[np.ndarray], symbols: int, most: int) -> list:
     sent, offset = [], 0
     for at in range(0, len(rows), most):
         trie = DoubleArray(rows[at:at + most], symbols)
-        sent.append(spark.sparkContext.broadcast(_Trie(trie, offset)))
-        offset += len(trie.check)
+        own = _Trie(trie, offset)
+        sent.append(spark.sparkContext.broadcast(own))
+        offset += own.count
     return sent
 
 
@@ -347,9 +393,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
         kept = hits.groupBy("head", "last").agg(F.sum("count").alias("count")).filter(F.col("count") >= min_count)
         kept = written(kept.select("head", "last"), f"phrase-kept-{k}")
         heads = level.select(F.struct("lang", "phrase").alias("phrase"), "codes").mapInArrow(
-            _slots(tries), "phrase struct<lang:string,phrase:string>, codes array<long>, slot long")
+            _numbers_of(tries), "phrase struct<lang:string,phrase:string>, codes array<long>, number long")
         nexts = letters.select(F.col("code").alias("last"), "word")
-        level = (kept.join(heads, F.col("head") == F.col("slot")).join(nexts, "last")
+        level = (kept.join(heads, F.col("head") == F.col("number")).join(nexts, "last")
                  .select("phrase.lang", F.concat_ws(" ", "phrase.phrase", "word").alias("phrase"),
                          F.concat("codes", F.array("last")).alias("codes")))
         level = written(level, f"phrase-level-{k}")
@@ -363,10 +409,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     if len(levels) == 1:
         return written(alone, "phrases"), written(totals, "phrase-totals")
     every = _union(levels[1:]).select(F.struct("lang", "phrase").alias("phrase"), "codes").mapInArrow(
-        _slots(tries), "phrase struct<lang:string,phrase:string>, codes array<long>, slot long")
-    counted = _union([chunks.mapInArrow(_accepted(t, len(found)), "slot long, count long") for t in tries])
-    counted = counted.groupBy("slot").agg(F.sum("count").alias("count"))
-    phrases = alone.unionByName(every.join(counted, "slot").select("phrase.lang", "phrase.phrase", "codes", "count"))
+        _numbers_of(tries), "phrase struct<lang:string,phrase:string>, codes array<long>, number long")
+    counted = _summed(_union([chunks.mapInArrow(_accepted(t, len(found)), "block long, bins binary") for t in tries]))
+    phrases = alone.unionByName(every.join(counted, "number").select("phrase.lang", "phrase.phrase", "codes", "count"))
     return written(phrases, "phrases"), written(totals, "phrase-totals")
 
 

@@ -20,6 +20,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     * AQE on, with skew-join splitting and partition coalescing.
     * UTC session zone (D15); batch timestamps stay timestamp_ntz anyway.
     * No web UI.
+    * No recording of the Python call site of every Column: it costs more than
+      building the plans of most queries here (errors then lack the Python line).
     * ``checkpoint_dir``: the shared folder for ``spark.checkpoint.dir``.
     """
     master = master or os.environ.get("STOREFRONT_MASTER", "local[8]")
@@ -39,6 +41,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,6 +8,11 @@ where tokens of both end cut the tokens into groups; the product of the
 token-group incidence matrices links all tokens of one group. A batch of
 documents is one block-diagonal product.
 
+Texts are cut at single spaces between two other characters; no token of a
+byte-level vocabulary with the usual pattern, or of a piece vocabulary that
+splits at white space, reaches over such a place, so a chunk (with its space) has
+the same tokens everywhere and is encoded once as long as a worker remembers it.
+
 A link's id pair is counted over the whole corpus. Each document keeps its
 distinct pairs with their multiplicity, tasks and partial aggregates add them
 up, and the counts come back by joins: the most frequent pairs, at most
@@ -27,6 +32,7 @@ product of linear size.
 
 from __future__ import annotations
 
+import itertools
 import os
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,12 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storefront.llm.byte_bpe import _Chunks, chunks_of, take
 from storefront.llm.common import bounded_batches, pieces, table, written
 
 #: Id pairs broadcast with their counts (8-byte key, 8-byte count, one flag each).
 FREQUENT_PAIRS = 1_000_000
 #: Bytes of text aligned as one block-diagonal product.
 PIECE_BYTES = 1 << 20
+#: Chunks a worker remembers; the memory is emptied when it is full.
+MEMO_CHUNKS = 250_000
 
 
 # sparse matrices -------------------------------------------------------------
@@ -124,10 +133,24 @@ class TokenBytes:
         self.count = len(tokens)
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(total)]
+        return take(self.flat, self.start[ids], self.size[ids])
+
+
+class _Memory:
+    """Token ids of chunks, end to end, by the chunk's row."""
+
+    def __init__(self):
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: list[list[int]]) -> np.ndarray:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        return flat.astype(np.int64)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return take(self.flat, self.start[rows], self.size[rows]).astype(np.int64)
 
 
 class Aligner:
@@ -147,9 +170,54 @@ class Aligner:
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
             else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())])
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(texts, num_threads=1)
+        numbers = range(max(self.a_bytes.count, self.b_bytes.count))
+        self.decimals = TokenBytes([b"%d," % i for i in numbers])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.new: list[str] = []
+        self.rows = _Chunks(itertools.count(), self.new)
+        self.memory_a, self.memory_b, self.exact = _Memory(), _Memory(), np.zeros(0, bool)
+
+    def _learn(self) -> None:
+        """Encode the chunks met for the first time, each after a space, and
+        note which of them both tokenizers give back byte for byte."""
+        if not self.new:
+            return
+        a = self.memory_a.add([e.ids for e in self.a.encode_batch_fast([" " + c for c in self.new], add_special_tokens=False)])
+        b = self.memory_b.add(self.b.encode(self.new, num_threads=1))
+        wanted = [b" " + c.encode() for c in self.new]
+        n = len(wanted)
+        exact = np.ones(n, bool)
+        for ids, of, size in ((a, self.a_bytes, self.memory_a.size[-n:]), (b, self.b_bytes, self.memory_b.size[-n:])):
+            owner = np.repeat(np.arange(n), size)
+            ends = np.cumsum(np.bincount(owner, of.size[ids], n).astype(np.int64)).tolist()
+            joined = of.joined(ids).tobytes()
+            exact &= np.fromiter((joined[x:y] == w for x, y, w in zip([0, *ends], ends, wanted)), bool, n)
+        self.exact = np.concatenate([self.exact, exact])
+        self.new.clear()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's and B's ids of all texts, end to end, and how many each text has;
+        none for a text that is empty or not given back byte for byte."""
+        if len(self.exact) > MEMO_CHUNKS:
+            self._forget()
+        cut = [chunks_of(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        rows = np.fromiter(map(self.rows.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        self._learn()
+        doc = np.repeat(np.arange(len(cut)), counts)
+        odd = np.unique(doc[~self.exact[rows]])
+        wrong = [d for d in odd.tolist() if not self._gives_back(texts[d], rows[doc == d])]
+        if wrong:
+            stays = ~np.isin(doc, wrong)
+            rows, doc = rows[stays], doc[stays]
+        n_a, n_b = (np.bincount(doc, m.size[rows], len(cut)).astype(np.int64) for m in (self.memory_a, self.memory_b))
+        return self.memory_a.of(rows), self.memory_b.of(rows), n_a, n_b
+
+    def _gives_back(self, text: str, rows: np.ndarray) -> bool:
+        want = b" " + text.encode()
+        return all(of.joined(memory.of(rows)).tobytes() == want for of, memory in ((self.a_bytes, self.memory_a), (self.b_bytes, self.memory_b)))
 
 
 @lru_cache(maxsize=1)
@@ -181,38 +249,41 @@ class Alignment:
 
 def align(coder: Aligner, texts: list[str]) -> Alignment:
     """Align texts; a text that is empty or not given back byte for byte has no tokens."""
-    wanted = [i for i, t in enumerate(texts) if t]
-    found_a, found_b = coder.encode([texts[i] for i in wanted])
-    ids_a, ids_b, doc_a, doc_b, total = [], [], [], [], 0
-    for i, a, b in zip(wanted, found_a, found_b):
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        want = np.frombuffer(b" " + texts[i].encode(), np.uint8)
-        if np.array_equal(coder.a_bytes.joined(a), want) and np.array_equal(coder.b_bytes.joined(b), want):
-            ids_a.append(a)
-            ids_b.append(b)
-            doc_a.append(np.full(len(a), i))
-            doc_b.append(np.full(len(b), i))
-            total += len(want)
-    none = [np.zeros(0, np.int64)]
-    ids_a, ids_b, doc_a, doc_b = (np.concatenate(none + x) for x in (ids_a, ids_b, doc_a, doc_b))
+    ids_a, ids_b, n_a, n_b = coder.encode(texts)
+    doc_a, doc_b = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))
     ends_a, ends_b = np.cumsum(coder.a_bytes.size[ids_a]), np.cumsum(coder.b_bytes.size[ids_b])
+    total = int(ends_a[-1]) if len(ends_a) else 0
     links = product(spans(ends_a, total), transpose(spans(ends_b, total)))
-    cuts = np.intersect1d(ends_a, ends_b)
+    both = np.zeros(total + 1, bool)
+    both[ends_b] = True
+    cuts = ends_a[both[ends_a]]
     groups_a, groups_b = group_incidence(ends_a, cuts), group_incidence(ends_b, cuts)
     group_doc = doc_a[np.searchsorted(ends_a, cuts, side="left")]
     return Alignment(ids_a, ids_b, doc_a, doc_b, links, groups_a, groups_b, group_doc)
 
 
-def group_text(found: Alignment, docs: int) -> list[str]:
-    """Per document its groups as ``a1,a2|b1;a3|b2,b3`` (decimal ids, in order)."""
-    def sides(ids: np.ndarray, groups: CSR) -> list[str]:
-        cut = np.flatnonzero(np.diff(groups.indices)) + 1
-        words = list(map(str, ids.tolist()))
-        bounds = [0, *cut.tolist(), len(words)]
-        return [",".join(words[x:y]) for x, y in zip(bounds, bounds[1:])] if words else []
-    parts = [f"{a}|{b}" for a, b in zip(sides(found.ids_a, found.groups_a), sides(found.ids_b, found.groups_b))]
-    edges = np.searchsorted(found.group_doc, np.arange(docs + 1)).tolist()
-    return [";".join(parts[x:y]) for x, y in zip(edges, edges[1:])]
+def group_text(coder: Aligner, found: Alignment, docs: int) -> pa.Array:
+    """Per document its groups as ``a1,a2|b1;a3|b2,b3`` (decimal ids, in order):
+    the tokens put into that order, their decimals joined, and every comma that
+    ends a side, a group or a document replaced or left out."""
+    ga, gb, groups = found.groups_a.indices, found.groups_b.indices, len(found.group_doc)
+    numbers = np.arange(groups)
+    at_a = np.arange(len(ga)) + np.searchsorted(gb, numbers)[ga]
+    at_b = np.arange(len(gb)) + np.searchsorted(ga, numbers, side="right")[gb]
+    n = len(ga) + len(gb)
+    ids, ending, doc = np.empty(n, np.int64), np.full(n, ord(","), np.uint8), np.empty(n, np.int64)
+    ids[at_a], ids[at_b] = found.ids_a, found.ids_b
+    doc[at_a], doc[at_b] = found.doc_a, found.doc_b
+    ending[at_a[np.diff(ga, append=-1) != 0]] = ord("|")
+    ending[at_b[np.diff(gb, append=-1) != 0]] = ord(";")
+    flat, size = coder.decimals.joined(ids).copy(), coder.decimals.size[ids]
+    ends = np.cumsum(size)
+    flat[ends - 1] = ending
+    stays = np.ones(len(flat), bool)
+    stays[ends[np.diff(doc, append=-1) != 0] - 1] = False  # nothing after a document's last group
+    sizes = np.bincount(doc, size, docs).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 0))])
+    return pa.StringArray.from_buffers(docs, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat[stays]))
 
 
 def _aligned(a_path: str | None, b_path: str | None):
@@ -235,7 +306,7 @@ def _aligned(a_path: str | None, b_path: str | None):
             shared = np.bincount(found.doc_a, found.group_link_counts(), n).astype(np.int64) if len(found.doc_a) else np.zeros(n, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), count(found.doc_a), count(found.doc_b), count(found.group_doc), count(found.doc_a[link_a]),
-                 pa.array(shared), pa.array(group_text(found, n), pa.string()), pairs],
+                 pa.array(shared), group_text(coder, found, n), pairs],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_group_links", "groups", "pairs"])
     return run
 

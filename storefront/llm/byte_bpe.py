@@ -129,6 +129,7 @@ class ByteBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
+        self.cuts = pattern == default_pattern()  # other patterns may match over a space
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -297,7 +298,7 @@ class ByteBPE:
         """Flat ids of all texts and the offsets of each text in them."""
         if len(self.size) > MEMO_CHUNKS:
             self._forget()
-        cut = [chunks_of(t) for t in texts]
+        cut = [chunks_of(t) for t in texts] if self.cuts else [[t] for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         first = np.cumsum(counts) - counts
         tracked = gc.isenabled()
@@ -353,6 +354,28 @@ def encode(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", pat
     return src.mapInArrow(run, f"`{key_col}` {src.schema[key_col].dataType.simpleString()}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", path: str | None = None,
+               pattern: str | None = None) -> DataFrame:
+    """``decode(encode(..))`` in one pass: the key column, ``ids`` and
+    ``decoded``. A task has one Python worker with one coder, whose memory of
+    chunks ends with the task."""
+    bounded_batches(docs.sparkSession)
+    src = docs.select(F.col(key_col).alias(key_col), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        coder = bpe(path, pattern)
+        try:
+            for batch in pieces(batches, "text", 2 << 20):
+                ids, offsets = coder.encode([t or "" for t in batch.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                texts = [coder.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.binary())], names=[key_col, "ids", "decoded"])
+        finally:
+            coder._forget()
+
+    return src.mapInArrow(run, f"`{key_col}` {src.schema[key_col].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add ``decoded`` (binary) to a table with an ``ids`` column."""
     bounded_batches(encoded.sparkSession)

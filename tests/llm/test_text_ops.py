@@ -150,3 +150,22 @@ def test_both_segment_trees_agree(match):
     width = 1 << (len(match) - 1).bit_length()
     ids, counts = own.merge_rows([match, match[:2]], width)
     assert ids[:counts[0]].tolist() == own.merge_one(match) and ids[counts[0]:].tolist() == own.merge_one(match[:2])
+
+
+def test_one_pass_equals_encode_and_decode(spark, edge):
+    both = byte_bpe.decode(byte_bpe.encode(edge)).collect()
+    once = byte_bpe.round_trip(edge).collect()
+    assert sorted(map(str, once)) == sorted(map(str, both))
+    assert byte_bpe.round_trip(edge.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+ ?", r"\S+\s*|\s+", r" ?\p{L}+ ?| +"])
+def test_other_patterns_may_match_over_a_space(pattern):
+    import regex
+    import tiktoken
+    coder = byte_bpe.ByteBPE(byte_bpe.default_path(), pattern)
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    for text in ("hello big world", "a  b c", "naïve café  au lait"):
+        ids, _ = coder.encode([text])
+        assert ids.tolist() == reference.encode_ordinary(text)
+        assert coder.decode(ids.tolist()).decode() == "".join(regex.findall(pattern, text))

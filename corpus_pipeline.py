@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storefront.llm.byte_bpe import decode, encode
+from storefront.llm.byte_bpe import round_trip
 from storefront.llm.common import table, written
 from storefront.llm.decontaminate import clean_rows
 from storefront.llm.line_dedup import drop_repeated_lines
@@ -53,7 +53,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text read back from them: doc_id,
     lang, source, n_tokens, ids, text."""
     keys = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
-    out = decode(encode(keys, key_col="row"))
+    out = round_trip(keys, key_col="row")
     return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       F.decode("decoded", "UTF-8").alias("text"))
 

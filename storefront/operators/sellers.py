@@ -145,6 +145,26 @@ def seller_sales(t: Tables) -> DataFrame:
         F.coalesce(mean2(F.col("rev"), F.col("lines")), zero2()).alias("average_order_value"))
 
 
+def _order_summary(t: Tables, as_of, days: int, months: int) -> DataFrame:
+    """G11, G12 and G14 of every seller with orders, from one pass over the
+    (seller, order) rows: they are summed per seller and month, and those few
+    rows per seller."""
+    ts = F.col("created_at")
+    since = ts >= ts_lit(months_back(as_of, months))
+    by_month = _seller_orders(t).groupBy(
+        "seller_id", F.year(ts).alias("year"), F.month(ts).alias("month_number"), F.date_format(ts, "MMM yyyy").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("all"), F.sum(F.when(ts >= ago(as_of, days=days), F.col("revenue"))).alias("recent"),
+        *[F.count_if(F.col("status") == st).alias(f"{st}_orders") for st in ORDER_STATUSES5],
+        F.count_if(since).alias("n_since"), F.sum(F.when(since, F.col("revenue"))).cast("decimal(38,2)").alias("revenue"))
+    entry = F.struct((-(F.col("year") * 12 + F.col("month_number"))).alias("ym"), "month", "revenue")
+    trend = F.array_sort(F.collect_list(F.when(F.col("n_since") > 0, entry)))  # at most months + 1 entries
+    per_seller = by_month.groupBy("seller_id").agg(
+        F.sum("n").alias("total_orders"), F.sum("all").cast("decimal(38,2)").alias("total_revenue"),
+        *[F.sum(f"{st}_orders").alias(f"{st}_orders") for st in ORDER_STATUSES5],
+        F.sum("recent").cast("decimal(38,2)").alias(f"revenue_last_{days}_days"), trend.alias("monthly_revenue"))
+    return per_seller.withColumn("monthly_revenue", F.when(F.size("monthly_revenue") > 0, F.col("monthly_revenue")))
+
+
 def seller_dashboards(t: Tables, as_of, top_k: int = 5, recent_k: int = 10, low_k: int = 10,
                       months: int = 6, days: int = 30) -> DataFrame:
     """One row per seller: G10-G13 columns plus the bounded lists of
@@ -154,8 +174,8 @@ def seller_dashboards(t: Tables, as_of, top_k: int = 5, recent_k: int = 10, low_
         return df.groupBy("seller_id").agg(
             F.array_sort(F.collect_list(F.struct(*order_cols, *fields))).alias(name))
 
-    # The (seller, order) rows feed four of the parts: write them once as
-    # Parquet below the shared checkpoint folder; every part reads its columns.
+    # The (seller, order) rows feed two of the parts: write them once as
+    # Parquet below the shared checkpoint folder; each part reads its columns.
     from storefront.session import scratch_path
     spark, path = t["orders"].sparkSession, scratch_path(t["orders"].sparkSession, "seller-orders")
     so = _seller_orders(t)
@@ -167,13 +187,14 @@ def seller_dashboards(t: Tables, as_of, top_k: int = 5, recent_k: int = 10, low_
     recent = lists(seller_recent_orders(t, recent_k), "recent_orders", ["rank"],
                    ["order_id", "total_amount", "status", "created_at", "customer_name", "customer_email"])
     low = lists(seller_low_stock(t, low_k), "low_stock", ["rank"], ["product_id", "title", "stock", "price"])
-    monthly = (seller_monthly_revenue(t, as_of, months)
-               .withColumn("ym", -(F.col("year") * 12 + F.col("month_number")))
-               .groupBy("seller_id").agg(F.array_sort(F.collect_list(
-                   F.struct("ym", "month", "revenue"))).alias("monthly_revenue")))
-    out = (seller_product_stats(t).join(seller_order_stats(t, as_of, days), "seller_id")
+    summary = _order_summary(t, as_of, days, months)
+    counts = ["total_orders", *(f"{st}_orders" for st in ORDER_STATUSES5)]
+    sums = ["total_revenue", f"revenue_last_{days}_days"]
+    out = (seller_product_stats(t).join(summary, "seller_id", "left").fillna(0, counts)
            .join(seller_review_stats(t), "seller_id"))
-    for df, name in ((top, "top_products"), (recent, "recent_orders"), (low, "low_stock"), (monthly, "monthly_revenue")):
+    for c in sums:
+        out = out.withColumn(c, F.coalesce(c, zero2()))
+    for df in (top, recent, low):
         out = out.join(df, "seller_id", "left")
     return out
 

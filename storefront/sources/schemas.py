@@ -106,11 +106,8 @@ ENUMS: dict[tuple[str, str], tuple[str, ...]] = {
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Cast to the canonical schema: missing columns become typed NULLs, order fixed."""
     have = set(df.columns)
-    cols = []
-    for f in SCHEMAS[name].fields:
-        c = F.col(f.name) if f.name in have else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.selectExpr(*[f"CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
+                           for f in SCHEMAS[name].fields])
 
 
 def load(spark: SparkSession, path: str, name: str, fmt: str = "parquet", **options) -> DataFrame:

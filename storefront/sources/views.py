@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storefront.functions.scalar import ts_lit
-from storefront.sources.schemas import conform
+from storefront.sources.schemas import SCHEMAS, conform
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
@@ -22,7 +21,7 @@ SHOP_TABLES = ("users", "sellers", "categories", "products", "addresses", "order
                "mpesa_transactions", "reviews", "carts", "cart_items", "special_offers", "product_offers",
                "product_images", "delivery_pricing")
 
-EPOCH = "1995-01-01 00:00:00"
+EPOCH_SQL = "TIMESTAMP_NTZ '1995-01-01 00:00:00'"
 
 # Category rows (id, name, featured); parts map to them by p_type.
 CATEGORY_ROWS = [(1, "STANDARD", True), (2, "PROMO", False), (3, "ECONOMY", True), (4, "MEDIUM", False),
@@ -50,8 +49,12 @@ DRIVER_SCHEMAS = {
 LINK = '<a href="([^"]*)">([^<]*)</a>'
 
 
-def _s(c) -> F.Column:
-    return F.col(c).cast("string")
+def _shop(df: DataFrame, table: str, /, **exprs: str) -> DataFrame:
+    """The canonical ``table`` from SQL expressions over ``df``, in one
+    projection; columns without one are typed NULLs. (A text is one call to the
+    JVM, a tree of Column objects one per node: this is most of the time that
+    building a query takes.)"""
+    return df.selectExpr(*[f"CAST({exprs.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in SCHEMAS[table]])
 
 
 class ShopTables(Mapping):
@@ -77,7 +80,7 @@ class ShopTables(Mapping):
         if name not in self._cache:
             if name not in SHOP_TABLES:
                 raise KeyError(name)
-            self._cache[name] = conform(getattr(self, f"_{name}")(), name)
+            self._cache[name] = getattr(self, f"_{name}")()
         return self._cache[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -101,160 +104,122 @@ class ShopTables(Mapping):
 
     def _users(self) -> DataFrame:
         first = self.raw("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
-        cust = self.raw("customer").join(first, F.col("o_custkey") == F.col("c_custkey"), "left").select(
-            F.col("c_custkey").alias("user_id"),
-            F.when(F.col("c_custkey") % 500 == 0, "admin").otherwise("customer").alias("role"),
-            F.col("c_name").alias("name"),
-            F.concat(F.lit("c"), _s("c_custkey"), F.lit("@example.com")).alias("email"),
-            F.concat(F.lit("+2547"), F.lpad(_s("c_custkey"), 8, "0")).alias("phone"),
-            F.coalesce(F.col("first_order"), ts_lit(EPOCH)).alias("created_at"))
-        sup = self.raw("supplier").select(
-            (F.lit(10000000) + F.col("s_suppkey")).alias("user_id"), F.lit("seller").alias("role"),
-            F.col("s_name").alias("name"),
-            F.concat(F.lit("s"), _s("s_suppkey"), F.lit("@example.com")).alias("email"),
-            F.concat(F.lit("+2541"), F.lpad(_s("s_suppkey"), 8, "0")).alias("phone"),
-            ts_lit(EPOCH).alias("created_at"))
-        return cust.unionByName(sup)
+        cust = self.raw("customer").join(first, F.col("o_custkey") == F.col("c_custkey"), "left")
+        return _shop(cust, "users", user_id="c_custkey", role="CASE WHEN c_custkey % 500 = 0 THEN 'admin' ELSE 'customer' END",
+                     name="c_name", email="concat('c', c_custkey, '@example.com')",
+                     phone="concat('+2547', lpad(CAST(c_custkey AS STRING), 8, '0'))",
+                     created_at=f"coalesce(first_order, {EPOCH_SQL})").union(
+            _shop(self.raw("supplier"), "users", user_id="10000000 + s_suppkey", role="'seller'", name="s_name",
+                  email="concat('s', s_suppkey, '@example.com')", phone="concat('+2541', lpad(CAST(s_suppkey AS STRING), 8, '0'))",
+                  created_at=EPOCH_SQL))
 
     def _sellers(self) -> DataFrame:
-        return self.raw("supplier").select(
-            F.col("s_suppkey").alias("seller_id"), (F.lit(10000000) + F.col("s_suppkey")).alias("user_id"),
-            F.col("s_name").alias("business_name"), F.lit(0).cast("decimal(12,2)").alias("total_sales"),
-            ts_lit(EPOCH).alias("created_at"))
+        return _shop(self.raw("supplier"), "sellers", seller_id="s_suppkey", user_id="10000000 + s_suppkey", business_name="s_name",
+                     total_sales="0", created_at=EPOCH_SQL)
 
     def _categories(self) -> DataFrame:
-        return self.spark.createDataFrame(CATEGORY_ROWS, "category_id long, name string, featured boolean")
+        return conform(self.spark.createDataFrame(CATEGORY_ROWS, "category_id long, name string, featured boolean"), "categories")
 
     def _products(self) -> DataFrame:
         ship = self.raw("lineitem").groupBy("l_partkey").agg(
-            F.min("l_shipdate").alias("created_at"), F.max("l_shipdate").alias("updated_at"))
-        price = F.col("p_retailprice").cast("decimal(10,2)")
-        cat = F.when(F.col("p_type") == "STANDARD", 1)
-        for i, name in enumerate(("PROMO", "ECONOMY", "MEDIUM", "SMALL"), start=2):
-            cat = cat.when(F.col("p_type") == name, i)
-        return self.raw("part").join(ship, F.col("l_partkey") == F.col("p_partkey"), "left").select(
-            F.col("p_partkey").alias("product_id"),
-            (F.col("p_partkey") % self._n_suppliers()).alias("seller_id"),
-            cat.otherwise(6).alias("category_id"),
-            F.col("p_name").alias("title"), price.alias("price"),
-            F.when(F.col("p_partkey") % 3 == 0, (price - 100).cast("decimal(10,2)")).alias("sale_price"),
-            ((F.col("p_partkey") * 7) % 50).cast("int").alias("stock"),
-            "created_at", "updated_at")
+            F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+        parts = (self.raw("part").join(ship, F.col("l_partkey") == F.col("p_partkey"), "left")
+                 .withColumn("suppliers", self._n_suppliers()))
+        price = "CAST(p_retailprice AS DECIMAL(10,2))"
+        return _shop(parts, "products", product_id="p_partkey", seller_id="p_partkey % suppliers",
+                     category_id="CASE p_type WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 2 WHEN 'ECONOMY' THEN 3 WHEN 'MEDIUM' THEN 4 "
+                                 "WHEN 'SMALL' THEN 5 ELSE 6 END",
+                     title="p_name", price=price, sale_price=f"CASE WHEN p_partkey % 3 = 0 THEN {price} - 100 END",
+                     stock="(p_partkey * 7) % 50", created_at="first_ship", updated_at="last_ship")
 
     def _addresses(self) -> DataFrame:
-        return self.raw("customer").join(self.raw("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(
-            F.col("c_custkey").alias("address_id"), F.col("c_custkey").alias("user_id"), F.col("n_name").alias("city"),
-            F.concat(F.lit("Street "), (F.col("c_custkey") % 100).cast("string")).alias("street"),
-            (F.col("c_custkey") % 2 == 0).alias("is_default"))
+        cust = self.raw("customer").join(self.raw("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+        return _shop(cust, "addresses", address_id="c_custkey", user_id="c_custkey", city="n_name",
+                     street="concat('Street ', c_custkey % 100)", is_default="c_custkey % 2 = 0")
 
     def _orders(self) -> DataFrame:
-        pr = F.col("o_orderpriority")
-        status = (F.when(pr == "1-URGENT", "processing").when(pr == "2-HIGH", "shipped")
-                  .when(pr == "3-MEDIUM", "delivered").when(pr == "4-NOT SPECIFIED", "pending")
-                  .when(F.col("o_orderstatus") == "F", "failed").otherwise("cancelled"))
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
-            F.col("o_custkey").alias("address_id"), F.col("o_totalprice").cast("decimal(12,2)").alias("total_amount"),
-            status.alias("status"), F.lit(None).cast("string").alias("notes"), F.col("o_orderdate").alias("created_at"))
+        return _shop(self.raw("orders"), "orders", order_id="o_orderkey", user_id="o_custkey", address_id="o_custkey",
+                     total_amount="CAST(o_totalprice AS DECIMAL(12,2))",
+                     status="CASE o_orderpriority WHEN '1-URGENT' THEN 'processing' WHEN '2-HIGH' THEN 'shipped' "
+                            "WHEN '3-MEDIUM' THEN 'delivered' WHEN '4-NOT SPECIFIED' THEN 'pending' "
+                            "ELSE CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'cancelled' END END",
+                     created_at="o_orderdate")
 
     def _order_items(self) -> DataFrame:
         # Lines have no natural key; number them inside their order (a window
         # partitioned by order key: bounded groups, no global sort).
-        w = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice",
-            "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-        li = self.raw("lineitem").withColumn("rn", F.row_number().over(w))
-        return li.join(self.raw("part"), F.col("p_partkey") == F.col("l_partkey")).select(
-            (F.col("l_orderkey") * 100 + F.col("rn")).alias("order_item_id"), F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
-            F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"),
-            F.lit(0).cast("decimal(10,2)").alias("discount"))
+        li = self.raw("lineitem").selectExpr(
+            "*", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, "
+                 "l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn")
+        lines = li.join(self.raw("part"), F.col("p_partkey") == F.col("l_partkey"))
+        return _shop(lines, "order_items", order_item_id="l_orderkey * 100 + rn", order_id="l_orderkey", product_id="l_partkey",
+                     quantity="CAST(l_quantity AS INT)", unit_price="CAST(p_retailprice AS DECIMAL(10,2))", discount="0")
 
     def _payments(self) -> DataFrame:
-        k = F.col("o_orderkey")
-        return self.raw("orders").select(
-            k.alias("payment_id"), k.alias("order_id"),
-            F.when(k % 4 == 2, "cash").when(k % 4 == 3, "card").otherwise("mpesa").alias("method"),
-            F.col("o_totalprice").cast("decimal(12,2)").alias("amount"),
-            F.when(k % 97 == 0, F.lit(None).cast("boolean")).otherwise(k % 5 != 0).alias("is_confirmed"),
-            F.col("o_orderdate").alias("created_at"))
+        return _shop(self.raw("orders"), "payments", payment_id="o_orderkey", order_id="o_orderkey",
+                     method="CASE o_orderkey % 4 WHEN 2 THEN 'cash' WHEN 3 THEN 'card' ELSE 'mpesa' END",
+                     amount="CAST(o_totalprice AS DECIMAL(12,2))",
+                     is_confirmed="CASE WHEN o_orderkey % 97 <> 0 THEN o_orderkey % 5 <> 0 END", created_at="o_orderdate")
 
     def _mpesa_transactions(self) -> DataFrame:
         return transactions_from_events(self.raw("events"))
 
     def _reviews(self) -> DataFrame:
-        e = F.col("event_id")
-        comment = (F.when(e % 11 == 0, "Looks like a SCAM").when(e % 11 == 1, "fake item")
-                   .when(e % 11 == 2, "Fraudulent seller").when(e % 11 == 3, F.lit(None)).otherwise("fine"))
-        return self.raw("events").where(F.col("event_type") == "view").select(
-            e.alias("review_id"), "user_id", (e % self._n_parts()).alias("product_id"),
-            (1 + e % 5).cast("int").alias("rating"), comment.alias("comment"), F.col("ts").alias("created_at"))
+        views = self.raw("events").where("event_type = 'view'").withColumn("parts", self._n_parts())
+        return _shop(views, "reviews", review_id="event_id", user_id="user_id", product_id="event_id % parts", rating="1 + event_id % 5",
+                     comment="CASE event_id % 11 WHEN 0 THEN 'Looks like a SCAM' WHEN 1 THEN 'fake item' WHEN 2 THEN 'Fraudulent seller' "
+                             "WHEN 3 THEN NULL ELSE 'fine' END", created_at="ts")
 
     def _carts(self) -> DataFrame:
-        u = F.col("user_id")
-        return self.raw("events").groupBy("user_id").agg(
-            F.min("ts").alias("created_at"), F.max("ts").alias("updated_at")).select(
-            u.alias("cart_id"), F.when(u % 4 != 0, u).alias("user_id"),
-            F.when(u % 4 == 0, F.concat(F.lit("guest_"), u.cast("string"))).alias("session_id"),
-            F.when(u % 3 == 0, "abandoned").when(u % 3 == 1, "active").otherwise("converted").alias("status"),
-            "created_at", "updated_at")
+        seen = self.raw("events").groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        return _shop(seen, "carts", cart_id="user_id", user_id="CASE WHEN user_id % 4 <> 0 THEN user_id END",
+                     session_id="CASE WHEN user_id % 4 = 0 THEN concat('guest_', user_id) END",
+                     status="CASE user_id % 3 WHEN 0 THEN 'abandoned' WHEN 1 THEN 'active' ELSE 'converted' END",
+                     created_at="first_ts", updated_at="last_ts")
 
     def _cart_items(self) -> DataFrame:
         e = F.col("event_id")
-        return (self.raw("events").where(F.col("event_type") == "click")
-                .groupBy(F.col("user_id").alias("cart_id"), (e % self._n_parts()).alias("product_id"))
-                .agg(F.min(e).alias("cart_item_id"), F.count(F.lit(1)).cast("int").alias("quantity"),
-                     F.min(900 + e % 100).cast("decimal(10,2)").alias("unit_price"), F.min("ts").alias("added_at")))
+        clicks = (self.raw("events").where("event_type = 'click'")
+                  .groupBy(F.col("user_id").alias("cart"), (e % self._n_parts()).alias("product"))
+                  .agg(F.min(e).alias("item"), F.count(F.lit(1)).alias("n"), F.min(900 + e % 100).alias("price"), F.min("ts").alias("first_ts")))
+        return _shop(clicks, "cart_items", cart_item_id="item", cart_id="cart", product_id="product", quantity="n", added_at="first_ts",
+                     unit_price="price")
 
     def _special_offers(self) -> DataFrame:
-        n = F.col("n_nationkey")
-        return self.raw("nation").select(
-            n.cast("long").alias("offer_id"), F.col("n_name").alias("title"),
-            (5 + n).cast("decimal(5,2)").alias("discount_percent"), (n % 2 == 0).alias("is_active"),
-            F.when(n % 3 == 0, ts_lit("2023-12-31 00:00:00"))
-             .when(n % 3 == 1, ts_lit("2024-06-30 00:00:00")).alias("valid_until"))
+        return _shop(self.raw("nation"), "special_offers", offer_id="n_nationkey", title="n_name", discount_percent="5 + n_nationkey",
+                     valid_until="CASE n_nationkey % 3 WHEN 0 THEN TIMESTAMP_NTZ '2023-12-31 00:00:00' "
+                                 "WHEN 1 THEN TIMESTAMP_NTZ '2024-06-30 00:00:00' END", is_active="n_nationkey % 2 = 0")
 
     def _product_images(self) -> DataFrame:
         # The links of a page, in page order, stand for the images of a product.
-        links = F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK), 1).alias("url"),
-                             F.regexp_extract_all("html", F.lit(LINK), 2).alias("text"))
-        page, pos = F.col("page_id"), F.col("pos")
-        return self.raw("pages").select("page_id", F.posexplode(links)).select(
-            (page * 100_000 + pos).alias("image_id"), (page % self._n_parts()).alias("product_id"),
-            F.concat(F.lit("/uploads/products"), F.col("col.url")).alias("image_url"),
-            F.when(pos % 3 != 1, F.col("col.text")).alias("alt_text"), (pos == page % 4).alias("is_primary"),
-            F.when(pos % 4 != 3, (pos * 7 + page) % 5).cast("int").alias("sort_order"))
+        links = self.raw("pages").selectExpr(
+            "page_id", f"posexplode(arrays_zip(regexp_extract_all(html, '{LINK}', 1), regexp_extract_all(html, '{LINK}', 2))) AS (pos, link)")
+        links = links.withColumn("parts", self._n_parts())
+        return _shop(links, "product_images", image_id="page_id * 100000 + pos", product_id="page_id % parts",
+                     image_url="concat('/uploads/products', link['0'])", alt_text="CASE WHEN pos % 3 <> 1 THEN link['1'] END",
+                     is_primary="pos = page_id % 4", sort_order="CASE WHEN pos % 4 <> 3 THEN (pos * 7 + page_id) % 5 END")
 
     def _delivery_pricing(self) -> DataFrame:
-        n = F.col("n_nationkey")
-        return self.raw("nation").select(
-            (n + 1).cast("long").alias("rule_id"), F.col("n_name").alias("city"),
-            F.when(n % 4 != 0, 1000 + 100 * n).cast("decimal(10,2)").alias("min_free_delivery"),
-            (150 + 10 * n).cast("decimal(10,2)").alias("standard_fee"), (n % 5 != 0).alias("is_active"),
-            ts_lit(EPOCH).alias("created_at"))
+        return _shop(self.raw("nation"), "delivery_pricing", rule_id="n_nationkey + 1", city="n_name",
+                     min_free_delivery="CASE WHEN n_nationkey % 4 <> 0 THEN 1000 + 100 * n_nationkey END",
+                     standard_fee="150 + 10 * n_nationkey", is_active="n_nationkey % 5 <> 0", created_at=EPOCH_SQL)
 
     def _product_offers(self) -> DataFrame:
-        return self.raw("part").where(F.col("p_partkey") % 4 == 0).select(
-            F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % 25).alias("offer_id"))
+        return _shop(self.raw("part").where("p_partkey % 4 = 0"), "product_offers", product_id="p_partkey", offer_id="p_partkey % 25")
 
 
 def transactions_from_events(events: DataFrame) -> DataFrame:
     """Payment transactions from event rows; a per-row projection, so it also
     works on a streaming DataFrame."""
-    e, et = F.col("event_id"), F.col("event_type")
-    code = (F.when(et.isin("purchase", "view"), "0")
-            .when(et == "error", F.when(e % 3 == 0, "1").when(e % 3 == 1, "1032")))
-    desc = F.when(et == "error", F.when(e % 3 == 0, "Insufficient funds").when(e % 3 == 1, "Cancelled by user"))
-    status = (F.when(et.isin("purchase", "view"), "completed").when(et == "error", "failed")
-              .when(et == "signup", "pending").otherwise("cancelled"))
-    return conform(events.select(
-        e.alias("transaction_id"), (e * 2).alias("order_id"),
-        F.concat(F.lit("ws_CO_"), e.cast("string")).alias("checkout_request_id"),
-        F.concat(F.lit("2547"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("phone_number"),
-        F.col("value").cast("decimal(12,2)").alias("amount"), status.alias("status"), code.alias("result_code"),
-        desc.alias("result_desc"),
-        F.when(et.isin("purchase", "view"), F.concat(F.lit("R"), e.cast("string"))).alias("mpesa_receipt_number"),
-        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at")), "mpesa_transactions")
+    paid = "event_type IN ('purchase', 'view')"
+    return _shop(
+        events, "mpesa_transactions", transaction_id="event_id", order_id="event_id * 2", checkout_request_id="concat('ws_CO_', event_id)",
+        phone_number="concat('2547', lpad(CAST(user_id AS STRING), 8, '0'))", amount="CAST(value AS DECIMAL(12,2))",
+        status=f"CASE WHEN {paid} THEN 'completed' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'pending' "
+               "ELSE 'cancelled' END",
+        result_code=f"CASE WHEN {paid} THEN '0' WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '1032' END END",
+        result_desc="CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'Insufficient funds' WHEN 1 THEN 'Cancelled by user' END END",
+        mpesa_receipt_number=f"CASE WHEN {paid} THEN concat('R', event_id) END", created_at="ts", updated_at="ts")
 
 
 def categories_of_parts(part: DataFrame) -> DataFrame:

@@ -141,8 +141,8 @@ def dashboard_stats(t: Tables, as_of) -> DataFrame:
     """A10: A1-A9 as one row of nine structs.
 
     One conditional aggregate per table (the orders' counts and revenue share
-    theirs); the one-row frames are united as rows of one wide schema and
-    folded into one row, so there is one job and no subquery or join.
+    theirs); the other tables' one-row results are scalar subqueries of that row,
+    so it is assembled without any join.
     """
     parts = {
         "users": user_stats(t["users"], as_of), "products": product_stats(t["products"]),
@@ -150,11 +150,8 @@ def dashboard_stats(t: Tables, as_of) -> DataFrame:
         "reviews": review_stats(t["reviews"]), "carts": cart_stats(t["carts"]),
         "offers": offer_stats(t["special_offers"], as_of),
     }
-    frames = [df.select(F.struct(*df.columns).alias(k)) for k, df in parts.items()]
-    rows = order_and_revenue_stats(t["orders"], as_of)
-    for df in frames:
-        rows = rows.unionByName(df, allowMissingColumns=True)
-    return rows.agg(*[F.first(k, ignorenulls=True).alias(k) for k in DASHBOARD_PARTS])
+    cols = [df.select(F.struct(*df.columns)).scalar().alias(k) for k, df in parts.items()]
+    return order_and_revenue_stats(t["orders"], as_of).select("orders", "revenue", *cols).select(*DASHBOARD_PARTS)
 
 
 def _month_label(ts: F.Column) -> F.Column:

@@ -5,13 +5,21 @@ spread. Each node's shingle set gets a SetSketch; bands of register values are
 the candidate buckets. Candidate pairs are first estimated jointly by maximum
 likelihood from both sketches, then confirmed on the full shingle sets.
 
-A bucket never emits all its pairs. First every member meets the least member
-of its bucket. Confirmed links are closed to components, and only buckets that
-still hold several components go on: there, members outside the bucket's
-largest component meet, in rounds of growing size, every member of another
-component. Each remaining pair of a bucket is tested in some round unless its
-two sides were joined before, so no link that matters is lost and nothing is
-capped. Buckets, pairs, links and components stay distributed.
+A bucket never emits all its pairs. First every member meets the bucket's
+leader, its member with the most neighbours in all its buckets: in a group of
+near copies of one text, the copies next to that text. Confirmed links are
+closed to components, and only buckets that still hold several components go on.
+
+Their members are dealt anew by their rarest shingles (prefix filter): two
+linked sets share so many shingles that, with all shingles in one order, rare
+ones first, they also share one of their first few, at places that leave enough
+to share after it. This is exact. A copy that is too far from its group has its
+own shingles first and meets nobody, so a group whose copies are not linked
+makes no pairs. Within a shingle, members outside its largest component meet,
+in rounds of growing size, every member of another component. Each remaining
+pair is tested in some round unless its two sides were joined before, so no link
+that matters is lost and nothing is capped. Buckets, shingles, pairs, links and
+components stay distributed.
 
 At the default 24 bands of 4 registers a pair at similarity 0.8 shares no
 bucket with probability 3e-6, and falls below the estimate's margin (5 standard
@@ -28,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storefront.llm.common import bounded_batches, pieces, raw_texts, written
@@ -37,8 +45,8 @@ from storefront.llm.setsketch import joint_estimate, shingle_set, sketches, word
 
 REGISTERS, BAND = 96, 4
 PERCENT = 80
-#: Leaders of a bucket in the first round after the stars; rounds grow by GROWTH.
-FIRST_LEADERS, GROWTH = 16, 4
+#: Leaders of a shingle in the first round after the stars; rounds grow by GROWTH.
+FIRST_LEADERS, GROWTH = 64, 16
 
 
 def _sketch_rows(shingle: int, registers: int):
@@ -138,43 +146,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, r
     bands = F.transform(F.sequence(F.lit(0), F.lit(registers // band - 1)),
                         lambda i: F.xxhash64(i, F.substr(F.col("sketch"), i * width + 1, F.lit(width))))
     rows = nodes.select("node", F.explode(bands).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    members = written(rows.join(written(shared.select("bucket", "leader"), "buckets"), "bucket"), "members")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(rows.join(shared, "bucket"), "members")
 
     # One text for every node that shares a bucket.
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_id")), "node")
     text_rows = src.join(wanted, src["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
-    texts = written(text_rows.mapInArrow(_own_texts, "node binary, text string").dropDuplicates(["node"]), "texts")
+    texts = written(text_rows.mapInArrow(_own_texts, "node binary, text string").dropDuplicates(["node"])
+                    .withColumn("id", F.monotonically_increasing_id()), "texts")
     verifier = _Verifier(nodes, texts, shingle, percent, margin)
 
-    stars = members.filter("node != leader").select(F.col("node").alias("b"), F.col("leader").alias("a")).distinct()
-    links = verifier.links(stars.select("a", "b"), "star")
-    comps = written(components(links, "star-components"), "comps")
+    near = members.groupBy("node").agg(F.sum("n").alias("near"))
+    leaders = (members.select("bucket", "node").join(near, "node").groupBy("bucket")
+               .agg(F.max(F.struct("near", "node")).alias("most")).select("bucket", F.col("most.node").alias("leader")))
+    stars = (members.select("bucket", "node").join(leaders, "bucket").filter("node != leader")
+             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    comps = written(components(verifier.links(stars, "star"), "star-components"), "comps")
 
-    # Buckets that still hold several components.
+    # Members of buckets that still hold several components, by their rarest shingles.
     labelled = _with_component(members.select("bucket", "node"), comps)
-    per_comp = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (per_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"))
-             .filter("comps > 1").select("bucket", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.n")).alias("outside")))
-    mixed = written(mixed, "mixed")
-    rest = labelled.join(mixed, "bucket").select(
-        "bucket", "node", (F.col("comp") != F.col("main")).alias("out"), "outside",
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    open_nodes = labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("node").distinct()
+    firsts = written(_first_shingles(texts.join(open_nodes, "node", "left_semi"), shingle, percent), "firsts")
+    per_comp = _with_component(firsts, comps).groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (per_comp.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"))
+             .filter("comps > 1").select("shingle", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.n")).alias("outside")))
+    rest = _with_component(firsts, comps).join(mixed, "shingle").select(
+        "shingle", "node", "size", "place", (F.col("comp") != F.col("main")).alias("out"), "outside",
         (F.abs(F.xxhash64("node", F.lit(7)) % F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("at"))
     rest = written(rest, "rest")
-    most = mixed.agg(F.max("outside")).first()[0] or 0
-    tested = 0.0  # leaders per bucket tested so far
+    most = rest.agg(F.max("outside")).first()[0] or 0
+    tested = 0.0  # leaders per shingle tested so far
     while tested < most:
         reach = float(FIRST_LEADERS) if tested == 0 else tested * GROWTH
         now = _with_component(rest, comps)
         share = F.col("at") * F.col("outside")
-        lead = (now.filter(F.col("out") & (share >= F.lit(tested)) & (share < F.lit(reach)))
-                .select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx")))
-        pairs = (lead.join(now.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy")), "bucket")
-                 .filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        x = now.filter(F.col("out") & (share >= F.lit(tested)) & (share < F.lit(reach))).alias("x")
+        y = now.alias("y")
+        # What the two can share from this shingle on.
+        both = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+        within = (100 + percent) * both >= percent * (F.col("x.size") + F.col("y.size"))
+        pairs = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & within)
+                 .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
         new = verifier.links(pairs, f"round-{reach:g}")
         if not new.isEmpty():
-            links = written(links.union(new), "links")
-            comps = written(components(links, "components"), "comps")
+            comps = written(_joined(comps, new), "comps")
         tested = reach
 
     rows = base.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
@@ -194,6 +210,44 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after more ``links``: their components are the nodes to close."""
+    ends = [_with_component(links.select("a", "b", F.col(c).alias("node")), comps).select("a", "b", F.col("comp").alias(f"c{c}"))
+            for c in ("a", "b")]
+    moved = written(components(ends[0].join(ends[1], ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
+    to = moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return (comps.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+            .union(moved.join(comps, "node", "left_anti").select("node", "comp")))
+
+
+def _shingle_rows(shingle: int):
+    def run(batches):
+        for batch in pieces(batches, "text", 1 << 20):
+            sets = [shingle_set(words_of(t), shingle) for t in raw_texts(batch, "text")]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))],
+                names=["id", "size", "shingle"])
+    return run
+
+
+def _first_shingles(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, size, shingle, place): the first size - least + 1 shingles of each
+    set of ``texts`` (id, node, text), the order being by number of sets, then
+    key; ``least`` is the least number of shingles that a linked set shares.
+    ``place`` counts from 1. Shingles of one set only link nothing: they are
+    counted but left out."""
+    rows = texts.select("id", "text").mapInArrow(_shingle_rows(shingle), "id long, size long, shingle long")
+    rows = rows.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("sets > 1")
+    sets = (rows.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+            .withColumn("own", F.col("size") - F.size("shared"))
+            .withColumn("first", F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - F.col("own")).filter("first > 0"))
+    first = sets.select("id", "size", "own", F.posexplode(F.slice("shared", F.lit(1), F.col("first").cast("int"))).alias("at", "s"))
+    return (first.select("id", "size", F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("at") + 1).alias("place"))
+            .join(texts.select("id", "node"), "id").drop("id"))
+
+
 def _own_texts(batches):
     """Of (node, text) rows, those whose text has that node's word sequence."""
     for whole in batches:

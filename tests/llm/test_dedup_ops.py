@@ -91,6 +91,22 @@ def test_near_families_around_the_threshold(spark):
     assert got == want
 
 
+def test_pairs_of_far_copies_do_not_grow_with_the_square(spark, monkeypatch):
+    """Copies of one text that are too far from each other to be linked: buckets hold most of their pairs."""
+    rows = near_family(random.Random(5), 0, 200, 3)
+    asked = []
+    links = near_dedup._Verifier.links
+
+    def counted(self, pairs, label):
+        asked.append(pairs.count())
+        return links(self, pairs, label)
+
+    monkeypatch.setattr(near_dedup._Verifier, "links", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows), shingle=4).collect()}
+    assert got == {rows[i][0]: v for i, v in brute.components(rows, 4).items()}
+    assert sum(asked) <= 24 * len(rows)
+
+
 def test_near_dedup_on_driver_documents(docs001):
     rows = rows_of(docs001)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs001, shingle=4).collect()}

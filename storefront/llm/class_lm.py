@@ -3,7 +3,8 @@
 Every word of the training vocabulary belongs to a class of its own choosing.
 Exchange clustering moves the EXCHANGE or sqrt(tokens) most frequent words
 (whichever is more) between classes while the class bigram likelihood grows,
-until no word moves. Every other word then joins the class that its own
+until no word moves: first the EXCHANGE most frequent, then, in rounds, as many
+of those that Spark finds to gain most. Every other word then joins the class that its own
 neighbours make most likely, in one distributed pass. The number of classes is
 CLASSES or the fourth root of the vocabulary, whichever is more. A token's
 probability is P(class | class before) * P(word | class), smoothed at each
@@ -13,7 +14,8 @@ its words.
 
 Counts come from every training document and are pre-aggregated in the tasks.
 The driver holds bounded tables: at most FREQUENT words with counts and
-classes, as many suffixes, and the bigrams among the exchanged words. Words
+classes, as many suffixes, the classes of the exchanged words, and the bigrams
+among EXCHANGE words. Words
 below the frequent ones are scored by a distributed join of their tokens with
 the vocabulary. Words are told apart by 64-bit keys.
 
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 from storefront.llm.common import bounded_batches, pieces, raw_texts, remainder, same, table, written
 
 FREQUENT = 300_000
-#: Least number of exchanged words and of classes; both grow with the corpus.
+#: Least number of exchanged words (as many are exchanged on the driver) and of
+#: classes; both grow with the corpus.
 EXCHANGE, CLASSES = 2000, 48
 END, OTHER = 0, 1
 DELTA = 0.1
@@ -239,22 +242,54 @@ def _margin_gains(rows: np.ndarray, cols: np.ndarray, after: np.ndarray, before:
     return (_f(rows) - _f(rows + after[:, None])) + (_f(cols) - _f(cols + before[:, None]))
 
 
-def exchange(size: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
+def _tolerance(n: np.ndarray) -> float:
+    total = n.sum()
+    return max(1e-9, 1e-13 * float(_f(total))) if total else 1.0
+
+
+def _class_gains(n: np.ndarray, r: np.ndarray, l_: np.ndarray, self_n: float) -> np.ndarray:
+    """Growth of the likelihood of class bigrams ``n`` if a unit outside joins
+    each class (the end's: never): ``r`` bigrams from it to the classes, ``l_``
+    from them to it, ``self_n`` of its own."""
+    rows, cols = n.sum(axis=1), n.sum(axis=0)
+    after, before = np.flatnonzero(r), np.flatnonzero(l_)
+    x, y = n[:, after], n[before, :]
+    gain = (_f(x + r[after]) - _f(x)).sum(axis=1) + (_f(y + l_[before, None]) - _f(y)).sum(axis=0)
+    diag = np.diag(n)
+    gain += _f(diag + r + l_ + self_n) - _f(diag + r) - _f(diag + l_) + _f(diag)
+    gain -= _f(rows + (r.sum() + self_n)) - _f(rows) + _f(cols + (l_.sum() + self_n)) - _f(cols)
+    gain[0] = -np.inf
+    return gain
+
+
+def exchange(size: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, classes: int, sweeps: int | None = None,
+             start: np.ndarray | None = None, n: np.ndarray | None = None, rest: np.ndarray | None = None) -> np.ndarray:
     """Class of every unit, from unit bigram counts (a, b, v); unit END keeps
     class 0. Each unit in turn moves to the class that makes the class bigram
-    likelihood largest, until a sweep moves none (or ``sweeps`` are done)."""
+    likelihood largest, until a sweep moves none (or ``sweeps`` are done).
+
+    With ``start``, their classes now, these are units of a larger set: ``n``
+    are the class bigrams of all (changed in place), and ``rest`` (units, 2,
+    classes) counts the bigrams from each unit to the classes of the others,
+    which stay, and from these to it."""
     out_g, in_g = np.bincount(a, v, size), np.bincount(b, v, size)
+    if rest is not None:
+        out_g, in_g = out_g + rest[:, 0].sum(axis=1), in_g + rest[:, 1].sum(axis=1)
     order = np.argsort(-in_g, kind="stable")
-    cls = np.zeros(size, np.int64)
-    cls[order] = 1 + np.arange(size) % max(1, classes - 1)
-    cls[END] = 0
+    if start is None:
+        cls = np.zeros(size, np.int64)
+        cls[order] = 1 + np.arange(size) % max(1, classes - 1)
+        cls[END] = 0
+    else:
+        cls = start.copy()
     own = np.bincount(a[a == b], v[a == b], size)
     by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     to, to_n, frm, frm_n = b[by_a], v[by_a], a[by_b], v[by_b]
     to_at = np.searchsorted(a[by_a], np.arange(size + 1))
     frm_at = np.searchsorted(b[by_b], np.arange(size + 1))
-    n = np.bincount(cls[a] * classes + cls[b], v, classes * classes).reshape(classes, classes).astype(float)
-    tolerance = max(1e-9, 1e-13 * float(_f(v.sum()))) if len(v) else 1.0
+    if n is None:
+        n = np.bincount(cls[a] * classes + cls[b], v, classes * classes).reshape(classes, classes).astype(float)
+    tolerance = _tolerance(n)
     done = 0
     while sweeps is None or done < sweeps:
         moved = 0
@@ -265,19 +300,14 @@ def exchange(size: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, classes: in
             r = np.bincount(cls[to[i:j]], to_n[i:j], classes)      # from w to each class
             l_ = np.bincount(cls[frm[k:m]], frm_n[k:m], classes)  # from each class to w
             c, self_n = cls[w], own[w]
+            if rest is not None:
+                r, l_ = r + rest[w, 0], l_ + rest[w, 1]
             r[c] -= self_n
             l_[c] -= self_n
             n[c, :] -= r
             n[:, c] -= l_
             n[c, c] -= self_n
-            rows, cols = n.sum(axis=1), n.sum(axis=0)
-            after, before = np.flatnonzero(r), np.flatnonzero(l_)
-            x, y = n[:, after], n[before, :]
-            gain = (_f(x + r[after]) - _f(x)).sum(axis=1) + (_f(y + l_[before, None]) - _f(y)).sum(axis=0)
-            diag = np.diag(n)
-            gain += _f(diag + r + l_ + self_n) - _f(diag + r) - _f(diag + l_) + _f(diag)
-            gain -= _f(rows + out_g[w]) - _f(rows) + _f(cols + in_g[w]) - _f(cols)
-            gain[0] = -np.inf
+            gain = _class_gains(n, r, l_, self_n)
             best = int(np.argmax(gain))
             if gain[best] <= gain[c] + tolerance:
                 best = c
@@ -298,6 +328,136 @@ def exchange_clusters(g: np.ndarray, classes: int = CLASSES, sweeps: int | None
     return exchange(len(g), a, b, g[a, b].astype(float), classes, sweeps)
 
 
+def _inside(shared):
+    """Bigrams of the chosen units."""
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield batch.filter(pa.array(shared.value[a] & shared.value[b]))
+    return run
+
+
+def _class_bigrams(shared):
+    """Class bigrams (a, b, n) of the bigrams of units that have a class."""
+    def run(batches):
+        cls, classes = shared.value
+        n = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            a, b, v = (batch.column(i).to_numpy() for i in range(3))
+            known = (cls[a] >= 0) & (cls[b] >= 0)
+            np.add.at(n, cls[a[known]] * classes + cls[b[known]], v[known])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at // classes), pa.array(at % classes), pa.array(n[at])], names=["a", "b", "n"])
+    return run
+
+
+def _moves(shared):
+    """(unit, best, gain) of the units that another class suits better, all
+    other units staying; units without a class always move."""
+    def run(batches):
+        cls, n, tolerance = shared.value
+        classes = len(n)
+        for batch in batches:
+            units, lists = batch.column(0).to_numpy(), batch.column(1)
+            entry, cuts = lists.flatten(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+            code, v = entry.field(0).to_numpy(), entry.field(1).to_numpy()
+            out = []
+            for w, i, j in zip(units.tolist(), cuts[:-1], cuts[1:]):
+                other, is_after, m, c = code[i:j] >> 1, (code[i:j] & 1) == 0, v[i:j], cls[w]
+                self_n = float(m[is_after & (other == w)].sum()) if c >= 0 else 0.0
+                known = (other != w) & (cls[other] >= 0)
+                r, l_ = (np.bincount(cls[other[known & side]], m[known & side], classes) for side in (is_after, ~is_after))
+                left = n.copy()
+                if c >= 0:
+                    left[c, :] -= r
+                    left[:, c] -= l_
+                    left[c, c] -= self_n
+                gain = _class_gains(left, r, l_, self_n)
+                best = int(np.argmax(gain))
+                if c < 0 or gain[best] > gain[c] + tolerance:
+                    out.append((w, best, float(gain[best] - gain[c]) if c >= 0 else 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                                             names=["unit", "best", "gain"])
+    return run
+
+
+def _around(shared):
+    """(unit, after, before) of the chosen units: their bigrams with the classes
+    of all units that are not chosen."""
+    def run(batches):
+        cls, chosen, classes = shared.value
+        for batch in batches:
+            batch = batch.filter(pa.array(chosen[batch.column(0).to_numpy()]))
+            lists = batch.column(1)
+            entry, rows = lists.flatten(), batch.num_rows
+            owner = np.repeat(np.arange(rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            code, v = entry.field(0).to_numpy(), entry.field(1).to_numpy()
+            other, side = code >> 1, code & 1
+            stays = ~chosen[other]
+            found = np.bincount(((owner * 2 + side) * classes + cls[other])[stays], v[stays], rows * 2 * classes).astype(np.int64)
+            offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * 2 * classes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(found))], names=["unit", "around"])
+    return run
+
+
+def _exchanged(pairs: DataFrame, size: int, core: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every unit, and the class bigrams, from the unit bigrams
+    ``pairs`` (a, b, n). The ``core`` units, a bounded number, are exchanged
+    first. Every other unit then joins the class that suits it best, and rounds
+    follow: on Spark every unit finds whether it would move, and the EXCHANGE
+    units that gain most are exchanged while the others stay; until no unit
+    moves. The driver holds the bigrams among as many units, no more."""
+    sc = pairs.sparkSession.sparkContext
+
+    def among(block):
+        """The block's bigrams, its units numbered in their order."""
+        chosen = np.zeros(size, bool)
+        chosen[block] = True
+        rows = pairs.mapInArrow(_inside(sc.broadcast(chosen)), "a long, b long, n long").toArrow()
+        a, b, v = (rows[c].to_numpy() for c in ("a", "b", "n"))
+        a, b = np.searchsorted(block, a), np.searchsorted(block, b)
+        order = np.lexsort((b, a))
+        return chosen, a[order], b[order], v[order].astype(float)
+
+    def counted():
+        found = (pairs.mapInArrow(_class_bigrams(sc.broadcast((cls, classes))), "a long, b long, n long")
+                 .groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow())
+        n = np.zeros((classes, classes))
+        n[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+        return n
+
+    core = np.sort(core)
+    chosen, a, b, v = among(core)
+    cls = np.full(size, -1, np.int64)
+    cls[core] = exchange(len(core), a, b, v, classes)
+    n = counted()
+    if chosen.all():
+        return cls, n
+    ends = (pairs.filter(F.col("a") != END).select(F.col("a").alias("unit"), (F.col("b") * 2).alias("code"), "n")
+            .union(pairs.filter(F.col("b") != END).select("b", F.col("a") * 2 + 1, "n")))
+    near = written(ends.groupBy("unit").agg(F.collect_list(F.struct("code", "n")).alias("near")), "neighbours")
+
+    def moves():
+        found = near.mapInArrow(_moves(sc.broadcast((cls, n, _tolerance(n)))), "unit long, best long, gain double").toArrow()
+        unit, best, gain = (found[c].to_numpy() for c in ("unit", "best", "gain"))
+        order = np.lexsort((unit, -gain))
+        return unit[order], best[order]
+
+    unit, best = moves()
+    new = cls[unit] < 0
+    cls[unit[new]] = best[new]
+    cls[cls < 0] = 1  # units without any bigram
+    n = counted()
+    while len(movers := moves()[0]):
+        block = np.sort(np.concatenate([[END], movers[:EXCHANGE]]))
+        chosen, a, b, v = among(block)
+        rows = near.mapInArrow(_around(sc.broadcast((cls, chosen, classes))), "unit long, around array<long>").toArrow()
+        rest = np.zeros((len(block), 2, classes))
+        rest[np.searchsorted(block, rows["unit"].to_numpy())] = np.array(rows["around"].to_pylist(), float).reshape(-1, 2, classes)
+        cls[block] = exchange(len(block), a, b, v, classes, start=cls[block], n=n, rest=rest)
+    return cls, n
+
+
 def _assigned(shared):
     """Rows (word, cls) of the best class of every word, given its neighbours,
     and rows (a, b, n) of the class bigrams that come with it."""
@@ -361,12 +521,9 @@ def _fitted(train: DataFrame, vocab: DataFrame) -> tuple[ClassModel, DataFrame]:
     chosen = vocab.orderBy(F.desc("c"), "word").limit(size).select("word").toArrow()["word"].to_numpy()
     keys = np.sort(chosen.astype(np.int64))
     shared = spark.sparkContext.broadcast(keys)
-    pairs = train.mapInArrow(_bigrams(shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    a, b, v = (pairs[c].to_numpy() for c in ("a", "b", "n"))
-    order = np.lexsort((b, a))
-    a, b, v = a[order], b[order], v[order].astype(float)
-    cls = exchange(len(keys) + 1, a, b, v, classes)
-    n = np.bincount(cls[a] * classes + cls[b], v, classes * classes).reshape(classes, classes).astype(float)
+    pairs = train.mapInArrow(_bigrams(shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    core = np.concatenate([[END], 1 + np.searchsorted(keys, chosen[:EXCHANGE])])
+    cls, n = _exchanged(written(pairs, "bigrams"), len(keys) + 1, core, classes)
 
     # All other words, by their own neighbours.
     context = train.mapInArrow(_contexts(spark.sparkContext.broadcast((keys, cls, classes))), "word long, code int, other long, n long")

@@ -220,3 +220,29 @@ def test_every_language_is_learned(spark):
     assert len(names) == 71 and len(net["o"]) == 71
     found = language_id.identify(docs, (names, net)).join(docs, "doc_id").collect()
     assert sum(r.lang_pred == r.lang for r in found) > 0.8 * len(found)
+
+
+def test_exchange_holds_bounded_bigrams_on_the_driver(spark, docs01, monkeypatch):
+    """However many words are exchanged, the driver holds the bigrams among EXCHANGE of them."""
+    monkeypatch.setattr(class_lm, "EXCHANGE", 400)
+    sizes = []
+    exchange = class_lm.exchange
+    monkeypatch.setattr(class_lm, "exchange", lambda size, *a, **kw: (sizes.append(size), exchange(size, *a, **kw))[1])
+    train = class_lm._source(docs01)
+    class_lm.fit(train, class_lm.vocabulary(train).cache())
+    assert sizes and max(sizes) <= 401
+
+
+def test_exchange_in_rounds_ends_where_no_unit_moves(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "EXCHANGE", 12)
+    rng = np.random.default_rng(7)
+    g = rng.integers(0, 9, (60, 60)) * (rng.random((60, 60)) < 0.4)
+    g[33], g[:, 33] = 0, 0  # a unit without bigrams
+    a, b = np.nonzero(g)
+    rows = [(int(x), int(y), int(g[x, y])) for x, y in zip(a, b)]
+    pairs = spark.createDataFrame(rows, "a long, b long, n long").repartition(3)
+    cls, n = class_lm._exchanged(pairs, 60, np.arange(13), 6)
+    v = g[a, b].astype(float)
+    assert cls[class_lm.END] == 0 and (cls[1:] > 0).all()
+    assert (n == np.bincount(cls[a] * 6 + cls[b], v, 36).reshape(6, 6)).all()
+    assert (class_lm.exchange(60, a, b, v, 6, sweeps=1, start=cls) == cls).all()

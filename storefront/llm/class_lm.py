@@ -250,8 +250,9 @@ def _tolerance(n: np.ndarray) -> float:
 def _class_gains(n: np.ndarray, r: np.ndarray, l_: np.ndarray, self_n: float) -> np.ndarray:
     """Growth of the likelihood of class bigrams ``n`` if a unit outside joins
     each class (the end's: never): ``r`` bigrams from it to the classes, ``l_``
-    from them to it, ``self_n`` of its own."""
-    rows, cols = n.sum(axis=1), n.sum(axis=0)
+    from them to it, ``self_n`` of its own. The sums of the classes before and
+    after it hold these bigrams whichever class it joins."""
+    rows, cols = n.sum(axis=1) + l_, n.sum(axis=0) + r
     after, before = np.flatnonzero(r), np.flatnonzero(l_)
     x, y = n[:, after], n[before, :]
     gain = (_f(x + r[after]) - _f(x)).sum(axis=1) + (_f(y + l_[before, None]) - _f(y)).sum(axis=0)

@@ -75,6 +75,32 @@ def test_exchange_never_lowers_the_likelihood_and_finds_classes():
     assert len({(a, b) for a, b in zip(true[1:], done[1:])}) == 3
 
 
+def test_class_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(0)
+    n, r, l_, own = rng.integers(0, 9, (5, 5)).astype(float), rng.integers(0, 5, 5).astype(float), rng.integers(0, 5, 5).astype(float), 2.0
+    want = []
+    for k in range(1, 5):
+        g = n.copy()
+        g[k, :] += r
+        g[:, k] += l_
+        g[k, k] += own
+        want.append(_likelihood(g, np.arange(5)))
+    gain = class_lm._class_gains(n, r, l_, own)
+    assert gain[0] == -np.inf and np.allclose(gain[1:] - gain[1], np.array(want) - want[0])
+
+
+@pytest.mark.parametrize("seed", [300, 591, 1192, 1383])
+def test_exchange_ends(seed):
+    """Units that went round between classes for ever, with gains that were not those of the likelihood."""
+    rng = np.random.default_rng(seed)
+    size, classes = int(rng.integers(8, 40)), int(rng.integers(3, 9))
+    g = rng.poisson(rng.gamma(0.3, [1, 3, 10][seed % 3], (size, size))).astype(float)
+    done = class_lm.exchange_clusters(g, classes, sweeps=40)
+    a, b = np.nonzero(g)
+    assert (class_lm.exchange(size, a, b, g[a, b], classes, sweeps=1, start=done) == done).all()
+    assert (class_lm.exchange_clusters(g, classes) == done).all()
+
+
 @pytest.fixture(scope="module")
 def docs01(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")

@@ -51,12 +51,18 @@ def parse_callbacks(raw: DataFrame, text: str = "value", seq: str | None = None)
     The callback's phone and amount are kept as columns (the reference reads
     them but stores neither).
     """
-    cb = F.from_json(F.col(text), CALLBACK_SCHEMA)["Body"]["stkCallback"]
-    items = cb["CallbackMetadata"]["Item"]
-    p = raw.withColumn("_cb", cb).withColumn("_items", items)
+    return _sorted_out(_callback_rows(raw, text, seq), seq)
+
+
+def _callback_rows(raw: DataFrame, text: str = "value", seq: str | None = None) -> DataFrame:
+    """One row per text, the good and the dead, with the text as ``raw``. The
+    text is parsed once in this projection; a filter above it would be pushed
+    below and parse again for every column that it names."""
     c = F.col("_cb")
+    p = (raw.withColumn("_cb", F.from_json(F.col(text), CALLBACK_SCHEMA)["Body"]["stkCallback"])
+         .withColumn("_items", c["CallbackMetadata"]["Item"]))
     code = F.trim(c["ResultCode"])
-    out = p.select(
+    return p.select(
         *([F.col(seq).alias("seq")] if seq else []),
         F.col(text).alias("raw"),
         c["CheckoutRequestID"].alias("checkout_request_id"), c["MerchantRequestID"].alias("merchant_request_id"),
@@ -67,8 +73,11 @@ def parse_callbacks(raw: DataFrame, text: str = "value", seq: str | None = None)
         F.expr("try_cast(get(filter(_items, x -> x.Name = 'TransactionDate'), 0).Value AS BIGINT)").alias(
             "transaction_date"),
         item_value(F.col("_items"), "PhoneNumber").alias("callback_phone"))
+
+
+def _sorted_out(rows: DataFrame, seq: str | None) -> Parsed:
     bad = F.col("checkout_request_id").isNull() | F.col("result_code").isNull()
-    return Parsed(out.where(~bad).drop("raw"), out.where(bad).select(*([F.col("seq")] if seq else []), "raw"))
+    return Parsed(rows.where(~bad).drop("raw"), rows.where(bad).select(*([F.col("seq")] if seq else []), "raw"))
 
 
 def route_unknown(parsed: DataFrame, txns: DataFrame) -> Parsed:
@@ -191,7 +200,7 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
     change set per batch id under ``state_root`` (ids already published are
     skipped). The first run writes the three tables as bucketed bases of a
     change log there; on a cluster choose ``buckets`` so that a bucket's file is
-    a few hundred MB. A batch reads the buckets of its keys and the live runs,
+    a few hundred MB. A batch is parsed once and kept until it is published. It reads the buckets of its keys and the live runs,
     and writes what it changed; the log is folded into new bases when it has
     grown to half of them. A batch's dead letters (malformed, unknown checkout
     id, forbidden values) are overwritten under
@@ -208,16 +217,20 @@ def ingest_callbacks(spark: SparkSession, source_dir: str, tables: Tables, state
         state = newest_manifest(spark, root)
         if batch_id <= state["version"]:
             return  # replay of a published batch
-        parsed = parse_callbacks(batch, seq="seq")
-        sound = route_invalid(parsed.good)
-        current = rows_of_callbacks(spark, root, sound.good, state)
-        known = route_unknown(sound.good, current["mpesa_transactions"])
-        none = F.lit(None).cast("string")
-        dead = (parsed.dead.select("seq", "raw", F.lit("malformed").alias("reason"))
-                .unionByName(sound.dead.select("seq", none.alias("raw"), "reason"))
-                .unionByName(known.dead.select("seq", none.alias("raw"), F.lit("unknown checkout id").alias("reason"))))
-        dead.write.mode("overwrite").parquet(f"{root}/dead_letters/batch_id={batch_id}")
-        write_snapshot(apply_callbacks(current, known.good, as_of, changed_only=True), root, batch_id, keys=CALLBACK_KEYS)
+        rows = _callback_rows(batch, seq="seq").persist()  # every table's changes come from these rows
+        try:
+            parsed = _sorted_out(rows, "seq")
+            sound = route_invalid(parsed.good)
+            current = rows_of_callbacks(spark, root, sound.good, state)
+            known = route_unknown(sound.good, current["mpesa_transactions"])
+            none = F.lit(None).cast("string")
+            dead = (parsed.dead.select("seq", "raw", F.lit("malformed").alias("reason"))
+                    .unionByName(sound.dead.select("seq", none.alias("raw"), "reason"))
+                    .unionByName(known.dead.select("seq", none.alias("raw"), F.lit("unknown checkout id").alias("reason"))))
+            dead.write.mode("overwrite").parquet(f"{root}/dead_letters/batch_id={batch_id}")
+            write_snapshot(apply_callbacks(current, known.good, as_of, changed_only=True), root, batch_id, keys=CALLBACK_KEYS)
+        finally:
+            rows.unpersist()
         compact_if_large(spark, root)
 
     q = (raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

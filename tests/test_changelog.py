@@ -145,6 +145,30 @@ def test_a_callback_with_a_forbidden_value_is_a_dead_letter(seed, spark, tmp_pat
         assert sorted(map(str, cur[name].select(*seed[name].columns).collect())) == sorted(map(str, seed[name].collect()))
 
 
+def test_a_batch_of_callbacks_is_parsed_once(seed, spark, tmp_path, monkeypatch):
+    """The changes of all tables come from the kept rows, none from the texts again."""
+    src, root = str(tmp_path / "in"), str(tmp_path / "state")
+    ids = [r.checkout_request_id for r in seed["mpesa_transactions"].orderBy("transaction_id").collect()]
+    spark.createDataFrame([(1, _body(ids[0])), (2, "{"), (3, _body("nobody"))], "seq long, value string").coalesce(1).write.json(src)
+    seen = {}
+    write = CB.write_snapshot
+
+    def spied(changed, *args, **kw):
+        for name, df in changed.items():
+            leaves = df._jdf.queryExecution().withCachedData().collectLeaves()
+            seen[name] = [(leaves.apply(i).nodeName(), leaves.apply(i).output().mkString(" ")) for i in range(leaves.size())]
+        return write(changed, *args, **kw)
+
+    monkeypatch.setattr(CB, "write_snapshot", spied)
+    CB.ingest_callbacks(spark, src, seed, root, AS_OF, str(tmp_path / "ckpt"), buckets=4)
+    assert seen.keys() == CB.CALLBACK_KEYS.keys()
+    for leaves in seen.values():
+        assert any(name.startswith("InMemoryRelation") for name, _ in leaves)
+        assert not any("value#" in output for _, output in leaves)
+    assert {r.seq: r.reason for r in spark.read.parquet(f"{root}/dead_letters").collect()} == {2: "malformed", 3: "unknown checkout id"}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_the_archive_prunes_by_month_and_doubles_nothing(spark, tmp_path):
     path = str(tmp_path / "archive")
     rows = spark.sql("SELECT id, TIMESTAMP_NTZ'2024-01-15 00:00:00' + make_interval(0, CAST(id AS INT)) AS created_at FROM range(6)")

@@ -770,6 +770,10 @@ def apply_reviews(t: Tables, changes: DataFrame, as_of) -> ReviewChange:
     own_fault = _missing_parents(cr.withColumn("reason", first_reason(
         [x for x in table_rules("reviews", cr.columns) if x[0] != "review_id_not_null"])), "reviews", t, cr.columns)
     cr = own_fault.withColumn("reason", F.coalesce("reason", F.when(taken, "duplicate " + ",".join(pair))))
+    # Written once: the insert reads these rows several times, and a task would
+    # hold the joins and sorts of all those readings at once.
+    checkpoint_root(cr.sparkSession)
+    cr = cr.drop("_stay", "_free").checkpoint(eager=True)
     ins = insert_rows(left, cr.where(F.col("reason").isNull()).select("seq", *pair, "rating", "comment"), "reviews",
                       defaults={"created_at": "as_of"}, as_of=as_of)
     # New ids follow the old maximum even if that review was deleted.

@@ -60,6 +60,18 @@ def test_last_valid_quantity_stands(seed, spark):
     assert res.cart_items.where("cart_item_id = 2").first().quantity == 2
 
 
+def test_the_insert_of_reviews_reads_written_rows(seed, spark, monkeypatch):
+    """The insert reads its rows several times in one stage: without the joins that decide them."""
+    seen = []
+    insert = C.insert_rows
+    monkeypatch.setattr(C, "insert_rows", lambda base, rows, *a, **kw: (seen.append(rows), insert(base, rows, *a, **kw))[1])
+    r = seed["reviews"].where("review_id = 3").first()
+    ch = spark.createDataFrame([("create", 1, None, r.user_id, r.product_id, 2, None), ("create", 2, None, -1, r.product_id, 2, None)], REVIEWS)
+    res = C.apply_reviews(seed, ch, AS_OF)
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.seq for x in res.rejected.collect()} == {1, 2} and res.reviews.count() == seed["reviews"].count()
+
+
 def test_reviews_follow_seq(seed, spark):
     r = seed["reviews"].where("review_id = 3").first()
     ch = spark.createDataFrame([

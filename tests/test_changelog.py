@@ -160,13 +160,14 @@ def test_a_batch_of_callbacks_is_parsed_once(seed, spark, tmp_path, monkeypatch)
         return write(changed, *args, **kw)
 
     monkeypatch.setattr(CB, "write_snapshot", spied)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
     CB.ingest_callbacks(spark, src, seed, root, AS_OF, str(tmp_path / "ckpt"), buckets=4)
     assert seen.keys() == CB.CALLBACK_KEYS.keys()
     for leaves in seen.values():
         assert any(name.startswith("InMemoryRelation") for name, _ in leaves)
         assert not any("value#" in output for _, output in leaves)
     assert {r.seq: r.reason for r in spark.read.parquet(f"{root}/dead_letters").collect()} == {2: "malformed", 3: "unknown checkout id"}
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= kept
 
 
 def test_the_archive_prunes_by_month_and_doubles_nothing(spark, tmp_path):

@@ -12,12 +12,12 @@ level. Only words that training never saw go by their last two code points:
 each suffix has the additive share of one word in the class that holds most of
 its words.
 
-Counts come from every training document and are pre-aggregated in the tasks.
-The driver holds bounded tables: at most FREQUENT words with counts and
+Counts come from every training document and are pre-aggregated in the tasks,
+where a batch's texts are split in Arrow and only its distinct words are Python
+objects. The driver holds bounded tables: at most FREQUENT words with counts and
 classes, as many suffixes, the classes of the exchanged words, and the bigrams
-among EXCHANGE words. Words
-below the frequent ones are scored by a distributed join of their tokens with
-the vocabulary. Words are told apart by 64-bit keys.
+among EXCHANGE words. Words below the frequent ones are scored by a distributed
+join of their tokens with the vocabulary. Words are told apart by 64-bit keys.
 
 Cases: null text is the empty text, which is one end token; without training
 documents the base and score of every token is that of the uniform unknown
@@ -28,18 +28,17 @@ rows are scored alike; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storefront.llm.common import bounded_batches, pieces, raw_texts, remainder, same, table, written
+from storefront.llm.common import bounded_batches, pieces, remainder, table, written
 
 FREQUENT = 300_000
 #: Least number of exchanged words (as many are exchanged on the driver) and of
@@ -47,8 +46,7 @@ FREQUENT = 300_000
 EXCHANGE, CLASSES = 2000, 48
 END, OTHER = 0, 1
 DELTA = 0.1
-FLUSH_WORDS = 250_000
-MEMO_WORDS = 250_000
+FLUSH_WORDS = 2_000_000
 FLUSH_PAIRS = 2_000_000
 
 
@@ -57,34 +55,77 @@ def word_key(word: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _keys(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
 def suffix_key(word: bytes) -> int:
     """The last two code points as one number."""
     tail = word[-8:].decode("utf-8", "ignore")[-2:]
     return (ord(tail[-2]) << 21 if len(tail) > 1 else 0) | (ord(tail[-1]) if tail else 0)
 
 
+def _suffixes(words: list[bytes]) -> np.ndarray:
+    """``suffix_key`` of every word."""
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size)
+    last, second = data[ends - 1].astype(np.int64), data[ends - 2].astype(np.int64)
+    out = second << 21 | last
+    for i in np.flatnonzero((size < 2) | (last > 127) | (second > 127)).tolist():
+        out[i] = suffix_key(words[i])
+    return out
+
+
 def _source(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _tokens(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of the batch's texts, the index of every token among
+    them (-1: the end that follows each text), and the tokens of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+    found, n = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, index = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy().astype(np.int64)
+    if b"" in words:  # before the first word, after the last, or alone
+        blank = words.index(b"")
+        kept = index != blank
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[kept], minlength=len(n))
+        index = index[kept] - (index[kept] > blank)
+        del words[blank]
+    n = n + 1
+    at = np.full(int(n.sum()), -1, np.int64)
+    inner = np.ones(len(at), bool)
+    inner[np.cumsum(n) - 1] = False
+    at[inner] = index
+    return words, at, n
+
+
+def _among(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of every key among the sorted ``words``, or -1."""
+    if not len(words):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+    return np.where(words[at] == keys, at, -1)
+
+
 def _word_counts(batches):
-    counts: Counter = Counter()
+    held, size = [], 0
 
     def out():
-        words = list(counts)
-        rows = pa.RecordBatch.from_arrays(
-            [pa.array([word_key(w) for w in words], pa.int64()), pa.array([suffix_key(w) for w in words], pa.int64()),
-             pa.array([counts[w] for w in words], pa.int64())], names=["word", "suffix", "n"])
-        counts.clear()
-        return rows
+        word, suffix, n = (np.concatenate(x) for x in zip(*held))
+        word, first, at = np.unique(word, return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(word), pa.array(suffix[first]), pa.array(np.bincount(at, n).astype(np.int64))], names=["word", "suffix", "n"])
 
     for batch in pieces(batches, "text"):
-        for t in raw_texts(batch, "text"):
-            counts.update(t.lower().split())
-            if len(counts) >= FLUSH_WORDS:
-                yield out()
-    if counts:
+        words, at, _ = _tokens(batch)
+        held.append((_keys(words), _suffixes(words), np.bincount(at[at >= 0], minlength=len(words))))
+        size += len(words)
+        if size >= FLUSH_WORDS:
+            yield out()
+            held, size = [], 0
+    if held:
         yield out()
 
 
@@ -114,43 +155,6 @@ class Units:
         return self.top[key] if key in self.top else self.suffixes.get(suffix, OTHER)
 
 
-class _Memo:
-    """word -> row of (index among the sorted ``words`` or -1, suffix unit of
-    the others, key)."""
-
-    def __init__(self, words: np.ndarray, suffixes: dict[int, int] | None = None):
-        self.words, self.suffixes, self.rows = words, suffixes or {}, {}
-        self.at, self.tail, self.key = np.zeros(4096, np.int64), np.zeros(4096, np.int64), np.zeros(4096, np.int64)
-
-    def lookup(self, words: list[list[bytes]]) -> np.ndarray:
-        new = list({w for ws in words for w in ws} - self.rows.keys())
-        start, end = len(self.rows), len(self.rows) + len(new)
-        if end > len(self.at):
-            more = max(end, 2 * len(self.at)) - len(self.at)
-            self.at, self.tail, self.key = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.at, self.tail, self.key))
-        if new:
-            keys = np.array([word_key(w) for w in new], np.int64)
-            at = np.minimum(np.searchsorted(self.words, keys), max(0, len(self.words) - 1))
-            known = self.words[at] == keys if len(self.words) else np.zeros(len(keys), bool)
-            self.key[start:end] = keys
-            self.at[start:end] = np.where(known, at, -1)
-            if self.suffixes:
-                self.tail[start:end] = [OTHER if k else self.suffixes.get(suffix_key(w), OTHER) for k, w in zip(known.tolist(), new)]
-            self.rows.update(zip(new, range(start, end)))
-        return np.fromiter((i for ws in words for i in map(self.rows.__getitem__, ws)), np.int64, sum(map(len, words)))
-
-
-def _sequences(texts: list[bytes], memo: _Memo):
-    """Memo rows of all words (-1: end) and the number of tokens of each text."""
-    words = [t.lower().split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    rows = np.full(int(n.sum()), -1, np.int64)
-    inner = np.ones(len(rows), bool)
-    inner[np.cumsum(n) - 1] = False
-    rows[inner] = memo.lookup(words)
-    return rows, n
-
-
 def _summed(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes and the sums of their counts."""
     code, at = np.unique(np.concatenate(codes), return_inverse=True)
@@ -161,7 +165,7 @@ def _bigrams(shared):
     """Bigrams (a, b, n) of exchanged words: 0 is the end, 1 + i the i-th key."""
     def run(batches):
         keys = shared.value
-        memo, size = _Memo(keys), len(keys) + 1
+        size = len(keys) + 1
         codes, counts, held = [], [], 0
 
         def out():
@@ -169,11 +173,9 @@ def _bigrams(shared):
             return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], names=["a", "b", "n"])
 
         for batch in pieces(batches, "text", 4 << 20):
-            if len(memo.rows) > MEMO_WORDS:
-                memo.rows.clear()
-            rows, _ = _sequences(raw_texts(batch, "text"), memo)
-            u = np.where(rows >= 0, memo.at[rows] + 1, 0)
-            u[(rows >= 0) & (memo.at[rows] < 0)] = -1
+            words, at, _ = _tokens(batch)
+            unit = _among(keys, _keys(words)) + 1
+            u = np.append(np.where(unit > 0, unit, -1), 0)[at]
             before = np.concatenate([[0], u[:-1]])  # every text follows an end
             both = (u >= 0) & (before >= 0)
             code, n = np.unique(before[both] * size + u[both], return_counts=True)
@@ -189,41 +191,41 @@ def _bigrams(shared):
 
 
 def _contexts(shared):
-    """Neighbours (word, code, other, n) of every word that was not exchanged:
-    ``code`` is the class before, or the number of classes plus the class
-    after; -1 if the word after, ``other``, was not exchanged either."""
+    """Neighbours of every word that was not exchanged: rows (word, near) list
+    the classes before it, and the number of classes plus the classes after it,
+    one by one; rows (word, other, n) count the words after it that were not
+    exchanged either."""
     def run(batches):
         keys, cls, classes = shared.value
-        memo, width = _Memo(keys), 2 * classes
-        held, pairs = [], []
+        held, size = [], 0
 
         def out():
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            pair, m = np.unique(np.concatenate(pairs, axis=0), axis=0, return_counts=True) if pairs else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            none = np.concatenate([np.ones(len(code), bool), np.zeros(len(m), bool)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([memo.key[code // width], memo.key[pair[:, 0]]])),
-                 pa.array(np.concatenate([code % width, np.full(len(m), -1)]).astype(np.int32)),
-                 pa.array(np.concatenate([np.zeros(len(code), np.int64), memo.key[pair[:, 1]]]), mask=none),
-                 pa.array(np.concatenate([n, m]).astype(np.int64))], names=["word", "code", "other", "n"])
+            word, code, a, b, m = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(word)
+            word, code = word[order], code[order]
+            cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            near = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(word)).astype(np.int32)), pa.array(code))
+            alone = pa.nulls(len(cuts), pa.int64())
+            return [pa.RecordBatch.from_arrays([pa.array(word[cuts]), near, alone, alone], names=["word", "near", "other", "n"]),
+                    pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), near.type), pa.array(b), pa.array(m)], names=["word", "near", "other", "n"])]
 
         for batch in pieces(batches, "text", 4 << 20):
-            if len(memo.rows) > MEMO_WORDS or sum(map(len, held)) > FLUSH_PAIRS:
-                yield out()
-                held, pairs = [], []
-                memo.rows.clear()
-            rows, _ = _sequences(raw_texts(batch, "text"), memo)
-            c = np.where(rows >= 0, cls[memo.at[rows] + 1], 0)
-            c[(rows >= 0) & (memo.at[rows] < 0)] = -1
-            before = np.concatenate([[0], c[:-1]])
-            tail = c < 0
-            held.append(rows[tail & (before >= 0)] * width + before[tail & (before >= 0)])
-            at = np.flatnonzero(tail)  # an end follows the last word
-            known = c[at + 1] >= 0
-            held.append(rows[at[known]] * width + classes + c[at[known] + 1])
-            pairs.append(np.column_stack([rows[at[~known]], rows[at[~known] + 1]]))
+            words, at, _ = _tokens(batch)
+            key = _keys(words)
+            unit = _among(keys, key) + 1
+            c = np.append(np.where(unit > 0, cls[unit], -1), 0)[at]
+            tail = np.flatnonzero(c < 0)
+            before, after = np.where(tail > 0, c[tail - 1], 0), c[tail + 1]  # an end follows the last word
+            pair, m = np.unique(at[tail[after < 0]] * len(words) + at[tail[after < 0] + 1], return_counts=True)
+            a, b = np.divmod(pair, max(1, len(words)))
+            held.append((key[at[np.concatenate([tail[before >= 0], tail[after >= 0]])]],
+                         np.concatenate([before[before >= 0], classes + after[after >= 0]]).astype(np.int32), key[a], key[b], m))
+            size += len(held[-1][0]) + len(a)
+            if size > FLUSH_PAIRS:
+                yield from out()
+                held, size = [], 0
         if held:
-            yield out()
+            yield from out()
     return run
 
 
@@ -352,52 +354,101 @@ def _class_bigrams(shared):
     return run
 
 
+def _without(table: np.ndarray, unit: np.ndarray, code: np.ndarray, v: np.ndarray, cls: np.ndarray, others: np.ndarray,
+             own: np.ndarray) -> np.ndarray:
+    """(entries, classes): bigrams of every class with the class ``code``, once
+    the entry's ``unit`` has left its class ``cls``. It has ``v`` bigrams with
+    ``code``, ``own`` with itself and ``others`` on its other side."""
+    left, c = table[code].copy(), cls[unit]
+    at = np.flatnonzero(c >= 0)
+    left[at, c[at]] -= v[at]
+    at = at[code[at] == c[at]]
+    left[at] -= others[unit[at]]
+    left[at, c[at]] -= own[unit[at]]
+    return left
+
+
+def _units_gains(n: np.ndarray, cls: np.ndarray, r: np.ndarray, l_: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """``_class_gains`` of many units, all in ``n`` still but those of class -1."""
+    size, classes = r.shape
+    gain = np.zeros((size, classes))
+    for table, v, others in ((n.T, r, l_), (n, l_, r)):
+        at, code = np.nonzero(v)
+        left = _without(table, at, code, v[at, code], cls, others, own)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        if len(first):
+            gain[at[first]] += np.add.reduceat(_f(left + v[at, code][:, None]) - _f(left), first, axis=0)
+    here = np.flatnonzero(cls >= 0)
+    c = cls[here]
+    diag = np.tile(np.diag(n), (size, 1))
+    rows, cols = np.tile(n.sum(axis=1), (size, 1)), np.tile(n.sum(axis=0), (size, 1))
+    out, into = r.sum(axis=1) + own, l_.sum(axis=1) + own
+    diag[here, c] -= r[here, c] + l_[here, c] + own[here]
+    rows[here, c] -= out[here]
+    cols[here, c] -= into[here]
+    rows[cls < 0] += l_[cls < 0]
+    cols[cls < 0] += r[cls < 0]
+    gain += _f(diag + r + l_ + own[:, None]) - _f(diag + r) - _f(diag + l_) + _f(diag)
+    gain -= _f(rows + out[:, None]) - _f(rows) + _f(cols + into[:, None]) - _f(cols)
+    gain[:, 0] = -np.inf
+    return gain
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, other unit, side (0: after, 1: before) and count of the bigrams
+    listed in the second column."""
+    lists = batch.column(1)
+    entry = lists.flatten()
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    code, v = entry.field(0).to_numpy(), entry.field(1).to_numpy()
+    return row, code >> 1, code & 1, v
+
+
 def _moves(shared):
     """(unit, best, gain) of the units that another class suits better, all
     other units staying; units without a class always move."""
     def run(batches):
         cls, n, tolerance = shared.value
         classes = len(n)
-        for batch in batches:
-            units, lists = batch.column(0).to_numpy(), batch.column(1)
-            entry, cuts = lists.flatten(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
-            code, v = entry.field(0).to_numpy(), entry.field(1).to_numpy()
-            out = []
-            for w, i, j in zip(units.tolist(), cuts[:-1], cuts[1:]):
-                other, is_after, m, c = code[i:j] >> 1, (code[i:j] & 1) == 0, v[i:j], cls[w]
-                self_n = float(m[is_after & (other == w)].sum()) if c >= 0 else 0.0
-                known = (other != w) & (cls[other] >= 0)
-                r, l_ = (np.bincount(cls[other[known & side]], m[known & side], classes) for side in (is_after, ~is_after))
-                left = n.copy()
-                if c >= 0:
-                    left[c, :] -= r
-                    left[:, c] -= l_
-                    left[c, c] -= self_n
-                gain = _class_gains(left, r, l_, self_n)
-                best = int(np.argmax(gain))
-                if c < 0 or gain[best] > gain[c] + tolerance:
-                    out.append((w, best, float(gain[best] - gain[c]) if c >= 0 else 0.0))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
-                                             names=["unit", "best", "gain"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 100):
+                batch = whole.slice(first, 100)
+                units, size = batch.column(0).to_numpy(), batch.num_rows
+                row, other, side, v = _entries(batch)
+                c, is_self = cls[units], other == units[row]
+                own = np.where(c >= 0, np.bincount(row, v * (is_self & (side == 0)), size), 0.0)
+                known = ~is_self & (cls[other] >= 0)
+                at = (side * size + row)[known] * classes + cls[other[known]]
+                r, l_ = np.bincount(at, v[known], 2 * size * classes).reshape(2, size, classes)
+                gain = _units_gains(n, c, r, l_, own)
+                best = gain.argmax(axis=1)
+                now = gain[np.arange(size), np.maximum(c, 1)]
+                more = gain[np.arange(size), best] - now
+                out = (c < 0) | (more > tolerance)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(units[out]), pa.array(best[out]), pa.array(np.where(c < 0, 0.0, more)[out])], names=["unit", "best", "gain"])
     return run
 
 
 def _around(shared):
-    """(unit, after, before) of the chosen units: their bigrams with the classes
-    of all units that are not chosen."""
+    """(unit, around, inside) of the chosen units: their bigrams with the
+    classes of all units that are not chosen, after and before; and other unit
+    and count, one after the other, of those from it to chosen units, and from
+    the end (-1) to it."""
     def run(batches):
         cls, chosen, classes = shared.value
         for batch in batches:
             batch = batch.filter(pa.array(chosen[batch.column(0).to_numpy()]))
-            lists = batch.column(1)
-            entry, rows = lists.flatten(), batch.num_rows
-            owner = np.repeat(np.arange(rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-            code, v = entry.field(0).to_numpy(), entry.field(1).to_numpy()
-            other, side = code >> 1, code & 1
+            rows = batch.num_rows
+            row, other, side, v = _entries(batch)
             stays = ~chosen[other]
-            found = np.bincount(((owner * 2 + side) * classes + cls[other])[stays], v[stays], rows * 2 * classes).astype(np.int64)
-            offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * 2 * classes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(found))], names=["unit", "around"])
+            found = np.bincount(((row * 2 + side) * classes + cls[other])[stays], v[stays], rows * 2 * classes).astype(np.int64)
+            around = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * 2 * classes), pa.array(found))
+            kept = ~stays & ((side == 0) | (other == END))
+            pair = np.column_stack([np.where(side[kept] == 0, other[kept], -1), v[kept]]).reshape(-1)
+            cuts = np.concatenate([[0], 2 * np.cumsum(np.bincount(row[kept], minlength=rows))]).astype(np.int32)
+            inside = pa.ListArray.from_arrays(pa.array(cuts), pa.array(pair.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), around, inside], names=["unit", "around", "inside"])
     return run
 
 
@@ -410,15 +461,16 @@ def _exchanged(pairs: DataFrame, size: int, core: np.ndarray, classes: int) -> t
     moves. The driver holds the bigrams among as many units, no more."""
     sc = pairs.sparkSession.sparkContext
 
-    def among(block):
-        """The block's bigrams, its units numbered in their order."""
-        chosen = np.zeros(size, bool)
-        chosen[block] = True
-        rows = pairs.mapInArrow(_inside(sc.broadcast(chosen)), "a long, b long, n long").toArrow()
-        a, b, v = (rows[c].to_numpy() for c in ("a", "b", "n"))
+    def ordered(block, a, b, v):
+        """Bigrams of a block's units, which are numbered in their order."""
         a, b = np.searchsorted(block, a), np.searchsorted(block, b)
         order = np.lexsort((b, a))
-        return chosen, a[order], b[order], v[order].astype(float)
+        return a[order], b[order], v[order].astype(float)
+
+    def mask(block):
+        chosen = np.zeros(size, bool)
+        chosen[block] = True
+        return chosen
 
     def counted():
         found = (pairs.mapInArrow(_class_bigrams(sc.broadcast((cls, classes))), "a long, b long, n long")
@@ -428,9 +480,10 @@ def _exchanged(pairs: DataFrame, size: int, core: np.ndarray, classes: int) -> t
         return n
 
     core = np.sort(core)
-    chosen, a, b, v = among(core)
+    chosen = mask(core)
+    rows = pairs.mapInArrow(_inside(sc.broadcast(chosen)), "a long, b long, n long").toArrow()
     cls = np.full(size, -1, np.int64)
-    cls[core] = exchange(len(core), a, b, v, classes)
+    cls[core] = exchange(len(core), *ordered(core, *(rows[c].to_numpy() for c in ("a", "b", "n"))), classes)
     n = counted()
     if chosen.all():
         return cls, n
@@ -451,45 +504,68 @@ def _exchanged(pairs: DataFrame, size: int, core: np.ndarray, classes: int) -> t
     n = counted()
     while len(movers := moves()[0]):
         block = np.sort(np.concatenate([[END], movers[:EXCHANGE]]))
-        chosen, a, b, v = among(block)
-        rows = near.mapInArrow(_around(sc.broadcast((cls, chosen, classes))), "unit long, around array<long>").toArrow()
+        rows = near.mapInArrow(_around(sc.broadcast((cls, mask(block), classes))), "unit long, around array<long>, inside array<long>").toArrow()
+        unit, inside = rows["unit"].to_numpy(), rows["inside"].combine_chunks()
         rest = np.zeros((len(block), 2, classes))
-        rest[np.searchsorted(block, rows["unit"].to_numpy())] = np.array(rows["around"].to_pylist(), float).reshape(-1, 2, classes)
+        rest[np.searchsorted(block, unit)] = rows["around"].combine_chunks().flatten().to_numpy().reshape(-1, 2, classes)
+        other, v = inside.flatten().to_numpy().reshape(-1, 2).T
+        unit = np.repeat(unit, pc.list_value_length(inside).to_numpy() // 2)
+        a, b, v = ordered(block, np.where(other < 0, END, unit), np.where(other < 0, unit, other), v)
         cls[block] = exchange(len(block), a, b, v, classes, start=cls[block], n=n, rest=rest)
     return cls, n
 
 
+def _whole(batches):
+    """The rows of batches sorted by their first column, cut between its values."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        first = int(np.searchsorted(key, key[-1]))
+        if first or (held and held[-1].column(0)[0] != batch.column(0)[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, first)]).combine_chunks()
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _assigned(shared):
     """Rows (word, cls) of the best class of every word, given its neighbours,
     and rows (a, b, n) of the class bigrams that come with it."""
     def run(batches):
         n, classes = shared.value, len(shared.value)
-        rows, cols = n.sum(axis=1), n.sum(axis=0)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 2000):
-                batch = whole.slice(first, 2000)
-                words, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                entry = lists.flatten()
-                owner = np.repeat(np.arange(len(words)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-                code, v = (entry.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                kinds, at = np.unique(np.column_stack([code, v]), axis=0, return_inverse=True)
-                gains = _bigram_gains(n, kinds[:, 0], kinds[:, 1].astype(float))[at.reshape(-1)]
-                order = np.argsort(owner, kind="stable")
-                gain = np.add.reduceat(gains[order], np.searchsorted(owner[order], np.arange(len(words))), axis=0)
+        rows, cols, width = n.sum(axis=1), n.sum(axis=0), 2 * len(shared.value)
+        come = np.zeros(classes * classes, np.int64)
+        for table in _whole(batches):
+            lists = table["near"].combine_chunks()
+            word = table["word"].to_numpy()
+            new = np.concatenate([[True], word[1:] != word[:-1]])
+            words, number = word[new], np.repeat(np.cumsum(new) - 1, pc.list_value_length(lists).to_numpy())
+            entry, count = np.unique(number * width + lists.flatten().to_numpy(), return_counts=True)
+            cuts = np.searchsorted(entry, np.arange(len(words) + 1) * width)
+            best = np.zeros(len(words), np.int64)
+            for i in range(0, len(words), 2000):
+                j = min(len(words), i + 2000)
+                owner, code, v = entry[cuts[i]:cuts[j]] // width - i, entry[cuts[i]:cuts[j]] % width, count[cuts[i]:cuts[j]]
+                kinds, at = np.unique(v * width + code, return_inverse=True)
+                gains = _bigram_gains(n, kinds % width, (kinds // width).astype(float))
+                gain = np.add.reduceat(gains[at], cuts[i:j] - cuts[i], axis=0)
                 is_after = code >= classes
-                gain += _margin_gains(rows, cols, np.bincount(owner, v * is_after, len(words)), np.bincount(owner, v * ~is_after, len(words)))
+                gain += _margin_gains(rows, cols, np.bincount(owner, v * is_after, j - i), np.bincount(owner, v * ~is_after, j - i))
                 gain[:, 0] = -np.inf
-                cls = gain.argmax(axis=1)
+                best[i:j] = cls = gain.argmax(axis=1)
                 own = cls[owner]
                 a, b = np.where(is_after, own, code), np.where(is_after, code - classes, own)
-                pair, m = _summed([a * classes + b], [v])
-                none = np.concatenate([np.zeros(len(words), bool), np.ones(len(m), bool)])
-                blank, nil = np.zeros(len(m), np.int64), np.zeros(len(words), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([words, blank]), mask=none), pa.array(np.concatenate([cls, blank]).astype(np.int32), mask=none),
-                     pa.array(np.concatenate([nil, pair // classes]).astype(np.int32), mask=~none),
-                     pa.array(np.concatenate([nil, pair % classes]).astype(np.int32), mask=~none),
-                     pa.array(np.concatenate([nil, m]), mask=~none)], names=["word", "cls", "a", "b", "n"])
+                come += np.bincount(a * classes + b, v, len(come)).astype(np.int64)
+            none = pa.nulls(len(words), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(best.astype(np.int32)), none, none, none.cast(pa.int64())],
+                                             names=["word", "cls", "a", "b", "n"])
+        pair = np.flatnonzero(come)
+        none = pa.nulls(len(pair), pa.int32())
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none, pa.array((pair // classes).astype(np.int32)),
+                                          pa.array((pair % classes).astype(np.int32)), pa.array(come[pair])], names=["word", "cls", "a", "b", "n"])
     return run
 
 
@@ -527,10 +603,9 @@ def _fitted(train: DataFrame, vocab: DataFrame) -> tuple[ClassModel, DataFrame]:
     cls, n = _exchanged(written(pairs, "bigrams"), len(keys) + 1, core, classes)
 
     # All other words, by their own neighbours.
-    context = train.mapInArrow(_contexts(spark.sparkContext.broadcast((keys, cls, classes))), "word long, code int, other long, n long")
+    context = train.mapInArrow(_contexts(spark.sparkContext.broadcast((keys, cls, classes))), "word long, near array<int>, other long, n long")
     context = written(context, "contexts")
-    known = (context.filter("code >= 0").repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
-             .groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near")))
+    known = context.filter("other is null").select("word", "near").repartition("word").sortWithinPartitions("word")
     best = written(known.mapInArrow(_assigned(spark.sparkContext.broadcast(n)), "word long, cls int, a int, b int, n long"), "assigned")
     own = best.filter("word is not null").select("word", "cls")
     for r in best.filter("word is null").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
@@ -541,7 +616,7 @@ def _fitted(train: DataFrame, vocab: DataFrame) -> tuple[ClassModel, DataFrame]:
     moved = spark.createDataFrame(pa.table({"word": pa.array(keys, pa.int64()), "cls": pa.array(cls[1:].astype(np.int32))}))
     classed = vocab.join(own.union(moved), "word", "left").select("word", "suffix", "c", F.coalesce("cls", F.lit(rest)).alias("cls"))
     classed = written(classed, "classes")
-    tails = context.filter("code < 0").select("word", "other", "n")
+    tails = context.filter("other is not null").select("word", "other", "n")
     left, right = (classed.select(F.col("word").alias(w), F.col("cls").alias(c)) for w, c in (("word", "a"), ("other", "b")))
     for r in tails.join(left, "word").join(right, "other").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         n[r["a"], r["b"]] += r["n"]
@@ -579,7 +654,7 @@ def _fitted(train: DataFrame, vocab: DataFrame) -> tuple[ClassModel, DataFrame]:
 
 
 RARE = pa.struct([("word", pa.int64()), ("at", pa.int64()), ("unit", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
-SCORED = ("doc_id long, th long, n_tokens long, known long, logs double, model double, "
+SCORED = ("doc_id long, n_tokens long, known long, logs double, model double, "
           "rare array<struct<word:long,at:long,unit:int,before:int,after:int>>")
 
 
@@ -588,62 +663,57 @@ def _score(shared, ends: int):
     ``rare`` with the classes around them (-1: a rare word as well)."""
     def run(batches):
         m: ClassModel = shared.value
-        memo = _Memo(m.units.words, m.units.suffixes)
         counts = np.log10(m.units.counts + DELTA)
         for batch in pieces(batches, "text", 4 << 20):
-            if len(memo.rows) > MEMO_WORDS:
-                memo.rows.clear()
-            texts = raw_texts(batch, "text")
-            rows, n = _sequences(texts, memo)
-            doc = np.repeat(np.arange(len(texts)), n)
-            at = memo.at[rows]
-            is_rare = (rows >= 0) & (at < 0)
-            u = np.where(rows < 0, END, np.where(is_rare, memo.tail[rows], at + 2))
-            c = m.cls[u]
+            words, index, n = _tokens(batch)
+            key = _keys(words)
+            at = _among(m.units.words, key)
+            unit, scarce = at + 2, at < 0
+            unit[scarce] = [m.units.suffixes.get(suffix_key(words[i]), OTHER) for i in np.flatnonzero(scarce).tolist()]
+            logs = np.zeros(len(words) + 1)  # the end's at last, where the index -1 finds it
+            logs[:-1][~scarce] = counts[at[~scarce]]
+            logs[-1] = np.log10(ends + DELTA)
+            unit, scarce = np.append(unit, END), np.append(scarce, False)
+            doc = np.repeat(np.arange(len(n)), n)
+            u, is_rare, logc = unit[index], scarce[index], logs[index]
+            c = m.cls[unit][index]
             before, after = np.concatenate([[0], c[:-1]]), np.concatenate([c[1:], [0]])
             rare_before, rare_after = np.concatenate([[False], is_rare[:-1]]), np.concatenate([is_rare[1:], [False]])
-            logc = np.full(len(rows), np.log10(ends + DELTA))
-            is_known = (rows >= 0) & ~is_rare
-            logc[is_known] = counts[at[is_known]]
-            logc[is_rare] = 0.0
-            token = np.where(is_rare, 0.0, m.emit[u] + np.where(rare_before, 0.0, m.trans[before, c]))
-            model = np.bincount(doc, token, len(texts))
-            known = np.bincount(doc, (~is_rare) & ((rows >= 0) | (ends > 0)), len(texts)).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, is_rare, len(texts)))]).astype(np.int32)
+            token = np.where(is_rare, 0.0, m.emit[unit][index] + np.where(rare_before, 0.0, m.trans[before, c]))
+            model = np.bincount(doc, token, len(n))
+            known = np.bincount(doc, (~is_rare) & ((index >= 0) | (ends > 0)), len(n)).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, is_rare, len(n)))]).astype(np.int32)
             i = np.flatnonzero(is_rare)
             values = pa.StructArray.from_arrays(
-                [pa.array(memo.key[rows[i]], pa.int64()), pa.array(i, pa.int64()), pa.array(u[i].astype(np.int32)),
+                [pa.array(key[index[i]], pa.int64()), pa.array(i, pa.int64()), pa.array(u[i].astype(np.int32)),
                  pa.array(np.where(rare_before[i], -1, before[i]).astype(np.int32)),
                  pa.array(np.where(rare_after[i], -1, after[i]).astype(np.int32))], fields=list(RARE))
             rare = pa.ListArray.from_arrays(pa.array(offsets), values)
-            th = [word_key(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(th, pa.int64()), pa.array(n, pa.int64()), pa.array(known),
-                 pa.array(np.bincount(doc, logc, len(texts))), pa.array(model), rare],
-                names=["doc_id", "th", "n_tokens", "known", "logs", "model", "rare"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(known),
+                 pa.array(np.bincount(doc, logc, len(n))), pa.array(model), rare],
+                names=["doc_id", "n_tokens", "known", "logs", "model", "rare"])
     return run
 
 
 def _rare_sums(shared):
-    """What the rare tokens of a text, in ``found``, add to its sums."""
+    """What the rare tokens of a row add to its sums."""
     def run(batches):
         m: ClassModel = shared.value
-        for batch in batches:
-            lists = batch.column(2)
-            entry = lists.flatten()
-            doc = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-            at, unit, before, after, c, cls = (entry.field(i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
-            order = np.lexsort((at, doc))
-            doc, unit, before, after, c, cls = (x[order] for x in (doc, unit, before, after, c, cls))
+        for table in _whole(batches):
+            row, at, unit, before, after, c, cls = (x.combine_chunks().fill_null(-1).to_numpy().astype(np.int64) for x in table.columns)
+            order = np.lexsort((at, row))
+            row, unit, before, after, c, cls = (x[order] for x in (row, unit, before, after, c, cls))
+            new = np.concatenate([[True], row[1:] != row[:-1]])
+            doc, size = np.cumsum(new) - 1, int(new.sum())
             seen = c >= 0
             cls = np.where(seen, cls, m.cls[unit])
             logc = np.log10(np.where(seen, c, 0) + DELTA)
             before = np.where(before < 0, np.concatenate([[0], cls[:-1]]), before)
             score = m.trans[before, cls] + logc - np.log10(m.in_class[cls]) + np.where(after < 0, 0.0, m.trans[cls, after])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.bincount(doc, logc, batch.num_rows)),
-                 pa.array(np.bincount(doc, score, batch.num_rows)), pa.array(np.bincount(doc, seen, batch.num_rows).astype(np.int64))],
-                names=["doc_id", "th", "more", "fit", "found"])
+                [pa.array(row[new]), pa.array(np.bincount(doc, logc, size)), pa.array(np.bincount(doc, score, size)),
+                 pa.array(np.bincount(doc, seen, size).astype(np.int64))], names=["row", "more", "fit", "found"])
     return run
 
 
@@ -660,21 +730,18 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                           .cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"),
                           zero.alias("base_score"), zero.alias("score"), F.lit(1.0).alias("perplexity"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = written(src.mapInArrow(_score(shared, ends), SCORED), "scored")
+    scored = written(src.mapInArrow(_score(shared, ends), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
 
     # Words below the frequent ones: their counts and classes come by a join.
-    # Rows with the same id and text have the same ones.
-    rare = scored.filter(F.size("rare") > 0).select("doc_id", "th", "rare").dropDuplicates(["doc_id", "th"])
-    rare = rare.select("doc_id", "th", F.inline("rare"))
-    seen = rare.join(classed.select("word", "c", "cls"), "word", "left")
-    texts = seen.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "unit", "before", "after", "c", "cls")).alias("found"))
-    extra = texts.mapInArrow(_rare_sums(shared), "doc_id long, th long, more double, fit double, found long")
-    rows = scored.drop("rare")
-    out = rows.join(extra, same(rows, extra, ["doc_id", "th"]), "left")
+    rare = scored.select("row", F.inline("rare"))
+    seen = rare.join(classed.select("word", "c", "cls"), "word", "left").select("row", "at", "unit", "before", "after", "c", "cls")
+    seen = seen.repartition("row").sortWithinPartitions("row")
+    extra = seen.mapInArrow(_rare_sums(shared), "row long, more double, fit double, found long")
+    out = scored.drop("rare").join(extra, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     share = float(np.log10(model.total + DELTA * (model.distinct + 1)))
     score = F.col("model") + F.coalesce("fit", F.lit(0.0))
-    return out.select(rows["doc_id"], "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
                       F.lit(model.total).cast("long").alias("train_tokens"),
                       (F.col("logs") + more - F.col("n_tokens") * F.lit(share)).alias("base_score"), score.alias("score"),
                       F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

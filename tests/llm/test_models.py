@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,83 @@ def test_exchange_in_rounds_ends_where_no_unit_moves(spark, monkeypatch):
     assert cls[class_lm.END] == 0 and (cls[1:] > 0).all()
     assert (n == np.bincount(cls[a] * 6 + cls[b], v, 36).reshape(6, 6)).all()
     assert (class_lm.exchange(60, a, b, v, 6, sweeps=1, start=cls) == cls).all()
+
+
+class _Value:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_class_lm_tokens_are_the_words_of_each_text():
+    texts = [None, "", " ", "a", " a b\t", "\x1c\x85 x\x0b\x0cy\tz\nA\rB\x00", "\u00c9 \u00e9\xa0w a", "x" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for part in (batch, batch.slice(4), batch.slice(0, 0)):
+        words, at, n = class_lm._tokens(part)
+        want = [[*(t or "").encode().lower().split(), None] for t in part.column(0).to_pylist()]
+        assert n.tolist() == [len(w) for w in want]
+        assert [words[i] if i >= 0 else None for i in at] == [w for ws in want for w in ws]
+        assert len(set(words)) == len(words) and b"" not in words
+        assert class_lm._suffixes(words).tolist() == [class_lm.suffix_key(w) for w in words]
+
+
+def test_class_lm_contexts_are_one_row_per_word():
+    """A word's neighbours come as one list; a row for each of them was most of the work."""
+    keys = np.sort(np.array([class_lm.word_key(w) for w in (b"k", b"m")]))
+    cls = np.array([0, 1, 2]) if keys[0] == class_lm.word_key(b"k") else np.array([0, 2, 1])
+    batch = pa.RecordBatch.from_arrays([pa.array(["k r m r", "r s k", None, "s"])], names=["text"])
+    rows = [r for b in class_lm._contexts(_Value((keys, cls, 3)))(iter([batch])) for r in b.to_pylist()]
+    near = {r["word"]: sorted(r["near"]) for r in rows if r["near"] is not None}
+    r, s = class_lm.word_key(b"r"), class_lm.word_key(b"s")
+    assert len([r for r in rows if r["near"] is not None]) == 2
+    assert near == {r: [0, 1, 2, 3, 5], s: [0, 3, 4]}
+    assert [(x["word"], x["other"], x["n"]) for x in rows if x["near"] is None] == [(r, s, 1)]
+
+
+def test_sorted_batches_are_cut_between_words():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        words = np.sort(rng.integers(0, 8, int(rng.integers(1, 30))))
+        cuts = np.sort(rng.integers(0, len(words) + 1, 4))
+        batches = [pa.RecordBatch.from_arrays([pa.array(w)], names=["word"]) for w in np.split(words, cuts)]
+        parts = [t["word"].to_pylist() for t in class_lm._whole(iter(batches))]
+        assert [w for p in parts for w in p] == words.tolist()
+        assert sum(len(set(p)) for p in parts) == len(set(words.tolist()))
+
+
+def test_gains_of_many_units_are_those_of_each():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        classes, size = int(rng.integers(3, 8)), int(rng.integers(5, 30))
+        g = (rng.integers(0, 5, (size, size)) * (rng.random((size, size)) < 0.5)).astype(float)
+        cls = np.concatenate([[0], rng.integers(1, classes, size - 1)])
+        cls[1 + rng.integers(0, size - 1)] = -1
+        has = cls >= 0
+        n = np.zeros((classes, classes))
+        a, b = np.nonzero(g * has[:, None] * has)
+        np.add.at(n, (cls[a], cls[b]), g[a, b])
+        others = g - np.diag(np.diag(g))
+        member = np.eye(classes)[cls] * has[:, None]
+        r, l_, own = others @ member, others.T @ member, np.where(has, np.diag(g), 0.0)
+        got = class_lm._units_gains(n, cls[1:], r[1:], l_[1:], own[1:])
+        for u in range(1, size):
+            left = n.copy()
+            if has[u]:
+                left[cls[u], :] -= r[u]
+                left[:, cls[u]] -= l_[u]
+                left[cls[u], cls[u]] -= own[u]
+            want = class_lm._class_gains(left, r[u], l_[u], own[u])
+            assert got[u - 1][0] == -np.inf and np.allclose(got[u - 1][1:], want[1:], atol=1e-7)
+
+
+def test_class_lm_rows_of_one_document_are_scored_alike(spark, monkeypatch):
+    """Rare words are joined by row: ids may be null or repeat, with the same text or another."""
+    monkeypatch.setattr(class_lm, "FREQUENT", 2)
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "d c"), (None, "a b c d"), (None, "a zz"), (2, None), (3, "b b a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = class_lm.score_texts(docs, docs).collect()
+    c = Counter(w for _, t in rows for w in [*(t or "").split(), None])
+    total, distinct = sum(c.values()), len(c)
+    base = sorted(round(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in [*(t or "").split(), None]), 6) for _, t in rows)
+    assert sorted(round(r.base_score, 6) for r in got) == base
+    assert sorted((r.doc_id or 0, r.n_known) for r in got) == sorted((d or 0, len((t or "").split()) + 1) for d, t in rows)
+    assert len({r.score for r in got if r.n_tokens == 5}) == 1
